@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from usetrail.functions import fixed
 from usetrail.functions.columns import entity_key
 from usetrail.operators.symbols import resolve_asof
+from usetrail.plans.scan import stacked
 
 NO_EXTRA = "CAST(NULL AS MAP<STRING, BOOLEAN>)"
 
@@ -117,8 +116,7 @@ def spawn_edges(sites: DataFrame) -> DataFrame:
 
 def build_graph(nodes: list[DataFrame], edges: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
     """The two graph tables."""
-    union = lambda frames: reduce(DataFrame.unionByName, frames)
-    return union(nodes), union(edges)
+    return stacked(*nodes), stacked(*edges)
 
 
 def bad_types(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -129,7 +127,7 @@ def bad_types(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     e = edges.filter(~F.col("edge_type").isin(fixed.EDGE_TYPES)).select(
         F.lit("edge").alias("part"), F.col("edge_type").alias("type")
     )
-    return n.unionByName(e)
+    return stacked(n, e)
 
 
 def dangling_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:

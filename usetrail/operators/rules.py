@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from usetrail.functions import fixed
 from usetrail.functions.columns import is_heavy_call, retention_risk
 from usetrail.plans.intervals import containing_spans
+from usetrail.plans.scan import stacked
 
 
 def in_concurrent(points: DataFrame, sections: DataFrame, on: list[str], bin_width: int = 64) -> DataFrame:
@@ -182,7 +183,7 @@ def emit_findings(flagged: DataFrame, keys: list[str], order: list[str]) -> Data
         *keys, *[F.col(f"_c._at.{o}").alias(o) for o in order], F.col("_c.rule_id").alias("rule_id")
     )
     always = flagged.filter("r1").select(*keys, *order, F.lit(1).alias("rule_id"))
-    return always.unionByName(once)
+    return stacked(always, once)
 
 
 def finding_names(rule_id: Column) -> tuple[Column, Column]:
@@ -213,3 +214,18 @@ def finding_message(rule_id: Column, name: Column, op: Column, risk: Column) ->
 def severity_table(spark) -> DataFrame:
     """Diagnostic severities with their rank."""
     return spark.createDataFrame(fixed.SEVERITIES, "rank int, severity string")
+
+
+def is_field_decl(
+    points: DataFrame, spans: DataFrame, on: list[str], field_kinds: list[str],
+    stop_kinds: list[str], bin_width: int = 64,
+) -> DataFrame:
+    """True where the innermost span of either list around a point is a field kind."""
+    wanted = spans.filter(F.col("kind").isin(field_kinds + stop_kinds))
+    around = containing_spans(points, wanted, on, bin_width=bin_width)
+    inner = around.groupBy(*points.columns).agg(
+        F.max(F.struct("start_pos", "kind"))["kind"].isin(field_kinds).alias("_f")
+    )
+    return points.join(inner, points.columns, "left").select(
+        *points.columns, F.coalesce("_f", F.lit(False)).alias("is_field")
+    )

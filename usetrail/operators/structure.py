@@ -19,24 +19,27 @@ def line_col_tokens(documents: DataFrame, key: str = "doc_id", text: str = "text
     return word_view(documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text")))
 
 
-def _unstray(tokens: DataFrame, doc: str) -> DataFrame:
+def _unstray(tokens: DataFrame, doc: str, bounded: bool) -> DataFrame:
     """Nesting level of every token among its own kind; closes without open drop out."""
     step = tokens.withColumn("_d", F.when(F.col("is_open"), 1).otherwise(-1).cast("long"))
-    deep = clamped_sum(step, [doc, "tag"], ["pos"], "_d", "_after", "_prior")
+    deep = clamped_sum(
+        step, [doc, "tag"], ["pos"], "_d", "_after", "_prior", bounded
+    )
     level = F.when(F.col("is_open"), F.col("_after")).otherwise(F.col("_after") + 1)
     stray = ~F.col("is_open") & (F.col("_prior") == 0)
     return deep.filter(~stray).withColumn("_level", level).drop("_d", "_after", "_prior")
 
 
-def pair_spans(tokens: DataFrame, doc: str = "page_id") -> DataFrame:
+def pair_spans(tokens: DataFrame, doc: str = "page_id", bounded: bool = True) -> DataFrame:
     """Spans from open and close tokens, nested per kind; unclosed ones end in NULL.
 
     Once stray closes are gone, opens and closes of one level alternate, so an open is
-    closed by the token that follows it on its level.
+    closed by the token that follows it on its level. `bounded`: the tokens of a
+    document come out of one stored text (as in `running`); pass False for token tables.
     """
-    levelled = _unstray(tokens, doc)
+    levelled = _unstray(tokens, doc, bounded)
     paired = running(
-        levelled, [doc, "tag", "_level"], ["pos"], _next=following(F.col("pos"))
+        levelled, [doc, "tag", "_level"], ["pos"], bounded, _next=following(F.col("pos"))
     )
     return paired.filter("is_open").select(
         doc, F.col("tag").alias("kind"), F.col("pos").alias("start_pos"),
@@ -44,14 +47,14 @@ def pair_spans(tokens: DataFrame, doc: str = "page_id") -> DataFrame:
     )
 
 
-def nesting(tokens: DataFrame, doc: str = "page_id") -> DataFrame:
+def nesting(tokens: DataFrame, doc: str = "page_id", bounded: bool = True) -> DataFrame:
     """Depth of every open token among all kinds (1 = outermost)."""
     step = tokens.withColumn("_d", F.when(F.col("is_open"), 1).otherwise(-1).cast("long"))
-    deep = clamped_sum(step, [doc], ["pos"], "_d", "depth", "_prior")
+    deep = clamped_sum(step, [doc], ["pos"], "_d", "depth", "_prior", bounded)
     return deep.filter("is_open").drop("_d", "_prior")
 
 
-def parents(opens: DataFrame, doc: str = "page_id") -> DataFrame:
+def parents(opens: DataFrame, doc: str = "page_id", bounded: bool = True) -> DataFrame:
     """Parent of every node in a pre-order list with depths.
 
     The parent is the latest earlier node one level up. Every node is entered twice,
@@ -66,7 +69,7 @@ def parents(opens: DataFrame, doc: str = "page_id") -> DataFrame:
         *opens.columns, "_side._level", "_side._cand"
     )
     found = running(
-        rows, [doc, "_level"], ["pos"],
+        rows, [doc, "_level"], ["pos"], bounded,
         _parent=latest(F.when(F.col("_cand"), F.struct("pos", "tag"))),
     )
     return found.filter(~F.col("_cand")).select(

@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 from usetrail.functions import fixed
 from usetrail.plans.intervals import containing_spans
-from usetrail.plans.scan import latest, running, total
+from usetrail.plans.scan import latest, running, stacked, total
 
+OWN_DEPTH = 1 << 30
 
-def extract_decls(candidates: DataFrame, scope: list[str], name: str = "name") -> DataFrame:
+
+def extract_decls(
+    candidates: DataFrame, scope: list[str], name: str = "name", bounded: bool = False
+) -> DataFrame:
     """Declarations among candidate rows (kind, scope columns, name, pos).
 
     A short declaration counts only where its scope has none of the name yet; every
@@ -21,7 +25,7 @@ def extract_decls(candidates: DataFrame, scope: list[str], name: str = "name") -
         & ((F.col("kind") != "range_clause") | F.col("declares"))
     )
     seen = running(
-        declaring, [*scope, name], ["pos"], _before=total(F.lit(1), exclusive=True)
+        declaring, [*scope, name], ["pos"], bounded, _before=total(F.lit(1), exclusive=True)
     )
     redeclared = (F.col("kind") == "short_var_declaration") & (F.col("_before") > 0)
     return seen.filter(~redeclared).drop("_before")
@@ -41,29 +45,44 @@ def resolve_scoped(
     """Innermost enclosing scope with a declaration visible at the use; shadowing kept.
 
     uses(on.., name, pos), decls(on.., name, decl_id, scope_id, visible_from),
-    scopes(on.., scope_id, depth, start_pos, end_pos). A use enters once per scope
-    around it, and each (scope, name) is one as-of scan, so uses and declarations of
-    one name are never paired with each other. The answer is the hit at the greatest
-    depth. Uses without a visible declaration give no row.
+    scopes(on.., scope_id, depth, start_pos, end_pos). Uses without a visible
+    declaration give no row.
     """
     around = containing_spans(uses, scopes, on, bin_width=bin_width).select(
-        *on, "name", "pos", "scope_id", "depth", F.lit(1).alias("_use"),
-        F.col("pos").alias("_at"), F.lit(None).cast("long").alias("_decl"),
+        *on, "name", "scope_id", "pos", F.lit(1).alias("is_use"), "depth",
+        F.col("pos").alias("at"), F.lit(None).cast("long").alias("decl"),
     )
     entries = decls.select(
-        *on, "name", F.col("visible_from").alias("pos"), "scope_id",
-        F.lit(None).cast("int").alias("depth"), F.lit(0).alias("_use"),
-        F.lit(None).cast("long").alias("_at"), F.col("decl_id").cast("long").alias("_decl"),
+        *on, "name", "scope_id", F.col("visible_from").alias("pos"), F.lit(0).alias("is_use"),
+        F.lit(None).cast("int").alias("depth"), F.col("decl_id").cast("long").alias("at"),
+        F.col("decl_id").cast("long").alias("decl"),
     )
+    return resolve_timeline(stacked(around, entries), on)
+
+
+def resolve_timeline(
+    rows: DataFrame, on: list[str], bounded: bool = False, own: bool = False
+) -> DataFrame:
+    """Resolve uses against declarations that stand in one table of scope entries.
+
+    rows(on.., name, scope_id, pos, is_use, depth, at, decl): a use comes once per
+    scope around it, a declaration once, at the position from which it is visible. Each
+    (scope, name) is one as-of scan, so uses and declarations of one name are never
+    paired with each other; the answer is the hit at the greatest depth. With `own` a
+    declaration is the answer for its own position.
+    """
     scanned = running(
-        around.unionByName(entries), [*on, "scope_id", "name"], ["pos", "_use"],
-        _found=latest(F.col("_decl")),
-    ).filter((F.col("_use") == 1) & F.col("_found").isNotNull())
-    best = scanned.groupBy(*on, "name", F.col("_at").alias("pos")).agg(
-        F.max(F.struct("depth", "_found", "scope_id")).alias("_b")
+        rows, [*on, "scope_id", "name"], ["pos", "is_use"], bounded, _found=latest(F.col("decl"))
     )
-    return best.select(
-        *on, "name", "pos", F.col("_b._found").alias("decl_id"), F.col("_b.scope_id").alias("scope_id")
+    is_use = F.col("is_use") == 1
+    wanted = F.col("_found").isNotNull() & (F.lit(own) | is_use)
+    # whole-number buffers keep this a hash aggregate
+    rank = F.when(is_use, F.col("depth")).otherwise(OWN_DEPTH)
+    found = F.when(is_use, F.col("_found")).otherwise(F.col("decl"))
+    return (
+        scanned.filter(wanted)
+        .groupBy(*on, "name", F.col("at").alias("pos"))
+        .agg(F.max_by(found, rank).alias("decl_id"), F.max(rank).alias("depth"))
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from usetrail.functions.columns import is_atomic_name, is_mutex_method
-from usetrail.plans.scan import clamped_sum, running, total
+from usetrail.plans.scan import clamped_sum, running, stacked, total
 
 
 def lock_events(accesses: DataFrame) -> DataFrame:
@@ -41,9 +41,8 @@ def held_at(
     turn = (F.col("depth") > 0).cast("long") - (F.col("depth_before") > 0).cast("long")
     turns = depths.select(*scope, *order, turn.alias("_turn")).filter("_turn <> 0")
     pos, *ties = order
-    timeline = accesses.withColumn("_turn", F.lit(0).cast("long")).withColumn(
-        "_is_access", F.lit(1)
-    ).unionByName(turns.withColumn("_is_access", F.lit(0)), allowMissingColumns=True)
+    uses = accesses.withColumn("_turn", F.lit(0).cast("long")).withColumn("_is_access", F.lit(1))
+    timeline = stacked(uses, turns.withColumn("_is_access", F.lit(0)), partial=True)
     counted = running(
         timeline, scope, [pos, "_is_access", *ties], held_keys=total(F.col("_turn"))
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from usetrail.operators import classify, rules, sync
+from usetrail.plans.scan import stacked
 
 ORDER = ["pos", "seq"]
 
@@ -110,4 +111,4 @@ def decorated(marked: DataFrame, decls: DataFrame, order: list[str] | None = Non
     shown = [c for c in shown if c in marked.columns]
     uses = marked.select(*shown, kind.alias("kind"))
     heads = decls.select(*shown, F.lit("Declaration").alias("kind"))
-    return uses.unionByName(heads)
+    return stacked(uses, heads)

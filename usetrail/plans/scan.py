@@ -24,6 +24,20 @@ MAX_SPLIT_KEYS = 100_000
 FINENESS = 4
 
 
+def stacked(*frames: DataFrame, partial: bool = False) -> DataFrame:
+    """Union by name whose result is always shuffled again by what follows.
+
+    Spark 4.1 lets a union keep the partitioning of its sides. When those sides end up
+    reading one reused shuffle, the promise made in planning does not hold at run time
+    and groups come out in pieces (seen on 4.1.2), so that is switched off here.
+    """
+    frames[0].sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
+    out = frames[0]
+    for frame in frames[1:]:
+        out = out.unionByName(frame, allowMissingColumns=partial)
+    return out
+
+
 def target_rows(df: DataFrame) -> int:
     """Rows of one key above which the key is cut (session setting)."""
     return int(df.sparkSession.conf.get(TARGET_CONF, str(DEFAULT_TARGET)))
@@ -142,23 +156,37 @@ def _joined(item: Running, here: Column, carried: Column) -> Column:
     return F.coalesce(here, carried)["v"]
 
 
+def _local(keys: list[str], order: list[str], items: dict[str, Running]) -> dict[str, Column]:
+    by = Window.partitionBy(*keys).orderBy(*order)
+    upto = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = by.rowsBetween(Window.unboundedPreceding, -1)
+    return {n: _within(item, by, upto, before) for n, item in items.items()}
+
+
+def _plain(keys: list[str], order: list[str], items: dict[str, Running]) -> dict[str, Column]:
+    local = _local(keys, order, items)
+    return {n: local[n]["v"] if item.kind in ("lag", "lead") else local[n] for n, item in items.items()}
+
+
 def running(
-    df: DataFrame, keys: list[str], order: list[str], **items: Running
+    df: DataFrame, keys: list[str], order: list[str], bounded: bool = False, **items: Running
 ) -> DataFrame:
     """Add running aggregates over `keys`, ordered by `order`.
 
     `order[0]` must be a whole number; it decides the chunks. Keys must not be NULL
     in rows that belong to large groups. A frame that already carries chunks from
     `with_chunks` (same keys) is used as it is, so several calls share one shuffle.
+
+    `bounded` says that every group comes out of one stored row (the words of one
+    text, the tags of one page), which one task holds anyway; a plain window does then,
+    and it keeps the partitioning its input has.
     """
+    if bounded:
+        return df.select("*", *[c.alias(n) for n, c in _plain(keys, order, items).items()])
     shared = CHUNK in df.columns
     split = df if shared else with_chunks(df, keys, order[0])
-    plain = Window.partitionBy(*keys, CHUNK).orderBy(*order)
-    upto = plain.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = plain.rowsBetween(Window.unboundedPreceding, -1)
-    here = split.select(
-        "*", *[_within(item, plain, upto, before).alias(f"_h_{n}") for n, item in items.items()]
-    )
+    local = _local([*keys, CHUNK], order, items)
+    here = split.select("*", *[c.alias(f"_h_{n}") for n, c in local.items()])
     of_chunk = (
         split.filter(F.col(CHUNK).isNotNull())
         .groupBy(*keys, CHUNK)
@@ -186,13 +214,23 @@ def running(
 
 def clamped_sum(
     df: DataFrame, keys: list[str], order: list[str], delta: str,
-    after: str = "depth", prior: str = "depth_before",
+    after: str = "depth", prior: str = "depth_before", bounded: bool = False,
 ) -> DataFrame:
     """Running sum that never falls below zero: d = max(0, d + delta).
 
     With S the plain running sum, d = S - least(0, lowest S so far). Each chunk hands
     on its total and its lowest S, so hot keys are cut as in `running`.
     """
+    if bounded:
+        by = Window.partitionBy(*keys).orderBy(*order)
+        frame = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        low = df.withColumn("_s", F.sum(delta).over(frame)).withColumn("_m", F.min("_s").over(frame))
+        low = low.withColumn("_m_prior", F.lag("_m").over(by))
+        floor, floor_prior = F.least("_m", F.lit(0)), F.least("_m_prior", F.lit(0))
+        return low.select(
+            *df.columns, (F.col("_s") - floor).alias(after),
+            (F.col("_s") - F.col(delta) - floor_prior).alias(prior),
+        )
     split = with_chunks(df, keys, order[0])
     here = Window.partitionBy(*keys, CHUNK).orderBy(*order)
     upto = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -223,6 +261,8 @@ def clamped_sum(
     )
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "rn") -> DataFrame:
+def numbered(
+    df: DataFrame, keys: list[str], order: list[str], name: str = "rn", bounded: bool = False
+) -> DataFrame:
     """1-based rank of each row in its group."""
-    return running(df, keys, order, **{name: total(F.lit(1))})
+    return running(df, keys, order, bounded, **{name: total(F.lit(1))})

@@ -1,6 +1,12 @@
 """Queries over the test tables, one or more per operator, with checking SQL."""
 
-from usetrail.queries import sources_q, structure_q  # noqa: F401
+from usetrail.queries import (
+    classify_q,
+    rules_q,
+    sources_q,
+    structure_q,
+    symbols_q,
+)  # noqa: F401
 from usetrail.queries.registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from usetrail.functions.columns import entity_key, range_key, span_size
 from usetrail.operators import structure as st
+from usetrail.plans.scan import stacked
 from usetrail.queries.registry import query
 from usetrail.sources import views as v
 
@@ -19,11 +20,12 @@ def tag_spans(spark, sf_dir):
     roots = v.tag_tokens(pages).groupBy("page_id").agg(
         F.min("pos").alias("start_pos"), F.max("pos").alias("end_pos")
     )
-    return spans.withColumn("is_root", F.lit(False)).unionByName(
+    return stacked(
+        spans.withColumn("is_root", F.lit(False)),
         roots.select(
             "page_id", F.lit("page").alias("kind"), "start_pos", "end_pos",
             F.lit(0).cast("long").alias("depth"), F.lit(True).alias("is_root"),
-        )
+        ),
     )
 
 
@@ -137,14 +139,15 @@ def span_sizes(spark, sf_dir):
     whole = lines.groupBy("doc_id").agg(
         F.min(F.struct("line", "start_col")).alias("a"), F.max(F.struct("line", "end_col")).alias("b")
     )
-    spans = lines.select(
-        "doc_id", F.col("line").alias("start_line"), "start_col",
-        F.col("line").alias("end_line"), "end_col",
-    ).unionByName(
+    spans = stacked(
+        lines.select(
+            "doc_id", F.col("line").alias("start_line"), "start_col",
+            F.col("line").alias("end_line"), "end_col",
+        ),
         whole.select(
             "doc_id", F.col("a.line").alias("start_line"), F.col("a.start_col"),
             F.col("b.line").alias("end_line"), F.col("b.end_col"),
-        )
+        ),
     )
     size = span_size(*[F.col(c) for c in ("start_line", "start_col", "end_line", "end_col")])
     return spans.withColumn("size", size)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from usetrail.functions import fixed
 from usetrail.operators.classify import color_key, kind_table
+from usetrail.plans.scan import stacked
 
 HEAD_RULE = "_analysed"
 
@@ -67,7 +68,7 @@ def write_findings(
     and no document needs a partition of its own.
     """
     heads = analysed.select(doc).distinct().withColumn("rule", F.lit(HEAD_RULE))
-    rows = findings.unionByName(heads, allowMissingColumns=True)
+    rows = stacked(findings, heads, partial=True)
     (
         rows.withColumn("version", F.lit(version).cast("long"))
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usetrail.functions.columns import LINE_SHIFT, micros
+from usetrail.plans.scan import stacked
 
 BALANCED_TAGS = ["nav", "ul", "li", "a", "article", "div", "footer", "h1", "title"]
 TAG_PATTERN = "</?[a-zA-Z][a-zA-Z0-9]*"
@@ -95,19 +96,13 @@ def tree_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber")
         .agg(F.max("l_returnflag").alias("flag"))
     )
-    return (
-        level("region", "region", ["r_regionkey"], None, None, "r_name")
-        .unionByName(level("nation", "nation", ["n_nationkey"], "region", "n_regionkey", "n_name"))
-        .unionByName(
-            level("customer", "customer", ["c_custkey"], "nation", "c_nationkey", "c_mktsegment")
-        )
-        .unionByName(
-            level("orders", "order", ["o_orderkey"], "customer", "o_custkey", "o_orderstatus",
-                  "o_orderpriority")
-        )
-        .unionByName(
-            level(lines, "line", ["l_orderkey", "l_linenumber"], "order", "l_orderkey", "flag")
-        )
+    return stacked(
+        level("region", "region", ["r_regionkey"], None, None, "r_name"),
+        level("nation", "nation", ["n_nationkey"], "region", "n_regionkey", "n_name"),
+        level("customer", "customer", ["c_custkey"], "nation", "c_nationkey", "c_mktsegment"),
+        level("orders", "order", ["o_orderkey"], "customer", "o_custkey", "o_orderstatus",
+              "o_orderpriority"),
+        level(lines, "line", ["l_orderkey", "l_linenumber"], "order", "l_orderkey", "flag"),
     )
 
 
@@ -139,9 +134,13 @@ v_up AS (
 
 
 def tag_tokens(pages: DataFrame) -> DataFrame:
-    """Every tag of every page, in order: (page_id, pos, tag, is_open)."""
+    """Every tag of every page, in order: (page_id, pos, tag, is_open).
+
+    Pages are spread by key before they are cut up, so all work per page that follows
+    finds its tags in place and moves no tokens.
+    """
     found = F.expr(f"regexp_extract_all(html, '{TAG_PATTERN}', 0)")
-    tokens = pages.select("page_id", F.posexplode(found).alias("pos", "token"))
+    tokens = pages.repartition("page_id").select("page_id", F.posexplode(found).alias("pos", "token"))
     return tokens.select(
         "page_id", F.col("pos").cast("long").alias("pos"),
         F.regexp_replace("token", "[</]", "").alias("tag"),
@@ -185,8 +184,12 @@ v_spans AS (
 
 
 def word_view(documents: DataFrame) -> DataFrame:
-    """Every word with its 0-based line and place in the line."""
-    lines = documents.select(
+    """Every word with its 0-based line and place in the line.
+
+    The texts are spread by document before they are cut up: what is shuffled is one
+    row per text, and later windows and aggregates per document move no words.
+    """
+    lines = documents.select("doc_id", "text").repartition("doc_id").select(
         "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "line_text")
     )
     words = lines.select(
