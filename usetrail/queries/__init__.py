@@ -2,10 +2,12 @@
 
 from usetrail.queries import (
     classify_q,
+    graph_q,
     rules_q,
     sources_q,
     structure_q,
     symbols_q,
+    time_q,
 )  # noqa: F401
 from usetrail.queries.registry import CHECKS, QUERIES
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usetrail.functions.columns import LINE_SHIFT, micros
@@ -16,18 +16,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def access_view(events: DataFrame) -> DataFrame:
-    """Events as accesses of an entity (the key in `props`) by a user."""
-    kind = F.col("event_type")
-    entity = F.get_json_object("props", "$.k").cast("int")
-    is_lock = kind.isin("click", "error")
-    op = (
+def op_of(kind: Column) -> Column:
+    """What an event of each type does to its entity."""
+    return (
         F.when(kind == "signup", "decl")
         .when(kind == "view", "read")
         .when(kind == "purchase", "write")
         .when(kind == "click", "acquire")
         .when(kind == "error", "release")
     )
+
+
+def access_view(events: DataFrame) -> DataFrame:
+    """Events as accesses of an entity (the key in `props`) by a user."""
+    kind = F.col("event_type")
+    entity = F.get_json_object("props", "$.k").cast("int")
+    is_lock = kind.isin("click", "error")
+    op = op_of(kind)
     facts = events.select(
         entity.alias("entity"), F.col("user_id").alias("ctx"), micros("ts").alias("pos"),
         F.col("event_id").alias("seq"), F.col("ts").cast("date").cast("string").alias("day"),

@@ -144,7 +144,7 @@ def per_batch(path: str, rule=None):
 
 def _read_schema(df: DataFrame, mode: str) -> T.StructType:
     schema = T.StructType(list(df.schema.fields))
-    return schema if mode == "append" else schema.add("batch", "bigint")
+    return schema if mode == "append" else schema.add("batch", T.LongType())
 
 
 def last_of_batches(written: DataFrame, keys: list[str]) -> DataFrame:
