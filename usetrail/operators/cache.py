@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from usetrail.plans.scan import (
-    CHUNK, following, highest, previous, running, with_chunks,
+    CHUNK, following, highest, is_small, previous, running, with_chunks,
 )
 
 
@@ -36,7 +36,7 @@ def refreshing_hit(
     long every get misses until the next put.
     """
     marked = ops.withColumn("_put", is_put)
-    split = with_chunks(marked, keys, order[0])
+    split = marked if is_small(marked) else with_chunks(marked, keys, order[0])
     gaps = running(split, keys, order, _prev=previous(F.col(order[0])))
     late = ~F.col("_put") & (F.col(order[0]) - F.col("_prev") > ttl)
     at = F.struct(*order)
@@ -148,8 +148,13 @@ def asof_hit(requests: DataFrame, keys: list[str], order: list[str], ttl: int) -
     reduced to its step function, these are folded per key, and the chunks then walk
     side by side from the expiry handed to them.
     """
-    split = with_chunks(requests, keys, order[0])
+    small = is_small(requests)
+    split = requests.withColumn(CHUNK, F.lit(-1).cast("long")) if small else with_chunks(
+        requests, keys, order[0]
+    )
     types = {f.name: f.dataType.simpleString() for f in split.schema.fields}
+    if small:
+        return _walked(split.withColumn("_carry", F.lit(NEVER)), keys, order, ttl, types)
     key_ddl = ", ".join(f"`{k}` {types[k]}" for k in [*keys, CHUNK])
     hot = split.filter(F.col(CHUNK).isNotNull()).select(*keys, CHUNK, order[0])
     steps = hot.groupBy(*keys, CHUNK).applyInPandas(
@@ -164,12 +169,13 @@ def asof_hit(requests: DataFrame, keys: list[str], order: list[str], ttl: int) -
         *requests.columns, F.coalesce(CHUNK, F.lit(-1)).alias(CHUNK),
         F.coalesce("_carry", F.lit(NEVER)).alias("_carry"),
     )
-    ddl = ", ".join(f"`{c}` {types[c]}" for c in split.columns)
-    walked = (
-        ready.repartition(*keys, CHUNK).sortWithinPartitions(*keys, CHUNK, *order)
-        .mapInPandas(_walk(keys, order, ttl), f"{ddl}, hit boolean")
-    )
-    return walked.drop(CHUNK)
+    return _walked(ready, keys, order, ttl, types)
+
+
+def _walked(ready: DataFrame, keys: list[str], order: list[str], ttl: int, types: dict) -> DataFrame:
+    ddl = ", ".join(f"`{c}` {t}" for c, t in types.items())
+    rows = ready.repartition(*keys, CHUNK).sortWithinPartitions(*keys, CHUNK, *order)
+    return rows.mapInPandas(_walk(keys, order, ttl), f"{ddl}, hit boolean").drop(CHUNK)
 
 
 def keep_recent(entries: DataFrame, order: list[str], n: int) -> DataFrame:

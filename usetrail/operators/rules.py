@@ -142,29 +142,32 @@ def rule_flags(
     )
 
 
-def emit_findings(flagged: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Which use carries which finding.
+def emit_findings(
+    flagged: DataFrame, keys: list[str], order: list[str], shown: list[str] | None = None
+) -> DataFrame:
+    """Which use carries which finding; `shown` columns of the use come along.
 
     Race-high goes on every use it fits. Each other rule goes once per entity, on its
     first use that carries no finding of an earlier rule. A rule can lose at most one
     use to each of the rules between race-high and itself, so its winner is among its
     first seven fitting uses; only those leave the tasks that find them.
     """
-    number = len(fixed.RULES)
-    at = F.struct(*order)
+    number, shown = len(fixed.RULES), shown or []
+    place = F.struct(*order)
     hit_rules = F.array_compact(
         F.array(*[F.when(F.col(f"r{i}"), F.lit(i)) for i in range(2, number + 1)])
     )
     fitting = flagged.filter(~F.col("r1")).select(
-        *keys, at.alias("_at"), F.explode(hit_rules).alias("rule_id")
+        *keys, F.explode(hit_rules).alias("rule_id"), place.alias("at"),
+        F.struct(*order, *shown).alias("use"),
     )
     # window and filter: Spark keeps the first rows per task before the shuffle
-    first = Window.partitionBy(*keys, "rule_id").orderBy("_at")
+    first = Window.partitionBy(*keys, "rule_id").orderBy("at")
     shortlist = fitting.withColumn("_rn", F.row_number().over(first)).filter(
         F.col("_rn") <= number - 1
     )
     per_group = shortlist.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("rule_id", "_at"))).alias("_list")
+        F.sort_array(F.collect_list(F.struct("rule_id", "at", "use"))).alias("_list")
     )
     # walk the short list in rule order; take a use if its rule and the use are free
     taken_type = per_group.schema["_list"].dataType.simpleString()
@@ -174,15 +177,15 @@ def emit_findings(flagged: DataFrame, keys: list[str], order: list[str]) -> Data
         lambda taken, item: F.when(
             F.exists(
                 taken,
-                lambda t: (t["rule_id"] == item["rule_id"]) | (t["_at"] == item["_at"]),
+                lambda t: (t["rule_id"] == item["rule_id"]) | (t["at"] == item["at"]),
             ),
             taken,
         ).otherwise(F.concat(taken, F.array(item))),
     )
     once = per_group.select(*keys, F.explode(chosen).alias("_c")).select(
-        *keys, *[F.col(f"_c._at.{o}").alias(o) for o in order], F.col("_c.rule_id").alias("rule_id")
+        *keys, F.col("_c.rule_id").alias("rule_id"), "_c.use.*"
     )
-    always = flagged.filter("r1").select(*keys, *order, F.lit(1).alias("rule_id"))
+    always = flagged.filter("r1").select(*keys, F.lit(1).alias("rule_id"), *order, *shown)
     return stacked(always, once)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from usetrail.operators import classify, rules, sync
 from usetrail.plans.scan import stacked
+from usetrail.session import staged
 
 ORDER = ["pos", "seq"]
 
@@ -32,13 +33,17 @@ def assessed(accesses: DataFrame, scope: list[str], order: list[str] | None = No
 
 def flagged(
     accesses: DataFrame, scope: list[str], keys: list[str], ctx_keys: list[str],
-    order: list[str] | None = None,
+    order: list[str] | None = None, stage: bool = True,
 ) -> DataFrame:
     """Assessed uses with one column per rule.
 
-    Missing columns take their neutral value: nothing captured, nothing global.
+    Missing columns take their neutral value: nothing captured, nothing global. The
+    assessed uses are read by every group fact and again per use, so they are written
+    to the shared folder once unless `stage` is off.
     """
     ready = assessed(accesses, scope, order)
+    if stage:
+        ready = staged(ready, "assessed")
     for name in ("captured", "is_global", "copied"):
         if name not in ready.columns:
             ready = ready.withColumn(name, F.lit(False))
@@ -49,13 +54,11 @@ def findings(
     marked: DataFrame, keys: list[str], name: Column, order: list[str] | None = None
 ) -> DataFrame:
     """Findings with rule, severity and message."""
-    order = order or ORDER
-    emitted = rules.emit_findings(marked, keys, order)
-    details = marked.select(*keys, *order, "ctx", "op", "risk")
+    emitted = rules.emit_findings(marked, keys, order or ORDER, ["ctx", "op", "risk"])
     rule, level = rules.finding_names(F.col("rule_id"))
     message = rules.finding_message(F.col("rule_id"), name, F.col("op"), F.col("risk"))
-    return emitted.join(details, [*keys, *order]).select(
-        *keys, *order, "ctx", rule.alias("rule"), level.alias("severity"),
+    return emitted.select(
+        *keys, *(order or ORDER), "ctx", rule.alias("rule"), level.alias("severity"),
         message.alias("message"),
     )
 

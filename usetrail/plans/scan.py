@@ -43,6 +43,16 @@ def target_rows(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(TARGET_CONF, str(DEFAULT_TARGET)))
 
 
+def is_small(df: DataFrame) -> bool:
+    """True where the optimizer's size estimate leaves no room for a hot key.
+
+    A row takes eight bytes at least; an input below that for one key's limit needs no
+    counting of keys. This decides about cutting only, never about results.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    return int(str(plan.stats().sizeInBytes())) < 8 * target_rows(df)
+
+
 def with_chunks(df: DataFrame, keys: list[str], pos: str) -> DataFrame:
     """Add the chunk number of each row; NULL for keys that need no cutting.
 
@@ -181,9 +191,9 @@ def running(
     text, the tags of one page), which one task holds anyway; a plain window does then,
     and it keeps the partitioning its input has.
     """
-    if bounded:
-        return df.select("*", *[c.alias(n) for n, c in _plain(keys, order, items).items()])
     shared = CHUNK in df.columns
+    if bounded or (not shared and is_small(df)):
+        return df.select("*", *[c.alias(n) for n, c in _plain(keys, order, items).items()])
     split = df if shared else with_chunks(df, keys, order[0])
     local = _local([*keys, CHUNK], order, items)
     here = split.select("*", *[c.alias(f"_h_{n}") for n, c in local.items()])
@@ -221,7 +231,7 @@ def clamped_sum(
     With S the plain running sum, d = S - least(0, lowest S so far). Each chunk hands
     on its total and its lowest S, so hot keys are cut as in `running`.
     """
-    if bounded:
+    if bounded or is_small(df):
         by = Window.partitionBy(*keys).orderBy(*order)
         frame = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         low = df.withColumn("_s", F.sum(delta).over(frame)).withColumn("_m", F.min("_s").over(frame))

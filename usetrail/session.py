@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build(master: str = "local[*]", partitions: int = 8, memory: str = "12g") -> SparkSession:
@@ -39,3 +39,14 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
 
         return f"{shared.rstrip('/')}/usetrail-{name}-{uuid.uuid4().hex}"
     return tempfile.mkdtemp(prefix=f"usetrail-{name}-")
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate table once and go on from the written copy.
+
+    For results that several later steps read and that cost windows and joins to make.
+    Unlike a cached frame the table outlives lost executors.
+    """
+    path = scratch_dir(df.sparkSession, name) + "/table"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
