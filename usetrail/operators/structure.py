@@ -81,13 +81,15 @@ def parents(opens: DataFrame, doc: str = "page_id", bounded: bool = True) -> Dat
 def with_path(
     nodes: DataFrame, max_depth: int, extra: list[str] | None = None,
     start: Column | None = None, tree: list[str] | None = None,
+    leaves: list[str] | None = None,
 ) -> DataFrame:
     """Add `path`, the ancestors of each node, nearest first.
 
     One join per step up; each step reads the same (id, parent) table, so its shuffle
     is reused. `start` limits the climbing rows, e.g. to one kind. `max_depth` is the
     number of steps the tree can have; a deeper tree stops the job instead of being
-    cut. `tree` names key columns that id and parent share (e.g. the document).
+    cut. `tree` names key columns that id and parent share (e.g. the document), `leaves`
+    kinds that never are a parent: the largest level then stays out of every lookup.
     """
     tree = tree or []
     extra = extra or []
@@ -96,7 +98,8 @@ def with_path(
     out = rows.withColumn("_at", F.col("parent_id")).withColumn(
         "path", F.array().cast(_path_type(nodes, shown))
     )
-    above = nodes.select(
+    inner = nodes.filter(~F.col("kind").isin(leaves)) if leaves else nodes
+    above = inner.select(
         *[F.col(t).alias(f"_t_{t}") for t in tree],
         F.col("node_id").alias("_id"), F.col("parent_id").alias("_up"),
         F.struct(F.col("node_id").alias("id"), *shown).alias("_node"),
@@ -127,9 +130,12 @@ def _path_type(nodes: DataFrame, shown: list[str]) -> str:
     return f"array<struct<{','.join(fields)}>>"
 
 
-def ancestors(nodes: DataFrame, max_depth: int, tree: list[str] | None = None) -> DataFrame:
+def ancestors(
+    nodes: DataFrame, max_depth: int, tree: list[str] | None = None,
+    leaves: list[str] | None = None,
+) -> DataFrame:
     """Every (node, ancestor, distance)."""
-    up = with_path(nodes, max_depth, tree=tree).select(
+    up = with_path(nodes, max_depth, tree=tree, leaves=leaves).select(
         *(tree or []), "node_id", F.posexplode("path").alias("_i", "_a")
     )
     return up.select(
@@ -150,9 +156,10 @@ def _before_stop(path: Column, stop: list[str]) -> Column:
 def nearest_ancestor(
     nodes: DataFrame, kinds: list[str], max_depth: int, stop: list[str] | None = None,
     start: Column | None = None, tree: list[str] | None = None, into: str = "nearest",
+    leaves: list[str] | None = None,
 ) -> DataFrame:
     """Nearest ancestor of one of `kinds`, not looking past a stop kind."""
-    climbed = with_path(nodes, max_depth, start=start, tree=tree)
+    climbed = with_path(nodes, max_depth, start=start, tree=tree, leaves=leaves)
     usable = _before_stop(F.col("path"), stop or [])
     hits = F.filter(usable, lambda a: a["kind"].isin(kinds))
     return climbed.select(*nodes.columns, F.get(hits, F.lit(0))["id"].alias(into))
@@ -206,10 +213,11 @@ def contained(inner: DataFrame, outer: DataFrame, on: list[str], bin_width: int
 
 
 def has_descendant(
-    nodes: DataFrame, pred: Column, max_depth: int, kind: str, tree: list[str] | None = None
+    nodes: DataFrame, pred: Column, max_depth: int, kind: str, tree: list[str] | None = None,
+    leaves: list[str] | None = None,
 ) -> DataFrame:
     """Nodes of a kind with at least one descendant that matches."""
-    hit = with_path(nodes, max_depth, start=pred, tree=tree).select(
+    hit = with_path(nodes, max_depth, start=pred, tree=tree, leaves=leaves).select(
         *(tree or []), F.explode("path").alias("_a")
     )
     return (
@@ -221,10 +229,10 @@ def has_descendant(
 
 def first_descendant(
     nodes: DataFrame, pred: Column, max_depth: int, kind: str, order: str = "ordinal",
-    tree: list[str] | None = None,
+    tree: list[str] | None = None, leaves: list[str] | None = None,
 ) -> DataFrame:
     """First matching descendant of each node of a kind, in the order given."""
-    hit = with_path(nodes, max_depth, start=pred, tree=tree).select(
+    hit = with_path(nodes, max_depth, start=pred, tree=tree, leaves=leaves).select(
         *(tree or []), F.explode("path").alias("_a"), F.struct(order, "node_id").alias("_d")
     )
     first = hit.filter(F.col("_a.kind") == kind).groupBy(
@@ -236,13 +244,13 @@ def first_descendant(
 def under(
     nodes: DataFrame, carrier, blocker, max_depth: int, stop: list[str] | None = None,
     extra: list[str] | None = None, start: Column | None = None, tree: list[str] | None = None,
-    into: str = "hit",
+    into: str = "hit", leaves: list[str] | None = None,
 ) -> DataFrame:
     """True where some ancestor is a carrier and none below the first stop is a blocker.
 
     `carrier` and `blocker` take an ancestor struct and return a condition.
     """
-    climbed = with_path(nodes, max_depth, extra=extra, start=start, tree=tree)
+    climbed = with_path(nodes, max_depth, extra=extra, start=start, tree=tree, leaves=leaves)
     carried = F.exists("path", carrier)
     blocked = F.exists(_before_stop(F.col("path"), stop or []), blocker)
     return climbed.select(*nodes.columns, (carried & ~blocked).alias(into))

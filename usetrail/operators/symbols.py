@@ -166,11 +166,12 @@ def pointer_flag(
 
 
 def is_global(nodes: DataFrame, function_kinds: list[str], max_depth: int,
-              tree: list[str] | None = None, start: Column | None = None) -> DataFrame:
+              tree: list[str] | None = None, start: Column | None = None,
+              leaves: list[str] | None = None) -> DataFrame:
     """True for nodes that neither are nor lie in a function."""
     from usetrail.operators.structure import with_path
 
-    climbed = with_path(nodes, max_depth, tree=tree, start=start)
+    climbed = with_path(nodes, max_depth, tree=tree, start=start, leaves=leaves)
     inside = F.exists("path", lambda a: a["kind"].isin(function_kinds))
     own = F.col("kind").isin(function_kinds)
     return climbed.select(*nodes.columns, (~inside & ~own).alias("is_global"))

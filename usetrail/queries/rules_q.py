@@ -373,6 +373,7 @@ def value_copy(spark, sf_dir):
         lambda a: (a["kind"] == "order") & (a["attr"] == "F"),
         lambda a: (a["kind"] == "customer") & (a["attr"] == "AUTOMOBILE"),
         v.TREE_DEPTH, stop=["nation"], extra=["attr"], start=F.col("kind") == "line",
+        leaves=v.TREE_LEAVES,
     ).select("node_id", "hit")
 
 

@@ -76,7 +76,7 @@ WITH RECURSIVE {v.TREE_SQL}, {v.CLOSURE_SQL}
 SELECT ancestor, distance, count(*) AS n FROM v_up GROUP BY ALL
 """)
 def ancestors(spark, sf_dir):
-    pairs = st.ancestors(v.tree_view(spark, sf_dir), v.TREE_DEPTH)
+    pairs = st.ancestors(v.tree_view(spark, sf_dir), v.TREE_DEPTH, leaves=v.TREE_LEAVES)
     return pairs.groupBy("ancestor", "distance").agg(F.count("*").alias("n"))
 
 
@@ -86,7 +86,8 @@ FROM orders LEFT JOIN customer ON c_custkey = o_custkey
 """)
 def nearest_ancestor(spark, sf_dir):
     return st.nearest_ancestor(
-        v.tree_view(spark, sf_dir), ["nation"], v.TREE_DEPTH, start=F.col("kind") == "order"
+        v.tree_view(spark, sf_dir), ["nation"], v.TREE_DEPTH, start=F.col("kind") == "order",
+        leaves=v.TREE_LEAVES,
     ).select("node_id", "nearest")
 
 
@@ -173,7 +174,9 @@ SELECT DISTINCT 'customer:' || o_custkey AS node_id FROM orders JOIN (
 """)
 def has_descendant(spark, sf_dir):
     returned = (F.col("kind") == "line") & (F.col("attr") == "R")
-    return st.has_descendant(v.tree_view(spark, sf_dir), returned, v.TREE_DEPTH, "customer")
+    return st.has_descendant(
+        v.tree_view(spark, sf_dir), returned, v.TREE_DEPTH, "customer", leaves=v.TREE_LEAVES
+    )
 
 
 @query("""
@@ -183,7 +186,9 @@ WHERE o_orderpriority = '1-URGENT' GROUP BY c_nationkey
 """)
 def first_descendant(spark, sf_dir):
     urgent = F.col("note") == "1-URGENT"
-    return st.first_descendant(v.tree_view(spark, sf_dir), urgent, v.TREE_DEPTH, "nation")
+    return st.first_descendant(
+        v.tree_view(spark, sf_dir), urgent, v.TREE_DEPTH, "nation", leaves=v.TREE_LEAVES
+    )
 
 
 @query("""

@@ -223,7 +223,7 @@ WITH {v.TREE_SQL}
 SELECT kind, kind IN ('region', 'nation') AS is_global, count(*) AS n FROM v_tree GROUP BY ALL
 """)
 def is_global(spark, sf_dir):
-    flagged = sy.is_global(v.tree_view(spark, sf_dir), ["customer"], v.TREE_DEPTH)
+    flagged = sy.is_global(v.tree_view(spark, sf_dir), ["customer"], v.TREE_DEPTH, leaves=v.TREE_LEAVES)
     return flagged.groupBy("kind", "is_global").agg(F.count("*").alias("n"))
 
 

@@ -112,6 +112,7 @@ def tree_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TREE_DEPTH = 4  # steps from a line to its region, fixed by the schema
+TREE_LEAVES = ["line"]
 
 TREE_SQL = """
 v_tree AS (
