@@ -30,11 +30,12 @@ def depth_sql(scope: str, deferred: str) -> str:
     """Clamped depth by its closed form over the plain running sum."""
     return f"""
 v_ev AS (
-  SELECT *, CASE op WHEN 'acquire' THEN 1 ELSE -1 END AS delta FROM v_access
+  SELECT *, CAST(CASE op WHEN 'acquire' THEN 1 ELSE -1 END AS BIGINT) AS delta FROM v_access
   WHERE op IN ('acquire', 'release') {deferred}),
 v_sum AS (SELECT *, sum(delta) OVER (PARTITION BY {scope}, lock_key ORDER BY pos, seq) AS s FROM v_ev),
 v_depth AS (
-  SELECT *, s - least(0, min(s) OVER (PARTITION BY {scope}, lock_key ORDER BY pos, seq)) AS depth
+  SELECT *, CAST(s - least(0, min(s) OVER (PARTITION BY {scope}, lock_key ORDER BY pos, seq))
+              AS BIGINT) AS depth
   FROM v_sum)
 """
 
@@ -131,7 +132,7 @@ v_text AS (
 # --- lock state --------------------------------------------------------------
 @query(f"""
 WITH {v.ACCESS_SQL}
-SELECT seq, ctx, lock_key, CASE op WHEN 'acquire' THEN 1 ELSE -1 END AS delta
+SELECT seq, ctx, lock_key, CAST(CASE op WHEN 'acquire' THEN 1 ELSE -1 END AS BIGINT) AS delta
 FROM v_access WHERE op IN ('acquire', 'release')
 """)
 def lock_events(spark, sf_dir):

@@ -12,7 +12,7 @@ from usetrail.sources.views import ACCESS_SQL, access_view, table
 
 
 @query("""
-SELECT lang, count(*) AS n_docs, sum(octet_length(encode(text))) AS n_bytes
+SELECT lang, count(*) AS n_docs, CAST(sum(octet_length(encode(text))) AS BIGINT) AS n_bytes
 FROM documents GROUP BY lang
 """)
 def scan_corpus(spark, sf_dir):

@@ -31,7 +31,8 @@ def tag_spans(spark, sf_dir):
 
 @query(f"""
 WITH {v.WORDS_SQL}
-SELECT doc_id, line, count(*) AS n_words, max(col) AS last_col, sum(length(word)) AS n_chars
+SELECT doc_id, line, count(*) AS n_words, max(col) AS last_col,
+       CAST(sum(length(word)) AS BIGINT) AS n_chars
 FROM v_words GROUP BY ALL
 """)
 def line_col_tokens(spark, sf_dir):

@@ -92,7 +92,8 @@ v_resolved AS (
 @query(f"""
 WITH {v.WORDS_SQL}, {RESOLVED_SQL}
 SELECT doc_id, CAST(decl_id // {LINE_SHIFT} = pos // {LINE_SHIFT} AS BOOLEAN) AS same_line,
-       count(*) AS n, sum(decl_id // {LINE_SHIFT}) AS decl_lines, sum(decl_id % {LINE_SHIFT}) AS decl_cols
+       count(*) AS n, CAST(sum(decl_id // {LINE_SHIFT}) AS BIGINT) AS decl_lines,
+       CAST(sum(decl_id % {LINE_SHIFT}) AS BIGINT) AS decl_cols
 FROM v_resolved WHERE decl_id IS NOT NULL GROUP BY ALL
 """)
 def resolve_scoped(spark, sf_dir):
