@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,17 +28,14 @@ def build(master: str = "local[*]", partitions: int = 8, memory: str = "12g") ->
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder path for written tables.
+    """A fresh folder path for written tables, in storage that driver and executors share.
 
-    The parent is the shared folder the cluster names in spark.checkpoint.dir; only
-    where that is unset (tests, local runs) a temporary folder is taken.
+    The parent is the folder the cluster names in spark.checkpoint.dir; where that is
+    unset (tests, local runs) it lies in the warehouse, which is shared as well.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        import uuid
-
-        return f"{shared.rstrip('/')}/usetrail-{name}-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix=f"usetrail-{name}-")
+    parent = shared or spark.conf.get("spark.sql.warehouse.dir") + "/scratch"
+    return f"{parent.rstrip('/')}/usetrail-{name}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
