@@ -5,11 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usetrail.llm import decontaminate, quality, secrets, sharding
+from usetrail.llm import chat, decontaminate, packing, quality, secrets, sharding
 from usetrail.llm.common import table, text_of
 from usetrail.session import scratch_dir
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.sql(
+        "SELECT -7L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text"
+        " FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)"
+    )
+    conversations = chat.assembled(given.unionByName(added))
+    shown = chat.read_back(chat.prefix_trees(conversations))
+    return conversations.select("conv_id", "digest").join(shown, "digest").select(
+        "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"
+    )
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.packed(table(spark, sf_dir, "documents"))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
@@ -56,6 +76,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_chat_formatting": op2_chat_formatting,
+    "op3_packing": op3_packing,
     "op4_quality_rules": op4_quality_rules,
     "op8_secret_scans": op8_secret_scans,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
@@ -145,7 +167,24 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(words.n_hit, 0) AS n_hit, coalesc
        sha256(coalesce(items.ids, '')) AS items_sha256, coalesce(words.n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words ON words.r = d.r LEFT JOIN items ON items.r = d.r"""
 
+_CONTROL = chat.CONTROL
+_CHAT_SQL = rf"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, t, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)),
+shown AS (
+  SELECT *, length(regexp_replace(text, '{_CONTROL}', '\1\\\2\3', 'g')) AS n_text,
+         length(regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '{_CONTROL}', '\1\\\2\3', 'g')) AS n_role
+  FROM rows)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum({len(chat.TURN) + 1 + len(chat.TURN_END)} + n_role + n_text)::BIGINT AS formatted_chars
+FROM shown GROUP BY conv_id"""
+
 CHECKS = {
+    "op2_chat_formatting": _CHAT_SQL,
     "op8_secret_scans": _SECRET_SQL,
     "op9_benchmark_decontamination": _CONTAMINATION_SQL,
 }
