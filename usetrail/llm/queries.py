@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usetrail.llm import chat, decontaminate, extract, packing, quality, secrets, sharding
+from usetrail.llm import chat, decontaminate, extract, minhash, packing, quality, secrets, sharding
 from usetrail.llm.common import table, text_of
 from usetrail.session import scratch_dir
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_shingles", "component_id", "kept"
+    )
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     added = spark.sql(
@@ -80,6 +86,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_chat_formatting": op2_chat_formatting,
     "op3_packing": op3_packing,
     "op4_quality_rules": op4_quality_rules,
@@ -172,6 +179,23 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(words.n_hit, 0) AS n_hit, coalesc
        sha256(coalesce(items.ids, '')) AS items_sha256, coalesce(words.n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words ON words.r = d.r LEFT JOIN items ON items.r = d.r"""
 
+_NEAR_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT r, hash(array_to_string(w[i:i + least(3, len(w)) - 1], ' ')) AS g
+  FROM (SELECT r, w, unnest(range(1, greatest(1, len(w) - 2) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT x.r AS a, y.r AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.r <> y.r GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n na ON na.r = a JOIN n nb ON nb.r = b WHERE 100 * k >= 85 * (na.n + nb.n - k)),
+reach(a, b) AS (SELECT r, r FROM d UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.b),
+c AS (SELECT reach.a AS r, min(d.doc_id) AS component_id FROM reach JOIN d ON d.r = reach.b GROUP BY reach.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM d LEFT JOIN n ON n.r = d.r JOIN c ON c.r = d.r"""
+
 _CONTROL = chat.CONTROL
 _CHAT_SQL = rf"""
 WITH rows AS (
@@ -189,6 +213,7 @@ SELECT conv_id, count(*) AS n_turns,
 FROM shown GROUP BY conv_id"""
 
 CHECKS = {
+    "op1_minhash_near_dedup": _NEAR_SQL,
     "op2_chat_formatting": _CHAT_SQL,
     "op8_secret_scans": _SECRET_SQL,
     "op9_benchmark_decontamination": _CONTAMINATION_SQL,
