@@ -34,3 +34,9 @@ def named(df: DataFrame, column: str) -> Column:
 def text_of(df: DataFrame, column: str = "text") -> Column:
     """The text, with null as the empty text."""
     return F.coalesce(named(df, column).cast("string"), F.lit(""))
+
+
+def table_written(df: DataFrame, path: str) -> DataFrame:
+    """Write a table to shared storage once and go on from the written copy."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

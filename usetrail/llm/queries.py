@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usetrail.llm import chat, decontaminate, extract, minhash, packing, quality, secrets, sharding
+from usetrail.llm import chat, decontaminate, extract, minhash, packing, quality, secrets, sharding, substring
 from usetrail.llm.common import table, text_of
 from usetrail.session import scratch_dir
 
@@ -49,6 +49,12 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extracted(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring.cleaned(table(spark, sf_dir, "documents"))
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["last"] - r["first"])
+    return done.select("doc_id", "n_words", gone.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -91,6 +97,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_quality_rules": op4_quality_rules,
     "op5_html_extraction": op5_html_extraction,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_secret_scans": op8_secret_scans,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_sharding": op10_sharding,
@@ -212,7 +219,20 @@ SELECT conv_id, count(*) AS n_turns,
        sum({len(chat.TURN) + 1 + len(chat.TURN_END)} + n_role + n_text)::BIGINT AS formatted_chars
 FROM shown GROUP BY conv_id"""
 
+_REPEATS_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, doc_id, i, md5_number(array_to_string(w[i:i + 19], ' ')) AS h
+      FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+f AS (SELECT r, i, (doc_id, i) <> min((doc_id, i)) OVER (PARTITION BY h) AS again FROM s),
+g AS (SELECT DISTINCT r, unnest(range(i, i + 20)) AS x FROM f WHERE again),
+k AS (SELECT r, count(*) AS n_removed, list(x) AS gone FROM g GROUP BY r)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(k.n_removed, 0) AS n_removed,
+       sha256(array_to_string(CASE WHEN k.gone IS NULL THEN d.w ELSE
+              list_transform(list_filter(range(1, len(d.w) + 1), lambda x: NOT list_contains(k.gone, x)), lambda x: d.w[x]) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN k ON k.r = d.r"""
+
 CHECKS = {
+    "op7_substring_dedup": _REPEATS_SQL,
     "op1_minhash_near_dedup": _NEAR_SQL,
     "op2_chat_formatting": _CHAT_SQL,
     "op8_secret_scans": _SECRET_SQL,
