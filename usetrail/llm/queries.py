@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usetrail.llm import chat, decontaminate, extract, minhash, packing, quality, secrets, sharding, substring
+from usetrail.llm import chat, decontaminate, extract, minhash, packing, quality, secrets, sharding, substring, suffix
 from usetrail.llm.common import table, text_of
 from usetrail.session import scratch_dir
 
@@ -49,6 +49,15 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extracted(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix.cleaned(table(spark, sf_dir, "documents"))
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["last"] - r["first"])
+    return done.select(
+        "doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = substring.cleaned(table(spark, sf_dir, "documents"))
     gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["last"] - r["first"])
@@ -97,6 +106,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_quality_rules": op4_quality_rules,
     "op5_html_extraction": op5_html_extraction,
+    "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_secret_scans": op8_secret_scans,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
