@@ -290,7 +290,7 @@ def extracted(pages: DataFrame, low: float = LOW, sent: int = SENT) -> DataFrame
 
         return source.select("page_id", "url", text_here("url", "html").alias("text"))
 
-    host = F.udf(host_of, "string")
+    host = F.udf(lambda url: host_of(url), "string")
     lists = poor.groupBy("host").agg(F.collect_set("path").alias("low"))
 
     @F.arrow_udf("string")

@@ -207,11 +207,12 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, row_key, n_shingles, component_id, kept; one row per document.
+    """doc_id, row_key, n_shingles, component_id, kept, head; one row per document.
 
     Documents are linked if their shingle sets share at least `percent` % of their union.
     `component_id` is the least id reachable over links, `kept` whether it is the document's
-    own; `row_key` is a hash of the text. Texts without words are linked with nothing.
+    own; `row_key` is a hash of the text; `head` marks one text of each component, also where
+    ids are null or repeated. Texts without words are linked with nothing.
     Null ids are linked like others but do not name a component unless nothing else does;
     rows that repeat an id and its text are both kept or both not. An empty table gives no
     row. Links are found with probability 1 - (1 - s**MIN_PREFIX)**TREES at similarity s, that
@@ -265,21 +266,27 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, key: str
     more = spark.read.schema("u binary, v binary").parquet(f"{folder}/second")
     found = components(links.union(more))
 
-    rooted = classes.select("set_id", F.col("least.doc_id").alias("least")).join(
+    rooted = classes.select("set_id", "least").join(
         found.withColumnRenamed("node", "set_id"), "set_id", "left"
     ).select("set_id", "least", F.coalesce("root", "set_id").alias("root"))
     named_by = rooted.groupBy("root").agg(F.min("least").alias("component"))
     of_set = rooted.join(named_by, "root").select("set_id", "component")
+    has_words = F.col("n_shingles") > 0
     return made.select("doc_id", "row_key", "n_shingles", "set_id").join(of_set, "set_id", "left").select(
         "doc_id", "row_key", "n_shingles",
-        F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
-    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        F.when(has_words, F.col("component.doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        (~has_words | (F.col("row_key") == F.col("component.row_key"))).alias("head"),
+    ).select(
+        "doc_id", "row_key", "n_shingles", "component_id",
+        F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
+        (F.col("head") & F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("head"),
+    )
 
 
 def deduplicated(docs: DataFrame, width: int = 3, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group, with its columns; a repeated row of it counts as one more copy."""
-    verdict = near_duplicates(docs, width, percent, key, text).where("kept").select("doc_id", "row_key").distinct()
-    hashed, _ = fresh(docs, "row_key", "doc_id")
+    """One document of each group, with its columns; a row that repeats its id and text goes as well."""
+    verdict = near_duplicates(docs, width, percent, key, text).where("head").select("doc_id", "row_key").distinct()
+    (hashed,) = fresh(docs, "row_key")
     marked = docs.withColumn(hashed, F.xxhash64(text_of(docs, text)))
     verdict = verdict.withColumnsRenamed({"doc_id": "kept_id", "row_key": "kept_key"})
     kept = marked.join(

@@ -154,13 +154,13 @@ def masked(docs: DataFrame, scope: int = SCOPE, key: str = "doc_id", text: str =
 
     Rows and columns stay as they are but for the text; null texts stay null.
     """
-    hashed, cuts = fresh(docs, "text_hash", "spans")
+    hashed, cuts, scan_key, scan_hash = fresh(docs, "text_hash", "spans", "scan_key", "scan_hash")
     scanned = scan(docs, scope, key, text).groupBy(key, "text_hash").agg(F.first("spans").alias(cuts))
-    scanned = scanned.where(F.size(cuts) > 0).withColumnsRenamed({key: "scan_key", "text_hash": "scan_hash"})
+    scanned = scanned.where(F.size(cuts) > 0).withColumnsRenamed({key: scan_key, "text_hash": scan_hash})
     marked = docs.withColumn(hashed, F.xxhash64(text_of(docs, text)))
     hit = marked.join(
         scanned,
-        marked[f"`{key}`"].eqNullSafe(scanned["scan_key"]) & (marked[hashed] == scanned["scan_hash"]),
+        marked[f"`{key}`"].eqNullSafe(scanned[scan_key]) & (marked[hashed] == scanned[scan_hash]),
         "left",
     )
     body = F.col(f"`{text}`")
