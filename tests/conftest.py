@@ -9,20 +9,18 @@ sys.path.insert(0, os.path.join(ROOT, "tests"))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from usetrail.session import build
 
-    session = build("local[4]", partitions=4, memory="6g")
+    session = build("local[4]", partitions=4, memory="6g", shared=str(tmp_path_factory.mktemp("shared")))
     yield session
     session.stop()
 
 
 @pytest.fixture(params=["whole", "cut"])
 def cutting(request, spark):
-    """Run a test with whole groups and with every group cut into chunks."""
-    from usetrail.plans.scan import TARGET_CONF
-
-    if request.param == "cut":
-        spark.conf.set(TARGET_CONF, "3")
+    """Run a test with small ranges put together, and with every range a chunk of its own."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, str(request.param == "whole").lower())
     yield request.param
-    spark.conf.unset(TARGET_CONF)
+    spark.conf.unset(name)

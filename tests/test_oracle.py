@@ -1,24 +1,16 @@
 """Registered queries next to their SQL on the smallest tables.
 
-By default a part of them; USETRAIL_ALL=1 runs every one. Entity groups are cut into
-chunks here, so the split path is what is compared.
+Small ranges are not put together here, so groups are cut into chunks.
 """
 
-import os
-
 import pytest
 from compare import compare, load
 
 import __spark_entry__ as entry
-from usetrail.plans.scan import TARGET_CONF
+from usetrail.queries import CHECKS, QUERIES
 
 SF = "/root/testdata/sf0.001"
-QUICK = [
-    "overlay", "decode", "write_findings", "pair_spans", "parents", "nearest_ancestor", "locate",
-    "zip_ordinal", "resolve_scoped", "resolve_asof", "symbol_at", "held_at", "severity_counts",
-    "in_concurrent", "emit_findings", "hover_text", "build_graph", "asof_hit", "stream_debounce",
-]
-NAMES = list(entry.queries()) if os.environ.get("USETRAIL_ALL") else QUICK
+NAMES = list(QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -28,16 +20,18 @@ def con():
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query_equals_sql(spark, con, name):
-    spark.conf.set(TARGET_CONF, "40")
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(setting, "false")
     try:
-        ok, note = compare(spark, con, name, entry.queries()[name], entry.oracle_sql().get(name), SF)
+        ok, note = compare(spark, con, name, QUERIES[name], CHECKS.get(name), SF)
     finally:
-        spark.conf.unset(TARGET_CONF)
+        spark.conf.unset(setting)
     assert ok, note
 
 
 def test_every_query_has_a_check():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(CHECKS) == set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries()) and set(CHECKS) <= set(entry.oracle_sql())
 
 
 def test_entry_runs(spark):

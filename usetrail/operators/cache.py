@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from usetrail.plans.scan import (
-    CHUNK, following, highest, is_small, previous, running, with_chunks,
+    CHUNK, following, highest, matched, previous, running, with_chunks,
 )
 
 
@@ -36,7 +36,7 @@ def refreshing_hit(
     long every get misses until the next put.
     """
     marked = ops.withColumn("_put", is_put)
-    split = marked if is_small(marked) else with_chunks(marked, keys, order[0])
+    split = with_chunks(marked, keys, order)
     gaps = running(split, keys, order, _prev=previous(F.col(order[0])))
     late = ~F.col("_put") & (F.col(order[0]) - F.col("_prev") > ttl)
     at = F.struct(*order)
@@ -65,25 +65,31 @@ def _greedy(pos: np.ndarray, expiry: int, ttl: int) -> tuple[np.ndarray, int]:
 NEVER = -(1 << 62)
 
 
+def _plain(values) -> tuple:
+    """A key whose missing parts compare equal."""
+    return tuple(None if pd.isna(v) else v for v in values)
+
+
 def _walk(keys: list[str], order: list[str], ttl: int):
     """Flag inserts in rows sorted by key and position; only the last expiry is kept."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, expiry = None, NEVER
+        last, expiry = None, NEVER
+        by = [*keys, CHUNK]
         for batch in batches:
+            if not len(batch):
+                continue
             pos = batch[order[0]].to_numpy()
-            ids = list(zip(*[batch[k].tolist() for k in [*keys, CHUNK]]))
+            codes = np.stack([pd.factorize(batch[c])[0] for c in by], axis=1)
+            starts = np.flatnonzero(np.append(True, (codes[1:] != codes[:-1]).any(axis=1)))
             hit = np.zeros(len(batch), dtype=bool)
-            start = 0
-            while start < len(batch):
-                end = start + 1
-                while end < len(batch) and ids[end] == ids[start]:
-                    end += 1
-                if ids[start] != current:
-                    current, expiry = ids[start], int(batch["_carry"].iloc[start])
+            for start, end in zip(starts, [*starts[1:], len(batch)]):
+                key = _plain(batch[by].iloc[start])
+                if start or key != last:
+                    expiry = int(batch["_carry"].iloc[start])
+                last = key
                 miss, expiry = _greedy(pos[start:end], expiry, ttl)
                 hit[start:end] = ~miss
-                start = end
             out = batch.drop(columns=["_carry"])
             out["hit"] = hit
             yield out
@@ -103,10 +109,11 @@ def _steps_of_chunk(keys: list[str], order: list[str], ttl: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         pos = np.sort(group[order[0]].to_numpy())
         nxt = np.searchsorted(pos, pos + ttl, side="right")
-        end = pos.copy()
-        for i in range(len(pos) - 1, -1, -1):
-            if nxt[i] < len(pos):
-                end[i] = end[nxt[i]]
+        # follow the chain of inserts to its last one by doubling
+        jump = np.where(nxt < len(pos), nxt, np.arange(len(pos)))
+        while not np.array_equal(jump[jump], jump):
+            jump = jump[jump]
+        end = pos[jump]
         # no expiry from before can reach past the first `ttl` of the chunk
         reach = int(np.searchsorted(pos, pos[0] + ttl, side="right"))
         starts, ends = pos[: reach + 1], end[: reach + 1]
@@ -127,6 +134,7 @@ def _fold(keys: list[str]):
             for *key, number, upto, after in batch[[*keys, CHUNK, "upto", "expiry"]].itertuples(
                 index=False
             ):
+                key = _plain(key)
                 if key != current:
                     current, chunk, expiry = key, None, NEVER
                 if number != chunk:
@@ -144,31 +152,23 @@ def asof_hit(requests: DataFrame, keys: list[str], order: list[str], ttl: int) -
 
     A miss inserts the entry and later requests hit until `ttl` after that insert, so
     inserts are greedy steps of more than `ttl`. The walk along one key needs only
-    the last expiry. Keys with many rows are cut into chunks: each chunk is first
-    reduced to its step function, these are folded per key, and the chunks then walk
-    side by side from the expiry handed to them.
+    the last expiry. Where a key spans several chunks, each chunk is first reduced to its
+    step function, these are folded per key, and the chunks then walk side by side from
+    the expiry handed to them.
     """
-    small = is_small(requests)
-    split = requests.withColumn(CHUNK, F.lit(-1).cast("long")) if small else with_chunks(
-        requests, keys, order[0]
-    )
+    split = with_chunks(requests, keys, order)
     types = {f.name: f.dataType.simpleString() for f in split.schema.fields}
-    if small:
-        return _walked(split.withColumn("_carry", F.lit(NEVER)), keys, order, ttl, types)
     key_ddl = ", ".join(f"`{k}` {types[k]}" for k in [*keys, CHUNK])
-    hot = split.filter(F.col(CHUNK).isNotNull()).select(*keys, CHUNK, order[0])
-    steps = hot.groupBy(*keys, CHUNK).applyInPandas(
+    bounds = split.groupBy(*keys).agg(F.min(CHUNK).alias("_a"), F.max(CHUNK).alias("_b")).filter("_a < _b")
+    cut = matched(split.select(*keys, CHUNK, order[0]), bounds, keys).filter("_b IS NOT NULL")
+    steps = cut.drop("_a", "_b").groupBy(*keys, CHUNK).applyInPandas(
         _steps_of_chunk(keys, order, ttl), f"{key_ddl}, upto bigint, expiry bigint"
     )
     carry = (
         steps.repartition(*keys).sortWithinPartitions(*keys, CHUNK, "upto")
         .mapInPandas(_fold(keys), f"{key_ddl}, _carry bigint")
     )
-    # whole keys get chunk -1: a NULL would not compare equal inside pandas
-    ready = split.join(carry, [*keys, CHUNK], "left").select(
-        *requests.columns, F.coalesce(CHUNK, F.lit(-1)).alias(CHUNK),
-        F.coalesce("_carry", F.lit(NEVER)).alias("_carry"),
-    )
+    ready = matched(split, carry, [*keys, CHUNK]).withColumn("_carry", F.coalesce("_carry", F.lit(NEVER)))
     return _walked(ready, keys, order, ttl, types)
 
 

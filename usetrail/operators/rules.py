@@ -6,22 +6,21 @@ so one entity with very many accesses costs no more than any other.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from usetrail.functions import fixed
 from usetrail.functions.columns import is_heavy_call, retention_risk
-from usetrail.plans.intervals import containing_spans
-from usetrail.plans.scan import stacked
+from usetrail.plans.intervals import inside_any
+from usetrail.plans.scan import latest, running, stacked, total
 
 
-def in_concurrent(points: DataFrame, sections: DataFrame, on: list[str], bin_width: int = 64) -> DataFrame:
-    """True for points inside any concurrent section."""
-    inside = containing_spans(points, sections, on, bin_width=bin_width, how="left_semi")
-    mark = inside.select(*points.columns).distinct().withColumn("_in", F.lit(True))
-    return points.join(mark, points.columns, "left").withColumn(
-        "concurrent", F.coalesce("_in", F.lit(False))
-    ).drop("_in")
+def in_concurrent(points: DataFrame, sections: DataFrame, on: list[str]) -> DataFrame:
+    """True for points inside any concurrent section; NULL keys and positions are in none."""
+    return inside_any(points, sections, on, "concurrent")
 
 
 def severity(in_sync: Column, concurrent: Column, is_write: Column) -> Column:
@@ -221,14 +220,39 @@ def severity_table(spark) -> DataFrame:
 
 def is_field_decl(
     points: DataFrame, spans: DataFrame, on: list[str], field_kinds: list[str],
-    stop_kinds: list[str], bin_width: int = 64,
+    stop_kinds: list[str], bounded: bool = False,
 ) -> DataFrame:
-    """True where the innermost span of either list around a point is a field kind."""
-    wanted = spans.filter(F.col("kind").isin(field_kinds + stop_kinds))
-    around = containing_spans(points, wanted, on, bin_width=bin_width)
-    inner = around.groupBy(*points.columns).agg(
-        F.max(F.struct("start_pos", "kind"))["kind"].isin(field_kinds).alias("_f")
+    """True where the innermost span of either list around a point is a field kind.
+
+    The innermost span is the one that starts last; per kind of span (field or stop) that
+    is found among the spans still open at the point by a scan over their starts and ends.
+    Points keep their columns, NULLs and repeats; a NULL key or position is in no span.
+    """
+    wanted = spans.filter(F.col("kind").isin(field_kinds + stop_kinds) & keyed_of(on)).filter("start_pos <= end_pos")
+    sides = F.array(
+        F.struct(F.col("start_pos").alias("_at"), F.lit(0).alias("_turn"), F.lit(1).cast("long").alias("_d")),
+        F.struct(F.col("end_pos").alias("_at"), F.lit(2).alias("_turn"), F.lit(-1).cast("long").alias("_d")),
+    )
+    turns = wanted.select(*on, F.col("kind").isin(field_kinds).alias("_field"), F.explode(sides).alias("_s")).select(
+        *on, "_field", "_s.*"
     )
-    return points.join(inner, points.columns, "left").select(
-        *points.columns, F.coalesce("_f", F.lit(False)).alias("is_field")
+    asked = points.select(
+        *on, F.col("pos").alias("_at"), F.lit(1).alias("_turn"), F.lit(0).cast("long").alias("_d"),
+        F.struct(*points.columns).alias("_point"),
     )
+    order = ["_at", "_turn"]
+    deep = running(stacked(asked, turns, partial=True), on, order, bounded, _depth=total(F.col("_d")))
+    # the span around a point is the last one opened on the point's own level
+    level = F.when(F.col("_d") < 0, F.col("_depth") + 1).otherwise(F.col("_depth"))
+    inner = running(
+        deep.withColumn("_level", level).filter("_d >= 0"), [*on, "_level"], order, bounded,
+        _inner=latest(F.when(F.col("_d") > 0, F.col("_field"))),
+    )
+    return inner.filter("_turn = 1").select(
+        "_point.*",
+        (keyed_of(on) & F.col("_at").isNotNull() & (F.col("_depth") > 0) & F.coalesce("_inner", F.lit(False))).alias("is_field"),
+    )
+
+
+def keyed_of(on: list[str]) -> Column:
+    return reduce(and_, [F.col(c).isNotNull() for c in on])

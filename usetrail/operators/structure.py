@@ -9,7 +9,7 @@ from pyspark.sql.types import StringType
 from usetrail.functions import fixed
 from usetrail.functions.columns import holds_range
 from usetrail.plans.intervals import containing_spans
-from usetrail.plans.scan import clamped_sum, following, latest, numbered, running
+from usetrail.plans.scan import clamped_sum, following, latest, numbered, running, total
 
 
 def line_col_tokens(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -48,10 +48,25 @@ def pair_spans(tokens: DataFrame, doc: str = "page_id", bounded: bool = True) ->
 
 
 def nesting(tokens: DataFrame, doc: str = "page_id", bounded: bool = True) -> DataFrame:
-    """Depth of every open token among all kinds (1 = outermost)."""
-    step = tokens.withColumn("_d", F.when(F.col("is_open"), 1).otherwise(-1).cast("long"))
-    deep = clamped_sum(step, [doc], ["pos"], "_d", "depth", "_prior", bounded)
-    return deep.filter("is_open").drop("_d", "_prior")
+    """Depth of every open token among all kinds (1 = outermost), and whether it is closed.
+
+    Only tokens that have their counterpart nest: unclosed opens are leaves where they
+    stand, stray closes count for nothing.
+    """
+    spans = pair_spans(tokens, doc, bounded)
+    closed = F.col("end_pos").isNotNull()
+    sides = F.array(
+        F.struct(F.col("start_pos").alias("pos"), F.lit(True).alias("is_open"), closed.cast("long").alias("_d")),
+        F.struct(F.col("end_pos").alias("pos"), F.lit(False).alias("is_open"), F.lit(-1).cast("long").alias("_d")),
+    )
+    steps = spans.select(doc, F.col("kind").alias("tag"), F.explode(sides).alias("_s")).select(
+        doc, "tag", "_s.*"
+    ).filter("pos IS NOT NULL")
+    deep = running(steps, [doc], ["pos"], bounded, _sum=total(F.col("_d")))
+    return deep.filter("is_open").select(
+        doc, "pos", "tag", "is_open", (F.col("_sum") + 1 - F.col("_d")).alias("depth"),
+        (F.col("_d") == 1).alias("closed"),
+    )
 
 
 def parents(opens: DataFrame, doc: str = "page_id", bounded: bool = True) -> DataFrame:
@@ -59,8 +74,10 @@ def parents(opens: DataFrame, doc: str = "page_id", bounded: bool = True) -> Dat
 
     The parent is the latest earlier node one level up. Every node is entered twice,
     as candidate on its own level and as question on the level above; the answer is
-    then one as-of scan per (document, level).
+    then one as-of scan per (document, level). Where the list says which nodes are
+    `closed`, the others hold nothing.
     """
+    holds = F.col("_cand") & F.col("closed") if "closed" in opens.columns else F.col("_cand")
     sides = F.array(
         F.struct(F.col("depth").alias("_level"), F.lit(True).alias("_cand")),
         F.struct((F.col("depth") - 1).alias("_level"), F.lit(False).alias("_cand")),
@@ -70,7 +87,7 @@ def parents(opens: DataFrame, doc: str = "page_id", bounded: bool = True) -> Dat
     )
     found = running(
         rows, [doc, "_level"], ["pos"], bounded,
-        _parent=latest(F.when(F.col("_cand"), F.struct("pos", "tag"))),
+        _parent=latest(F.when(holds, F.struct("pos", "tag"))),
     )
     return found.filter(~F.col("_cand")).select(
         *opens.columns,

@@ -7,9 +7,14 @@ large document over many tasks.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from usetrail.plans.scan import highest, running, stacked
+
 BIN = "_bin"
 
 
@@ -41,3 +46,28 @@ def containing_spans(
         return joined.select(*[F.col(f"p.{c}") for c in points.columns])
     kept = [F.col(f"s.{c}") for c in spans.columns if c not in on]
     return joined.select(*[F.col(f"p.{c}") for c in points.columns], *kept)
+
+
+def inside_any(
+    points: DataFrame, spans: DataFrame, on: list[str], into: str, point: str = "pos",
+    start: str = "start_pos", end: str = "end_pos", bounded: bool = False,
+) -> DataFrame:
+    """Whether each point lies in any span, both ends inclusive.
+
+    A point is inside if the furthest end among the spans that start no later reaches it:
+    one ordered scan, whatever the density. Points keep their columns, NULLs and repeats;
+    a NULL key or position is in no span.
+    """
+    keyed = reduce(and_, [F.col(c).isNotNull() for c in on])
+    asked = points.select(
+        *on, F.col(point).alias("_at"), F.lit(1).alias("_turn"), F.struct(*points.columns).alias("_point"),
+    )
+    starts = spans.filter(keyed & F.col(start).isNotNull() & F.col(end).isNotNull()).select(
+        *on, F.col(start).alias("_at"), F.lit(0).alias("_turn"), F.col(end).alias("_end")
+    )
+    scanned = running(
+        stacked(asked, starts, partial=True), on, ["_at", "_turn"], bounded, _reach=highest(F.col("_end"))
+    )
+    return scanned.filter("_turn = 1").select(
+        "_point.*", F.coalesce(F.col("_reach") >= F.col("_at"), F.lit(False)).alias(into)
+    )

@@ -1,27 +1,27 @@
 """Running aggregates over ordered groups of any size.
 
-A plain window sorts each group in one task, so a key that holds a third of all
-rows would be one task's work. Here such keys are cut along their order into
-chunks; each chunk runs as its own window, and what earlier chunks contribute is
-one small row per chunk that is joined back. All aggregates used here combine
-associatively, so results equal the plain window.
-
-Keys with few rows are not cut. Where no key is hot, the table of chunk totals is
-empty and adaptive execution drops the join.
+A plain window sorts each group in one task, so a key that holds a third of all rows would be
+one task's work. Here the rows are put into ranges of (keys, order) of about equal numbers of
+rows, whatever the keys and however the positions bunch, and written once to shared storage
+with the number of their range, the chunk. Each chunk of a key runs as its own window, and
+what earlier chunks of the key contribute is one small row per chunk that is joined back.
+Writing first makes rows and chunk totals see the same cuts, also after a lost executor. All
+aggregates used here combine associatively, so results equal the plain window. The plan is
+the same at every size.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from usetrail.session import staged
+
 CHUNK = "_chunk"
-TARGET_CONF = "spark.usetrail.targetRows"
-DEFAULT_TARGET = 2_000_000
-MAX_SPLIT_KEYS = 100_000
-FINENESS = 4
 
 
 def stacked(*frames: DataFrame, partial: bool = False) -> DataFrame:
@@ -38,43 +38,20 @@ def stacked(*frames: DataFrame, partial: bool = False) -> DataFrame:
     return out
 
 
-def target_rows(df: DataFrame) -> int:
-    """Rows of one key above which the key is cut (session setting)."""
-    return int(df.sparkSession.conf.get(TARGET_CONF, str(DEFAULT_TARGET)))
-
-
-def is_small(df: DataFrame) -> bool:
-    """True where the optimizer's size estimate leaves no room for a hot key.
+def with_chunks(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Add the chunk number of each row: its range in the order of keys and `order`.
 
-    A row takes eight bytes at least; an input below that for one key's limit needs no
-    counting of keys. This decides about cutting only, never about results.
+    NULLs come first, as in the windows that follow.
     """
-    plan = df._jdf.queryExecution().optimizedPlan()
-    return int(str(plan.stats().sizeInBytes())) < 8 * target_rows(df)
+    ranged = df.repartitionByRange(*keys, *order)
+    return staged(ranged.withColumn(CHUNK, F.spark_partition_id()), "chunks")
 
 
-def with_chunks(df: DataFrame, keys: list[str], pos: str) -> DataFrame:
-    """Add the chunk number of each row; NULL for keys that need no cutting.
-
-    The cut points follow from count, lowest and highest position alone, so every
-    recomputation after a lost executor gives the same chunks. The list of hot keys
-    is broadcast: it holds at most MAX_SPLIT_KEYS rows, the largest keys first, and
-    keys beyond it stay whole.
-    """
-    target = target_rows(df)
-    sizes = (
-        df.groupBy(*keys)
-        .agg(F.count("*").alias("_n"), F.min(pos).alias("_lo"), F.max(pos).alias("_hi"))
-        .filter(F.col("_n") > target)
-        .orderBy(F.desc("_n"), *keys)
-        .limit(MAX_SPLIT_KEYS)
-    )
-    pieces = F.ceil(F.col("_n") / target) * FINENESS
-    cuts = sizes.select(
-        *keys, "_lo", F.expr("_hi - _lo").alias("_span"), pieces.cast("long").alias("_pieces")
-    ).select(*keys, "_lo", F.expr("_span div _pieces + 1").alias("_width"))
-    joined = df.join(F.broadcast(cuts), keys, "left")
-    return joined.select(*df.columns, F.expr(f"({pos} - _lo) div _width").alias(CHUNK))
+def matched(rows: DataFrame, extra: DataFrame, on: list[str]) -> DataFrame:
+    """Left join on equal or both-NULL columns; the right side's copies of them go."""
+    renamed = extra.withColumnsRenamed({c: f"_on_{c}" for c in on})
+    cond = reduce(and_, [rows[c].eqNullSafe(renamed[f"_on_{c}"]) for c in on])
+    return rows.join(renamed, cond, "left").drop(*[f"_on_{c}" for c in on])
 
 
 @dataclass(frozen=True)
@@ -183,24 +160,22 @@ def running(
 ) -> DataFrame:
     """Add running aggregates over `keys`, ordered by `order`.
 
-    `order[0]` must be a whole number; it decides the chunks. Keys must not be NULL
-    in rows that belong to large groups. A frame that already carries chunks from
-    `with_chunks` (same keys) is used as it is, so several calls share one shuffle.
+    NULL keys are a group like others and NULL positions come first. A frame that already
+    carries chunks from `with_chunks` (same keys and order) is used as it is, so several
+    calls share one written table.
 
     `bounded` says that every group comes out of one stored row (the words of one
     text, the tags of one page), which one task holds anyway; a plain window does then,
     and it keeps the partitioning its input has.
     """
     shared = CHUNK in df.columns
-    if bounded or (not shared and is_small(df)):
+    if bounded:
         return df.select("*", *[c.alias(n) for n, c in _plain(keys, order, items).items()])
-    split = df if shared else with_chunks(df, keys, order[0])
+    split = df if shared else with_chunks(df, keys, order)
     local = _local([*keys, CHUNK], order, items)
     here = split.select("*", *[c.alias(f"_h_{n}") for n, c in local.items()])
-    of_chunk = (
-        split.filter(F.col(CHUNK).isNotNull())
-        .groupBy(*keys, CHUNK)
-        .agg(*[_of_chunk(item, order).alias(f"_s_{n}") for n, item in items.items()])
+    of_chunk = split.groupBy(*keys, CHUNK).agg(
+        *[_of_chunk(item, order).alias(f"_s_{n}") for n, item in items.items()]
     )
     across = Window.partitionBy(*keys).orderBy(CHUNK)
     earlier = across.rowsBetween(Window.unboundedPreceding, -1)
@@ -211,8 +186,9 @@ def running(
             _carried(item, F.col(f"_s_{n}"), across, earlier).alias(f"_c_{n}")
             for n, item in items.items()
         ],
-    )
-    out = here.join(carried, [*keys, CHUNK], "left").select(
+        F.count("*").over(Window.partitionBy(*keys)).alias("_chunks"),
+    ).filter("_chunks > 1").drop("_chunks")
+    out = matched(here, carried, [*keys, CHUNK]).select(
         *split.columns,
         *[
             _joined(item, F.col(f"_h_{n}"), F.col(f"_c_{n}")).alias(n)
@@ -231,7 +207,7 @@ def clamped_sum(
     With S the plain running sum, d = S - least(0, lowest S so far). Each chunk hands
     on its total and its lowest S, so hot keys are cut as in `running`.
     """
-    if bounded or is_small(df):
+    if bounded:
         by = Window.partitionBy(*keys).orderBy(*order)
         frame = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         low = df.withColumn("_s", F.sum(delta).over(frame)).withColumn("_m", F.min("_s").over(frame))
@@ -241,30 +217,27 @@ def clamped_sum(
             *df.columns, (F.col("_s") - floor).alias(after),
             (F.col("_s") - F.col(delta) - floor_prior).alias(prior),
         )
-    split = with_chunks(df, keys, order[0])
+    split = with_chunks(df, keys, order)
     here = Window.partitionBy(*keys, CHUNK).orderBy(*order)
     upto = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = split.withColumn("_s", F.sum(delta).over(upto))
     lows = summed.withColumn("_m", F.min("_s").over(upto))
-    of_chunk = (
-        summed.filter(F.col(CHUNK).isNotNull())
-        .groupBy(*keys, CHUNK)
-        .agg(F.sum(delta).alias("_t"), F.min("_s").alias("_low"))
-    )
+    of_chunk = summed.groupBy(*keys, CHUNK).agg(F.sum(delta).alias("_t"), F.min("_s").alias("_low"))
     earlier = (
         Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = of_chunk.withColumn("_off", F.coalesce(F.sum("_t").over(earlier), F.lit(0)))
     carried = offsets.select(
-        *keys, CHUNK, "_off", F.min(F.col("_off") + F.col("_low")).over(earlier).alias("_g")
-    )
+        *keys, CHUNK, "_off", F.min(F.col("_off") + F.col("_low")).over(earlier).alias("_g"),
+        F.count("*").over(Window.partitionBy(*keys)).alias("_chunks"),
+    ).filter("_chunks > 1").drop("_chunks")
     off = F.coalesce(F.col("_off"), F.lit(0))
     s_now = off + F.col("_s")
     s_prior = s_now - F.col(delta)
     low_now = F.least(F.col("_g"), off + F.col("_m"), F.lit(0))
     low_prior = F.least(F.col("_g"), off + F.col("_m_prior"), F.lit(0))
     lows = lows.withColumn("_m_prior", F.lag("_m").over(here))
-    return lows.join(carried, [*keys, CHUNK], "left").select(
+    return matched(lows, carried, [*keys, CHUNK]).select(
         *df.columns,
         (s_now - low_now).alias(after),
         (s_prior - low_prior).alias(prior),

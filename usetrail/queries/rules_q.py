@@ -242,8 +242,7 @@ def in_concurrent(spark, sf_dir):
         "ctx", F.col("pos").alias("start_pos"), F.coalesce("_until", "pos").alias("end_pos")
     )
     points = hazards.uses_of(rows).select("seq", "ctx", "pos")
-    hours = 3600 * 1_000_000
-    return rules.in_concurrent(points, sections, ["ctx"], 24 * hours).select(
+    return rules.in_concurrent(points, sections, ["ctx"]).select(
         "seq", "ctx", "concurrent"
     )
 
@@ -381,15 +380,15 @@ def value_copy(spark, sf_dir):
 @query(f"""
 WITH {v.TAGS_SQL}, {v.SPANS_SQL}
 SELECT t.page_id, t.pos, coalesce(arg_max(s.kind, s.start_pos) = 'nav', false) AS is_field
-FROM v_bal t LEFT JOIN v_spans s ON s.page_id = t.page_id AND s.kind IN ('nav', 'article')
+FROM v_tags t LEFT JOIN v_spans s ON s.page_id = t.page_id AND s.kind IN ('nav', 'article')
   AND t.pos BETWEEN s.start_pos AND s.end_pos
 WHERE t.is_open AND t.tag = 'a' GROUP BY ALL
 """)
 def is_field_decl(spark, sf_dir):
-    tokens = v.balanced_tokens(v.table(spark, sf_dir, "pages"))
+    tokens = v.tag_tokens(v.table(spark, sf_dir, "pages"))
     links = tokens.filter("is_open AND tag = 'a'").select("page_id", "pos")
     return rules.is_field_decl(
-        links, structure.pair_spans(tokens), ["page_id"], ["nav"], ["article"]
+        links, structure.pair_spans(tokens).filter("end_pos IS NOT NULL"), ["page_id"], ["nav"], ["article"], bounded=True
     )
 
 

@@ -10,9 +10,9 @@ from usetrail.sources import views as v
 
 
 def tag_spans(spark, sf_dir):
-    """Closed spans of balanced tags with depth, plus one root span per page."""
+    """Closed spans of tags with depth, plus one root span per page."""
     pages = v.table(spark, sf_dir, "pages")
-    tokens = v.balanced_tokens(pages)
+    tokens = v.tag_tokens(pages)
     depth = st.nesting(tokens).select("page_id", F.col("pos").alias("start_pos"), "depth")
     spans = st.pair_spans(tokens).filter("end_pos IS NOT NULL").join(
         depth, ["page_id", "start_pos"]
@@ -45,29 +45,28 @@ def line_col_tokens(spark, sf_dir):
 
 @query(f"WITH {v.TAGS_SQL}, {v.SPANS_SQL} SELECT * FROM v_spans")
 def pair_spans(spark, sf_dir):
-    return st.pair_spans(v.balanced_tokens(v.table(spark, sf_dir, "pages")))
+    return st.pair_spans(v.tag_tokens(v.table(spark, sf_dir, "pages")))
 
 
+# the parent is the innermost closed span around an open tag
 DEPTH_SQL = """
-v_depth AS (
-  SELECT *, sum(CASE WHEN is_open THEN 1 ELSE -1 END)
-    OVER (PARTITION BY page_id ORDER BY pos) AS depth FROM v_bal),
 v_parent AS (
-  SELECT o.page_id, o.pos, o.tag, max(p.pos) AS parent_pos, arg_max(p.tag, p.pos) AS parent_tag
-  FROM v_depth o LEFT JOIN v_depth p ON p.page_id = o.page_id AND p.pos < o.pos
-    AND p.is_open AND p.depth = o.depth - 1
-  WHERE o.is_open GROUP BY ALL)
+  SELECT o.page_id, o.start_pos AS pos, o.kind AS tag, max(p.start_pos) AS parent_pos,
+         arg_max(p.kind, p.start_pos) AS parent_tag
+  FROM v_spans o LEFT JOIN v_spans p ON p.page_id = o.page_id
+    AND p.start_pos < o.start_pos AND p.end_pos > o.start_pos
+  GROUP BY ALL)
 """
 
 
 def tag_parents(spark, sf_dir):
-    tokens = v.balanced_tokens(v.table(spark, sf_dir, "pages"))
+    tokens = v.tag_tokens(v.table(spark, sf_dir, "pages"))
     return st.parents(st.nesting(tokens)).select(
         "page_id", "pos", "tag", "parent_pos", "parent_tag"
     )
 
 
-@query(f"WITH {v.TAGS_SQL}, {DEPTH_SQL} SELECT * FROM v_parent")
+@query(f"WITH {v.TAGS_SQL}, {v.SPANS_SQL}, {DEPTH_SQL} SELECT * FROM v_parent")
 def parents(spark, sf_dir):
     return tag_parents(spark, sf_dir)
 
@@ -97,11 +96,11 @@ WITH {v.TAGS_SQL}, {v.SPANS_SQL}
 SELECT page_id, pos, start_pos, end_pos, kind FROM (
   SELECT t.page_id, t.pos, s.start_pos, s.end_pos, s.kind,
          row_number() OVER (PARTITION BY t.page_id, t.pos ORDER BY s.start_pos) AS rn
-  FROM v_bal t JOIN v_spans s ON s.page_id = t.page_id AND t.pos BETWEEN s.start_pos AND s.end_pos
+  FROM v_tags t JOIN v_spans s ON s.page_id = t.page_id AND t.pos BETWEEN s.start_pos AND s.end_pos
   WHERE t.is_open AND t.tag = 'a' AND s.kind IN ('ul', 'nav')) WHERE rn = 1
 """)
 def outermost_enclosing(spark, sf_dir):
-    tokens = v.balanced_tokens(v.table(spark, sf_dir, "pages"))
+    tokens = v.tag_tokens(v.table(spark, sf_dir, "pages"))
     links = tokens.filter("is_open AND tag = 'a'").select("page_id", "pos")
     return st.outermost_enclosing(links, st.pair_spans(tokens), ["ul", "nav"], ["page_id"])
 
@@ -164,7 +163,7 @@ FROM v_spans i JOIN v_spans o ON i.page_id = o.page_id
 WHERE i.kind = 'a' AND o.kind = 'ul'
 """)
 def contained(spark, sf_dir):
-    spans = st.pair_spans(v.balanced_tokens(v.table(spark, sf_dir, "pages")))
+    spans = st.pair_spans(v.tag_tokens(v.table(spark, sf_dir, "pages")))
     return st.contained(spans.filter("kind = 'a'"), spans.filter("kind = 'ul'"), ["page_id"])
 
 
@@ -223,14 +222,14 @@ TAG_KIND = {
 
 
 def _kind_of(tag: str):
-    out = F.lit(None).cast("string")
+    out = F.col(tag)
     for name, kind in TAG_KIND.items():
         out = F.when(F.col(tag) == name, kind).otherwise(out)
     return out
 
 
 @query(f"""
-WITH {v.TAGS_SQL}, {DEPTH_SQL},
+WITH {v.TAGS_SQL}, {v.SPANS_SQL}, {DEPTH_SQL},
 g AS (SELECT c.page_id, c.pos, c.tag, c.parent_tag FROM v_parent c)
 SELECT page_id, pos,
   CASE WHEN tag = 'a' AND parent_tag IS NULL THEN 'Unknown'
@@ -246,7 +245,7 @@ SELECT page_id, pos,
     WHEN 'div' THEN 'call_expression' WHEN 'nav' THEN 'go_statement'
     WHEN 'article' THEN 'function_declaration' WHEN 'footer' THEN 'assignment_statement'
     WHEN 'ul' THEN 'selector_expression' WHEN 'h1' THEN 'field_identifier'
-    ELSE 'type_identifier' END || ' at 0:' || pos AS details
+    WHEN 'title' THEN 'type_identifier' ELSE tag END || ' at 0:' || pos AS details
 FROM g
 """)
 def classify_context(spark, sf_dir):

@@ -142,7 +142,7 @@ def stream_expired(spark, sf_dir):
 @query(f"""
 WITH {v.ACCESS_SQL}, {REPEAT_SQL}
 SELECT ctx, op, pos, pos + {TTL} AS fires_at FROM v_next
-WHERE next - pos >= {TTL} OR (next IS NULL AND pos + {TTL} < {WATERMARK})
+WHERE (next IS NULL OR next - pos >= {TTL}) AND pos + {TTL} < {WATERMARK}
 """)
 def stream_debounce(spark, sf_dir):
     src = event_stream(spark, sf_dir)

@@ -7,10 +7,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build(master: str = "local[*]", partitions: int = 8, memory: str = "12g") -> SparkSession:
+def build(master: str = "local[*]", partitions: int = 8, memory: str = "12g", shared: str | None = None) -> SparkSession:
     """A local session. On a cluster the submit command sets all of this."""
+    builder = SparkSession.builder
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
     spark = (
-        SparkSession.builder.master(master)
+        builder.master(master)
         .appName("usetrail")
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.driver.bindAddress", "127.0.0.1")
@@ -20,6 +23,7 @@ def build(master: str = "local[*]", partitions: int = 8, memory: str = "12g") ->
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.unionOutputPartitioning", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )

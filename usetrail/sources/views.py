@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from usetrail.functions.columns import LINE_SHIFT, micros
 from usetrail.plans.scan import stacked
 
-BALANCED_TAGS = ["nav", "ul", "li", "a", "article", "div", "footer", "h1", "title"]
 TAG_PATTERN = "</?[a-zA-Z][a-zA-Z0-9]*"
 
 
@@ -154,11 +153,6 @@ def tag_tokens(pages: DataFrame) -> DataFrame:
     )
 
 
-def balanced_tokens(pages: DataFrame) -> DataFrame:
-    return tag_tokens(pages).filter(F.col("tag").isin(BALANCED_TAGS))
-
-
-_TAG_LIST = ", ".join(f"'{t}'" for t in BALANCED_TAGS)
 TAGS_SQL = f"""
 v_tag_lists AS (
   SELECT page_id, regexp_extract_all(html, '{TAG_PATTERN}', 0) AS l FROM pages),
@@ -167,21 +161,20 @@ v_tag_rows AS (
   FROM v_tag_lists),
 v_tags AS (
   SELECT page_id, pos, regexp_replace(token, '[</]', '', 'g') AS tag,
-         NOT starts_with(token, '</') AS is_open FROM v_tag_rows),
-v_bal AS (SELECT * FROM v_tags WHERE tag IN ({_TAG_LIST}))
+         NOT starts_with(token, '</') AS is_open FROM v_tag_rows)
 """
 # spans by a stack walk: each open is closed by the first later close at which the
 # count of same-tag opens and closes after it balances
 SPANS_SQL = """
 v_spans AS (
   SELECT o.page_id, o.tag AS kind, o.pos AS start_pos, min(w.pos) AS end_pos
-  FROM (SELECT * FROM v_bal WHERE is_open) o
+  FROM (SELECT * FROM v_tags WHERE is_open) o
   LEFT JOIN (
     SELECT page_id, start_pos, pos FROM (
       SELECT a.page_id, a.pos AS start_pos, b.pos, b.is_open,
              sum(CASE WHEN b.is_open THEN 1 ELSE -1 END)
                OVER (PARTITION BY a.page_id, a.pos ORDER BY b.pos) AS bal
-      FROM v_bal a JOIN v_bal b ON a.page_id = b.page_id AND a.tag = b.tag AND b.pos >= a.pos
+      FROM v_tags a JOIN v_tags b ON a.page_id = b.page_id AND a.tag = b.tag AND b.pos >= a.pos
       WHERE a.is_open)
     WHERE bal = 0) w
   ON w.page_id = o.page_id AND w.start_pos = o.pos

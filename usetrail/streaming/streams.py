@@ -69,36 +69,46 @@ def stream_debounce(
 ) -> DataFrame:
     """Last change of each burst, fired after `delay_ms` of quiet; repeats are dropped.
 
-    State per key is the last position and whether it still waits to fire. A micro-batch
-    hands each key its new rows only; their number is bounded by the trigger.
+    Rows wait in the state of their key until the watermark has passed them and are then
+    applied in the order of time (ties by value), so rows that come late but within `late`
+    count where they belong. Rows older than the watermark are dropped, as streams do.
+    State per key: the last change, whether it still waits to fire, and the rows of the
+    last `late` of time.
     """
     fields = {f.name: f.dataType.simpleString() for f in src.schema.fields}
     out = f"`{key}` {fields[key]}, `{value}` {fields[value]}, pos bigint, fires_at bigint"
-    state = f"value {fields[value]}, pos bigint, waiting boolean"
+    state = f"value {fields[value]}, pos bigint, waiting boolean, ahead array<bigint>, changes array<{fields[value]}>"
     delay = delay_ms * 1000
     columns = [key, value, "pos", "fires_at"]
 
     def step(
         ids: tuple, batches: Iterator[pd.DataFrame], group: GroupState
     ) -> Iterator[pd.DataFrame]:
-        last, pos, waiting = group.get if group.exists else (None, None, False)
+        last, pos, waiting, ahead, changes = group.get if group.exists else (None, None, False, [], [])
+        rows = list(zip(ahead, changes))
+        if not group.hasTimedOut:
+            for batch in batches:
+                rows += zip(batch["pos"].tolist(), batch[value].tolist())
+        rows.sort(key=lambda r: (r[0], r[1] is not None, r[1] or ""))
+        passed = group.getCurrentWatermarkMs() * 1000
+        ready = sum(at < passed for at, _ in rows)
         fired = []
-        if group.hasTimedOut:
-            if waiting:
+        for at, new in rows[:ready]:
+            if waiting and at - pos >= delay:
                 fired.append((ids[0], last, pos, pos + delay))
-            group.update((last, pos, False))
-        else:
-            rows = pd.concat(list(batches)).sort_values("pos")
-            for new, at in zip(rows[value].tolist(), rows["pos"].tolist()):
-                if waiting and at - pos >= delay:
-                    fired.append((ids[0], last, pos, pos + delay))
-                    waiting = False
-                if pos is not None and new == last:
-                    continue
+                waiting = False
+            if pos is None or new != last:
                 last, pos, waiting = new, at, True
-            group.update((last, pos, waiting))
-            due = max((pos + delay) // 1000, group.getCurrentWatermarkMs() + 1)
-            group.setTimeoutTimestamp(due)
+        rows = rows[ready:]
+        if waiting and pos + delay < passed:
+            fired.append((ids[0], last, pos, pos + delay))
+            waiting = False
+        group.update((last, pos, waiting, [at for at, _ in rows], [new for _, new in rows]))
+        due = [at // 1000 + 1 for at, _ in rows[:1]]
+        if waiting:
+            due.append((pos + delay) // 1000 + 1)
+        if due:
+            group.setTimeoutTimestamp(max(min(due), group.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(fired, columns=columns)
 
     return (
@@ -108,9 +118,7 @@ def stream_debounce(
     )
 
 
-def run_to_table(
-    df: DataFrame, path: str, mode: str = "append", timeout: int = 120
-) -> DataFrame:
+def run_to_table(df: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """Work off what is there now, write it to a table and read that back.
 
     Append streams use the file sink. Others write each micro-batch to a folder of its
@@ -123,12 +131,7 @@ def run_to_table(
         query = writer.format("parquet").option("path", f"{path}/table").start()
     else:
         query = writer.foreachBatch(per_batch(f"{path}/table")).start()
-    try:
-        done = query.awaitTermination(timeout)
-        if not done:
-            raise TimeoutError(f"stream did not finish within {timeout} s")
-    finally:
-        query.stop()
+    query.awaitTermination()
     return spark.read.schema(_read_schema(df, mode)).parquet(f"{path}/table")
 
 
