@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from usetrail.functions.columns import is_atomic_name, is_mutex_method
+from usetrail.plans.intervals import inside_any
 from usetrail.plans.scan import clamped_sum, running, stacked, total
 
 
@@ -76,6 +77,11 @@ def block_has_sync(points: DataFrame, rows: DataFrame, block: list[str], is_sync
     )
 
 
+def in_atomic(points: DataFrame, calls: DataFrame, on: list[str]) -> DataFrame:
+    """True for points inside the interval of an atomic call."""
+    return inside_any(points, calls, on, "in_atomic")
+
+
 def is_synchronized(accesses: DataFrame, *flags: Column, fallback: Column | None = None) -> DataFrame:
     """Synchronised: under a synchronising call, or some lock is held.
 

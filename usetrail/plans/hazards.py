@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from usetrail.operators import classify, rules, sync
-from usetrail.plans.scan import stacked
+from usetrail.plans.scan import latest, running, stacked
 from usetrail.session import staged
 
 ORDER = ["pos", "seq"]
@@ -17,6 +17,21 @@ def uses_of(accesses: DataFrame) -> DataFrame:
     return accesses.filter(F.col("op").isin("read", "write"))
 
 
+def with_capture(
+    accesses: DataFrame, keys: list[str], is_global: Column, order: list[str] | None = None
+) -> DataFrame:
+    """Accesses with `is_global` and `captured`: in another context than the last declaration.
+
+    Declarations and uses are rows of one table, so the declaring context is one as-of scan.
+    """
+    seen = running(
+        accesses.withColumn("is_global", is_global), keys, order or ORDER,
+        decl_ctx=latest(F.when(F.col("op") == "decl", F.col("ctx"))),
+    )
+    flag = classify.captured_flag(F.col("ctx"), F.col("concurrent"), F.col("decl_ctx"), F.col("is_global"))
+    return seen.withColumn("captured", flag).drop("decl_ctx")
+
+
 def assessed(accesses: DataFrame, scope: list[str], order: list[str] | None = None) -> DataFrame:
     """Uses with lock state, synchronisation flag and race severity.
 

@@ -6,9 +6,9 @@ from usetrail.functions import fixed
 from usetrail.operators import classify as cl
 from usetrail.operators import rules, symbols
 from usetrail.plans import hazards
-from usetrail.plans.scan import latest, lowest, running, total
+from usetrail.plans.scan import lowest, running, total
 from usetrail.queries.registry import query
-from usetrail.queries.rules_q import FLAGS_SQL, GROUP, SCOPE, TEXT_SQL, marked_accesses
+from usetrail.queries.rules_q import FLAGS_SQL, GROUP, SCOPE, TEXT_SQL, captured_rows, marked_accesses
 from usetrail.sources import views as v
 
 OWN = ["entity"]
@@ -51,13 +51,7 @@ v_captured AS (
 
 
 def captured_accesses(spark, sf_dir):
-    """Uses with the capture flag; entities that are no field stand for globals."""
-    rows = accesses(spark, sf_dir)
-    seen = running(rows, OWN, ORDER, decl_ctx=latest(F.when(F.col("op") == "decl", F.col("ctx"))))
-    flag = cl.captured_flag(
-        F.col("ctx"), F.col("concurrent"), F.col("decl_ctx"), ~F.col("is_field")
-    )
-    return hazards.uses_of(seen).withColumn("captured", flag)
+    return hazards.uses_of(captured_rows(spark, sf_dir))
 
 
 @query(f"WITH {v.ACCESS_SQL}, {CAPTURED_SQL} SELECT seq, entity, ctx, captured FROM v_captured")
@@ -68,7 +62,7 @@ def captured(spark, sf_dir):
 @query(f"""
 WITH {v.ACCESS_SQL}, {FLAGS_SQL},
 k AS (SELECT entity, CASE WHEN race AND severity <> 'Low' THEN 'Race' WHEN race THEN 'RaceLow'
-        WHEN op = 'write' THEN 'AliasReassigned' WHEN is_pointer THEN 'Pointer' ELSE 'Use' END AS kind
+        WHEN op = 'write' THEN 'AliasReassigned' WHEN captured THEN 'AliasCaptured' WHEN is_pointer THEN 'Pointer' ELSE 'Use' END AS kind
       FROM v_flags UNION ALL SELECT entity, 'Declaration' FROM v_access WHERE op = 'decl')
 SELECT entity, kind, count(*) AS n FROM k GROUP BY ALL
 """)
@@ -102,7 +96,7 @@ def kind_names(spark, sf_dir):
 @query(f"""
 WITH {v.ACCESS_SQL}, {FLAGS_SQL},
 k AS (SELECT entity, day, CASE WHEN race AND severity <> 'Low' THEN 1 WHEN race THEN 2
-        WHEN op = 'write' THEN 3 WHEN is_pointer THEN 5 ELSE 6 END AS p
+        WHEN op = 'write' THEN 3 WHEN captured THEN 4 WHEN is_pointer THEN 5 ELSE 6 END AS p
       FROM v_flags UNION ALL SELECT entity, day, 7 FROM v_access WHERE op = 'decl')
 SELECT entity, day, ['Race', 'RaceLow', 'AliasReassigned', 'AliasCaptured', 'Pointer', 'Use',
   'Declaration'][min(p)] AS kind FROM k GROUP BY entity, day

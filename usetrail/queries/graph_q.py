@@ -143,6 +143,12 @@ SELECT 'fn:' || c_name || ':' || c_custkey || ':0:' || length(c_name) AS to_id,
 FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL
 """)
 def call_edges(spark, sf_dir):
+    return order_calls(spark, sf_dir).groupBy("to_id", "edge_type").agg(
+        F.count("*").alias("n"), F.min("from_id").alias("first_from")
+    )
+
+
+def order_calls(spark, sf_dir):
     orders = v.table(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("line"),
         F.lit(0).alias("col"), F.lit(1).alias("end_col"),
@@ -151,10 +157,7 @@ def call_edges(spark, sf_dir):
         "c_custkey", "c_name", F.lit(0).alias("to_col"), F.length("c_name").alias("to_end"),
     )
     sites = orders.join(owners, "c_custkey")
-    edges = graph.call_edges(sites, F.col("c_name"), ("c_custkey", "to_col", "to_end"))
-    return edges.groupBy("to_id", "edge_type").agg(
-        F.count("*").alias("n"), F.min("from_id").alias("first_from")
-    )
+    return graph.call_edges(sites, F.col("c_name"), ("c_custkey", "to_col", "to_end"))
 
 
 def lock_sites(spark, sf_dir):
@@ -225,6 +228,7 @@ SELECT 'node' AS part, t AS type, n FROM (
   UNION ALL SELECT 'Goroutine', count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem))
 UNION ALL SELECT 'edge', t, n FROM (
   SELECT 'Use' AS t, count(*) AS n FROM l WHERE op <> 'decl' AND d IS NOT NULL
+  UNION ALL SELECT 'Call', count(*) FROM orders JOIN customer ON c_custkey = o_custkey
   UNION ALL SELECT 'Sync', count(*) FROM v_access WHERE op IN ('acquire', 'release')
   UNION ALL SELECT 'Spawn', count(DISTINCT ctx) FROM v_access WHERE concurrent
   UNION ALL SELECT 'Send', count(*) FROM conversations WHERE role = 'user'
@@ -234,7 +238,7 @@ def build_graph(spark, sf_dir):
     links = access_links(spark, sf_dir)
     nodes, edges = graph.build_graph(
         [tree_nodes(spark, sf_dir), graph.use_nodes(links, F.col("name"))],
-        [graph.use_edges(links), graph.sync_edges(lock_sites(spark, sf_dir)),
+        [graph.use_edges(links), order_calls(spark, sf_dir), graph.sync_edges(lock_sites(spark, sf_dir)),
          graph.spawn_edges(spawn_sites(spark, sf_dir)), *turn_edges(spark, sf_dir)],
     )
     return stacked(
@@ -261,3 +265,17 @@ def dangling_edges(spark, sf_dir):
         F.concat(F.lit("label:"), F.col("doc_id")).alias("to_id"), F.lit("Use").alias("edge_type"),
     )
     return graph.dangling_edges(nodes, edges)
+
+
+@query("""
+SELECT 'node' AS part, event_type AS type, count(*) AS n FROM events WHERE event_type <> 'view' GROUP BY ALL
+UNION ALL SELECT 'edge', role, count(*) FROM conversations WHERE role NOT IN ('user', 'assistant') GROUP BY ALL
+""")
+def bad_types(spark, sf_dir):
+    # views stand for variables, user and assistant turns for sends and receives
+    kind, role = F.col("event_type"), F.col("role")
+    nodes = v.table(spark, sf_dir, "events").select(F.when(kind == "view", "Variable").otherwise(kind).alias("entity_type"))
+    edges = v.table(spark, sf_dir, "conversations").select(
+        F.when(role == "user", "Send").when(role == "assistant", "Receive").otherwise(role).alias("edge_type")
+    )
+    return graph.bad_types(nodes, edges).groupBy("part", "type").agg(F.count("*").alias("n"))

@@ -22,8 +22,13 @@ def assessed(spark, sf_dir):
     return hazards.assessed(accesses(spark, sf_dir), SCOPE)
 
 
+def captured_rows(spark, sf_dir):
+    """Accesses with the capture flag; entities that are no field stand for globals."""
+    return hazards.with_capture(accesses(spark, sf_dir), ["entity"], ~F.col("is_field"))
+
+
 def marked_accesses(spark, sf_dir):
-    return hazards.flagged(accesses(spark, sf_dir), SCOPE, GROUP, ["entity", "ctx"])
+    return hazards.flagged(captured_rows(spark, sf_dir), SCOPE, GROUP, ["entity", "ctx"])
 
 
 def depth_sql(scope: str, deferred: str) -> str:
@@ -60,16 +65,22 @@ RISK_SQL = """CASE WHEN type_kind IN ('Slice', 'String') AND rhs_kind = 'slice_e
     THEN 'Retention risk: sub-slice/sub-string may keep large backing memory'
   WHEN type_kind = 'Map' AND rhs_kind IN ('identifier', 'selector_expression', 'index_expression')
     THEN 'Retention risk: map reference can keep large object graph alive' END"""
+CAPTURE_SQL = """
+v_capture AS (
+  SELECT seq, coalesce(concurrent AND is_field AND ctx <> last_value(CASE WHEN op = 'decl' THEN ctx END IGNORE NULLS)
+    OVER (PARTITION BY entity ORDER BY pos, seq ROWS UNBOUNDED PRECEDING), false) AS captured FROM v_access)
+"""
 FLAGS_SQL = HELD_SQL + f""",
+{CAPTURE_SQL},
 v_group AS (
-  SELECT *, {RISK_SQL} AS risk, count(*) OVER g AS n,
+  SELECT v_assessed.*, c.captured, {RISK_SQL} AS risk, count(*) OVER g AS n,
          count(*) FILTER (WHERE op = 'write') OVER g AS w,
          count(*) FILTER (WHERE is_atomic) OVER g AS a, count(*) FILTER (WHERE in_sync) OVER g AS s,
          min(CASE WHEN op = 'write' THEN pos END) OVER (PARTITION BY entity, ctx) AS fw
-  FROM v_assessed WINDOW g AS (PARTITION BY entity, day)),
+  FROM v_assessed JOIN v_capture c ON c.seq = v_assessed.seq WINDOW g AS (PARTITION BY entity, day)),
 v_flags AS (
-  SELECT *, concurrent AND is_field AS race,
-    concurrent AND is_field AND severity = 'High' AS r1,
+  SELECT *, concurrent AND NOT captured AS race,
+    concurrent AND NOT captured AND severity = 'High' AS r1,
     is_field AND a > 0 AND a < n AS mixed_group,
     is_field AND a > 0 AND a < n AND NOT is_atomic AS r2,
     is_field AND s > 0 AND s < n AND NOT in_sync AS r3,
@@ -115,7 +126,8 @@ v_text AS (
            || CASE WHEN op = 'write' THEN 'write' ELSE 'read' END || ' access)'
          WHEN race AND severity = 'Low' THEN 'Use of `' || name || '` in goroutine - LOW PRIORITY (sync detected, '
            || CASE WHEN op = 'write' THEN 'write' ELSE 'read' END || ' access)'
-         WHEN op = 'write' THEN 'Reassignment of `' || name || '`' ELSE 'Use of `' || name || '`' END,
+         WHEN op = 'write' THEN 'Reassignment of `' || name || '`'
+         WHEN captured THEN 'Captured `' || name || '` in closure/goroutine' ELSE 'Use of `' || name || '`' END,
     CASE WHEN mixed_group THEN 'mixed atomic/non-atomic access detected for field `' || name || '`' END,
     CASE WHEN seq = s3 THEN 'lock coverage violation for field `' || name || '`' END,
     CASE WHEN seq = s4 THEN 'heavy call under lock while touching `' || name || '`' END,
@@ -202,14 +214,44 @@ def block_has_sync(spark, sf_dir):
     return sync.block_has_sync(uses, rows, SCOPE, F.col("op") == "acquire")
 
 
+UNTIL_SQL = "n AS (SELECT *, lead(pos) OVER (PARTITION BY ctx ORDER BY pos, seq) AS until FROM v_access)"
+
+
+def calls_of(rows, which):
+    """Intervals from an event to the same user's next one."""
+    ended = running(rows, ["ctx"], ORDER, _until=following(F.col("pos")))
+    return ended.filter(which).select(
+        "ctx", F.col("pos").alias("start_pos"), F.coalesce("_until", "pos").alias("end_pos")
+    )
+
+
 @query(f"""
-WITH {v.ACCESS_SQL}
-SELECT entity, count(*) FILTER (WHERE is_atomic) AS n_atomic, count(*) AS n
-FROM v_access GROUP BY entity
+WITH {v.ACCESS_SQL}, {UNTIL_SQL}
+SELECT a.seq, a.entity, EXISTS (SELECT 1 FROM n WHERE n.is_atomic AND n.ctx = a.ctx
+  AND a.pos BETWEEN n.pos AND coalesce(n.until, n.pos)) AS in_atomic
+FROM v_access a WHERE a.op IN ('read', 'write')
 """)
 def in_atomic(spark, sf_dir):
-    return accesses(spark, sf_dir).groupBy("entity").agg(
-        F.count_if("is_atomic").alias("n_atomic"), F.count("*").alias("n")
+    # an atomic call runs from its event to the user's next one
+    rows = accesses(spark, sf_dir).select("seq", "entity", "ctx", "pos", "op", "is_atomic")
+    points = hazards.uses_of(rows).select("seq", "entity", "ctx", "pos")
+    return sync.in_atomic(points, calls_of(rows, F.col("is_atomic")), ["ctx"]).select("seq", "entity", "in_atomic")
+
+
+@query(f"""
+WITH {v.ACCESS_SQL}, {HELD_SQL},
+b AS (SELECT ctx, day, bool_or(op = 'acquire') AS block_sync FROM v_access GROUP BY ALL)
+SELECT a.seq, a.entity, a.is_atomic OR CASE WHEN a.entity % 3 = 0 THEN b.block_sync ELSE a.held_keys > 0 END AS in_sync
+FROM v_assessed a JOIN b ON b.ctx = a.ctx AND b.day = a.day
+""")
+def is_synchronized_block(spark, sf_dir):
+    # for every third entity the caller is unknown: its block answers
+    held = assessed(spark, sf_dir).drop("in_sync")
+    known = held.withColumn("held_keys", F.when(F.col("entity") % 3 != 0, F.col("held_keys")))
+    rows = accesses(spark, sf_dir).select("ctx", "day", "op")
+    blocks = sync.block_has_sync(known, rows, SCOPE, F.col("op") == "acquire")
+    return sync.is_synchronized(blocks, F.col("is_atomic"), fallback=F.col("block_sync")).select(
+        "seq", "entity", "in_sync"
     )
 
 
@@ -228,8 +270,7 @@ def severity_counts(spark, sf_dir):
 
 
 @query(f"""
-WITH {v.ACCESS_SQL},
-n AS (SELECT *, lead(pos) OVER (PARTITION BY ctx ORDER BY pos, seq) AS until FROM v_access)
+WITH {v.ACCESS_SQL}, {UNTIL_SQL}
 SELECT a.seq, a.ctx, EXISTS (SELECT 1 FROM n WHERE n.op = 'acquire' AND n.ctx = a.ctx
   AND a.pos BETWEEN n.pos AND coalesce(n.until, n.pos)) AS concurrent
 FROM v_access a WHERE a.op IN ('read', 'write')
@@ -237,32 +278,20 @@ FROM v_access a WHERE a.op IN ('read', 'write')
 def in_concurrent(spark, sf_dir):
     # a section runs from an acquire to the user's next event
     rows = accesses(spark, sf_dir).select("seq", "ctx", "pos", "op")
-    ended = running(rows, ["ctx"], ORDER, _until=following(F.col("pos")))
-    sections = ended.filter("op = 'acquire'").select(
-        "ctx", F.col("pos").alias("start_pos"), F.coalesce("_until", "pos").alias("end_pos")
-    )
     points = hazards.uses_of(rows).select("seq", "ctx", "pos")
-    return rules.in_concurrent(points, sections, ["ctx"]).select(
+    return rules.in_concurrent(points, calls_of(rows, F.col("op") == "acquire"), ["ctx"]).select(
         "seq", "ctx", "concurrent"
     )
 
 
-RACE_SQL = """
-v_asof2 AS (
-  SELECT *, last_value(CASE WHEN op = 'decl' THEN ctx END IGNORE NULLS) OVER (
-    PARTITION BY entity ORDER BY pos, seq ROWS UNBOUNDED PRECEDING) AS decl_ctx FROM v_access),
+RACE_SQL = CAPTURE_SQL + """,
 v_cand AS (
-  SELECT s.*, 'in' AS mark FROM v_assessed s JOIN v_asof2 d ON d.seq = s.seq
-  WHERE s.concurrent AND NOT coalesce(d.decl_ctx <> s.ctx AND s.is_field, false))
+  SELECT s.* FROM v_assessed s JOIN v_capture c ON c.seq = s.seq WHERE s.concurrent AND NOT c.captured)
 """
 
 
 def race_candidates(spark, sf_dir):
-    from usetrail.queries.classify_q import captured_accesses
-
-    flags = captured_accesses(spark, sf_dir).select("seq", "captured")
-    rated = assessed(spark, sf_dir).join(flags, "seq")
-    return rules.race_findings(rated.withColumn("is_global", ~F.col("is_field")))
+    return rules.race_findings(hazards.assessed(captured_rows(spark, sf_dir), SCOPE))
 
 
 @query(f"""

@@ -89,6 +89,18 @@ v_resolved AS (
 """
 
 
+@query(f"""
+WITH {v.WORDS_SQL}, {RESOLVED_SQL}
+SELECT doc_id, CAST(decl_id // {LINE_SHIFT} = pos // {LINE_SHIFT} AS BOOLEAN) AS same_line,
+       count(*) AS n, CAST(sum(decl_id // {LINE_SHIFT}) AS BIGINT) AS decl_lines,
+       CAST(sum(decl_id % {LINE_SHIFT}) AS BIGINT) AS decl_cols
+FROM v_resolved WHERE decl_id IS NOT NULL GROUP BY ALL
+""")
+def resolve_timeline(spark, sf_dir):
+    words = words_of(spark, sf_dir)
+    return _by_line(sy.resolve_timeline(word_timeline(words), ["doc_id"], bounded=True))
+
+
 @query(f"""
 WITH {v.WORDS_SQL}, {RESOLVED_SQL}
 SELECT doc_id, CAST(decl_id // {LINE_SHIFT} = pos // {LINE_SHIFT} AS BOOLEAN) AS same_line,
@@ -97,8 +109,20 @@ SELECT doc_id, CAST(decl_id // {LINE_SHIFT} = pos // {LINE_SHIFT} AS BOOLEAN) AS
 FROM v_resolved WHERE decl_id IS NOT NULL GROUP BY ALL
 """)
 def resolve_scoped(spark, sf_dir):
+    """The same answers from three tables: uses, declarations and scopes."""
     words = words_of(spark, sf_dir)
-    found = sy.resolve_timeline(word_timeline(words), ["doc_id"], bounded=True)
+    uses = words.select("doc_id", F.col("word").alias("name"), "pos")
+    entries = word_timeline(words)
+    decls = entries.filter("decl IS NOT NULL").select(
+        "doc_id", "name", F.col("decl").alias("decl_id"), "scope_id", F.col("pos").alias("visible_from")
+    )
+    scopes = word_scopes(words).select(
+        "doc_id", F.col("scope_id").cast("long").alias("scope_id"), "depth", "start_pos", "end_pos"
+    )
+    return _by_line(sy.resolve_scoped(uses, decls, scopes, ["doc_id"], BIN))
+
+
+def _by_line(found):
     line = line_of(F.col("decl_id"))
     return found.groupBy("doc_id", (line == line_of(F.col("pos"))).alias("same_line")).agg(
         F.count("*").alias("n"), F.sum(line).alias("decl_lines"),
