@@ -16,9 +16,15 @@ def symbol_at(
     """Declaration and use count of the symbol under each point; no symbol, no row.
 
     points(on.., pos), spans(on.., kind, start_pos, end_pos, depth, is_root),
-    timeline as in `resolve_timeline`, calls(on.., at) the places of called names.
+    timeline as in `resolve_timeline`, calls(on.., at) the places of called names. With
+    `bounded` identifiers are single places (the words of one text): nothing is smaller, so
+    a point is on the identifier that stands there.
     """
-    hit = locate(points, spans, on, bin_width=bin_width).filter("kind = 'identifier'")
+    if bounded:
+        names = spans.filter("kind = 'identifier'").select(*on, F.col("start_pos").alias("pos"), "start_pos")
+        hit = points.join(names, [*on, "pos"])
+    else:
+        hit = locate(points, spans, on, bin_width=bin_width).filter("kind = 'identifier'")
     plain = drop_callee_symbols(timeline, calls, [*on, "at"])
     inner = resolve_timeline(plain, on, bounded, own=True).drop("depth")
     if bounded:

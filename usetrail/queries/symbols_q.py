@@ -267,7 +267,7 @@ i AS (SELECT doc_id, word, pos, max(decl_id) AS decl_id FROM (
 u AS (SELECT doc_id, decl_id, count(DISTINCT CASE WHEN pos <> decl_id THEN pos END) AS n_uses
       FROM i GROUP BY ALL)
 SELECT i.doc_id, i.pos, i.word AS name, i.decl_id, u.n_uses
-FROM i JOIN u ON u.doc_id = i.doc_id AND u.decl_id = i.decl_id WHERE i.pos % {LINE_SHIFT} = 0
+FROM i JOIN u ON u.doc_id = i.doc_id AND u.decl_id = i.decl_id
 """)
 def symbol_at(spark, sf_dir):
     words = words_of(spark, sf_dir)
@@ -283,6 +283,5 @@ def symbol_at(spark, sf_dir):
     )
     # a word with a comma behind it stands for a called name
     calls = words.filter(F.col("word").endswith(",")).select("doc_id", F.col("pos").alias("at"))
-    starts = words.select("doc_id", (F.col("line").cast("long") * LINE_SHIFT).alias("pos")).distinct()
-    named = words.filter(~F.col("word").endswith(","))
-    return symbols_at(starts, spans, word_timeline(named), calls, ["doc_id"], BIN, True)
+    asked = words.select("doc_id", "pos")
+    return symbols_at(asked, spans, word_timeline(words), calls, ["doc_id"], BIN, True)
