@@ -102,43 +102,50 @@ def with_path(
 ) -> DataFrame:
     """Add `path`, the ancestors of each node, nearest first.
 
-    One join per step up; each step reads the same (id, parent) table, so its shuffle
-    is reused. `start` limits the climbing rows, e.g. to one kind. `max_depth` is the
-    number of steps the tree can have; a deeper tree stops the job instead of being
-    cut. `tree` names key columns that id and parent share (e.g. the document), `leaves`
-    kinds that never are a parent: the largest level then stays out of every lookup.
+    Paths of the nodes that can be parents are built first, one join per step up; then
+    every node takes its parent's path in one join. `leaves` names kinds that never are a
+    parent: the largest level is then shuffled once and never climbs. `start` limits the
+    rows that get a path, e.g. to one kind. `max_depth` is the number of steps the tree can
+    have; a deeper tree stops the job instead of being cut. `tree` names key columns that
+    id and parent share (e.g. the document).
     """
     tree = tree or []
-    extra = extra or []
-    shown = ["kind", *extra]
-    rows = nodes.filter(start) if start is not None else nodes
-    out = rows.withColumn("_at", F.col("parent_id")).withColumn(
-        "path", F.array().cast(_path_type(nodes, shown))
-    )
+    shown = ["kind", *(extra or [])]
     inner = nodes.filter(~F.col("kind").isin(leaves)) if leaves else nodes
     above = inner.select(
-        *[F.col(t).alias(f"_t_{t}") for t in tree],
-        F.col("node_id").alias("_id"), F.col("parent_id").alias("_up"),
-        F.struct(F.col("node_id").alias("id"), *shown).alias("_node"),
+        *[F.col(t).alias(f"_t_{t}") for t in tree], F.col("node_id").alias("_id"),
+        F.col("parent_id").alias("_up"), F.struct(F.col("node_id").alias("id"), *shown).alias("_node"),
     )
-    missing = F.concat(F.lit("~"), F.col("node_id").cast("string"))
-    by_text = isinstance(nodes.schema["node_id"].dataType, StringType)
-    for _ in range(max_depth):
-        # finished rows get a key of their own, or they would all meet in one task
-        key = F.coalesce(F.col("_at"), missing) if by_text else F.col("_at")
-        cond = key == F.col("_id")
+    path_type = _path_type(nodes, shown)
+    paths = above.withColumn("_path", F.array("_node").cast(path_type))
+    for _ in range(max_depth - 1):
+        step = above.withColumnsRenamed({c: f"{c}_above" for c in above.columns})
+        cond = _parent_key(nodes, "_up", "_id") == F.col("_id_above")
         for t in tree:
-            cond = cond & (F.col(t) == F.col(f"_t_{t}"))
-        step = out.join(above, cond, "left")
-        grown = F.when(
-            F.col("_node").isNotNull(), F.concat("path", F.array("_node"))
-        ).otherwise(F.col("path"))
-        out = step.select(
-            *nodes.columns, F.col("_up").alias("_at"), grown.alias("path")
+            cond = cond & (F.col(f"_t_{t}") == F.col(f"_t_{t}_above"))
+        grown = F.when(F.col("_node_above").isNotNull(), F.concat("_path", F.array("_node_above"))).otherwise(F.col("_path"))
+        paths = paths.join(step, cond, "left").select(
+            *[f"_t_{t}" for t in tree], "_id", F.col("_up_above").alias("_up"), grown.alias("_path")
         )
-    too_deep = F.raise_error(F.lit("tree is deeper than max_depth")).cast(out.schema["path"].dataType)
-    path = F.when(F.col("_at").isNotNull(), too_deep).otherwise(F.col("path"))
-    return out.select(*nodes.columns, path.alias("path"))
+    # names the row, so that it is evaluated for joined rows only
+    too_deep = F.raise_error(
+        F.concat(F.lit("tree is deeper than max_depth above "), F.col("node_id").cast("string"))
+    ).cast(path_type)
+    rows = nodes.filter(start) if start is not None else nodes
+    cond = _parent_key(nodes, "parent_id", "node_id") == F.col("_id")
+    for t in tree:
+        cond = cond & (F.col(t) == F.col(f"_t_{t}"))
+    path = F.when(F.col("_up").isNotNull(), too_deep).otherwise(F.col("_path"))
+    return rows.join(paths, cond, "left").select(
+        *nodes.columns, F.coalesce(path, F.array().cast(path_type)).alias("path")
+    )
+
+
+def _parent_key(nodes: DataFrame, parent: str, own: str) -> Column:
+    """Parent id for a join; rows without one get a key of their own, or all would meet in one task."""
+    if not isinstance(nodes.schema["node_id"].dataType, StringType):
+        return F.col(parent)
+    return F.coalesce(F.col(parent), F.concat(F.lit("~"), F.col(own)))
 
 
 def _path_type(nodes: DataFrame, shown: list[str]) -> str:
