@@ -23,7 +23,7 @@ from usetrail.llm.hashing import BYTE, grams, prefix, segments, word_bounds
 BITS = 15
 FAMILIES = 4
 #: Documents that keep at least this calibrated probability of good quality are kept.
-KEEP_FROM = 0.2
+KEEP_FROM = 0.15
 #: About so many labelled documents are learnt from, chosen by a hash of their id.
 SAMPLE = 4000
 #: What the learner reads of them at most, in bytes of text.
