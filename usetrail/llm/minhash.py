@@ -6,9 +6,10 @@ that order a class's candidates are the nearest classes on either side that shar
 MIN_PREFIX minhashes with it: they have the longest common prefixes, so where a region is
 crowded the candidates share more of the prefix, where it is sparse they share less. A
 sketch of all minhashes drops candidates that are out of reach of the threshold by more than
-six standard deviations; the rest is confirmed on the full sets. Links are confirmed first
-for each class's best candidate, then for candidates whose ends are still apart, which gives
-the same components as confirming all of them.
+six standard deviations; the rest is confirmed on the full sets. The forest is walked twice:
+first only direct neighbours in a few trees are confirmed, which joins up most of every group
+however large it is; then all candidates whose ends are still apart. That gives the same
+components as confirming all of them, with few pairs per class.
 """
 
 from __future__ import annotations
@@ -23,13 +24,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from usetrail.llm.common import fresh, named, text_of
+from usetrail.llm.common import fresh, named, table_written, text_of
 from usetrail.llm.graph import components
 from usetrail.llm.hashing import LOWER, grams, word_hashes
 from usetrail.session import scratch_dir
 
 TREES, DEPTH, MIN_PREFIX = 12, 6, 3
 NEIGHBOURS = 24
+#: Trees whose direct neighbours are confirmed first.
+DIRECT_TREES = 3
 HASHES = TREES * DEPTH
 #: Rows of the sorted orders per task.
 TASK_ROWS = 50_000
@@ -74,30 +77,25 @@ def _bytes(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
 
 
-def _neighbours(keys: np.ndarray, sets: np.ndarray, sketches: np.ndarray, first: int, agree: int,
-                left: int | None = None) -> tuple[list, list, list]:
-    """Pairs of each row from `first` on with the rows before it, as (set, set, agreement).
+def _neighbours(keys: np.ndarray, sketches: np.ndarray, first: int, agree: int) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs (row, earlier row) of the rows from `first` on.
 
-    With `left`, only pairs across that row number. Prefixes get shorter with distance, so a
-    row leaves once it shares too little with the row at hand.
+    Prefixes get shorter with distance, so a row leaves once it shares too little with the
+    row at hand.
     """
     prefix = 4 * (1 + MIN_PREFIX)
     rows = np.arange(max(first, 1), len(keys))
-    out: tuple[list, list, list] = ([], [], [])
+    ends: tuple[list, list] = ([], [])
     for distance in range(1, NEIGHBOURS + 1):
         rows = rows[rows >= distance]
         rows = rows[(keys[rows, :prefix] == keys[rows - distance, :prefix]).all(axis=1)]
         if not len(rows):
             break
-        pick = rows if left is None else rows[(rows >= left) & (rows - distance < left)]
-        same = _agreement(sketches[pick], sketches[pick - distance])
-        good = same >= agree
-        for i, n in zip(pick[good], same[good], strict=True):
-            a, b = sets[i].tobytes(), sets[i - distance].tobytes()
-            out[0].append(min(a, b))
-            out[1].append(max(a, b))
-            out[2].append(int(n))
-    return out
+        good = rows[_agreement(sketches[rows], sketches[rows - distance]) >= agree]
+        ends[0].append(good)
+        ends[1].append(good - distance)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *ends[0]]), np.concatenate([none, *ends[1]])
 
 
 def signatures(docs: DataFrame, width: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -126,30 +124,56 @@ def signatures(docs: DataFrame, width: int, key: str = "doc_id", text: str = "te
     )
 
 
-def candidates(classes: DataFrame, similarity: float, folder: str) -> DataFrame:
-    """a, b, agree: class pairs (a < b) that the forest finds, each once.
+PAIRS = "a binary, b binary"
 
-    The sorted orders are cut into ranges of rows; what lies across a cut is found from the
-    last rows before and the first rows after it, so cuts lose no neighbour.
+
+def candidates(classes: DataFrame, similarity: float, path: str, direct: bool) -> DataFrame:
+    """a, b: class pairs (a < b) that the forest finds, each once, and (a, null) per class.
+
+    `direct`: only direct neighbours in the first DIRECT_TREES trees are paired, and every
+    class that has any candidate is listed with a null. Otherwise all candidates are paired
+    whose `mark` differs. The sorted orders are cut into ranges of rows; what lies across a
+    cut is found from the last rows before and the first rows after it, so cuts lose no
+    neighbour.
     """
     agree = least_agreement(similarity)
     parts = max(1, math.ceil(classes.count() * TREES / TASK_ROWS))
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
-    rows = classes.select("set_id", "sketch", "signature", tree.alias("tree")).select(
+    rows = classes.select("set_id", "sketch", "signature", "mark", tree.alias("tree")).select(
         F.concat(F.unhex(F.lpad(F.hex("tree"), 8, "0")), F.substring("signature", F.col("tree") * (4 * DEPTH) + 1, F.lit(4 * DEPTH))).alias("key"),
-        "set_id", "sketch",
+        "set_id", "sketch", "mark",
     )
-    names = ["seam", "side", "a", "b", "agree", "key", "sketch"]
-    schema = "seam long, side int, a binary, b binary, agree int, key binary, sketch binary"
-    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
+    schema = "seam long, side int, a binary, b binary, key binary, sketch binary, mark long"
+    kinds = {"seam": pa.int64(), "side": pa.int32(), "mark": pa.int64()}
+    names = ["seam", "side", "a", "b", "key", "sketch", "mark"]
+
+    def arrays(batch) -> tuple[np.ndarray, ...]:
+        ids = batch["set_id"] if "set_id" in batch.schema.names else batch["a"]
+        return (_bytes(batch["key"], 4 + 4 * DEPTH), _bytes(ids, 16), _bytes(batch["sketch"], HASHES // 2),
+                batch["mark"].to_numpy(zero_copy_only=False).astype(np.int64))
 
-    def table(columns: list) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+    def table(n: int, **columns: list) -> pa.Table:
+        full = {c: columns.get(c, [None] * n) for c in names}
+        return pa.table({c: pa.array(v, kinds.get(c, pa.binary())) for c, v in full.items()})
 
-    def edge(part: int, side: int, keys, sets, sketches) -> pa.RecordBatch:
+    def edge(seam: int, side: int, keys, sets, sketches, marks) -> pa.Table:
         n = len(keys)
-        return table([[part] * n, [side] * n, [x.tobytes() for x in sets], [None] * n, [None] * n,
-                      [x.tobytes() for x in keys], [x.tobytes() for x in sketches]])
+        return table(n, seam=[seam] * n, side=[side] * n, a=[x.tobytes() for x in sets], key=[x.tobytes() for x in keys],
+                     sketch=[x.tobytes() for x in sketches], mark=marks.tolist())
+
+    def paired(keys, sets, sketches, marks, first: int, left: int | None = None) -> pa.Table:
+        i, j = _neighbours(keys, sketches, first, agree)
+        if left is not None:
+            across = (i >= left) & (j < left)
+            i, j = i[across], j[across]
+        alone: list[bytes] = []
+        if direct:
+            alone = [sets[x].tobytes() for x in np.unique(np.concatenate((i, j)))]
+            near = (i - j == 1) & (keys[i, 3] < DIRECT_TREES)
+        else:
+            near = marks[i] != marks[j]
+        ends = [sorted((sets[x].tobytes(), sets[y].tobytes())) for x, y in zip(i[near], j[near], strict=True)]
+        return table(len(alone) + len(ends), a=alone + [e[0] for e in ends], b=[None] * len(alone) + [e[1] for e in ends])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -157,33 +181,26 @@ def candidates(classes: DataFrame, similarity: float, folder: str) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = (_bytes(batch["key"], 4 + 4 * DEPTH), _bytes(batch["set_id"], 16), _bytes(batch["sketch"], HASHES // 2))
+            new = arrays(batch)
             if head < NEIGHBOURS:
-                take = NEIGHBOURS - head
-                yield edge(part - 1, 1, *(x[:take] for x in new))
-                head += min(take, batch.num_rows)
+                yield from edge(part - 1, 1, *(x[: NEIGHBOURS - head] for x in new)).to_batches()
+                head += min(NEIGHBOURS - head, batch.num_rows)
             carried = 0 if held is None else len(held[0])
             both = new if held is None else tuple(np.concatenate(x) for x in zip(held, new, strict=True))
-            a, b, n = _neighbours(*both, carried, agree)
-            if a:
-                yield table([[None] * len(a), [None] * len(a), a, b, n, [None] * len(a), [None] * len(a)])
+            yield from paired(*both, carried).to_batches()
             held = tuple(x[-NEIGHBOURS:] for x in both)
         if held is not None:
-            yield edge(part, 0, *held)
+            yield from edge(part, 0, *held).to_batches()
 
     def seam(rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks().sort_by([("side", "ascending"), ("key", "ascending"), ("a", "ascending")])
-        found: tuple[list, list, list] = ([], [], [])
-        if rows.num_rows:
-            left = int((rows["side"].to_numpy() == 0).sum())
-            found = _neighbours(_bytes(rows["key"], 4 + 4 * DEPTH), _bytes(rows["a"], 16), _bytes(rows["sketch"], HASHES // 2), left, agree, left)
-        return pa.table({"a": pa.array(found[0], pa.binary()), "b": pa.array(found[1], pa.binary()), "agree": pa.array(found[2], pa.int32())})
+        left = int((rows["side"].to_numpy() == 0).sum())
+        return paired(*arrays(rows), left, left).select(["a", "b"])
 
     ordered = rows.repartitionByRange(parts, "key", "set_id").sortWithinPartitions("key", "set_id")
-    ordered.mapInArrow(scan, schema).write.mode("overwrite").parquet(f"{folder}/scanned")
-    scanned = classes.sparkSession.read.schema(schema).parquet(f"{folder}/scanned")
-    seams = scanned.where("seam IS NOT NULL").groupBy("seam").applyInArrow(seam, "a binary, b binary, agree int")
-    return scanned.where("seam IS NULL").select("a", "b", "agree").union(seams).groupBy("a", "b").agg(F.max("agree").alias("agree"))
+    scanned = table_written(ordered.mapInArrow(scan, schema), path)
+    seams = scanned.where("seam IS NOT NULL").groupBy("seam").applyInArrow(seam, PAIRS)
+    return scanned.where("seam IS NULL").select("a", "b").union(seams).distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -218,21 +235,15 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, key: str
     row. Links are found with probability 1 - (1 - s**MIN_PREFIX)**TREES at similarity s, that
     is all but one in 90,000 at 0.85 and fewer above, in regions that are not crowded.
     """
-    spark = docs.sparkSession
-    folder = scratch_dir(spark, "minhash")
-    made = signatures(docs, width, key, text)
-    made.write.mode("overwrite").parquet(f"{folder}/signatures")
-    made = spark.read.schema(made.schema).parquet(f"{folder}/signatures")
+    folder = scratch_dir(docs.sparkSession, "minhash")
+    made = table_written(signatures(docs, width, key, text), f"{folder}/signatures")
     classes = made.where("n_shingles > 0").groupBy("set_id").agg(
         F.first("signature").alias("signature"), F.first("sketch").alias("sketch"),
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("least"),
     )
-    pairs = candidates(classes, percent / 100, folder)
-    pairs.write.mode("overwrite").parquet(f"{folder}/pairs")
-    pairs = spark.read.schema(pairs.schema).parquet(f"{folder}/pairs")
-
-    ends = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
-    wanted = classes.join(ends, "set_id").select(
+    direct = candidates(classes.withColumn("mark", F.lit(0).cast("long")), percent / 100, f"{folder}/direct", True)
+    direct = table_written(direct, f"{folder}/direct-pairs")
+    wanted = classes.join(direct.where("b IS NULL").select(F.col("a").alias("set_id")), "set_id").select(
         "set_id", F.col("least.doc_id").alias("doc_id"), F.col("least.row_key").alias("row_key")
     )
 
@@ -246,24 +257,15 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, key: str
     fetched = texts.join(
         wanted, (texts["hash"] == wanted["row_key"]) & texts["id"].eqNullSafe(wanted["doc_id"])
     ).select("set_id", "text").mapInArrow(members, "set_id binary, members binary")
-    fetched = fetched.dropDuplicates(["set_id"])
-    fetched.write.mode("overwrite").parquet(f"{folder}/members")
-    sets = spark.read.schema(fetched.schema).parquet(f"{folder}/members")
-
-    best = pairs.groupBy("b").agg(F.max_by("a", "agree").alias("a"))
-    links = confirmed(best, sets, percent)
-    links.write.mode("overwrite").parquet(f"{folder}/first")
-    links = spark.read.schema("u binary, v binary").parquet(f"{folder}/first")
+    sets = table_written(fetched.dropDuplicates(["set_id"]), f"{folder}/members")
+
+    links = table_written(confirmed(direct.where("b IS NOT NULL"), sets, percent), f"{folder}/direct-links")
     found = components(links)
-    apart = (
-        pairs.join(found.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left")
-        .join(found.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-        .where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
-        .join(best.select("b", F.col("a").alias("tried")), "b").where("a <> tried")
-        .select("a", "b")
+    marked = classes.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn(
+        "mark", F.xxhash64(F.coalesce("root", "set_id"))
     )
-    confirmed(apart, sets, percent).write.mode("overwrite").parquet(f"{folder}/second")
-    more = spark.read.schema("u binary, v binary").parquet(f"{folder}/second")
+    apart = candidates(marked, percent / 100, f"{folder}/apart", False)
+    more = table_written(confirmed(apart, sets, percent), f"{folder}/more-links")
     found = components(links.union(more))
 
     rooted = classes.select("set_id", "least").join(
