@@ -7,7 +7,7 @@ MIN_PREFIX minhashes with it: they have the longest common prefixes, so where a
 crowded the candidates share more of the prefix, where it is sparse they share less. A
 sketch of all minhashes drops candidates that are out of reach of the threshold by more than
 six standard deviations; the rest is confirmed on the full sets. The forest is walked twice:
-first only direct neighbours in a few trees are confirmed, which joins up most of every group
+first only direct neighbours are confirmed, which joins up most of every group
 however large it is; then all candidates whose ends are still apart. That gives the same
 components as confirming all of them, with few pairs per class.
 """
@@ -31,8 +31,6 @@ from usetrail.session import scratch_dir
 
 TREES, DEPTH, MIN_PREFIX = 12, 6, 3
 NEIGHBOURS = 24
-#: Trees whose direct neighbours are confirmed first.
-DIRECT_TREES = 3
 HASHES = TREES * DEPTH
 #: Rows of the sorted orders per task.
 TASK_ROWS = 50_000
@@ -130,7 +128,7 @@ PAIRS = "a binary, b binary"
 def candidates(classes: DataFrame, similarity: float, path: str, direct: bool) -> DataFrame:
     """a, b: class pairs (a < b) that the forest finds, each once, and (a, null) per class.
 
-    `direct`: only direct neighbours in the first DIRECT_TREES trees are paired, and every
+    `direct`: only direct neighbours are paired, and every
     class that has any candidate is listed with a null. Otherwise all candidates are paired
     whose `mark` differs. The sorted orders are cut into ranges of rows; what lies across a
     cut is found from the last rows before and the first rows after it, so cuts lose no
@@ -169,7 +167,7 @@ def candidates(classes: DataFrame, similarity: float, path: str, direct: bool) -
         alone: list[bytes] = []
         if direct:
             alone = [sets[x].tobytes() for x in np.unique(np.concatenate((i, j)))]
-            near = (i - j == 1) & (keys[i, 3] < DIRECT_TREES)
+            near = i - j == 1
         else:
             near = marks[i] != marks[j]
         ends = [sorted((sets[x].tobytes(), sets[y].tobytes())) for x, y in zip(i[near], j[near], strict=True)]
