@@ -1,4 +1,4 @@
-"""Headline queries at one scale on one machine; prints one JSON line."""
+"""All queries of the reference's operators at one scale on one machine; prints one JSON line."""
 
 from __future__ import annotations
 
@@ -12,19 +12,10 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from usetrail.queries import QUERIES  # noqa: E402
 from usetrail.session import build  # noqa: E402
 
-HEADLINE = [
-    "scan_corpus", "latest_by_key", "line_col_tokens", "pair_spans", "parents", "locate",
-    "nearest_ancestor", "ancestors", "extract_decls", "resolve_scoped", "resolve_asof",
-    "resolve_by_name", "merge_objects", "symbol_at", "lock_depth", "held_at", "severity_counts",
-    "in_concurrent", "read_before_write", "retention", "emit_findings", "hover_text",
-    "build_graph", "refreshing_hit", "asof_hit", "debounce", "stream_latest",
-]
-
-
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    names = sys.argv[1].split(",") if len(sys.argv) > 1 else HEADLINE
+    names = sys.argv[1].split(",") if len(sys.argv) > 1 else list(QUERIES)
     spark = build(f"local[{cpus}]", partitions=int(cpus) if cpus.isdigit() else 8)
     spark.range(1000).selectExpr("sum(id)").collect()  # session start is not a query
     took = {}

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from usetrail.operators import counts, structure
 from usetrail.plans import code_facts, hazards
-from usetrail.queries.registry import QUERIES  # noqa: F401
 
 
 def n(kind, *children, field=None, text=None):

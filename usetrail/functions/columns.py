@@ -19,11 +19,6 @@ def micros(ts: str) -> Column:
     )
 
 
-def address(line: Column, col: Column) -> Column:
-    """Sortable position of a (line, column) pair."""
-    return line.cast("long") * F.lit(LINE_SHIFT) + col
-
-
 def line_of(pos: Column) -> Column:
     return F.floor(pos / LINE_SHIFT).cast("long")
 
@@ -48,10 +43,6 @@ def holds_range(start: Column, end: Column, inner_start: Column, inner_end: Colu
     return (start <= inner_start) & (inner_end <= end)
 
 
-def same_range(start: Column, end: Column, other_start: Column, other_end: Column) -> Column:
-    return (start == other_start) & (end == other_end)
-
-
 def entity_key(kind, name, line, col, end_col) -> Column:
     """kind:name:line:col:endcol"""
     return F.concat_ws(":", kind, name, line, col, end_col)

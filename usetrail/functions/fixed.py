@@ -72,11 +72,8 @@ RULES = [
     (8, "struct-large-copy", "Information",
      "Potential large struct copy by value for `%s`"),
 ]
-RULE_ID = {name: number for number, name, _, _ in RULES}
 # (rank, diagnostic severity)
 SEVERITIES = [(1, "Error"), (2, "Warning"), (3, "Information"), (4, "Hint")]
-# (rank, race severity)
-RACE_RANKS = [(1, "High"), (2, "Medium"), (3, "Low")]
 RETAIN_SLICE = "Retention risk: sub-slice/sub-string may keep large backing memory"
 RETAIN_MAP = "Retention risk: map reference can keep large object graph alive"
 
@@ -111,6 +108,5 @@ EDGE_TYPES = ["Use", "Call", "Send", "Receive", "Spawn", "Sync"]
 # --- fixed values: cache and timing defaults ---------------------------------
 TTL_SECONDS = 300
 MAX_DOCUMENTS = 50
-MAX_TREES = 20
 DEBOUNCE_MS = 300
 CLIP_CHARS = 20000

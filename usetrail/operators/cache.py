@@ -12,12 +12,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from usetrail.functions import fixed
 from usetrail.plans.scan import (
     CHUNK, following, highest, matched, previous, running, with_chunks,
 )
 
+TTL = fixed.TTL_SECONDS * 1_000_000
+QUIET = fixed.DEBOUNCE_MS * 1_000
 
-def ttl_live(touches: DataFrame, keys: list[str], pos: str, now: Column, ttl: int) -> DataFrame:
+
+def ttl_live(touches: DataFrame, keys: list[str], pos: str, now: Column, ttl: int = TTL) -> DataFrame:
     """Entries whose last touch is at most `ttl` old; older ones are dead.
 
     For documents pass puts and gets (a get refreshes), for trees puts only.
@@ -27,7 +31,7 @@ def ttl_live(touches: DataFrame, keys: list[str], pos: str, now: Column, ttl: in
 
 
 def refreshing_hit(
-    ops: DataFrame, keys: list[str], order: list[str], is_put: Column, ttl: int
+    ops: DataFrame, keys: list[str], order: list[str], is_put: Column, ttl: int = TTL
 ) -> DataFrame:
     """Hit flag of every get where a get refreshes its entry.
 
@@ -147,7 +151,7 @@ def _fold(keys: list[str]):
     return run
 
 
-def asof_hit(requests: DataFrame, keys: list[str], order: list[str], ttl: int) -> DataFrame:
+def asof_hit(requests: DataFrame, keys: list[str], order: list[str], ttl: int = TTL) -> DataFrame:
     """Hit flag of every request where a hit does not refresh.
 
     A miss inserts the entry and later requests hit until `ttl` after that insert, so
@@ -178,7 +182,7 @@ def _walked(ready: DataFrame, keys: list[str], order: list[str], ttl: int, types
     return rows.mapInPandas(_walk(keys, order, ttl), f"{ddl}, hit boolean").drop(CHUNK)
 
 
-def keep_recent(entries: DataFrame, order: list[str], n: int) -> DataFrame:
+def keep_recent(entries: DataFrame, order: list[str], n: int = fixed.MAX_DOCUMENTS) -> DataFrame:
     """The n most recent entries."""
     return entries.orderBy(*[F.desc(c) for c in order]).limit(n)
 
@@ -190,7 +194,7 @@ def drop_repeats(df: DataFrame, keys: list[str], order: list[str], value: Column
 
 
 def debounce(
-    df: DataFrame, keys: list[str], order: list[str], delay: int, value: Column | None = None
+    df: DataFrame, keys: list[str], order: list[str], delay: int = QUIET, value: Column | None = None
 ) -> DataFrame:
     """The last row of each burst, fired after `delay` of quiet.
 

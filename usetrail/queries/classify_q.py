@@ -2,13 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from usetrail.functions import fixed
 from usetrail.operators import classify as cl
-from usetrail.operators import rules, symbols
 from usetrail.plans import hazards
-from usetrail.plans.scan import lowest, running, total
+from usetrail.plans.scan import running, total
 from usetrail.queries.registry import query
-from usetrail.queries.rules_q import FLAGS_SQL, GROUP, SCOPE, TEXT_SQL, captured_rows, marked_accesses
+from usetrail.queries.rules_q import FLAGS_SQL, GROUP, TEXT_SQL, captured_rows, marked_accesses
 from usetrail.sources import views as v
 
 OWN = ["entity"]

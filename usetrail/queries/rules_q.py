@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from usetrail.functions.columns import is_atomic_name, is_mutex_method, lock_delta
+from usetrail.functions.columns import lock_delta
 from usetrail.operators import rules, structure, sync
 from usetrail.plans import hazards
 from usetrail.plans.scan import following, running

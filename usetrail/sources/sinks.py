@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usetrail.functions import fixed
 from usetrail.operators.classify import color_key, kind_table
 from usetrail.plans.scan import stacked
 
@@ -84,11 +83,3 @@ def read_findings(spark: SparkSession, path: str, doc: str = "doc_id") -> DataFr
     )
     kept = log.filter(F.col("rule") != HEAD_RULE).join(newest, [doc, "version"])
     return kept.drop("version")
-
-
-def severity_rank(col: str) -> Column:
-    """Rank of a diagnostic severity (Error = 1)."""
-    out = F.lit(None).cast("int")
-    for rank, name in fixed.SEVERITIES:
-        out = F.when(F.col(col) == name, rank).otherwise(out)
-    return out
