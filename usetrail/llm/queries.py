@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usetrail.llm import chat, decontaminate, extract, minhash, packing, quality, secrets, sharding, substring, suffix
-from usetrail.llm.common import table, text_of
+from usetrail.llm.common import table
 from usetrail.session import scratch_dir
 
 
