@@ -90,6 +90,36 @@ def test_neighbours_across_range_cuts_are_found(spark, docs, monkeypatch):
     assert few == {(r.doc_id, r.component_id) for r in minhash.near_duplicates(docs).collect()}
 
 
+def test_links_inside_a_crowded_family_are_found(spark, monkeypatch):
+    """1,600 texts of one template, most pairs just below the threshold, 200 planted ones above."""
+    monkeypatch.setattr(minhash, "BLOCK", 300)
+    rng = random.Random(11)
+    base = words(rng, 300, 10**6)
+
+    def edited(text, n, name):
+        out = list(text)
+        for at in rng.sample(range(0, 300, 3), n):
+            out[at] = f"{name}.{at}"
+        return out
+
+    texts = [edited(base, 5, f"a{i}") for i in range(1400)]
+    texts += [edited(texts[i], 8, f"b{i}") for i in range(200)]
+    rng.shuffle(texts)
+    sets = [sets_of(" ".join(t), 3) for t in texts]
+    column = {s: n for n, s in enumerate(sorted(set().union(*sets)))}
+    has = np.zeros((len(sets), len(column)), np.float32)
+    for n, found in enumerate(sets):
+        has[n, [column[s] for s in found]] = 1
+    shared, size = has @ has.T, has.sum(axis=1)
+    linked = np.argwhere(np.triu(100 * shared >= 85 * (size[:, None] + size - shared), 1))
+    assert len(linked) >= 150
+    links = spark.createDataFrame([(int(a).to_bytes(2), int(b).to_bytes(2)) for a, b in linked], "u binary, v binary")
+    want = {n: n for n in range(len(texts))}
+    want |= {int.from_bytes(r.node): int.from_bytes(r.root) for r in graph.components(links).collect()}
+    table = spark.createDataFrame([(n, " ".join(t)) for n, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(table).collect()} == want
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 130)] + [(200, 200)]
     links = spark.createDataFrame([(bytes([a // 256, a % 256]), bytes([b // 256, b % 256])) for a, b in links], "u binary, v binary")

@@ -10,6 +10,11 @@ six standard deviations; the rest is confirmed on the full sets. The forest is w
 first only direct neighbours are confirmed, which joins up most of every group
 however large it is; then all candidates whose ends are still apart. That gives the same
 components as confirming all of them, with few pairs per class.
+
+A class whose NEIGHBOURS-th neighbour still shares MIN_PREFIX minhashes lies in a crowded
+region, where its window may end before a link. Two classes that share a prefix but lie
+further apart in the order are both such classes, so all pairs of them are searched by an
+exact prefix filter (`crowded_pairs`) instead of the second walk.
 """
 
 from __future__ import annotations
@@ -31,6 +36,10 @@ from usetrail.session import scratch_dir
 
 TREES, DEPTH, MIN_PREFIX = 12, 6, 3
 NEIGHBOURS = 24
+#: Buckets (as bits) that shingles are counted in for the order of the prefix filter, dealt in so many rows.
+COUNT_BITS, COUNT_ROWS = 22, 256
+#: Classes with the same shingle that one task pairs with each other or with as many others.
+BLOCK = 2000
 HASHES = TREES * DEPTH
 #: Rows of the sorted orders per task.
 TASK_ROWS = 50_000
@@ -75,8 +84,10 @@ def _bytes(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
 
 
-def _neighbours(keys: np.ndarray, sketches: np.ndarray, first: int, agree: int) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs (row, earlier row) of the rows from `first` on.
+def _neighbours(
+    keys: np.ndarray, sketches: np.ndarray, first: int, agree: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidate pairs (row, earlier row) of the rows from `first` on, and the rows whose window is full.
 
     Prefixes get shorter with distance, so a row leaves once it shares too little with the
     row at hand.
@@ -93,7 +104,8 @@ def _neighbours(keys: np.ndarray, sketches: np.ndarray, first: int, agree: int)
         ends[0].append(good)
         ends[1].append(good - distance)
     none = np.zeros(0, np.int64)
-    return np.concatenate([none, *ends[0]]), np.concatenate([none, *ends[1]])
+    full = np.concatenate((rows, rows - NEIGHBOURS)) if len(rows) else none
+    return np.concatenate([none, *ends[0]]), np.concatenate([none, *ends[1]]), full
 
 
 def signatures(docs: DataFrame, width: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -128,9 +140,10 @@ PAIRS = "a binary, b binary"
 def candidates(classes: DataFrame, similarity: float, path: str, direct: bool) -> DataFrame:
     """a, b: class pairs (a < b) that the forest finds, each once, and (a, null) per class.
 
-    `direct`: only direct neighbours are paired, and every
-    class that has any candidate is listed with a null. Otherwise all candidates are paired
-    whose `mark` differs. The sorted orders are cut into ranges of rows; what lies across a
+    `direct`: only direct neighbours are paired, every class that has any candidate or lies
+    in a crowded region is listed with a null, and the latter with an empty b as well.
+    Otherwise all candidates are paired whose `mark` differs, save those of two crowded
+    classes (odd marks), which `crowded_pairs` finds. The sorted orders are cut into ranges of rows; what lies across a
     cut is found from the last rows before and the first rows after it, so cuts lose no
     neighbour.
     """
@@ -160,18 +173,23 @@ def candidates(classes: DataFrame, similarity: float, path: str, direct: bool) -
                      sketch=[x.tobytes() for x in sketches], mark=marks.tolist())
 
     def paired(keys, sets, sketches, marks, first: int, left: int | None = None) -> pa.Table:
-        i, j = _neighbours(keys, sketches, first, agree)
+        i, j, full = _neighbours(keys, sketches, first, agree)
         if left is not None:
             across = (i >= left) & (j < left)
             i, j = i[across], j[across]
         alone: list[bytes] = []
+        crowded: list[bytes] = []
         if direct:
-            alone = [sets[x].tobytes() for x in np.unique(np.concatenate((i, j)))]
+            alone = [sets[x].tobytes() for x in np.unique(np.concatenate((i, j, full)))]
+            crowded = [sets[x].tobytes() for x in np.unique(full)]
             near = i - j == 1
         else:
-            near = marks[i] != marks[j]
+            near = (marks[i] >> 1 != marks[j] >> 1) & (marks[i] & marks[j] & 1 == 0)
         ends = [sorted((sets[x].tobytes(), sets[y].tobytes())) for x, y in zip(i[near], j[near], strict=True)]
-        return table(len(alone) + len(ends), a=alone + [e[0] for e in ends], b=[None] * len(alone) + [e[1] for e in ends])
+        return table(
+            len(alone) + len(crowded) + len(ends), a=alone + crowded + [e[0] for e in ends],
+            b=[None] * len(alone) + [b""] * len(crowded) + [e[1] for e in ends],
+        )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -201,6 +219,91 @@ def candidates(classes: DataFrame, similarity: float, path: str, direct: bool) -
     return scanned.where("seam IS NULL").select("a", "b").union(seams).distinct()
 
 
+def shingle_counts(sets: DataFrame) -> np.ndarray:
+    """In how many sets the shingles of each bucket are; added up in Spark, 16 MB on the driver."""
+    width = (1 << COUNT_BITS) // COUNT_ROWS
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << COUNT_BITS, np.int32)
+        for batch in batches:
+            for held in batch["members"]:
+                at, n = np.unique(_bucket(np.frombuffer(held.as_buffer(), np.uint64)), return_counts=True)
+                total[at] += n.astype(np.int32)
+        rows = total.reshape(COUNT_ROWS, width)
+        some = np.flatnonzero(rows.any(axis=1))
+        yield pa.record_batch(
+            [pa.array(some, pa.int64()), pa.array([rows[k].tobytes() for k in some], pa.binary())], ["part", "counts"]
+        )
+
+    def added(rows: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_buffer(), np.int32) for x in rows["counts"])
+        return pa.table({"part": rows["part"].slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    schema = "part long, counts binary"
+    counts = np.zeros((COUNT_ROWS, width), np.int32)
+    for row in sets.select("members").mapInArrow(counted, schema).groupBy("part").applyInArrow(added, schema).collect():
+        counts[row.part] = np.frombuffer(row.counts, np.int32)
+    return counts.reshape(-1)
+
+
+def _bucket(found: np.ndarray) -> np.ndarray:
+    return found * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - COUNT_BITS)
+
+
+def crowded_pairs(crowded: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of the classes (set_id, members, sketch, mark) whose marks differ, each once.
+
+    A prefix filter: shingles are ordered by how many classes have them, rare ones first. Two
+    sets that share `percent` % of their union have their first common shingle among the
+    first n - ceil(n * percent / 100) + 1 of either, and enough shingles from there on. Both
+    conditions are necessary, so no such pair is missed but for the sketch's six-sigma event.
+    The classes of a frequent shingle are cut into blocks by their id, and each pair of
+    blocks is a group of its own.
+    """
+    agree = least_agreement(percent / 100)
+    sent = crowded.sparkSession.sparkContext.broadcast(shingle_counts(crowded))
+    schema = "shingle long, low int, high int, block int, set_id binary, size int, rest int, mark long, sketch binary"
+    names = [part.split()[0] for part in schema.split(", ")]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = sent.value
+        for batch in batches:
+            rows = []
+            for set_id, held, sketch, mark in zip(*(batch[c] for c in ("set_id", "members", "sketch", "mark")), strict=True):
+                found = np.frombuffer(held.as_buffer(), np.uint64)
+                times = counts[_bucket(found)]
+                order = np.lexsort((found, times))[: len(found) + 1 + (-percent * len(found)) // 100]
+                set_id, sketch, mark = set_id.as_py(), sketch.as_py(), mark.as_py()
+                for at in np.flatnonzero(times[order] > 1).tolist():  # else no other class has it
+                    blocks = -(-int(times[order[at]]) // BLOCK)
+                    block = int.from_bytes(set_id[:8]) % blocks
+                    shingle = int(found[order[at]].astype(np.int64))
+                    for other in range(blocks):
+                        rows.append((shingle, min(block, other), max(block, other), block, set_id, len(found), len(found) - at, mark, sketch))
+            if rows:
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    def paired(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        low, high = key[1].as_py(), key[2].as_py()
+        ids, sketches = rows["set_id"].to_pylist(), _bytes(rows["sketch"], HASHES // 2)
+        block, size, rest, mark = (rows[c].to_numpy().astype(np.int64) for c in ("block", "size", "rest", "mark"))
+        ends: list[tuple[bytes, bytes]] = []
+        if (mark != mark[0]).any():
+            left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+            for i in left.tolist():
+                near = right[right > i] if low == high else right
+                shared = np.minimum(rest[i], rest[near])
+                near = near[((100 + percent) * shared >= percent * (size[i] + size[near])) & (mark[near] != mark[i])]
+                near = near[_agreement(sketches[near], sketches[i]) >= agree]
+                ends += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in near.tolist()]
+        return pa.table({"a": pa.array([e[0] for e in ends], pa.binary()), "b": pa.array([e[1] for e in ends], pa.binary())})
+
+    rows = crowded.select("set_id", "members", "sketch", "mark").mapInArrow(prefixes, schema)
+    return rows.groupBy("shingle", "low", "high").applyInArrow(paired, PAIRS).distinct()
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """u, v: the pairs (a, b) whose sets (set_id, members) share `percent` % of their union."""
     left = sets.select(F.col("set_id").alias("a"), F.col("members").alias("left"))
@@ -230,8 +333,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, key: str
     ids are null or repeated. Texts without words are linked with nothing.
     Null ids are linked like others but do not name a component unless nothing else does;
     rows that repeat an id and its text are both kept or both not. An empty table gives no
-    row. Links are found with probability 1 - (1 - s**MIN_PREFIX)**TREES at similarity s, that
-    is all but one in 90,000 at 0.85 and fewer above, in regions that are not crowded.
+    row. Links are found with probability 1 - (1 - s**MIN_PREFIX)**TREES or more at similarity
+    s, that is all but one in 90,000 at 0.85 and fewer above; also in crowded regions.
     """
     folder = scratch_dir(docs.sparkSession, "minhash")
     made = table_written(signatures(docs, width, key, text), f"{folder}/signatures")
@@ -257,12 +360,16 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, key: str
     ).select("set_id", "text").mapInArrow(members, "set_id binary, members binary")
     sets = table_written(fetched.dropDuplicates(["set_id"]), f"{folder}/members")
 
-    links = table_written(confirmed(direct.where("b IS NOT NULL"), sets, percent), f"{folder}/direct-links")
+    crowded = direct.where("b = X''").select(F.col("a").alias("set_id"))
+    links = table_written(confirmed(direct.where("b <> X''"), sets, percent), f"{folder}/direct-links")
     found = components(links)
-    marked = classes.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn(
-        "mark", F.xxhash64(F.coalesce("root", "set_id"))
-    )
+    marked = classes.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").join(
+        crowded.withColumn("odd", F.lit(1)), "set_id", "left"
+    ).withColumn("mark", F.expr("shiftleft(xxhash64(coalesce(root, set_id)), 1) | coalesce(odd, 0)"))
     apart = candidates(marked, percent / 100, f"{folder}/apart", False)
+    if not crowded.isEmpty():
+        inside = marked.where("odd = 1").select("set_id", "sketch", "mark").join(sets, "set_id")
+        apart = apart.union(crowded_pairs(table_written(inside, f"{folder}/crowded"), percent))
     more = table_written(confirmed(apart, sets, percent), f"{folder}/more-links")
     found = components(links.union(more))
 
