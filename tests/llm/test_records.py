@@ -294,6 +294,15 @@ def test_main_text_of_pages():
     assert extract.main_text("plain &lt;text&gt;", set()) == "plain <text>"
 
 
+def test_wrappers_that_mention_noise_keep_their_article():
+    for name in ("site has-sidebar", "no-sidebar", "content-sidebar-wrap", "comments-open", "notice"):
+        page = f'<div class="{name}"><p>before</p><article><p>a <i class="ad">x</i>b</p></article></div>'
+        assert extract.main_text(page, set()) == "before\n\na b"
+    inside = '<article><section class="related-work"><p>a <span class="search-term">b</span></p></section></article>'
+    assert extract.main_text(inside, set()) == "a b"
+    assert extract.main_text('<div class="cookie-notice"><p>x</p></div><main>y</main>', set()) == "y"
+
+
 def test_low_branches_of_a_site_go(spark):
     pages = [
         (i, f"http://h.example/{i}", f"<body><div class=top><p>Welcome all</p></div><div class=main><p>Story {i} a</p><p>Tale {i}</p></div><div class=end>The end</div></body>")

@@ -66,23 +66,38 @@ _LETTERS = re.compile(r"[a-z]+")
 
 
 class _Node:
-    __slots__ = ("tag", "path", "noise", "article", "children")
+    __slots__ = ("tag", "path", "above", "sure", "called", "article", "children")
 
-    def __init__(self, tag: str, label: str, above: _Node | None, noise: bool) -> None:
+    def __init__(self, tag: str, label: str, above: _Node | None, sure: bool, called: bool) -> None:
         self.tag = tag
         self.path = label if above is None else f"{above.path}>{label}"
-        self.noise = noise or (above is not None and above.noise)
+        self.above = above
+        self.sure = sure or (above is not None and above.sure)
+        self.called = called
         self.article = tag in ("article", "main") or (above is not None and above.article)
         self.children: list[str] = []
+        if tag in ("article", "main"):  # what holds one is no noise, whatever it is called
+            while above is not None:
+                above.called = False
+                above = above.above
+
+    @property
+    def noise(self) -> bool:
+        """Noise by tag or name, of its own or above; names are settled once the page is read."""
+        node: _Node | None = self
+        while node is not None and not node.called:
+            node = node.above
+        return self.sure or node is not None
 
 
 def parse(page: str) -> tuple[list[tuple[str, str, bool, bool]], list[tuple[str, str]]]:
     """Blocks (path, text, noise, fixed) in page order, and (path, child sequence) of nodes.
 
-    `noise` blocks lie in elements that are no article text by tag, class, id or role;
+    `noise` blocks lie in elements that are no article text by tag, class, id or role; a name
+    counts only if all its words are noise words, and not on what holds an article or main;
     `fixed` ones are paragraphs and headings inside an article.
     """
-    root = _Node("", "", None, False)
+    root = _Node("", "", None, False, False)
     stack, blocks, nodes, held = [root], [], [root], []
 
     def owner() -> _Node:
@@ -90,7 +105,7 @@ def parse(page: str) -> tuple[list[tuple[str, str, bool, bool]], list[tuple[str,
 
     def hidden() -> bool:
         """Text of an inline element that is noise inside a block that is not."""
-        return stack[-1].noise and not owner().noise
+        return any(n.sure or n.called for n in stack[stack.index(owner()) + 1 :]) and not owner().sure
 
     def flush() -> None:
         if held:
@@ -98,7 +113,7 @@ def parse(page: str) -> tuple[list[tuple[str, str, bool, bool]], list[tuple[str,
             held.clear()
             if text:
                 of = owner()
-                blocks.append((of.path, text, of.noise, of.article and of.tag in PARAGRAPHS))
+                blocks.append((of, text, of.article and of.tag in PARAGRAPHS))
 
     def close(depth: int) -> None:
         if any(n.tag not in INLINE for n in stack[depth:]):
@@ -151,9 +166,10 @@ def parse(page: str) -> tuple[list[tuple[str, str, bool, bool]], list[tuple[str,
             for key, value in _ATTRIBUTE.findall(rest):
                 value = value.strip("\"'").lower()
                 words.append((key.lower(), value))
-        noise = tag in NOISE_TAGS or (tag == "header" and not stack[-1].article)
-        if tag not in ("html", "body", "article", "main"):
-            noise = noise or any(w in NOISE_WORDS for _, v in words for w in _LETTERS.findall(v))
+        sure = tag in NOISE_TAGS or (tag == "header" and not stack[-1].article)
+        called = tag not in ("html", "body", "article", "main") and any(
+            (found := _LETTERS.findall(name)) and NOISE_WORDS.issuperset(found) for _, v in words for name in v.split()
+        )
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
             at = size if end is None else end.start()
@@ -164,16 +180,17 @@ def parse(page: str) -> tuple[list[tuple[str, str, bool, bool]], list[tuple[str,
             flush()
         label = tag + "".join(f".{w}" for k, v in words if k == "class" for w in sorted(set(_LETTERS.findall(v))))
         if tag in INLINE:
-            node = _Node(tag, "", stack[-1], noise)
+            node = _Node(tag, "", stack[-1], sure, called)
             node.path = stack[-1].path
         else:
             above = owner()
             above.children.append(label)
-            node = _Node(tag, label, above, noise or stack[-1].noise)
+            node = _Node(tag, label, stack[-1], sure, called)
+            node.path = f"{above.path}>{label}"
             nodes.append(node)
         stack.append(node)
     flush()
-    return blocks, [(n.path, ",".join(n.children)) for n in nodes if n.children]
+    return [(n.path, text, n.noise, fixed) for n, text, fixed in blocks], [(n.path, ",".join(n.children)) for n in nodes if n.children]
 
 
 def host_of(url: str | None) -> str:
