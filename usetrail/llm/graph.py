@@ -78,6 +78,8 @@ def components(links: DataFrame) -> DataFrame:
         if now == mark:
             break
         mark = now
+    else:
+        raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )

@@ -13,8 +13,8 @@ components as confirming all of them, with few pairs per class.
 
 A class whose NEIGHBOURS-th neighbour still shares MIN_PREFIX minhashes lies in a crowded
 region, where its window may end before a link. Two classes that share a prefix but lie
-further apart in the order are both such classes, so all pairs of them are searched by an
-exact prefix filter (`crowded_pairs`) instead of the second walk.
+further apart in the order are both such classes, so whole regions of them are compared
+(`crowded_links`) instead of the second walk.
 """
 
 from __future__ import annotations
@@ -36,10 +36,8 @@ from usetrail.session import scratch_dir
 
 TREES, DEPTH, MIN_PREFIX = 12, 6, 3
 NEIGHBOURS = 24
-#: Buckets (as bits) that shingles are counted in for the order of the prefix filter, dealt in so many rows.
-COUNT_BITS, COUNT_ROWS = 22, 256
-#: Classes with the same shingle that one task pairs with each other or with as many others.
-BLOCK = 2000
+#: Classes of a crowded region that one task compares with each other or with as many others, and their bytes.
+BLOCK, BLOCK_BYTES = 4000, 16 << 20
 HASHES = TREES * DEPTH
 #: Rows of the sorted orders per task.
 TASK_ROWS = 50_000
@@ -69,9 +67,12 @@ def sketch_of(signature: np.ndarray) -> bytes:
     return (bits[::2] << 4 | bits[1::2]).tobytes()
 
 
-def least_agreement(similarity: float) -> int:
-    """Sketch values that agree in all pairs of that similarity but for a six-sigma event."""
-    p = similarity + (1 - similarity) / 16
+def least_agreement(similarity: float, chance: float = 1 / 16) -> int:
+    """Values that agree in all pairs of that similarity but for a six-sigma event.
+
+    `chance`: how often values of different minhashes agree (sketches: four bits).
+    """
+    p = similarity + (1 - similarity) * chance
     return max(1, math.floor(HASHES * p - 6 * math.sqrt(HASHES * p * (1 - p))))
 
 
@@ -143,7 +144,7 @@ def candidates(classes: DataFrame, similarity: float, path: str, direct: bool) -
     `direct`: only direct neighbours are paired, every class that has any candidate or lies
     in a crowded region is listed with a null, and the latter with an empty b as well.
     Otherwise all candidates are paired whose `mark` differs, save those of two crowded
-    classes (odd marks), which `crowded_pairs` finds. The sorted orders are cut into ranges of rows; what lies across a
+    classes (odd marks), which `crowded_links` joins up. The sorted orders are cut into ranges of rows; what lies across a
     cut is found from the last rows before and the first rows after it, so cuts lose no
     neighbour.
     """
@@ -219,89 +220,63 @@ def candidates(classes: DataFrame, similarity: float, path: str, direct: bool) -
     return scanned.where("seam IS NULL").select("a", "b").union(seams).distinct()
 
 
-def shingle_counts(sets: DataFrame) -> np.ndarray:
-    """In how many sets the shingles of each bucket are; added up in Spark, 16 MB on the driver."""
-    width = (1 << COUNT_BITS) // COUNT_ROWS
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << COUNT_BITS, np.int32)
-        for batch in batches:
-            for held in batch["members"]:
-                at, n = np.unique(_bucket(np.frombuffer(held.as_buffer(), np.uint64)), return_counts=True)
-                total[at] += n.astype(np.int32)
-        rows = total.reshape(COUNT_ROWS, width)
-        some = np.flatnonzero(rows.any(axis=1))
-        yield pa.record_batch(
-            [pa.array(some, pa.int64()), pa.array([rows[k].tobytes() for k in some], pa.binary())], ["part", "counts"]
-        )
-
-    def added(rows: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_buffer(), np.int32) for x in rows["counts"])
-        return pa.table({"part": rows["part"].slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
-
-    schema = "part long, counts binary"
-    counts = np.zeros((COUNT_ROWS, width), np.int32)
-    for row in sets.select("members").mapInArrow(counted, schema).groupBy("part").applyInArrow(added, schema).collect():
-        counts[row.part] = np.frombuffer(row.counts, np.int32)
-    return counts.reshape(-1)
-
-
-def _bucket(found: np.ndarray) -> np.ndarray:
-    return found * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - COUNT_BITS)
-
+def crowded_links(crowded: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """u, v: links that join up the classes (set_id, signature, n_shingles, mark) whose marks differ.
 
-def crowded_pairs(crowded: DataFrame, percent: int) -> DataFrame:
-    """a, b: pairs of the classes (set_id, members, sketch, mark) whose marks differ, each once.
-
-    A prefix filter: shingles are ordered by how many classes have them, rare ones first. Two
-    sets that share `percent` % of their union have their first common shingle among the
-    first n - ceil(n * percent / 100) + 1 of either, and enough shingles from there on. Both
-    conditions are necessary, so no such pair is missed but for the sketch's six-sigma event.
-    The classes of a frequent shingle are cut into blocks by their id, and each pair of
-    blocks is a group of its own.
+    Two classes of crowded regions that share the first MIN_PREFIX minhashes of a tree lie in
+    one region of it, however far apart in the order. Regions with more than one mark are cut
+    into blocks of bounded rows and bytes, and each pair of blocks is a group of its own. A
+    group compares every pair of different marks on the full sets, passing over pairs
+    that an earlier tree compares and pairs its links have joined already, so it gives fewer
+    links than it has rows and yet joins all that is linked.
     """
-    agree = least_agreement(percent / 100)
-    sent = crowded.sparkSession.sparkContext.broadcast(shingle_counts(crowded))
-    schema = "shingle long, low int, high int, block int, set_id binary, size int, rest int, mark long, sketch binary"
-    names = [part.split()[0] for part in schema.split(", ")]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = sent.value
-        for batch in batches:
-            rows = []
-            for set_id, held, sketch, mark in zip(*(batch[c] for c in ("set_id", "members", "sketch", "mark")), strict=True):
-                found = np.frombuffer(held.as_buffer(), np.uint64)
-                times = counts[_bucket(found)]
-                order = np.lexsort((found, times))[: len(found) + 1 + (-percent * len(found)) // 100]
-                set_id, sketch, mark = set_id.as_py(), sketch.as_py(), mark.as_py()
-                for at in np.flatnonzero(times[order] > 1).tolist():  # else no other class has it
-                    blocks = -(-int(times[order[at]]) // BLOCK)
-                    block = int.from_bytes(set_id[:8]) % blocks
-                    shingle = int(found[order[at]].astype(np.int64))
-                    for other in range(blocks):
-                        rows.append((shingle, min(block, other), max(block, other), block, set_id, len(found), len(found) - at, mark, sketch))
-            if rows:
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+    least = least_agreement(percent / 100, 0)
+    tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
+    rows = crowded.select("set_id", "signature", "n_shingles", "mark", tree.alias("tree")).withColumn(
+        "region", F.substring("signature", F.col("tree") * (4 * DEPTH) + 1, F.lit(4 * MIN_PREFIX))
+    )
+    regions = rows.groupBy("tree", "region").agg(
+        F.count("*").alias("n"), F.sum("n_shingles").alias("held"), F.min("mark").alias("m0"), F.max("mark").alias("m1")
+    ).where("m0 < m1").select(
+        "tree", "region", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(8 * F.col("held") / BLOCK_BYTES)).alias("blocks")
+    )
+    block = F.pmod(F.xxhash64("set_id"), F.col("blocks"))
+    dealt = rows.join(regions, ["tree", "region"]).withColumn("block", block).select(
+        "set_id", "signature", "mark", "tree", "region", "block",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"),
+    ).select(
+        "*", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
+    ).drop("other").join(sets, "set_id")
 
-    def paired(key: tuple, rows: pa.Table) -> pa.Table:
+    def joined(key: tuple, rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
-        low, high = key[1].as_py(), key[2].as_py()
-        ids, sketches = rows["set_id"].to_pylist(), _bytes(rows["sketch"], HASHES // 2)
-        block, size, rest, mark = (rows[c].to_numpy().astype(np.int64) for c in ("block", "size", "rest", "mark"))
+        ids, block = rows["set_id"].to_pylist(), rows["block"].to_numpy()
+        sign = _bytes(rows["signature"], 4 * HASHES).view(">u4")
+        held = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["members"]]
+        size = np.array([len(x) for x in held])
+        label = np.unique(rows["mark"].to_numpy(), return_inverse=True)[1]
+        open_ = np.ones(len(ids), bool)
         ends: list[tuple[bytes, bytes]] = []
-        if (mark != mark[0]).any():
-            left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
-            for i in left.tolist():
-                near = right[right > i] if low == high else right
-                shared = np.minimum(rest[i], rest[near])
-                near = near[((100 + percent) * shared >= percent * (size[i] + size[near])) & (mark[near] != mark[i])]
-                near = near[_agreement(sketches[near], sketches[i]) >= agree]
-                ends += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in near.tolist()]
-        return pa.table({"a": pa.array([e[0] for e in ends], pa.binary()), "b": pa.array([e[1] for e in ends], pa.binary())})
-
-    rows = crowded.select("set_id", "members", "sketch", "mark").mapInArrow(prefixes, schema)
-    return rows.groupBy("shingle", "low", "high").applyInArrow(paired, PAIRS).distinct()
+        for i in np.flatnonzero(label != np.bincount(label).argmax()).tolist():
+            open_[i] = False
+            near = open_ & (label != label[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
+            if key[2].as_py() != key[3].as_py():
+                near &= block != block[i]
+            near = np.flatnonzero(near)
+            same = sign[near] == sign[i]
+            agree = same.sum(axis=1)
+            before = same.reshape(-1, TREES, DEPTH)[:, : key[0].as_py(), :MIN_PREFIX].all(axis=2).any(axis=1)
+            order = np.argsort(-agree, kind="stable")
+            for j in near[order[(agree[order] >= least) & ~before[order]]].tolist():
+                if label[i] != label[j]:
+                    at = np.searchsorted(held[i], held[j])
+                    shared = int((held[i][np.minimum(at, size[i] - 1)] == held[j]).sum())
+                    if 100 * shared >= percent * (size[i] + size[j] - shared):
+                        ends.append((ids[i], ids[j]))
+                        label[label == label[j]] = label[i]
+        return pa.table({"u": pa.array([e[0] for e in ends], pa.binary()), "v": pa.array([e[1] for e in ends], pa.binary())})
+
+    return dealt.groupBy("tree", "region", "low", "high").applyInArrow(joined, "u binary, v binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -340,7 +315,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, key: str
     made = table_written(signatures(docs, width, key, text), f"{folder}/signatures")
     classes = made.where("n_shingles > 0").groupBy("set_id").agg(
         F.first("signature").alias("signature"), F.first("sketch").alias("sketch"),
-        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("least"),
+        F.first("n_shingles").alias("n_shingles"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("least"),
     )
     direct = candidates(classes.withColumn("mark", F.lit(0).cast("long")), percent / 100, f"{folder}/direct", True)
     direct = table_written(direct, f"{folder}/direct-pairs")
@@ -367,11 +342,11 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, key: str
         crowded.withColumn("odd", F.lit(1)), "set_id", "left"
     ).withColumn("mark", F.expr("shiftleft(xxhash64(coalesce(root, set_id)), 1) | coalesce(odd, 0)"))
     apart = candidates(marked, percent / 100, f"{folder}/apart", False)
+    more = links.union(table_written(confirmed(apart, sets, percent), f"{folder}/more-links"))
     if not crowded.isEmpty():
-        inside = marked.where("odd = 1").select("set_id", "sketch", "mark").join(sets, "set_id")
-        apart = apart.union(crowded_pairs(table_written(inside, f"{folder}/crowded"), percent))
-    more = table_written(confirmed(apart, sets, percent), f"{folder}/more-links")
-    found = components(links.union(more))
+        inside = table_written(marked.where("odd = 1").select("set_id", "signature", "n_shingles", "mark"), f"{folder}/crowded")
+        more = more.union(table_written(crowded_links(inside, sets, percent), f"{folder}/crowded-links"))
+    found = components(more)
 
     rooted = classes.select("set_id", "least").join(
         found.withColumnRenamed("node", "set_id"), "set_id", "left"
