@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usetrail.llm import chat, decontaminate, extract, minhash, packing, quality, secrets, sharding, substring, suffix
+from usetrail.llm import (
+    chat, decontaminate, extract, minhash, packing, quality, scoring, secrets, sharding, substring, suffix,
+)
 from usetrail.llm.common import table
 from usetrail.session import scratch_dir
 
@@ -100,6 +102,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.perplexities(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_chat_formatting": op2_chat_formatting,
@@ -111,6 +117,7 @@ QUERIES = {
     "op8_secret_scans": op8_secret_scans,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_sharding": op10_sharding,
+    "op11_lm_scoring": op11_lm_scoring,
 }
 
 #: The assignment pattern with either case spelt out, quotes doubled for SQL.
