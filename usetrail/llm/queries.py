@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usetrail.llm import (
-    chat, decontaminate, extract, minhash, packing, quality, scoring, secrets, sharding, substring, suffix,
+    chat, decontaminate, extract, minhash, packing, quality, scoring, secrets, sharding, spelling,
+    substring, suffix,
 )
 from usetrail.llm.common import table
 from usetrail.session import scratch_dir
@@ -106,6 +107,10 @@ def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.perplexities(table(spark, sf_dir, "documents"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_chat_formatting": op2_chat_formatting,
@@ -118,6 +123,7 @@ QUERIES = {
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_sharding": op10_sharding,
     "op11_lm_scoring": op11_lm_scoring,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 #: The assignment pattern with either case spelt out, quotes doubled for SQL.
