@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usetrail.llm import (
-    chat, decontaminate, extract, minhash, packing, quality, scoring, secrets, sharding, spelling,
+    chat, decontaminate, extract, minhash, packing, quality, repair, scoring, secrets, sharding, spelling,
     substring, suffix,
 )
 from usetrail.llm.common import table
@@ -107,6 +107,11 @@ def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.perplexities(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    return repair.repaired(repair.damaged(given), given)
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
 
@@ -123,6 +128,7 @@ QUERIES = {
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_sharding": op10_sharding,
     "op11_lm_scoring": op11_lm_scoring,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_spelling_variants": op13_spelling_variants,
 }
 
