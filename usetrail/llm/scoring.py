@@ -30,7 +30,7 @@ from usetrail.session import scratch_dir
 
 #: Hash of the token that ends every text, and the words a shard of words holds on average at most.
 END = np.uint64(0x9D39247E33776D41)
-WORD_SHARD, BIGRAM_SHARD = 1 << 20, 8 << 20
+WORD_SHARD, BIGRAM_SHARD = 1 << 20, 4 << 20
 #: Bigrams that begin with one word go to several shards beyond so many occurrences of it.
 SLICE = 1 << 18
 #: Tokens that one task counts or scores at a time.
@@ -252,7 +252,7 @@ def train(texts: DataFrame) -> Model:
         store.write(f"words/{key[0].as_py()}", keys=keys, count=n.astype(np.int64))
         return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "n": [len(keys)], "tokens": [int(n.sum())]})
 
-    found = _counted(texts.select("text"), bits).groupBy("shard").applyInArrow(words_kept, "shard long, n long, tokens long").collect()
+    found = _counted(texts.select("text"), bits).repartition(1 << bits, "shard").groupBy("shard").applyInArrow(words_kept, "shard long, n long, tokens long").collect()
     sizes = [0] * (1 << bits)
     for row in found:
         sizes[row.shard] = row.n
@@ -286,7 +286,7 @@ def train(texts: DataFrame) -> Model:
         own["counts"] = [np.concatenate((times, start)).astype("<i8").tobytes()]
         return pa.Table.from_batches([out, pa.record_batch(own, out.schema)])
 
-    counted = texts.select("text").mapInArrow(bigrams, BLOCK).groupBy("shard").applyInArrow(bigrams_kept, BLOCK)
+    counted = texts.select("text").mapInArrow(bigrams, BLOCK).repartition(model.shards, "shard").groupBy("shard").applyInArrow(bigrams_kept, BLOCK)
     folder = f"{store.folder}/followers"
     counted.write.parquet(folder)
     counted = spark.read.schema(BLOCK).parquet(folder)
@@ -303,7 +303,7 @@ def train(texts: DataFrame) -> Model:
         three = int((full["before"] >= 3).sum())
         return pa.table({"total": [int(full["before"].sum())], "three": [three], "times": pa.array([times], pa.list_(pa.int64()))})
 
-    low = counted.where("shard >= 0").groupBy("shard").applyInArrow(stats_kept, "total long, three long, times array<long>").collect()
+    low = counted.where("shard >= 0").repartition(1 << bits, "shard").groupBy("shard").applyInArrow(stats_kept, "total long, three long, times array<long>").collect()
     rows = counted.where("shard = -1").select("keys", "counts").collect()
     model.filled = {int(unpacked(r.keys, 1)[0]) for r in rows}
     total = np.sum([np.frombuffer(r.counts, "<i8") for r in rows], axis=0)
