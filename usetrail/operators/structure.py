@@ -8,7 +8,7 @@ from pyspark.sql.types import StringType
 
 from usetrail.functions import fixed
 from usetrail.functions.columns import holds_range
-from usetrail.plans.intervals import containing_spans
+from usetrail.plans.intervals import best_containing, containing_spans, first_containing
 from usetrail.plans.scan import clamped_sum, following, latest, numbered, running, total
 
 
@@ -190,46 +190,42 @@ def nearest_ancestor(
 
 
 def outermost_enclosing(
-    points: DataFrame, spans: DataFrame, kinds: list[str], on: list[str], bin_width: int = 64
+    points: DataFrame, spans: DataFrame, kinds: list[str], on: list[str], bounded: bool = False
 ) -> DataFrame:
     """First span in pre-order, of the given kinds, that holds each point."""
-    wanted = spans.filter(F.col("kind").isin(kinds))
-    pairs = containing_spans(points, wanted, on, bin_width=bin_width)
-    first = F.min(F.struct("start_pos", (-F.col("end_pos")).alias("_wide"), "end_pos", "kind"))
-    found = pairs.groupBy(*points.columns).agg(first.alias("_s"))
+    wanted = spans.filter(F.col("kind").isin(kinds)).select(*on, "start_pos", "end_pos", "kind")
+    found = first_containing(points, wanted, on, "_s", bounded=bounded)
     return found.select(*points.columns, "_s.start_pos", "_s.end_pos", "_s.kind")
 
 
 def locate(
     points: DataFrame, spans: DataFrame, on: list[str], size: Column | None = None,
-    bin_width: int = 64,
+    bin_width: int = 8,
 ) -> DataFrame:
     """Smallest span holding each point, both ends inclusive.
 
     Punctuation and comments are never chosen unless they are a root (`is_root`). Of
-    equal sizes the outer span wins, then the one further left.
+    equal sizes the one that comes first in pre-order wins: the one further left, then the
+    outer. `size` need not grow with the span (as `span_size` does not). `bin_width`: by
+    what factor the widths of the cells grow that spans are cut into.
     """
     named = spans.filter(~F.col("kind").isin(fixed.PUNCTUATION_KINDS) | F.col("is_root"))
-    sized = named.withColumn(
-        "size", size if size is not None else F.col("end_pos") - F.col("start_pos")
-    )
-    pairs = containing_spans(points, sized, on, bin_width=bin_width)
-    best = F.min(F.struct("size", "depth", "start_pos", "end_pos", "kind"))
-    found = pairs.groupBy(*points.columns).agg(best.alias("_s"))
+    length = size if size is not None else F.col("end_pos") - F.col("start_pos")
+    best = F.struct(length.alias("size"), "start_pos", "depth", "end_pos", "kind")
+    found = best_containing(points, named, on, best, into="_s", growth=bin_width)
     return found.select(
         *points.columns, "_s.kind", "_s.start_pos", "_s.end_pos", "_s.depth", "_s.size"
     )
 
 
-def contained(inner: DataFrame, outer: DataFrame, on: list[str], bin_width: int = 64) -> DataFrame:
+def contained(inner: DataFrame, outer: DataFrame, on: list[str], bounded: bool = False) -> DataFrame:
     """Pairs where an outer span holds an inner span, ends inclusive."""
     far = outer.select(
         *on, F.col("kind").alias("outer_kind"), F.col("start_pos").alias("outer_start"),
         F.col("end_pos").alias("outer_end"),
     )
     pairs = containing_spans(
-        inner, far, on, point="start_pos", start="outer_start", end="outer_end",
-        bin_width=bin_width,
+        inner, far, on, point="start_pos", start="outer_start", end="outer_end", bounded=bounded
     )
     return pairs.filter(
         holds_range(F.col("outer_start"), F.col("outer_end"), F.col("start_pos"), F.col("end_pos"))

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from usetrail.functions import fixed
-from usetrail.plans.intervals import containing_spans
 from usetrail.plans.scan import latest, running, stacked, total
 
 OWN_DEPTH = 1 << 30
@@ -40,24 +39,51 @@ def resolve_asof(
 
 
 def resolve_scoped(
-    uses: DataFrame, decls: DataFrame, scopes: DataFrame, on: list[str], bin_width: int = 64
+    uses: DataFrame, decls: DataFrame, scopes: DataFrame, on: list[str], bounded: bool = False
 ) -> DataFrame:
     """Innermost enclosing scope with a declaration visible at the use; shadowing kept.
 
     uses(on.., name, pos), decls(on.., name, decl_id, scope_id, visible_from),
     scopes(on.., scope_id, depth, start_pos, end_pos). Uses without a visible
     declaration give no row.
+
+    One sweep per name: a declaration opens where it becomes visible and closes with its
+    scope, so the open ones are a stack, and what a use means is the latest that opened on
+    the level the use is at. Neither uses nor declarations are copied per scope. The stack
+    holds as scopes nest and an outer declaration is not first seen inside an inner scope that
+    declares the name; where that fails the job stops.
     """
-    around = containing_spans(uses, scopes, on, bin_width=bin_width).select(
-        *on, "name", "scope_id", "pos", F.lit(1).alias("is_use"), "depth",
-        F.col("pos").alias("at"), F.lit(None).cast("long").alias("decl"),
+    homes = scopes.select(*on, "scope_id", F.col("depth").alias("_depth"), F.col("end_pos").alias("_end"))
+    live = decls.join(homes, [*on, "scope_id"]).filter(F.col("visible_from") <= F.col("_end"))
+    opened, closed = F.col("visible_from").cast("long"), F.col("_end").cast("long")
+    sides = F.array(
+        F.struct(opened.alias("pos"), F.lit(0).alias("_turn"), F.lit(1).alias("_step")),
+        F.struct(closed.alias("pos"), F.lit(2).alias("_turn"), F.lit(-1).alias("_step")),
+    )
+    edges = live.select(*on, "name", "_depth", F.col("decl_id").cast("long").alias("_decl"), F.inline(sides))
+    asked = uses.select(*on, "name", F.col("pos").cast("long").alias("pos"), F.lit(1).alias("_turn"), F.lit(0).alias("_step"))
+    order = ["pos", "_turn", "_depth", "_decl"]
+    levelled = running(
+        stacked(asked, edges, partial=True), [*on, "name"], order, bounded, _level=total(F.col("_step"))
+    ).filter("_turn < 2")
+    # An opening also asks for the one below it, to see that that is no deeper.
+    opens = F.col("_turn") == 0
+    asks = F.array_compact(F.array(
+        F.struct("_level", (~opens).alias("_asks")),
+        F.when(opens, F.struct((F.col("_level") - 1).alias("_level"), F.lit(True).alias("_asks"))),
+    ))
+    rows = levelled.select(*on, "name", *order, F.inline(asks))
+    found = running(
+        rows, [*on, "name", "_level"], order, bounded,
+        decl_id=latest(F.when(~F.col("_asks"), F.col("_decl"))), depth=latest(F.when(~F.col("_asks"), F.col("_depth"))),
     )
-    entries = decls.select(
-        *on, "name", "scope_id", F.col("visible_from").alias("pos"), F.lit(0).alias("is_use"),
-        F.lit(None).cast("int").alias("depth"), F.col("decl_id").cast("long").alias("at"),
-        F.col("decl_id").cast("long").alias("decl"),
+    crossing = F.raise_error(
+        F.concat(F.lit("a declaration is first seen inside a deeper scope that declares "), F.col("name"))
+    ).cast("boolean")
+    kept = F.when(opens & F.col("_asks") & (F.col("depth") > F.col("_depth")), crossing).otherwise(
+        ~opens & F.col("decl_id").isNotNull()
     )
-    return resolve_timeline(stacked(around, entries), on)
+    return found.filter(kept).select(*on, "name", "pos", "decl_id", "depth")
 
 
 def resolve_timeline(

@@ -8,6 +8,8 @@ steps read are written to the shared folder once, which also keeps every plan sh
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,8 @@ SCOPE_KINDS = [
     "type_switch_statement", "select_statement", "case_clause",
 ]
 DOC = ["doc_id"]
+#: The nodes of a document come out of one text.
+held_in = partial(containing_spans, bounded=True)
 
 
 def with_parents(rows: DataFrame, nodes: DataFrame, levels: int) -> DataFrame:
@@ -76,7 +80,7 @@ def sync_names(nodes: DataFrame, calls: DataFrame) -> DataFrame:
         (F.col("end_pos") - 1).alias("b_end"),
     )
     sites = calls.filter("is_sync_call").select("doc_id", F.col("start_pos").alias("pos"))
-    inside = containing_spans(sites, bodies, DOC, start="b_start", end="b_end")
+    inside = held_in(sites, bodies, DOC, start="b_start", end="b_end")
     declared = nodes.filter(F.col("kind").isin("function_declaration", "method_declaration"))
     owners = inside.select("doc_id", "fn_id").distinct().join(
         declared.select("doc_id", F.col("node_id").alias("fn_id")), ["doc_id", "fn_id"]
@@ -114,7 +118,7 @@ def surroundings(points: DataFrame, nodes: DataFrame, calls: DataFrame) -> DataF
             F.ltrim("text").startswith("&").alias("m_address"),
         )
     )
-    pairs = containing_spans(points, marks, DOC, start="m_start", end="m_end").filter(
+    pairs = held_in(points, marks, DOC, start="m_start", end="m_end").filter(
         holds_range(F.col("m_start"), F.col("m_end"), F.col("pos"), F.col("end"))
     )
     kind, depth = F.col("m_kind"), F.col("m_depth")
@@ -194,7 +198,7 @@ def scopes_of(nodes: DataFrame) -> DataFrame:
 def declarations(found: DataFrame, nodes: DataFrame) -> DataFrame:
     """Declared variables with scope, visibility and the pointer-like flag."""
     rows = found.filter(F.col("decl_kind").isin(fixed.DECL_KINDS))
-    around = containing_spans(rows.select("doc_id", "node_id", "pos"), scopes_of(nodes), DOC)
+    around = held_in(rows.select("doc_id", "node_id", "pos"), scopes_of(nodes), DOC)
     inner = around.groupBy("doc_id", "node_id").agg(F.max_by("scope_id", "depth").alias("scope_id"))
     placed = rows.join(inner, ["doc_id", "node_id"]).withColumn("kind", F.col("decl_kind"))
     kept = symbols.extract_decls(placed, ["doc_id", "scope_id"])
@@ -205,7 +209,7 @@ def declarations(found: DataFrame, nodes: DataFrame) -> DataFrame:
     statements = nodes.select(
         "doc_id", F.col("node_id").alias("stmt_id"), "start_pos", (F.col("end_pos") - 1).alias("end_pos")
     ).join(kept.select("doc_id", "stmt_id").distinct(), ["doc_id", "stmt_id"], "left_semi")
-    pointers = containing_spans(marks, statements, DOC).select("doc_id", "stmt_id").distinct()
+    pointers = held_in(marks, statements, DOC).select("doc_id", "stmt_id").distinct()
     flagged = kept.join(
         pointers.withColumn("_ptr", F.lit(True)), ["doc_id", "stmt_id"], "left"
     )
@@ -248,7 +252,7 @@ def assigned_kinds(found: DataFrame, nodes: DataFrame) -> DataFrame:
     paired = same.join(first, ["doc_id", "stmt"], "left").select(
         "doc_id", "start_pos", "end_pos", F.coalesce("kind", "_first").alias("rhs_kind"))
     targets = found.filter("reassign").select("doc_id", "node_id", "pos")
-    return containing_spans(targets, paired, DOC).select("doc_id", "node_id", "rhs_kind")
+    return held_in(targets, paired, DOC).select("doc_id", "node_id", "rhs_kind")
 
 
 def code_accesses(nodes: DataFrame) -> DataFrame:
@@ -269,7 +273,7 @@ def code_accesses(nodes: DataFrame) -> DataFrame:
         decls.select("doc_id", "node_id"), ["doc_id", "node_id"], "left_anti")
     plain = stacked(uses.filter(~F.col("is_field")), again)
     resolved = symbols.resolve_scoped(
-        plain.select("doc_id", "name", "pos"), decls, scopes_of(nodes), DOC
+        plain.select("doc_id", "name", "pos"), decls, scopes_of(nodes), DOC, bounded=True
     ).select("doc_id", "pos", F.col("decl_id").alias("entity"))
     variables = plain.join(resolved, ["doc_id", "pos"]).join(
         decls.select("doc_id", F.col("decl_id").alias("entity"), "is_pointer"), ["doc_id", "entity"]
@@ -310,7 +314,7 @@ def code_locks(nodes: DataFrame) -> DataFrame:
         "doc_id", "node_id", "pos", "lock_key", "delta", "ctx", "deferred")
     blocks = nodes.filter("kind = 'block'").select(
         "doc_id", F.col("node_id").alias("block"), "start_pos", (F.col("end_pos") - 1).alias("end_pos"))
-    placed = containing_spans(sync.drop_deferred(known), blocks, DOC)
+    placed = held_in(sync.drop_deferred(known), blocks, DOC)
     return placed.select(
         "doc_id", F.coalesce("ctx", F.lit(-1)).alias("ctx"), "block", "pos",
         F.col("node_id").alias("seq"), "lock_key", "delta")

@@ -11,7 +11,7 @@ from usetrail.operators.symbols import count_uses, drop_callee_symbols, resolve_
 
 def symbol_at(
     points: DataFrame, spans: DataFrame, timeline: DataFrame, calls: DataFrame,
-    on: list[str], bin_width: int = 64, bounded: bool = False,
+    on: list[str], bounded: bool = False,
 ) -> DataFrame:
     """Declaration and use count of the symbol under each point; no symbol, no row.
 
@@ -24,7 +24,7 @@ def symbol_at(
         names = spans.filter("kind = 'identifier'").select(*on, F.col("start_pos").alias("pos"), "start_pos")
         hit = points.join(names, [*on, "pos"])
     else:
-        hit = locate(points, spans, on, bin_width=bin_width).filter("kind = 'identifier'")
+        hit = locate(points, spans, on).filter("kind = 'identifier'")
     plain = drop_callee_symbols(timeline, calls, [*on, "at"])
     inner = resolve_timeline(plain, on, bounded, own=True).drop("depth")
     if bounded:

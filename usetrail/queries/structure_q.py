@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from usetrail.functions.columns import entity_key, range_key, span_size
+from usetrail.functions.columns import LINE_SHIFT, entity_key, range_key, span_size
 from usetrail.operators import structure as st
 from usetrail.plans.scan import stacked
 from usetrail.queries.registry import query
@@ -102,7 +102,7 @@ SELECT page_id, pos, start_pos, end_pos, kind FROM (
 def outermost_enclosing(spark, sf_dir):
     tokens = v.tag_tokens(v.table(spark, sf_dir, "pages"))
     links = tokens.filter("is_open AND tag = 'a'").select("page_id", "pos")
-    return st.outermost_enclosing(links, st.pair_spans(tokens), ["ul", "nav"], ["page_id"])
+    return st.outermost_enclosing(links, st.pair_spans(tokens), ["ul", "nav"], ["page_id"], True)
 
 
 @query(f"""
@@ -122,6 +122,51 @@ def locate(spark, sf_dir):
     return st.locate(points, tag_spans(spark, sf_dir), ["page_id"]).drop("depth")
 
 
+#: Runs of so many lines, and the document: (kind, lines, depth).
+LINE_RUNS = [("line", 1, 3), ("pair", 2, 2), ("block", 8, 1)]
+
+
+def line_runs(words):
+    """Spans of lines with their size as `span_size` counts it."""
+    lines = words.groupBy("doc_id", "line").agg(F.min("col").alias("a"), F.max("col").alias("b"))
+    ends = [F.min(F.struct("line", "a")).alias("f"), F.max(F.struct("line", "b")).alias("l")]
+    runs = [
+        lines.groupBy("doc_id", F.expr(f"line div {n}")).agg(*ends).select(
+            "doc_id", F.lit(kind).alias("kind"), F.lit(depth).alias("depth"), F.lit(False).alias("is_root"), "f", "l"
+        )
+        for kind, n, depth in LINE_RUNS
+    ]
+    whole = lines.groupBy("doc_id").agg(*ends).select(
+        "doc_id", F.lit("doc").alias("kind"), F.lit(0).alias("depth"), F.lit(True).alias("is_root"), "f", "l"
+    )
+    place = lambda line, col: F.col(line).cast("long") * LINE_SHIFT + F.col(col)
+    return stacked(*runs, whole).select(
+        "doc_id", "kind", "depth", "is_root", place("f.line", "f.a").alias("start_pos"), place("l.line", "l.b").alias("end_pos"),
+        span_size(F.col("f.line"), F.col("f.a"), F.col("l.line"), F.col("l.b")).alias("lines_size"),
+    )
+
+
+@query(f"""
+WITH {v.WORDS_SQL},
+b AS (SELECT doc_id, line, min(col) AS a, max(col) AS b FROM v_words GROUP BY ALL),
+r AS (
+  {" UNION ALL ".join(f"SELECT doc_id, {n} AS n, line // {n} AS nr, '{k}' AS kind, {d} AS depth, min((line, a)) AS f, max((line, b)) AS l FROM b GROUP BY doc_id, line // {n}" for k, n, d in LINE_RUNS)}
+  UNION ALL SELECT doc_id, 1 << 30, 0, 'doc', 0, min((line, a)), max((line, b)) FROM b GROUP BY doc_id),
+s AS (
+  SELECT doc_id, n, nr, kind, depth, f[1]::BIGINT * {LINE_SHIFT} + f[2] AS start_pos, l[1]::BIGINT * {LINE_SHIFT} + l[2] AS end_pos,
+         CASE WHEN f[1] = l[1] THEN l[2] - f[2] ELSE (l[1] - f[1]) * 1000 + l[2] + f[2] END AS size FROM r),
+w AS (SELECT doc_id, pos, line, unnest([1, 2, 8, 1 << 30]) AS n FROM v_words)
+SELECT doc_id, pos, b.kind, b.start_pos, b.end_pos, b.size FROM (
+  SELECT w.doc_id, w.pos, arg_min(s, (s.size, s.start_pos, s.depth)) AS b
+  FROM w JOIN s ON s.doc_id = w.doc_id AND s.n = w.n AND s.nr = w.line // w.n GROUP BY ALL)
+""")
+def locate_by_lines(spark, sf_dir):
+    """Smallest run of lines around every word, by the size that counts lines."""
+    words = v.word_view(v.table(spark, sf_dir, "documents"))
+    found = st.locate(words.select("doc_id", "pos"), line_runs(words), ["doc_id"], size=F.col("lines_size"))
+    return found.drop("depth")
+
+
 @query(f"""
 WITH {v.WORDS_SQL},
 s AS (SELECT doc_id, line AS start_line, min(col) AS start_col, line AS end_line,
@@ -164,7 +209,7 @@ WHERE i.kind = 'a' AND o.kind = 'ul'
 """)
 def contained(spark, sf_dir):
     spans = st.pair_spans(v.tag_tokens(v.table(spark, sf_dir, "pages")))
-    return st.contained(spans.filter("kind = 'a'"), spans.filter("kind = 'ul'"), ["page_id"])
+    return st.contained(spans.filter("kind = 'a'"), spans.filter("kind = 'ul'"), ["page_id"], True)
 
 
 @query("""

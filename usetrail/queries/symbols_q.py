@@ -9,9 +9,6 @@ from usetrail.plans.scan import lowest, running, stacked
 from usetrail.queries.registry import query
 from usetrail.sources import views as v
 
-LINES_PER_BIN = 8
-BIN = LINE_SHIFT * LINES_PER_BIN
-
 
 def words_of(spark, sf_dir):
     return v.word_view(v.table(spark, sf_dir, "documents"))
@@ -119,7 +116,7 @@ def resolve_scoped(spark, sf_dir):
     scopes = word_scopes(words).select(
         "doc_id", F.col("scope_id").cast("long").alias("scope_id"), "depth", "start_pos", "end_pos"
     )
-    return _by_line(sy.resolve_scoped(uses, decls, scopes, ["doc_id"], BIN))
+    return _by_line(sy.resolve_scoped(uses, decls, scopes, ["doc_id"], bounded=True))
 
 
 def _by_line(found):
@@ -284,4 +281,4 @@ def symbol_at(spark, sf_dir):
     # a word with a comma behind it stands for a called name
     calls = words.filter(F.col("word").endswith(",")).select("doc_id", F.col("pos").alias("at"))
     asked = words.select("doc_id", "pos")
-    return symbols_at(asked, spans, word_timeline(words), calls, ["doc_id"], BIN, True)
+    return symbols_at(asked, spans, word_timeline(words), calls, ["doc_id"], True)
