@@ -14,7 +14,7 @@ from usetrail.session import build  # noqa: E402
 
 #: One or more of every family; `bench.py all` runs every query.
 HEADLINE = [
-    "scan_corpus", "latest_by_key", "line_col_tokens", "pair_spans", "parents", "locate",
+    "scan_corpus", "latest_by_key", "code_nodes", "code_graph", "locate_by_lines", "line_col_tokens", "pair_spans", "parents", "locate",
     "outermost_enclosing", "contained", "classify_context", "nearest_ancestor", "ancestors",
     "has_descendant", "first_descendant", "value_copy", "extract_decls", "resolve_timeline",
     "resolve_scoped", "resolve_asof", "resolve_by_name", "merge_objects", "symbol_at",

@@ -32,14 +32,14 @@ held_in = partial(containing_spans, bounded=True)
 
 
 def with_parents(rows: DataFrame, nodes: DataFrame, levels: int) -> DataFrame:
-    """Add kind, field, id, end and text of the next `levels` ancestors (p1_.., p2_..)."""
+    """Add kind, field, id and end of the next `levels` ancestors (p1_.., p2_..)."""
     out = rows
     above = "parent_id"
     for i in range(1, levels + 1):
         parent = nodes.select(
             "doc_id", F.col("node_id").alias(f"p{i}_id"), F.col("parent_id").alias(f"p{i}_up"),
             F.col("kind").alias(f"p{i}_kind"), F.col("field").alias(f"p{i}_field"),
-            F.col("end_pos").alias(f"p{i}_end"), F.col("text").alias(f"p{i}_text"),
+            F.col("end_pos").alias(f"p{i}_end"),
         )
         out = out.join(
             parent.withColumnRenamed("doc_id", "_doc"),
@@ -154,6 +154,9 @@ def surroundings(points: DataFrame, nodes: DataFrame, calls: DataFrame) -> DataF
 def occurrences(nodes: DataFrame) -> DataFrame:
     """Identifiers with what they are: declaration (kind), field, target side, token."""
     names = nodes.filter(F.col("kind").isin("identifier", "field_identifier"))
+    # whether a range clause declares: its first sign of assignment among its own children
+    signs = nodes.filter(F.col("kind").isin(":=", "=")).groupBy("doc_id", F.col("parent_id").alias("signed")).agg(
+        F.min_by("kind", "ordinal").alias("sign"))
     up = with_parents(names, nodes, 3)
     is_field = (F.col("kind") == "field_identifier") & (F.col("field") == "field")
     listed = F.col("p1_kind") == "expression_list"
@@ -169,17 +172,15 @@ def occurrences(nodes: DataFrame) -> DataFrame:
     side = F.when(in_list, F.when(skip, F.col("p2_field")).otherwise(F.col("p1_field")))
     deep = lambda part: F.when(skip, F.col(f"p3_{part}")).otherwise(F.col(f"p2_{part}"))
     stmt_kind = F.when(in_list, deep("kind")).otherwise(t_kind)
-    stmt_text = F.when(in_list, deep("text"))
-    token = F.when(
-        (stmt_kind == "short_var_declaration")
-        | ((stmt_kind == "range_clause") & stmt_text.contains(":=")), ":=").otherwise("=")
+    up = up.withColumn("signed", F.when(in_list, deep("id"))).join(signs, ["doc_id", "signed"], "left")
+    token = F.when(stmt_kind == "short_var_declaration", ":=").otherwise(F.coalesce("sign", F.lit("=")))
     return up.select(
         "doc_id", "node_id", F.col("text").alias("name"), F.col("start_pos").alias("pos"),
         F.col("end_pos").alias("end"), decl_kind.alias("decl_kind"), skip.alias("is_field"),
         (skip & (F.col("p1_field") == "function")).alias("is_callee"),
         F.coalesce(F.when(by_list, F.col("p2_end")), F.when(direct, F.col("end_pos")),
                    F.col("end_pos")).alias("visible_from"),
-        (F.col("p2_text").contains(":=") | (F.col("p2_kind") != "range_clause")).alias("declares"),
+        ((F.col("sign") == ":=") | (F.col("p2_kind") != "range_clause")).alias("declares"),
         classify.reassign_flag(stmt_kind, F.coalesce(side, F.lit("left")), token, F.lit(False),
                                F.lit(True)).alias("reassign"),
         F.when(by_list, F.col("p2_id")).otherwise(F.col("p1_id")).alias("stmt_id"),

@@ -2,6 +2,7 @@
 
 from usetrail.queries import (
     classify_q,
+    code_q,
     graph_q,
     rules_q,
     sources_q,
