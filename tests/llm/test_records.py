@@ -56,7 +56,21 @@ def test_classifier_on_held_out_labels(spark):
     good, bad = [r for r in rows if r.quality == 1], [r for r in rows if r.quality == 0]
     assert np.mean([r.probability >= quality.KEEP_FROM for r in good]) > 0.95
     assert np.mean([r.kept for r in bad]) < 0.2
-    assert all(r.kept == (not r.base_failed and r.probability >= quality.KEEP_FROM) for r in rows)
+    clean = [r for r in rows if r.toxicity < quality.TOXIC_FROM]
+    assert all(r.kept == (not r.base_failed and r.probability >= quality.KEEP_FROM) for r in clean)
+    assert not any(r.kept for r in rows if r.toxicity >= quality.TOXIC_FROM)
+
+
+def test_held_out_toxic_texts_go_and_clean_ones_stay(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    held_out = F.pmod(F.xxhash64(F.lit(99), "doc_id"), F.lit(4)) == 0
+    model = quality.train(docs, labels.where(~held_out))
+    rest = labels.where(held_out).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    asked = docs.join(rest, "doc_id")
+    rows = asked.select("quality", "toxic", quality.judged(asked, model).alias("v")).where("NOT v.base_failed").select("quality", "toxic", "v.*").collect()
+    toxic, clean = [r.kept for r in rows if r.toxic == 1], [r.kept for r in rows if r.toxic == 0 and r.quality == 1]
+    assert len(toxic) > 60 and np.mean(toxic) < 0.2 and np.mean(clean) > 0.98
 
 
 def test_quality_corners(spark, docs):

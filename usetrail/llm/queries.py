@@ -44,7 +44,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     return docs.select("doc_id", quality.judged(docs, model).alias("v")).select(
         "doc_id", "v.n_words", "v.word_chars", "v.n_symbols", "v.n_dup_lines", "v.n_repeat_words",
-        "v.base_failed", "v.kept", "v.probability",
+        "v.base_failed", "v.kept", "v.probability", "v.toxicity",
     )
 
 
