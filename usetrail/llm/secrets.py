@@ -18,12 +18,38 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 IDENTIFIER = r"[A-Z0-9]{16,32}"
 OPAQUE = r"[A-Za-z0-9+/]{32,}"
-ENDPOINT = r"[A-Za-z][A-Za-z0-9+.-]*://[A-Za-z0-9._~:/?@%&=+-]+"
+#: A scheme has at most 32 characters, so a long run of letters is not read again from every letter of it.
+ENDPOINT = r"[A-Za-z][A-Za-z0-9+.-]{0,31}://[A-Za-z0-9._~:/?@%&=+-]+"
 KINDS = ["assign", "access", "hex", "endpoint", "identifier", "opaque"]
 BASE_KINDS = 3
 SCOPE = 200
 
 
+#: Matches whose lengths are added up at a time.
+ADDED_UP = 128
+
+
+def _let(value: Column, use) -> Column:
+    """Bind a value, so that it is computed once however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _sums_before(lengths: Column) -> Column:
+    """What comes before each element of an array of numbers, added up in blocks and then over blocks."""
+
+    def total(part: Column) -> Column:
+        return F.aggregate(part, F.lit(0), lambda n, x: n + x)
+
+    def sums(part: Column) -> Column:
+        return F.transform(part, lambda _, i: total(F.slice(part, F.lit(1), i)))
+
+    last = F.greatest(F.ceil(F.size(lengths) / ADDED_UP).cast("int") - 1, F.lit(0))
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(lengths, k * ADDED_UP + 1, F.lit(ADDED_UP)))
+    return _let(blocks, lambda b: _let(F.transform(b, total), lambda t: F.flatten(
+        F.zip_with(b, sums(t), lambda part, first: F.transform(sums(part), lambda x: x + first))
+    )))
+
+
 def _spans(text: Column, pattern: str, kind: int, value: int = 0, least: int = 0) -> Column:
     """array<struct<start, end, kind, found>> of a pattern's matches, in code points.
 
@@ -32,34 +58,28 @@ def _spans(text: Column, pattern: str, kind: int, value: int = 0, least: int = 0
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), F.length)
-    sized = F.zip_with(
-        F.arrays_zip(found.alias("found"), F.regexp_extract_all(text, F.lit(pattern), F.lit(value)).alias("value")),
-        gaps,
-        lambda m, gap: F.struct(m["found"].alias("found"), F.length(m["value"]).alias("size"), gap.alias("gap")),
-    )
-    empty = F.array().cast("array<struct<start: int, end: int, kind: int, found: string>>")
-    placed = F.aggregate(
-        F.filter(sized, lambda m: m["found"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, m: F.struct(
-            (acc["at"] + m["gap"] + F.length(m["found"])).alias("at"),
-            F.when(m["size"] < least, acc["out"])
-            .otherwise(
-                F.concat(
-                    acc["out"],
-                    F.array(
-                        F.struct(
-                            (acc["at"] + m["gap"]).alias("start"),
-                            (acc["at"] + m["gap"] + F.length(m["found"])).alias("end"),
-                            F.lit(kind).alias("kind"),
-                            m["found"].alias("found"),
-                        )
-                    ),
-                )
-            ).alias("out"),
+    sized = F.filter(
+        F.zip_with(
+            F.arrays_zip(found.alias("found"), F.regexp_extract_all(text, F.lit(pattern), F.lit(value)).alias("value")),
+            gaps,
+            lambda m, gap: F.struct(
+                m["found"].alias("found"), F.length(m["value"]).alias("size"), gap.alias("gap"), F.length(m["found"]).alias("n")
+            ),
         ),
-        lambda acc: acc["out"],
+        lambda m: m["found"].isNotNull(),
     )
+
+    def place(m: Column, first: Column) -> Column:
+        start = first + m["gap"]
+        return F.struct(
+            start.alias("start"), (start + m["n"]).alias("end"), F.lit(kind).alias("kind"), m["found"].alias("found"),
+            m["size"].alias("size"),
+        )
+
+    placed = _let(sized, lambda all_: F.filter(
+        F.zip_with(all_, _sums_before(F.transform(all_, lambda m: m["gap"] + m["n"])), place), lambda m: m["size"] >= least
+    ))
+    empty = F.array().cast("array<struct<start: int, end: int, kind: int, found: string, size: int>>")
     return F.when(text.rlike(pattern), placed).otherwise(empty)
 
 
@@ -71,9 +91,9 @@ def scan(docs: DataFrame, scope: int = SCOPE, key: str = "doc_id", text: str = "
     """doc key (as `key`), text_hash, base and spans: arrays of (start, kind, end) in order.
 
     One row per input row. `base` holds the base spans, `spans` all of them. Weak
-    candidates are weighed against complementary parts by ordered windows per document,
-    which see each span once, so a text with very many spans makes no pairs. Only spans
-    are shuffled, never texts. Null and empty texts have no spans; null keys stay rows; equal
+    candidates are held against base spans and complementary parts by running extremes over
+    the spans of a document in order and in reverse order, so a text with very many spans makes
+    no pairs. Only spans are shuffled, never texts. Null and empty texts have no spans; null keys stay rows; equal
     rows are combined before the shuffle and come back as often as they were.
     """
     body = text_of(docs, text)
@@ -88,18 +108,14 @@ def scan(docs: DataFrame, scope: int = SCOPE, key: str = "doc_id", text: str = "
         F.filter(_spans(body, IDENTIFIER, 4), lambda s: _has("[A-Z]")(s) & _has("[0-9]")(s)).alias("k4"),
         F.filter(_spans(body, OPAQUE, 5), lambda s: _has("[A-Z]")(s) & _has("[a-z]")(s) & _has("[0-9]")(s)).alias("k5"),
     )
-    base = F.concat("k0", "k1", "k2")
-    apart = lambda weak: F.filter(
-        weak, lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"]))
-    )
     whole = F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end"), F.lit(-1).alias("kind"))
-    listed = kinds.withColumn("base", base).select(
+    listed = kinds.select(
         "key", "text_hash",
         F.explode(
             F.concat(
                 F.array(whole),
                 F.transform(
-                    F.concat("base", apart(F.col("k3")), apart(F.col("k4")), apart(F.col("k5"))),
+                    F.concat("k0", "k1", "k2", "k3", "k4", "k5"),
                     lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")),
                 ),
             )
@@ -108,14 +124,24 @@ def scan(docs: DataFrame, scope: int = SCOPE, key: str = "doc_id", text: str = "
     counted = listed.groupBy("key", "text_hash", "s").agg(F.count("*").alias("copies")).select(
         "key", "text_hash", "s.*", "copies"
     )
-    order = Window.partitionBy("key", "text_hash").orderBy("start", "end", "kind")
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    by = Window.partitionBy("key", "text_hash")
+    before = by.orderBy("start", "end", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    after = by.orderBy(F.desc("start"), F.desc("end"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
+
+    def reach(part: Column) -> tuple[Column, Column]:
+        """The furthest end of such spans that come before, the nearest start of those that come after."""
+        return F.max(F.when(part, F.col("end"))).over(before), F.min(F.when(part, F.col("start"))).over(after)
+
+    is_base = F.col("kind").between(0, BASE_KINDS - 1)
+    last, first = reach(is_base)
+    counted = counted.withColumns({"last_base": last, "next_base": first}).where(
+        (F.col("kind") < BASE_KINDS)
+        | ~(F.coalesce(F.col("last_base") > F.col("start"), F.lit(False)) | F.coalesce(F.col("next_base") < F.col("end"), F.lit(False)))
+    )
 
     def near(*kinds: int) -> Column:
         """A part of these kinds lies within the scope, before or after."""
-        part = F.col("kind").isin(*kinds)
-        last = F.max(F.when(part, F.col("end"))).over(before)
-        first = F.min(F.when(part, F.col("start"))).over(after)
+        last, first = reach(F.col("kind").isin(*kinds))
         return F.coalesce(last >= F.col("start") - scope, F.lit(False)) | F.coalesce(
             first <= F.col("end") + scope, F.lit(False)
         )
