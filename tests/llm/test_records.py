@@ -1,6 +1,7 @@
 """Per-record operators against brute force, round trips and hand-made corners."""
 
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -182,6 +183,20 @@ def test_written_shards_are_read_back(spark, docs):
     assert sharding.write_shards(sharding.external_shuffle(docs.limit(0), 3), path).count() == 0
 
 
+def test_long_runs_and_many_spans_are_scanned_in_time(spark):
+    spans = [f"A{i:015d}" if i % 2 else f"{i:024x}" for i in range(20_000)]
+    rows = [(1, "a" * 500_000), (2, "xY" * 250_000), (3, " ".join(spans)), (4, "h" * 400_000 + "http://x.y")]
+    started = time.time()
+    found = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert time.time() - started < 40
+    assert [(s.start, s.kind, s.end) for s in found[1].spans] == [(0, 2, 500_000)] and not found[2].spans and not found[4].spans
+    places, at = [], 0
+    for i, span in enumerate(spans):
+        places.append((at, 4 if i % 2 else 2, at + len(span)))
+        at += len(span) + 1
+    assert [(s.start, s.kind, s.end) for s in found[3].spans] == places
+
+
 # ---- tokens and packing --------------------------------------------------------------
 
 
@@ -194,6 +209,19 @@ def reference():
     return made
 
 
+@pytest.fixture(scope="module")
+def as_named():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokens.default_path())
+
+
+def test_added_tokens_are_those_of_the_library(as_named):
+    encode = tokens.encoder(tokens.default_path()).encode
+    for text in ("a <|endoftext|> b", "<|endoftext|><|endoftext|>x", "<|endoftext", "it's\n\n日本 <|endoftext|>\n", ""):
+        assert encode(text, added=True).tolist() == as_named.encode(text, add_special_tokens=False).ids
+
+
 def test_ids_are_those_of_the_library(prose, docs, reference):
     encode = tokens.encoder(tokens.default_path())
     odd = ["a  b", " x ", "it's\n\n \t we'll  ", "日本  x", "\x1c \x85", "<|endoftext|>"]
@@ -204,12 +232,12 @@ def test_ids_are_those_of_the_library(prose, docs, reference):
 
 
 @pytest.mark.parametrize("group_bytes", [3_000, 1 << 21])
-def test_pieces_make_up_every_document(prose, docs, reference, group_bytes):
+def test_pieces_make_up_every_document(prose, docs, as_named, group_bytes):
     for table in (prose, docs):
         rows = packing.packed(table, group_bytes=group_bytes).collect()
         want = Counter()
         for r in table.collect():
-            ids = [*reference.encode(r.text or "", add_special_tokens=False).ids, 0]
+            ids = [*as_named.encode(r.text or "", add_special_tokens=False).ids, 0]
             want[(r.doc_id, np.array(ids, "<u4").tobytes())] += 1
         pieces, sequences = {}, {}
         for r in rows:

@@ -99,7 +99,7 @@ def packed(
         rows, held = [], 0
         for batch in batches:
             for doc, body in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                ids = np.append(made.encode(body.as_py()), np.uint16(END)).astype("<u2")
+                ids = np.append(made.encode(body.as_py(), added=True), np.uint16(END)).astype("<u2")
                 salt = zlib.crc32(str(doc).encode())
                 for start in range(0, len(ids), capacity):
                     piece = ids[start : start + capacity].tobytes()
