@@ -61,6 +61,36 @@ def test_points_with_nulls_keep_their_answer(spark, cutting):
     assert {r["pos"] for r in found if r["is_field"]} == {0, 3, 4, 7, 30} and len(found) == 11
 
 
+def late_stream(spark, tmp_path, files, schema):
+    """The rows of each file, one file a trigger, in the order given."""
+    import glob
+    import os
+    import shutil
+    import time
+
+    os.mkdir(f"{tmp_path}/in")
+    for i, rows in enumerate(files):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/w{i}")
+        (part,) = glob.glob(f"{tmp_path}/w{i}/part-*.parquet")
+        shutil.copy(part, f"{tmp_path}/in/rows-{i}.parquet")
+        os.utime(f"{tmp_path}/in/rows-{i}.parquet", (time.time() - 100 + i, time.time() - 100 + i))
+    read = spark.read.parquet(f"{tmp_path}/in").schema
+    return streams.table_stream(spark, f"{tmp_path}/in", "rows", read, "ts", files_per_trigger=1)
+
+
+def test_hits_and_repeats_of_a_stream_take_late_rows_where_they_belong(spark, tmp_path):
+    day = dt.datetime(2024, 1, 1, 10)
+    at = lambda m, s, put: ("k", day + dt.timedelta(minutes=m), s, put)
+    files = [[at(0, 1, True), at(8, 3, False)], [at(4, 2, False), at(20, 4, False), at(21, 5, False)],
+             [at(22, 6, True), at(22, 7, False), ("z", day + dt.timedelta(days=2), 8, True)]]
+    src = late_stream(spark, tmp_path, files, "key string, ts timestamp, seq bigint, put boolean")
+    hits = streams.run_to_table(streams.stream_hits(src, "key", "ts", "seq", "put", 300_000_000, "1 hour"), f"{tmp_path}/hits")
+    # the late get at minute 4 refreshes the entry, so the one at minute 8 hits
+    assert [(r["seq"], r["hit"]) for r in hits.orderBy("seq").collect()] == [(2, True), (3, True), (4, False), (5, False), (7, True)]
+    moves = streams.run_to_table(streams.stream_repeats(src, "key", "ts", "seq", "put", "1 hour"), f"{tmp_path}/moves")
+    assert [(r["seq"], r["changed"]) for r in moves.orderBy("seq").collect()] == [(1, True), (2, False), (6, True), (7, False)]
+
+
 def test_debounce_stream_takes_late_rows_where_they_belong(spark, tmp_path):
     day = dt.datetime(2024, 1, 1)
     files = [[(10, 0, "a"), (10, 20, "b")], [(10, 10, "c")], [(14, 0, "z")]]

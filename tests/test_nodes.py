@@ -1,10 +1,10 @@
 """Node tables, their graph, and range clauses."""
 
 from pyspark.sql import functions as F
-from test_code import assign, call, frame, func, go, n, name, sel
+from test_code import INT, assign, call, field, frame, func, go, n, name, sel
 
-from usetrail.operators import graph
-from usetrail.plans import code_facts
+from usetrail.operators import graph, structure
+from usetrail.plans import code_facts, resolve
 from usetrail.sources import nodes as nd
 
 
@@ -70,3 +70,42 @@ def test_a_range_clause_declares_by_its_own_sign(spark):
     assert [(r.declares, r.reassign) for r in rows] == [(False, True), (True, True)]
     found = code_facts.declarations(code_facts.occurrences(nodes), nodes).filter("name = 'k'")
     assert found.count() == 1
+
+
+def test_symbols_by_position_cover_variables_and_fields(spark):
+    nodes = frame(
+        spark, n("struct_type", field("count", INT())),
+        func("run", assign(name("x"), name("a"), "short_var_declaration"), assign(sel("s", "count"), name("x")),
+             assign(name("x"), sel("s", "count"))),
+    )
+    at = {(r.kind, r.text): [] for r in nodes.filter("text IS NOT NULL").collect()}
+    for r in nodes.filter("text IS NOT NULL").orderBy("start_pos").collect():
+        at[r.kind, r.text].append(r.start_pos)
+    points = nodes.select("doc_id", F.col("start_pos").alias("pos")).distinct()
+    got = {r.pos: (r.name, r.decl_id, r.n_uses) for r in resolve.code_symbol_at(points, nodes).collect()}
+    x, count = at["identifier", "x"], at["field_identifier", "count"]
+    assert got == {p: ("x", x[0], 2) for p in x} | {p: ("count", count[0], 2) for p in count}
+
+
+def test_a_chain_of_any_depth_has_its_ancestors(spark):
+    chain = spark.range(1000).selectExpr("1 AS tree", "id AS node_id", "IF(id = 0, NULL, id - 1) AS parent_id", "IF(id = 3, 'f', 'x') AS kind")
+    near = structure.nearest_ancestor(chain, ["f"], None, tree=["tree"], start=F.col("node_id") == 999).first()
+    assert near["nearest"] == 3
+    pairs = structure.ancestors(chain, tree=["tree"])
+    assert pairs.count() == 1000 * 999 // 2
+    last = pairs.filter("node_id = 999").orderBy("distance").collect()
+    assert [(r.ancestor, r.distance) for r in last] == [(998 - i, i + 1) for i in range(999)]
+
+
+def test_unbounded_paths_equal_bounded_ones(spark):
+    rows = [(t, i, None if i == 0 else (i - 1) // 2, "x") for t in range(3) for i in range(40)] + [(7, 1, 99, "x")]
+    nodes = spark.createDataFrame(rows, "tree int, node_id bigint, parent_id bigint, kind string")
+    a, b = (sorted(tuple(r) for r in structure.ancestors(nodes, d, tree=["tree"]).collect()) for d in (None, 6))
+    assert a == b and len(a) > 300
+    circle = spark.createDataFrame([(1, 2, "x"), (2, 1, "x")], "node_id bigint, parent_id bigint, kind string")
+    try:
+        structure.ancestors(circle)
+    except ValueError as error:
+        assert "circle" in str(error)
+    else:
+        raise AssertionError("a circle must stop the job")

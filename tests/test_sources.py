@@ -36,6 +36,20 @@ def test_findings_are_replaced_and_cleared(spark, tmp_path):
     assert got == {(1, "z", 9), (3, "c", 3)}
 
 
+def test_compacted_findings_read_the_same(spark, tmp_path):
+    path, slim = str(tmp_path / "findings"), str(tmp_path / "slim")
+    make = lambda rows: spark.createDataFrame(rows, "doc_id int, rule string, pos bigint")
+    docs = lambda *ids: spark.createDataFrame([(i,) for i in ids], "doc_id int")
+    sinks.write_findings(make([(1, "a", 1), (2, "b", 2), (3, "c", 3)]), docs(1, 2, 3), path, 1)
+    sinks.write_findings(make([(1, "z", 9)]), docs(1, 2), path, 2)
+    sinks.compact_findings(spark, path, slim)
+    shown = lambda at: sorted(tuple(r) for r in sinks.read_findings(spark, at).collect())
+    assert shown(slim) == shown(path) == [(1, "z", 9), (3, "c", 3)]
+    assert spark.read.parquet(slim).count() == 5  # three heads and two findings
+    sinks.write_findings(make([(3, "d", 4)]), docs(3), slim, 3)
+    assert shown(slim) == [(1, "z", 9), (3, "d", 4)]
+
+
 def test_colors_default_to_empty(spark):
     df = spark.createDataFrame([("raceColor",), ("nope",), (None,)], "k string")
     got = [r["color_value"] for r in sinks.with_colors(df, "k").collect()]

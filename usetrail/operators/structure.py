@@ -10,6 +10,7 @@ from usetrail.functions import fixed
 from usetrail.functions.columns import holds_range
 from usetrail.plans.intervals import best_containing, containing_spans, first_containing
 from usetrail.plans.scan import clamped_sum, following, latest, numbered, running, total
+from usetrail.session import staged
 
 
 def line_col_tokens(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -95,8 +96,31 @@ def parents(opens: DataFrame, doc: str = "page_id", bounded: bool = True) -> Dat
     )
 
 
+def _whole_paths(above: DataFrame, tree: list[str], names: list[str]) -> DataFrame:
+    """Paths of inner nodes to their roots, whatever the depth: every round doubles what is known.
+
+    A path that ends at a node takes over that node's path, so a chain of n takes log2(n)
+    joins. Rounds are written, as the next one reads them twice.
+    """
+    paths = above.select(*names, "_id", "_up", F.array("_node").alias("_path"))
+    while True:
+        paths = staged(paths, "paths")
+        round_trip = F.exists("_path", lambda node: node["id"] == F.col("_up"))
+        circle = paths.filter("_up IS NOT NULL").agg(F.bool_or(round_trip)).first()[0]
+        if circle is None:  # every path has reached its root
+            return paths
+        if circle:
+            raise ValueError("parents form a circle")
+        further = paths.select(*[F.col(c).alias(f"{c}_above") for c in (*names, "_id", "_up", "_path")])
+        cond = F.col("_up") == F.col("_id_above")
+        for t in names:
+            cond = cond & (F.col(t) == F.col(f"{t}_above"))
+        grown = F.when(F.col("_path_above").isNotNull(), F.concat("_path", "_path_above")).otherwise(F.col("_path"))
+        paths = paths.join(further, cond, "left").select(*names, "_id", F.col("_up_above").alias("_up"), grown.alias("_path"))
+
+
 def with_path(
-    nodes: DataFrame, max_depth: int, extra: list[str] | None = None,
+    nodes: DataFrame, max_depth: int | None = None, extra: list[str] | None = None,
     start: Column | None = None, tree: list[str] | None = None,
     leaves: list[str] | None = None,
 ) -> DataFrame:
@@ -106,7 +130,8 @@ def with_path(
     every node takes its parent's path in one join. `leaves` names kinds that never are a
     parent: the largest level is then shuffled once and never climbs. `start` limits the
     rows that get a path, e.g. to one kind. `max_depth` is the number of steps the tree can
-    have; a deeper tree stops the job instead of being cut. `tree` names key columns that
+    have; a deeper tree stops the job instead of being cut. Without it the tree may have any
+    depth, and paths are doubled until they reach the roots. `tree` names key columns that
     id and parent share (e.g. the document).
     """
     tree = tree or []
@@ -117,8 +142,11 @@ def with_path(
         F.col("parent_id").alias("_up"), F.struct(F.col("node_id").alias("id"), *shown).alias("_node"),
     )
     path_type = _path_type(nodes, shown)
-    paths = above.withColumn("_path", F.array("_node").cast(path_type))
-    for _ in range(max_depth - 1):
+    if max_depth is None:
+        paths = _whole_paths(above, tree, [f"_t_{t}" for t in tree])
+    else:
+        paths = above.withColumn("_path", F.array("_node").cast(path_type))
+    for _ in range((max_depth or 1) - 1):
         step = above.withColumnsRenamed({c: f"{c}_above" for c in above.columns})
         cond = _parent_key(nodes, "_up", "_id") == F.col("_id_above")
         for t in tree:
@@ -155,7 +183,7 @@ def _path_type(nodes: DataFrame, shown: list[str]) -> str:
 
 
 def ancestors(
-    nodes: DataFrame, max_depth: int, tree: list[str] | None = None,
+    nodes: DataFrame, max_depth: int | None = None, tree: list[str] | None = None,
     leaves: list[str] | None = None,
 ) -> DataFrame:
     """Every (node, ancestor, distance)."""
@@ -178,7 +206,7 @@ def _before_stop(path: Column, stop: list[str]) -> Column:
 
 
 def nearest_ancestor(
-    nodes: DataFrame, kinds: list[str], max_depth: int, stop: list[str] | None = None,
+    nodes: DataFrame, kinds: list[str], max_depth: int | None, stop: list[str] | None = None,
     start: Column | None = None, tree: list[str] | None = None, into: str = "nearest",
     leaves: list[str] | None = None,
 ) -> DataFrame:
@@ -233,7 +261,7 @@ def contained(inner: DataFrame, outer: DataFrame, on: list[str], bounded: bool =
 
 
 def has_descendant(
-    nodes: DataFrame, pred: Column, max_depth: int, kind: str, tree: list[str] | None = None,
+    nodes: DataFrame, pred: Column, max_depth: int | None, kind: str, tree: list[str] | None = None,
     leaves: list[str] | None = None,
 ) -> DataFrame:
     """Nodes of a kind with at least one descendant that matches."""
@@ -248,7 +276,7 @@ def has_descendant(
 
 
 def first_descendant(
-    nodes: DataFrame, pred: Column, max_depth: int, kind: str, order: str = "ordinal",
+    nodes: DataFrame, pred: Column, max_depth: int | None, kind: str, order: str = "ordinal",
     tree: list[str] | None = None, leaves: list[str] | None = None,
 ) -> DataFrame:
     """First matching descendant of each node of a kind, in the order given."""
@@ -262,7 +290,7 @@ def first_descendant(
 
 
 def under(
-    nodes: DataFrame, carrier, blocker, max_depth: int, stop: list[str] | None = None,
+    nodes: DataFrame, carrier, blocker, max_depth: int | None, stop: list[str] | None = None,
     extra: list[str] | None = None, start: Column | None = None, tree: list[str] | None = None,
     into: str = "hit", leaves: list[str] | None = None,
 ) -> DataFrame:

@@ -191,7 +191,7 @@ def pointer_flag(
     return uses.groupBy(*keys).agg(F.bool_or(flag).alias("is_pointer"))
 
 
-def is_global(nodes: DataFrame, function_kinds: list[str], max_depth: int,
+def is_global(nodes: DataFrame, function_kinds: list[str], max_depth: int | None,
               tree: list[str] | None = None, start: Column | None = None,
               leaves: list[str] | None = None) -> DataFrame:
     """True for nodes that neither are nor lie in a function."""

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from usetrail.operators.structure import locate
 from usetrail.operators.symbols import count_uses, drop_callee_symbols, resolve_timeline
+from usetrail.plans import code_facts
+from usetrail.plans.scan import stacked
+from usetrail.session import staged
 
 
 def symbol_at(
@@ -39,3 +42,30 @@ def symbol_at(
     return at.join(counted, [*on, "pos"]).select(
         *on, F.col("asked").alias("pos"), "name", "decl_id", "n_uses"
     )
+
+
+def code_symbol_at(points: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Declaration and use count of the variable or field under each point of a syntax-node table.
+
+    points(doc_id, pos). The smallest node around a point decides; on anything but a name, or
+    on a name without a declaration, there is no row. Variables resolve by scope, fields by
+    their name alone.
+    """
+    doc = ["doc_id"]
+    spans = nodes.select(
+        *doc, "kind", "start_pos", (F.col("end_pos") - 1).alias("end_pos"), "depth", F.col("parent_id").isNull().alias("is_root")
+    )
+    hit = locate(points, spans, doc).filter(F.col("kind").isin("identifier", "field_identifier"))
+    found = staged(code_facts.occurrences(nodes), "occurrences")
+    uses = staged(code_facts.code_accesses(nodes).select(*doc, "pos", "name", "entity"), "uses")
+    own = [
+        made.select(*doc, F.col("decl_id").alias("pos"), "name", F.col("decl_id").alias("entity"))
+        for made in (code_facts.declarations(found, nodes), code_facts.field_declarations(found, nodes))
+    ]
+    counts = uses.groupBy(*doc, "entity").agg(F.countDistinct("pos").alias("n_uses"))
+    symbols = stacked(uses, *own).join(counts, [*doc, "entity"], "left").select(
+        *doc, F.col("pos").alias("start_pos"), "name", F.col("entity").alias("decl_id"),
+        F.coalesce("n_uses", F.lit(0)).alias("n_uses"),
+    )
+    at = hit.select(*doc, "pos", "start_pos")
+    return at.join(symbols, [*doc, "start_pos"]).select(*doc, "pos", "name", "decl_id", "n_uses")

@@ -6,7 +6,7 @@ from usetrail.functions.columns import LINE_SHIFT
 from usetrail.operators import graph
 from usetrail.operators import structure as st
 from usetrail.operators.counts import code_classes, count_entities
-from usetrail.plans import code_facts
+from usetrail.plans import code_facts, resolve
 from usetrail.plans.scan import stacked
 from usetrail.queries.registry import query
 from usetrail.session import staged
@@ -121,6 +121,20 @@ def code_findings(spark, sf_dir):
     ).agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
 
 
+@query(f"""
+WITH {NODES_SQL}, {ACCESSES_SQL},
+c AS (SELECT page_id, entity, count(DISTINCT pos) AS n FROM v_accesses GROUP BY ALL),
+a AS (SELECT page_id, pos, name, entity FROM v_accesses UNION ALL SELECT page_id, entity, name, entity FROM v_decls)
+SELECT a.page_id, a.pos, a.name, a.entity AS decl_id, coalesce(c.n, 0) AS n_uses
+FROM a LEFT JOIN c ON c.page_id = a.page_id AND c.entity = a.entity
+""")
+def symbol_at_node(spark, sf_dir):
+    """The symbol under the start of every node, looked up by position."""
+    nodes = staged(nodes_of(spark, sf_dir), "nodes")
+    points = nodes.select("doc_id", F.col("start_pos").alias("pos")).distinct()
+    return resolve.code_symbol_at(points, nodes).withColumnRenamed("doc_id", "page_id")
+
+
 def _id(prefix, name, col, end, at="base"):
     return f"'{prefix}:' || {name} || ':' || ({at} // {L})::BIGINT || ':' || {col} || ':' || ({end})"
 

@@ -163,3 +163,36 @@ def stream_findings(spark, sf_dir):
     found = streams.stream_findings(rows).select("seq", "entity", "ctx", "severity")
     return streams.run_to_table(found, scratch_dir(spark, "stream-findings"))
 
+
+
+@query(f"""
+WITH {v.ACCESS_SQL},
+o AS (SELECT entity, pos, seq, op = 'write' AS put FROM v_access WHERE op IN ('read', 'write')),
+g AS (SELECT *, sum(CASE WHEN put THEN 1 ELSE 0 END) OVER w AS epoch,
+             pos - lag(pos) OVER w AS gap FROM o WINDOW w AS (PARTITION BY entity ORDER BY pos, seq)),
+h AS (SELECT *, min(CASE WHEN put OR gap <= {TTL} THEN 1 ELSE 0 END) OVER (
+        PARTITION BY entity, epoch ORDER BY pos, seq) AS fresh FROM g)
+SELECT seq, entity, epoch > 0 AND fresh = 1 AS hit FROM h
+WHERE NOT put AND pos < (SELECT max(pos) // 1000 * 1000 - 3600000000 FROM o)
+""")
+def stream_hits(spark, sf_dir):
+    rows = event_stream(spark, sf_dir).select(
+        F.get_json_object("props", "$.k").cast("int").alias("entity"), "ts", F.col("event_id").alias("seq"),
+        v.op_of(F.col("event_type")).alias("op"),
+    ).filter(F.col("entity").isNotNull() & F.col("op").isin("read", "write"))
+    asked = rows.select("entity", "ts", "seq", (F.col("op") == "write").alias("put"))
+    hits = streams.stream_hits(asked, "entity", "ts", "seq", "put", TTL, "1 hour")
+    return streams.run_to_table(hits, scratch_dir(spark, "stream-hits")).select("seq", "entity", "hit")
+
+
+@query(f"""
+WITH {v.ACCESS_SQL}, {REPEAT_SQL}
+SELECT seq, ctx, op FROM v_moves WHERE pos < {WATERMARK}
+""")
+def stream_repeats(spark, sf_dir):
+    rows = event_stream(spark, sf_dir).select(
+        F.col("user_id").alias("ctx"), "ts", F.col("event_id").alias("seq"), v.op_of(F.col("event_type")).alias("op")
+    )
+    moves = streams.stream_repeats(rows, "ctx", "ts", "seq", "op", "1 hour")
+    written = streams.run_to_table(moves, scratch_dir(spark, "stream-repeats"))
+    return written.select("seq", "ctx", F.col("changed").alias("op"))

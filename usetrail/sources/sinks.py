@@ -83,3 +83,16 @@ def read_findings(spark: SparkSession, path: str, doc: str = "doc_id") -> DataFr
     )
     kept = log.filter(F.col("rule") != HEAD_RULE).join(newest, [doc, "version"])
     return kept.drop("version")
+
+
+def compact_findings(spark: SparkSession, path: str, into: str, doc: str = "doc_id") -> None:
+    """Write the log anew to another folder with the last version of every document only.
+
+    Readers of the old folder are not disturbed: it stays as it is, and a run that is
+    broken off leaves nothing that is read. Versions and heads stay, so later runs go on in
+    the new folder, and an older run that is repeated there changes nothing.
+    """
+    log = spark.read.parquet(path)
+    newest = log.filter(F.col("rule") == HEAD_RULE).groupBy(doc).agg(F.max("version").alias("version"))
+    kept = log.join(newest, [doc, "version"])
+    kept.write.mode("errorifexists").partitionBy("version").parquet(into)

@@ -118,6 +118,72 @@ def stream_debounce(
     )
 
 
+def _in_order(
+    src: DataFrame, key: str, ts: str, late: str, seq: str, value: str, own: dict[str, str], start: tuple,
+    result: str, apply,
+) -> DataFrame:
+    """Run `apply(state, pos, seq, value)` over the rows of every key in the order of time and `seq`.
+
+    It gives the next state and what to send with the row, or None for nothing. Rows wait in
+    the state of their key until the watermark has passed them; rows older than that are
+    dropped, as streams do. The state is what `own` names (starting as `start`) and the
+    rows of the last `late` of time.
+    """
+    fields = {f.name: f.dataType.simpleString() for f in src.schema.fields}
+    state = ", ".join([*(f"{n} {t}" for n, t in own.items()), "_at array<bigint>", f"_seq array<{fields[seq]}>", f"_value array<{fields[value]}>"])
+    out = f"`{key}` {fields[key]}, `{seq}` {fields[seq]}, pos bigint, {result}"
+    columns = [key, seq, "pos", result.split(" ")[0]]
+
+    def step(ids: tuple, batches: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        *held, at, seqs, values = group.get if group.exists else (*start, [], [], [])
+        rows = list(zip(at, seqs, values, strict=True))
+        if not group.hasTimedOut:
+            for batch in batches:
+                rows += zip(batch["pos"].tolist(), batch[seq].tolist(), batch[value].tolist(), strict=True)
+        rows.sort(key=lambda r: r[:2])
+        passed = group.getCurrentWatermarkMs() * 1000
+        ready = sum(r[0] < passed for r in rows)
+        sent = []
+        for row in rows[:ready]:
+            held, told = apply(held, *row)
+            if told is not None:
+                sent.append((ids[0], row[1], row[0], told))
+        rows = rows[ready:]
+        group.update((*held, *([r[i] for r in rows] for i in range(3))))
+        if rows:
+            group.setTimeoutTimestamp(max(rows[0][0] // 1000 + 1, group.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(sent, columns=columns)
+
+    return (
+        src.withWatermark(ts, late).withColumn("pos", F.unix_micros(ts)).groupBy(key)
+        .applyInPandasWithState(step, out, state, "append", GroupStateTimeout.EventTimeTimeout)
+    )
+
+
+def stream_hits(src: DataFrame, key: str, ts: str, seq: str, is_put: str, ttl: int, late: str) -> DataFrame:
+    """Hit flag of every get of a cache where a get refreshes its entry (`cache.refreshing_hit`)."""
+
+    def apply(state, pos, _, put):
+        live, last = state
+        if put:
+            return (True, pos), None
+        live = bool(live) and pos - last <= ttl
+        return (live, pos), live
+
+    return _in_order(src, key, ts, late, seq, is_put, {"live": "boolean", "last": "bigint"}, (False, None), "hit boolean", apply)
+
+
+def stream_repeats(src: DataFrame, key: str, ts: str, seq: str, value: str, late: str) -> DataFrame:
+    """Rows whose value differs from that of the row before (`cache.drop_repeats`), as `changed`."""
+    kind = src.schema[value].dataType.simpleString()
+
+    def apply(state, pos, _, new):
+        any_, last = state
+        return (True, new), (None if any_ and new == last else new)
+
+    return _in_order(src, key, ts, late, seq, value, {"any_row": "boolean", "last": kind}, (False, None), f"changed {kind}", apply)
+
+
 def run_to_table(df: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """Work off what is there now, write it to a table and read that back.
 
