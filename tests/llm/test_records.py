@@ -362,3 +362,41 @@ def test_low_branches_of_a_site_go(spark):
 
 def test_hosts():
     assert [extract.host_of(u) for u in ("HTTP://U@A.b:80/x", "a.b/c", "https://a.b?x", None)] == ["a.b", "a.b", "a.b", ""]
+
+
+# ---- pages that earlier versions got wrong ---------------------------------------------
+
+
+def texts_of(spark, pages):
+    table = spark.createDataFrame([(n, u, h) for n, (u, h) in enumerate(pages)], "page_id long, url string, html string")
+    return {r.page_id: r.text for r in extract.extracted(table).collect()}
+
+
+def test_an_article_under_two_addresses_stays(spark):
+    menu = "<div class='x'><p>Home</p><p>About us</p></div>"
+    page = f"<body>{menu}<div class='y'><p>First paragraph of the article, long enough.</p><p>And a second one, too.</p></div></body>"
+    other = f"<body>{menu}<div class='y'><p>Another story with a text of its own, longer than the menu is.</p></div></body>"
+    found = texts_of(spark, [("http://h.x/a", page), ("http://h.x/a?utm=1", page), ("http://h.x/b", other), ("http://h.x/c", other)])
+    assert "First paragraph" in found[0] and "second one" in found[0] and found[0] == found[1]
+    assert "Another story" in found[2]
+
+
+def test_lists_and_tables_of_an_article_stay(spark):
+    page = "<article><h1>T</h1><p>Para one.</p><ul><li>Item</li></ul><table><tr><td>Cell</td></tr></table></article>"
+    assert set(texts_of(spark, [("http://h.x/a", page), ("http://h.x/b", page)]).values()) == {"T\n\nPara one.\n\nItem\n\nCell"}
+
+
+@pytest.mark.parametrize("name", ["comment-list", "comments-area", "post-comments", "site-footer", "main-nav", "top-menu",
+                                  "share-buttons", "ad-container", "cookie-bar", "left-sidebar", "sidebar-left", "related-posts"])
+def test_names_of_noise_with_a_place_beside_them(name):
+    assert extract.main_text(f"<body><div class='{name}'><p>No.</p></div><div><p>Yes.</p></div></body>", frozenset()) == "Yes."
+
+
+@pytest.mark.parametrize("name", ["has-sidebar", "no-sidebar", "content-sidebar-wrap", "comments-open", "related-work", "search-term", "main"])
+def test_names_that_only_mention_noise(name):
+    assert extract.main_text(f"<body><div class='{name}'><p>Yes.</p></div></body>", frozenset()) == "Yes."
+
+
+def test_quotes_open_a_value_only_after_the_equals_sign():
+    page = "<p><a title=don't>it</a> is Jim's <b id = 'x>y' title=\"a'b\">text</b> and <i don't>more</i></p>"
+    assert extract.main_text(page, frozenset()) == "it is Jim's text and more"

@@ -36,7 +36,6 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small"
     " span strike strong sub sup time tt u var wbr br".split()
 )
-PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 NOISE_TAGS = frozenset(
     "head script style noscript template iframe nav footer aside form button select option input textarea svg canvas"
     " object embed applet menu dialog audio video map".split()
@@ -47,6 +46,11 @@ NOISE_WORDS = frozenset(
     " share sharing social related comment comments disqus respond login signup search widget toolbar pagination pager"
     " masthead contentinfo complementary".split()
 )
+#: Words that only say where or in what shape something stands; beside them a noise word still decides.
+LAYOUT_WORDS = frozenset(
+    "area bar bottom box block btn button buttons col column container global group holder inner item items left links list"
+    " main outer page panel post posts primary right row secondary section side site top wrap wrapper zone".split()
+)
 CLOSES_P = frozenset(
     "address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main"
     " menu nav ol p pre section table ul".split()
@@ -58,13 +62,19 @@ SAME_CLOSES = {
 SCOPES = frozenset("html body table ul ol dl article section main aside nav div td th".split())
 
 _TOKEN = re.compile(
-    r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z))",
+    r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>=]+|=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))?)*)(?:>|\Z))",
     re.S,
 )
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I | re.S)
 _LETTERS = re.compile(r"[a-z]+")
 
 
+def says_noise(name: str) -> bool:
+    """Whether a class, id or role names noise: a noise word, and beside it layout words at most."""
+    words = set(_LETTERS.findall(name))
+    return bool(words & NOISE_WORDS) and words <= NOISE_WORDS | LAYOUT_WORDS
+
+
 class _Node:
     __slots__ = ("tag", "path", "above", "sure", "called", "article", "children")
 
@@ -94,8 +104,8 @@ def parse(page: str) -> tuple[list[tuple[str, str, bool, bool]], list[tuple[str,
     """Blocks (path, text, noise, fixed) in page order, and (path, child sequence) of nodes.
 
     `noise` blocks lie in elements that are no article text by tag, class, id or role; a name
-    counts only if all its words are noise words, and not on what holds an article or main;
-    `fixed` ones are paragraphs and headings inside an article.
+    counts only if its words are noise words, with layout words beside them at most, and not
+    on what holds an article or main; `fixed` ones lie inside an article.
     """
     root = _Node("", "", None, False, False)
     stack, blocks, nodes, held = [root], [], [root], []
@@ -113,7 +123,7 @@ def parse(page: str) -> tuple[list[tuple[str, str, bool, bool]], list[tuple[str,
             held.clear()
             if text:
                 of = owner()
-                blocks.append((of, text, of.article and of.tag in PARAGRAPHS))
+                blocks.append((of, text, of.article))
 
     def close(depth: int) -> None:
         if any(n.tag not in INLINE for n in stack[depth:]):
@@ -168,7 +178,7 @@ def parse(page: str) -> tuple[list[tuple[str, str, bool, bool]], list[tuple[str,
                 words.append((key.lower(), value))
         sure = tag in NOISE_TAGS or (tag == "header" and not stack[-1].article)
         called = tag not in ("html", "body", "article", "main") and any(
-            (found := _LETTERS.findall(name)) and NOISE_WORDS.issuperset(found) for _, v in words for name in v.split()
+            says_noise(name) for _, v in words for name in v.split()
         )
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
@@ -266,16 +276,24 @@ def style_trees(pages: DataFrame) -> DataFrame:
 
 
 def main_text(page: str | None, low: frozenset | set) -> str:
-    """Blocks that are neither noise nor in a low branch, joined by empty lines."""
-    kept = []
-    for path, text, noise, fixed in parse(page or "")[0]:
-        if not noise:
-            if low and not fixed:
-                steps = path.split(">")
-                if any(">".join(steps[:k]) in low for k in range(2, len(steps) + 1)):
-                    continue
-            kept.append(text)
-    return "\n\n".join(kept)
+    """Blocks that are neither noise nor in a low branch, joined by empty lines.
+
+    A branch with half of the page's text or more is never low: a page that its host shows
+    under several addresses repeats its article as it repeats its menu.
+    """
+    blocks = [(path, text, fixed) for path, text, noise, fixed in parse(page or "")[0] if not noise]
+    under: dict[str, int] = {}
+    total = sum(len(text) for _, text, _ in blocks)
+    branches = []
+    for path, text, _ in blocks:
+        steps = path.split(">") if low else []
+        branches.append([b for b in (">".join(steps[:k]) for k in range(2, len(steps) + 1)) if b in low])
+        for branch in branches[-1]:
+            under[branch] = under.get(branch, 0) + len(text)
+    return "\n\n".join(
+        text for (_, text, fixed), low_ones in zip(blocks, branches, strict=True)
+        if fixed or all(2 * under[b] >= total for b in low_ones)
+    )
 
 
 def extracted(pages: DataFrame, low: float = LOW, sent: int = SENT) -> DataFrame:
