@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from usetrail.llm.common import named
+from usetrail.llm.common import named, table_written
+from usetrail.session import scratch_dir
 
 #: Branches below this composite importance are removed.
 LOW = 0.4
@@ -245,6 +246,8 @@ def style_trees(pages: DataFrame) -> DataFrame:
         source.mapInArrow(listed, "host string, path string, content boolean, feature long, n long")
         .groupBy("host", "path", "content", "feature").agg(F.sum("n").alias("n"))
     )
+    # read twice below; written, so that pages are parsed for it only once
+    counted = table_written(counted, f"{scratch_dir(pages.sparkSession, 'trees')}/counted")
     own = (
         counted.groupBy("host", "path", "content")
         .agg(
