@@ -39,6 +39,9 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     parent = shared or spark.conf.get("spark.sql.warehouse.dir") + "/scratch"
+    alone = spark.conf.get("spark.master", "local").startswith("local[") or spark.conf.get("spark.master", "local") == "local"
+    if not shared and not alone and parent.startswith("file:"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{parent.rstrip('/')}/usetrail-{name}-{uuid.uuid4().hex}"
 
 
