@@ -57,10 +57,10 @@ def _own_key(prefix: str, name: Column) -> Column:
 
 
 def use_links(
-    occurrences: DataFrame, keys: list[str], order: list[str], is_decl: Column, name: Column
+    occurrences: DataFrame, keys: list[str], order: list[str], is_decl: Column, name: Column, bounded: bool = False
 ) -> DataFrame:
     """Every use with the id of the latest earlier declaration of its name."""
-    found = resolve_asof(occurrences, keys, order, is_decl, _own_key("var", name), "from_id")
+    found = resolve_asof(occurrences, keys, order, is_decl, _own_key("var", name), "from_id", bounded)
     return found.filter(~is_decl & F.col("from_id").isNotNull()).withColumn(
         "to_id", _own_key("use", name)
     )
@@ -123,10 +123,11 @@ def _addressed(nodes: DataFrame) -> DataFrame:
     )
 
 
-def code_graph(nodes: DataFrame, sync_calls: DataFrame) -> tuple[DataFrame, DataFrame]:
+def code_graph(nodes: DataFrame, sync_calls: DataFrame, bounded: bool = True) -> tuple[DataFrame, DataFrame]:
     """Graph of a syntax-node table: (doc_id, node columns) and (doc_id, edge columns).
 
     `sync_calls` (doc_id, node_id) are the calls that lock, unlock or act atomically.
+    `bounded`: the nodes of a document come out of one text (as in `running`).
 
     Variables are the names right under a declaration; what they declare holds for the rest
     of the document, the latest declaration of a name first. A call, send, receive or spawn
@@ -140,7 +141,7 @@ def code_graph(nodes: DataFrame, sync_calls: DataFrame) -> tuple[DataFrame, Data
         *doc, "parent_id", "parent_kind", "field", F.trim("text").alias("name"), "start_pos", "line", "col", "end_line", "end_col",
     )
     declares = F.col("parent_kind").isin("var_spec", "short_var_declaration")
-    links = use_links(names, [*doc, "name"], ["start_pos"], declares, F.col("name"))
+    links = use_links(names, [*doc, "name"], ["start_pos"], declares, F.col("name"), bounded)
     function = (F.col("parent_kind") == "function_declaration") & (F.col("field") == "name")
     entities = stacked(
         names.filter(declares).withColumn("kind", F.lit("variable")),

@@ -32,10 +32,10 @@ def extract_decls(
 
 def resolve_asof(
     rows: DataFrame, keys: list[str], order: list[str], is_decl: Column, decl: Column,
-    into: str = "decl_id",
+    into: str = "decl_id", bounded: bool = False,
 ) -> DataFrame:
     """Latest declaration at or before each row among rows of the same keys."""
-    return running(rows, keys, order, **{into: latest(F.when(is_decl, decl))})
+    return running(rows, keys, order, bounded, **{into: latest(F.when(is_decl, decl))})
 
 
 def resolve_scoped(
