@@ -400,3 +400,9 @@ def test_names_that_only_mention_noise(name):
 def test_quotes_open_a_value_only_after_the_equals_sign():
     page = "<p><a title=don't>it</a> is Jim's <b id = 'x>y' title=\"a'b\">text</b> and <i don't>more</i></p>"
     assert extract.main_text(page, frozenset()) == "it is Jim's text and more"
+
+
+def test_sharding_takes_columns_with_dots(spark):
+    table = spark.createDataFrame([(n, f"text {n}") for n in range(50)], "`doc.id` long, `the.text` string")
+    rows = sharding.external_shuffle(table, 3, key="doc.id", text="the.text").collect()
+    assert sorted(r.record["doc.id"] for r in rows) == list(range(50)) and {r.shard for r in rows} == {0, 1, 2}

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from usetrail.llm.common import text_of
+from usetrail.llm.common import named, text_of
 
 OVERHEAD = 16
 COARSE = 1024
@@ -58,7 +58,7 @@ def external_shuffle(
     gives no row, and input columns of any name stay inside `record`. Size of a record:
     UTF-8 bytes of its text plus 16.
     """
-    spread = F.xxhash64(F.lit(seed), docs[key], docs[text])
+    spread = F.xxhash64(F.lit(seed), named(docs, key), named(docs, text))
     plain = [docs[f"`{f.name}`"] for f in docs.schema if not isinstance(f.dataType, T.MapType)]
     rows = docs.select(
         F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("record"),
