@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from usetrail.operators import rules, structure
+from usetrail.operators import cache, rules, structure
 from usetrail.plans.scan import CHUNK, clamped_sum, highest, running, total, with_chunks
 from usetrail.streaming import streams
 
@@ -111,3 +111,37 @@ def test_debounce_stream_takes_late_rows_where_they_belong(spark, tmp_path):
     src = streams.table_stream(spark, f"{tmp_path}/in", "rows", schema, "ts", files_per_trigger=1)
     fired = streams.run_to_table(streams.stream_debounce(src, "key", "ts", "value", 300_000, "1 hour"), f"{tmp_path}/out")
     assert [r["value"] for r in fired.orderBy("pos").collect()] == ["a", "c", "b"]
+
+
+def test_locks_and_group_findings_of_a_stream_take_late_rows_where_they_belong(spark, tmp_path):
+    day = dt.datetime(2024, 1, 1, 10)
+    at = lambda m, s, lock=None, delta=None: ("k", day + dt.timedelta(minutes=m), s, lock, delta, s % 2 == 0)
+    files = [[at(0, 1, "a", 1), at(5, 3), at(9, 5)], [at(8, 4, "a", -1), at(5, 6, "b", 1), at(6, 2, "c", -1), at(12, 8)],
+             [("z", day + dt.timedelta(days=2), 9, None, None, None)]]
+    src = late_stream(spark, tmp_path, files, "key string, ts timestamp, seq bigint, lock string, delta int, flag boolean")
+    held = streams.run_to_table(
+        streams.stream_held(src, ["key"], "ts", "seq", "lock", "delta", ["flag"], "1 hour"), f"{tmp_path}/held"
+    )
+    # the event at the time of use 3 comes before it; the release of a free lock counts for nothing
+    assert [(r["seq"], r["held_keys"], r["flag"]) for r in held.orderBy("pos").collect()] == [(3, 2, False), (5, 1, False), (8, 1, True)]
+    uses = src.filter("lock IS NULL")
+    rules = {2: (["key"], "flag", False), 7: (["key"], "flag", True)}
+    found = streams.run_to_table(streams.stream_group_findings(uses, "ts", "seq", rules, "1 hour"), f"{tmp_path}/found")
+    due = int((day + dt.timedelta(minutes=12)).replace(tzinfo=dt.UTC).timestamp() * 1_000_000)
+    rows = found.orderBy("rule_id").collect()
+    assert [(r["rule_id"], r["found"], r["pos"]) for r in rows] == [(2, 3, due), (7, 3, due)]
+    # a group that begins with the flag has no row before it, but both kinds
+    turned = uses.withColumn("flag", ~F.col("flag"))
+    found = streams.run_to_table(streams.stream_group_findings(turned, "ts", "seq", rules, "1 hour"), f"{tmp_path}/turned")
+    assert [(r["rule_id"], r["found"]) for r in found.collect()] == [(2, 8)]
+
+
+def test_recent_entries_of_a_stream_equal_the_batch_form(spark, tmp_path):
+    day = dt.datetime(2024, 1, 1)
+    files = [[(k, day + dt.timedelta(hours=h)) for k, h in part]
+             for part in ([("a", 1), ("b", 2), ("c", 3)], [("d", 4), ("a", 5)], [("b", 0), ("e", 1)], [("c", 6), ("c", 2)])]
+    src = late_stream(spark, tmp_path, files, "key string, ts timestamp")
+    kept = streams.stream_recent(src, f"{tmp_path}/recent", ["key"], ["ts"], 2)
+    assert {r["key"] for r in kept.collect()} == {"a", "c"}
+    last = spark.createDataFrame(sum(files, []), "key string, ts timestamp").groupBy("key").agg(F.max("ts").alias("ts"))
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, cache.keep_recent(last, ["ts", "key"], 2).collect()))

@@ -6,6 +6,7 @@ from pyspark.sql import types as T
 from usetrail.operators import cache
 from usetrail.queries.graph_q import GREEDY_SQL, HOUR, TTL
 from usetrail.queries.registry import query
+from usetrail.queries.rules_q import HELD_SQL
 from usetrail.session import scratch_dir
 from usetrail.sources import views as v
 from usetrail.streaming import streams
@@ -196,3 +197,72 @@ def stream_repeats(spark, sf_dir):
     moves = streams.stream_repeats(rows, "ctx", "ts", "seq", "op", "1 hour")
     written = streams.run_to_table(moves, scratch_dir(spark, "stream-repeats"))
     return written.select("seq", "ctx", F.col("changed").alias("op"))
+
+
+@query("""
+SELECT user_id, max(epoch_us(ts)) AS pos FROM events GROUP BY user_id
+ORDER BY pos DESC, user_id DESC LIMIT 50
+""")
+def stream_recent(spark, sf_dir):
+    src = event_stream(spark, sf_dir).select("user_id", v.micros("ts").alias("pos"))
+    return streams.stream_recent(src, scratch_dir(spark, "stream-recent"), ["user_id"], ["pos"], 50)
+
+
+def held_stream(spark, sf_dir):
+    """Uses of the event stream with their lock state, written by a stream of their own."""
+    src = event_stream(spark, sf_dir)
+    rows = v.access_view(src).withColumn("ts", F.timestamp_micros("pos"))
+    rows = rows.filter(F.col("op").isin("read", "write", "acquire", "release"))
+    delta = F.when(F.col("op") == "acquire", 1).when((F.col("op") == "release") & ~F.col("deferred"), -1)
+    # a deferred release is no event and no use
+    rows = rows.withColumn("delta", delta).filter(F.col("delta").isNotNull() | F.col("op").isin("read", "write"))
+    shown = ["entity", "op", "is_atomic", "is_field"]
+    return streams.stream_held(rows, ["ctx", "day"], "ts", "seq", "lock_key", "delta", shown, "1 hour")
+
+
+SEEN_SQL = "v_seen AS (SELECT max(pos) // 1000 * 1000 - 3600000000 AS upto FROM v_access WHERE op <> 'decl' AND NOT deferred)"
+
+
+@query(f"""
+WITH {v.ACCESS_SQL}, {HELD_SQL}, {SEEN_SQL}
+SELECT seq, ctx, day, held_keys FROM v_assessed, v_seen WHERE pos < upto
+""")
+def stream_held(spark, sf_dir):
+    held = streams.run_to_table(held_stream(spark, sf_dir), scratch_dir(spark, "stream-held"))
+    return held.select("seq", "ctx", "day", "held_keys")
+
+
+def _once_sql(rule: int, group: str, names: str, flag: str, ordered: bool) -> str:
+    """The first row without the flag of every group that has both, and when the later of them came."""
+    early = "AND min(pos) FILTER (WHERE NOT flag) < min(pos) FILTER (WHERE flag)" if ordered else ""
+    return f"""
+SELECT {rule} AS rule_id, {names} AS "group", arg_min(seq, pos) FILTER (WHERE NOT flag) AS found,
+  greatest(min(pos) FILTER (WHERE flag), min(pos) FILTER (WHERE NOT flag)) AS pos
+FROM (SELECT *, {flag} AS flag FROM v_uses) GROUP BY {group}
+HAVING bool_or(flag) AND NOT bool_and(flag) {early}"""
+
+
+GROUP_NAME = """'{"entity":' || entity || ',"day":"' || day || '"}'"""
+CTX_NAME = """'{"entity":' || entity || ',"ctx":' || ctx || '}'"""
+
+
+@query(f"""
+WITH {v.ACCESS_SQL}, {HELD_SQL}, {SEEN_SQL},
+v_first AS (SELECT * FROM v_assessed, v_seen WHERE pos < upto AND is_field),
+v_uses AS (SELECT * FROM v_first WHERE pos < (SELECT max(pos) // 1000 * 1000 - 3600000000 FROM v_first))
+{_once_sql(2, 'entity, day', GROUP_NAME, 'is_atomic', False)}
+UNION ALL {_once_sql(3, 'entity, day', GROUP_NAME, 'in_sync', False)}
+UNION ALL {_once_sql(7, 'entity, ctx', CTX_NAME, "op = 'write'", True)}
+""")
+def stream_group_findings(spark, sf_dir):
+    # two streams: locks go by context, findings by entity
+    folder = scratch_dir(spark, "stream-group-findings")
+    held = streams.run_to_table(held_stream(spark, sf_dir), f"{folder}/held")
+    src = spark.readStream.schema(held.schema).parquet(f"{folder}/held/table").filter("is_field")
+    uses = src.withColumn("in_sync", F.col("is_atomic") | (F.col("held_keys") > 0)).withColumn("writes", F.col("op") == "write")
+    rules = {
+        2: (["entity", "day"], "is_atomic", False), 3: (["entity", "day"], "in_sync", False),
+        7: (["entity", "ctx"], "writes", True),
+    }
+    found = streams.stream_group_findings(uses, "ts", "seq", rules, "1 hour")
+    return streams.run_to_table(found, f"{folder}/found")

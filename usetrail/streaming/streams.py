@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from usetrail.operators.cache import keep_recent
 from usetrail.operators.rules import severity
+from usetrail.plans.scan import stacked
 
 
 def table_stream(
@@ -120,11 +123,12 @@ def stream_debounce(
 
 def _in_order(
     src: DataFrame, key: str, ts: str, late: str, seq: str, value: str, own: dict[str, str], start: tuple,
-    result: str, apply,
+    result: str, apply, rank=lambda row: row[:2],
 ) -> DataFrame:
     """Run `apply(state, pos, seq, value)` over the rows of every key in the order of time and `seq`.
 
-    It gives the next state and what to send with the row, or None for nothing. Rows wait in
+    It gives the next state and what to send with the row, or None for nothing. `rank` orders
+    the rows (pos, seq, value) otherwise; it must begin with the time. Rows wait in
     the state of their key until the watermark has passed them; rows older than that are
     dropped, as streams do. The state is what `own` names (starting as `start`) and the
     rows of the last `late` of time.
@@ -140,7 +144,7 @@ def _in_order(
         if not group.hasTimedOut:
             for batch in batches:
                 rows += zip(batch["pos"].tolist(), batch[seq].tolist(), batch[value].tolist(), strict=True)
-        rows.sort(key=lambda r: r[:2])
+        rows.sort(key=rank)
         passed = group.getCurrentWatermarkMs() * 1000
         ready = sum(r[0] < passed for r in rows)
         sent = []
@@ -184,6 +188,121 @@ def stream_repeats(src: DataFrame, key: str, ts: str, seq: str, value: str, late
     return _in_order(src, key, ts, late, seq, value, {"any_row": "boolean", "last": kind}, (False, None), f"changed {kind}", apply)
 
 
+def stream_held(
+    src: DataFrame, scope: list[str], ts: str, seq: str, lock: str, delta: str, shown: list[str], late: str
+) -> DataFrame:
+    """Uses with the number of locks held at them (`sync.held_at`), per scope.
+
+    Rows with a lock and a delta of +1 or -1 are lock events, all others uses; an event at the
+    time of a use comes before it. The depth of a lock never falls below zero. `shown` columns
+    of a use come along. State: the locks held in the scope, and the rows of the last `late`.
+    """
+    fields = src.schema
+    event = F.col(lock).isNotNull() & F.col(delta).isNotNull()
+    facts = F.to_json(F.struct(
+        F.when(event, F.col(lock)).alias("_lock"), F.when(event, F.col(delta)).alias("_delta"),
+        F.when(~event, F.struct(*scope, *shown)).alias("_use"),
+    ))
+    rows = src.select(F.to_json(F.struct(*scope)).alias("_scope"), ts, seq, facts.alias("_facts"))
+
+    def apply(state, pos, _, facts):
+        row = json.loads(facts)
+        if "_use" in row:
+            return state, json.dumps({**row["_use"], "_held": len(state[0])})
+        depths = dict(zip(*state, strict=True))
+        depth = max(0, depths.pop(row["_lock"], 0) + row["_delta"])
+        if depth:
+            depths[row["_lock"]] = depth
+        return (list(depths), list(depths.values())), None
+
+    def events_first(row):
+        return row[0], '"_use":' in row[2], row[1]
+
+    held = _in_order(
+        rows, "_scope", ts, late, seq, "_facts", {"locks": "array<string>", "depths": "array<bigint>"}, ([], []),
+        "use string", apply, events_first,
+    )
+    kind = T.StructType([*(fields[c] for c in [*scope, *shown]), T.StructField("_held", T.LongType())])
+    use = F.from_json("use", kind)
+    return held.select(
+        *[use[c].alias(c) for c in [*scope, *shown]], F.timestamp_micros("pos").alias(ts), "pos", seq,
+        use["_held"].alias("held_keys"),
+    )
+
+
+def stream_group_findings(
+    src: DataFrame, ts: str, seq: str, rules: dict[int, tuple[list[str], str, bool]], late: str
+) -> DataFrame:
+    """Findings that need several rows of a group, each sent once, as soon as the rows show it.
+
+    `rules` gives per rule number the columns of its group, a flag and whether order counts. A
+    group has a finding if it holds rows with and without the flag; where order counts, if
+    a row without comes before the first one with. It stands on the group's first row without the
+    flag (`found`); `pos` is the time of the row that completed it. NULL flags count as false.
+    One state per rule and group: that row, whether the flag was seen, whether it was sent.
+    """
+    asked = [
+        F.struct(
+            F.lit(rule).alias("rule_id"), F.to_json(F.struct(*group)).alias("group"),
+            (F.coalesce(F.col(flag), F.lit(False)).cast("int") + F.lit(2 * ordered)).alias("bits"),
+        )
+        for rule, (group, flag, ordered) in rules.items()
+    ]
+    rows = src.select(ts, seq, F.explode(F.array(*asked)).alias("_a")).select(
+        F.concat_ws(" ", "_a.rule_id", "_a.group").alias("_key"), ts, seq, "_a.bits"
+    )
+
+    def apply(state, pos, number, bits):
+        first, flagged, over = state
+        if over:
+            return state, None
+        if bits & 1:
+            flagged = True
+        elif first is None:
+            first = number
+        if bits & 2:  # once the flag is there, later rows do not come before it
+            return (first, flagged, bool(flagged)), first if flagged else None
+        done = flagged and first is not None
+        return (first, flagged, done), first if done else None
+
+    kind = src.schema[seq].dataType.simpleString()
+    own = {"first": kind, "flagged": "boolean", "over": "boolean"}
+    sent = _in_order(rows, "_key", ts, late, seq, "bits", own, (None, False, False), f"found {kind}", apply)
+    parts = F.split("_key", " ", 2)
+    return sent.select(parts[0].cast("int").alias("rule_id"), parts[1].alias("group"), "found", "pos")
+
+
+def keep_recent_batch(path: str, keys: list[str], order: list[str], n: int):
+    """foreachBatch writer of the n most recent entries so far (`cache.keep_recent`).
+
+    Each micro-batch writes a new version of the list, made of the version before it and its
+    own rows: whatever is not among the n of the list can only come back by a later touch,
+    which comes in a batch of its own. A repeated batch writes its version again.
+    """
+
+    def rule(batch: DataFrame, number: int) -> DataFrame:
+        rows = batch.select(*keys, *order)
+        if number:
+            rows = stacked(rows, batch.sparkSession.read.schema(rows.schema).parquet(f"{path}/batch={number - 1}"))
+        last = rows.groupBy(*keys).agg(F.max(F.struct(*order)).alias("_v")).select(*keys, *[F.col(f"_v.{c}").alias(c) for c in order])
+        return keep_recent(last, [*order, *keys], n)
+
+    def write(batch: DataFrame, number: int) -> None:
+        rule(batch, number).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return write
+
+
+def stream_recent(src: DataFrame, path: str, keys: list[str], order: list[str], n: int) -> DataFrame:
+    """Work off what is there now and give the n most recent entries after it."""
+    writer = src.writeStream.option("checkpointLocation", f"{path}/_checkpoint").trigger(availableNow=True)
+    query = writer.foreachBatch(keep_recent_batch(f"{path}/table", keys, order, n)).start()
+    query.awaitTermination()
+    kept = T.StructType([src.schema[c] for c in [*keys, *order]])
+    versions = src.sparkSession.read.schema(kept.add("batch", T.LongType())).parquet(f"{path}/table")
+    return versions.join(versions.agg(F.max("batch").alias("batch")), "batch").drop("batch")
+
+
 def run_to_table(df: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """Work off what is there now, write it to a table and read that back.
 
