@@ -1,8 +1,9 @@
 """Per-record operators against brute force, round trips and hand-made corners."""
 
+import math
 import re
 import time
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -406,3 +407,50 @@ def test_sharding_takes_columns_with_dots(spark):
     table = spark.createDataFrame([(n, f"text {n}") for n in range(50)], "`doc.id` long, `the.text` string")
     rows = sharding.external_shuffle(table, 3, key="doc.id", text="the.text").collect()
     assert sorted(r.record["doc.id"] for r in rows) == list(range(50)) and {r.shard for r in rows} == {0, 1, 2}
+
+
+def test_deep_pages_take_time_in_proportion():
+    page = "<div class='a'>x" * 60_000 + "</span>" * 60_000 + "<article>" * 500 + "<p>y" * 5_000
+    started = time.time()
+    text = extract.main_text(page, {5})
+    assert time.time() - started < 20
+    assert text.count("x") == 60_000 and text.count("y") == 5_000
+
+
+def test_style_trees_equal_their_definition_at_any_depth(spark):
+    def page(i, depth):
+        deep = "".join(f"<div class='d{'ab'[k % 2]}'>" + (f"<p>note {i % 3}</p>" if k % 5 == 0 else "") for k in range(depth))
+        return f"<body><div class='menu{'' if i % 2 else 's'}'><p>Home</p></div>{deep}<p>Text {i}</p>" + "</div>" * depth + "</body>"
+
+    made = [(i, f"http://h{i % 2}/{i}", page(i, 3 + 4 * (i % 4))) for i in range(24)]
+    table = spark.createDataFrame(made, "page_id bigint, url string, html string")
+    got = {(r.host, r.node): r.importance for r in extract.style_trees(table).collect()}
+    seen, pages, up = Counter(), Counter(), {}
+    for _, url, html in made:
+        host = extract.host_of(url)
+        blocks, nodes = extract.parse(html)
+        up.update({(host, n.number): (host, n.block.number) for n in nodes if n.block is not None})
+        looks = {((host, n.number), False, tuple(n.children)) for n in nodes if n.children}
+        texts = {((host, n.number), True, text) for n, text in blocks}
+        seen.update(looks | texts)
+        pages.update({key[:2] for key in looks | texts})
+    shown, said = defaultdict(list), defaultdict(list)
+    for (node, is_text, _), n in seen.items():
+        (said if is_text else shown)[node].append(n)
+    below = defaultdict(lambda: [0.0, 0])
+    for node, counts in said.items():
+        m, at = pages[node, True], node
+        worth = 1.0 if m <= 1 else 1 - sum(map(math.log, counts)) / len(counts) / math.log(m)
+        while at is not None:
+            below[at][0] += worth * sum(counts)
+            below[at][1] += sum(counts)
+            at = up.get(at)
+    want = {}
+    for node, (weight, n) in below.items():
+        want[node] = weight / n
+        if node in shown:
+            m, total = pages[node, False], sum(shown[node])
+            own = 1.0 if m <= 1 else -sum(c / total * math.log(c / total) for c in shown[node]) / math.log(m)
+            want[node] = (1 - extract.INHERIT) * own + extract.INHERIT * want[node]
+    assert set(got) == set(want) and max(abs(got[k] - want[k]) for k in want) < 1e-9
+    assert min(want.values()) < extract.LOW < max(want.values())

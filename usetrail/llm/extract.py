@@ -77,58 +77,66 @@ def says_noise(name: str) -> bool:
 
 
 class _Node:
-    __slots__ = ("tag", "path", "above", "sure", "called", "article", "children")
+    """An element; block elements have a number that stands for their path of tags and classes."""
 
-    def __init__(self, tag: str, label: str, above: _Node | None, sure: bool, called: bool) -> None:
+    __slots__ = ("tag", "number", "above", "block", "sure", "called", "noise", "article", "children", "held", "gone")
+
+    def __init__(self, tag: str, above: _Node | None, block: _Node | None, sure: bool, called: bool) -> None:
         self.tag = tag
-        self.path = label if above is None else f"{above.path}>{label}"
-        self.above = above
+        self.number = 0  # of the root; set for other block elements
+        self.above = above  # the element around this one
+        self.block = block  # the block element around this one
         self.sure = sure or (above is not None and above.sure)
         self.called = called
+        self.noise = False
         self.article = tag in ("article", "main") or (above is not None and above.article)
         self.children: list[str] = []
-        if tag in ("article", "main"):  # what holds one is no noise, whatever it is called
-            while above is not None:
-                above.called = False
-                above = above.above
+        self.held, self.gone = 0, False
+
 
-    @property
-    def noise(self) -> bool:
-        """Noise by tag or name, of its own or above; names are settled once the page is read."""
-        node: _Node | None = self
-        while node is not None and not node.called:
-            node = node.above
-        return self.sure or node is not None
+def _number(above: int, label: str) -> int:
+    """The number of a path: a hash of the number of the path above it and the last step."""
+    return int.from_bytes(hashlib.blake2b(b"%d>%s" % (above, label.encode("utf-8", "replace")), digest_size=7).digest()) or 1
 
 
-def parse(page: str) -> tuple[list[tuple[str, str, bool, bool]], list[tuple[str, str]]]:
-    """Blocks (path, text, noise, fixed) in page order, and (path, child sequence) of nodes.
+def parse(page: str) -> tuple[list[tuple[_Node, str]], list[_Node]]:
+    """Blocks (element, text) in page order, and all elements, outer ones first.
 
-    `noise` blocks lie in elements that are no article text by tag, class, id or role; a name
-    counts only if its words are noise words, with layout words beside them at most, and not
-    on what holds an article or main; `fixed` ones lie inside an article.
+    `noise` elements hold no article text by tag, class, id or role; a name counts only
+    if its words are noise words, with layout words beside them at most, and not on what holds
+    an article or main. The time and the memory are linear in the page, however deep it is.
     """
-    root = _Node("", "", None, False, False)
+    root = _Node("", None, None, False, False)
     stack, blocks, nodes, held = [root], [], [root], []
+    opened: dict[str, int] = {}
+    numbers: dict[tuple[int, str], int] = {}
+    clear = {root}  # holders of an article or main
 
     def owner() -> _Node:
-        return next(n for n in reversed(stack) if n.tag not in INLINE)
+        last = stack[-1]
+        return last.block if last.tag in INLINE else last
 
     def hidden() -> bool:
         """Text of an inline element that is noise inside a block that is not."""
-        return any(n.sure or n.called for n in stack[stack.index(owner()) + 1 :]) and not owner().sure
+        named = False
+        for node in reversed(stack):
+            if node.tag not in INLINE:
+                return named and not node.sure
+            named = named or node.sure or node.called
+        return False
 
     def flush() -> None:
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             held.clear()
             if text:
-                of = owner()
-                blocks.append((of, text, of.article))
+                blocks.append((owner(), text))
 
     def close(depth: int) -> None:
         if any(n.tag not in INLINE for n in stack[depth:]):
             flush()
+        for node in stack[depth:]:
+            opened[node.tag] -= 1
         del stack[depth:]
 
     def close_implied(tags: tuple[str, ...] | frozenset, stop: frozenset) -> None:
@@ -154,6 +162,8 @@ def parse(page: str) -> tuple[list[tuple[str, str, bool, bool]], list[tuple[str,
             continue
         tag = name.lower()
         if slash:
+            if not opened.get(tag):
+                continue
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag == tag:
                     close(depth)
@@ -168,7 +178,7 @@ def parse(page: str) -> tuple[list[tuple[str, str, bool, bool]], list[tuple[str,
             if tag not in INLINE:
                 flush()
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and opened.get("p"):
             close_implied(("p",), SCOPES)
         if tag in SAME_CLOSES:
             close_implied(SAME_CLOSES[tag], frozenset(("table", "ul", "ol", "dl", "select")))
@@ -190,18 +200,27 @@ def parse(page: str) -> tuple[list[tuple[str, str, bool, bool]], list[tuple[str,
         if tag not in INLINE:
             flush()
         label = tag + "".join(f".{w}" for k, v in words if k == "class" for w in sorted(set(_LETTERS.findall(v))))
-        if tag in INLINE:
-            node = _Node(tag, "", stack[-1], sure, called)
-            node.path = stack[-1].path
-        else:
-            above = owner()
-            above.children.append(label)
-            node = _Node(tag, label, stack[-1], sure, called)
-            node.path = f"{above.path}>{label}"
-            nodes.append(node)
+        around = owner()
+        node = _Node(tag, stack[-1], around, sure, called)
+        if tag not in INLINE:
+            around.children.append(label)
+            step = (around.number, label)
+            if step not in numbers:
+                numbers[step] = _number(*step)
+            node.number = numbers[step]
+        if tag in ("article", "main"):  # what holds one is no noise, whatever it is called
+            holder = node.above
+            while holder not in clear:
+                clear.add(holder)
+                holder.called = False
+                holder = holder.above
+        nodes.append(node)
         stack.append(node)
+        opened[tag] = opened.get(tag, 0) + 1
     flush()
-    return [(n.path, text, n.noise, fixed) for n, text, fixed in blocks], [(n.path, ",".join(n.children)) for n in nodes if n.children]
+    for node in nodes:  # names are settled once the page is read
+        node.noise = node.sure or node.called or (node.above is not None and node.above.noise)
+    return blocks, nodes
 
 
 def host_of(url: str | None) -> str:
@@ -215,41 +234,40 @@ def _feature(text: str) -> int:
 
 
 def style_trees(pages: DataFrame) -> DataFrame:
-    """host, path, importance: every node of every host's style tree.
+    """host, node, importance: every node of every host's style tree, named by its path's number.
 
     Leaves get the content importance 1 - mean(H), where a text on n of the host's m pages
     that have the node has H = log n / log m; inner nodes mix the entropy of their child
-    sequences with their children's importance. A node on one page only has importance 1.
-    Counts combine before the shuffle, so a host with very many pages is no hot group.
+    sequences with the importance of the content below. A node on one page only has importance
+    1. Counts combine before the shuffle, so a host with very many pages is no hot group. What
+    lies below a node is summed by doubling the steps to the root, so a tree of depth d
+    takes log2(d) rounds of one row per node.
     """
     source = pages.select(named(pages, "url").alias("url"), named(pages, "html").alias("html"))
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64())
         for batch in batches:
             out: dict[tuple, int] = {}
             for url, page in zip(batch["url"].to_pylist(), batch["html"].to_pylist(), strict=True):
                 host = host_of(url)
                 blocks, nodes = parse(page or "")
-                seen = {(host, p, True, _feature(t)) for p, t, _, _ in blocks}
-                seen |= {(host, p, False, _feature(c)) for p, c in nodes}
-                seen |= {(host, p, kind, None) for _, p, kind, _ in seen}
+                seen = {(host, *_place(n), True, _feature(t)) for n, t in blocks}
+                seen |= {(host, *_place(n), False, _feature(",".join(n.children))) for n in nodes if n.children}
+                seen |= {(*key[:4], None) for key in seen}
                 for key in seen:
                     out[key] = out.get(key, 0) + 1
             if out:
                 columns = [*zip(*out, strict=True), list(out.values())]
                 yield pa.record_batch(
-                    [pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64()), strict=True)],
-                    ["host", "path", "content", "feature", "n"],
+                    [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "node", "up", "content", "feature", "n"]
                 )
 
-    counted = (
-        source.mapInArrow(listed, "host string, path string, content boolean, feature long, n long")
-        .groupBy("host", "path", "content", "feature").agg(F.sum("n").alias("n"))
-    )
-    # read twice below; written, so that pages are parsed for it only once
-    counted = table_written(counted, f"{scratch_dir(pages.sparkSession, 'trees')}/counted")
+    folder = scratch_dir(pages.sparkSession, "trees")
     own = (
-        counted.groupBy("host", "path", "content")
+        source.mapInArrow(listed, "host string, node long, up long, content boolean, feature long, n long")
+        .groupBy("host", "node", "up", "content", "feature").agg(F.sum("n").alias("n"))
+        .groupBy("host", "node", "up", "content")
         .agg(
             F.max(F.when(F.col("feature").isNull(), F.col("n"))).alias("m"),
             F.avg(F.when(F.col("feature").isNotNull(), F.log("n"))).alias("mean_log"),
@@ -263,40 +281,60 @@ def style_trees(pages: DataFrame) -> DataFrame:
             .otherwise((F.log("total") - F.col("n_log") / F.col("total")) / F.log("m")),
         )
     )
-    steps = F.split("path", ">")
-    up = F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.array_join(F.slice(steps, F.lit(1), k), ">")))
-    below = (
-        own.where("content").select("host", up.alias("path"), "importance", "total")
-        .groupBy("host", "path")
-        .agg((F.sum(F.col("importance") * F.col("total")) / F.sum("total")).alias("below"))
+    texts = F.when(F.col("content"), F.col("total"))
+    tree = own.groupBy("host", "node", "up").agg(
+        F.max(F.when(~F.col("content"), F.col("importance"))).alias("shown"),
+        F.coalesce(F.sum(texts * F.col("importance")), F.lit(0.0)).alias("weight"),
+        F.coalesce(F.sum(texts), F.lit(0)).alias("texts"),
     )
-    shown = own.where("NOT content").select("host", "path", F.col("importance").alias("shown"))
-    return below.join(shown, ["host", "path"], "left").select(
-        "host", "path",
-        F.when(F.col("shown").isNull(), F.col("below"))
-        .otherwise((1 - INHERIT) * F.col("shown") + INHERIT * F.col("below")).alias("importance"),
+    tree = table_written(tree, f"{folder}/0")
+    rounds = 0
+    while not tree.where("up IS NOT NULL").isEmpty():
+        rounds += 1
+        # sums reach as far down as `up` reaches up; those one such step below add theirs
+        below = tree.where("up IS NOT NULL").groupBy("host", F.col("up").alias("node")).agg(
+            F.sum("weight").alias("_weight"), F.sum("texts").alias("_texts")
+        )
+        above = tree.select("host", F.col("node").alias("up"), F.col("up").alias("_up"))
+        tree = tree.join(below, ["host", "node"], "left").join(above, ["host", "up"], "left").select(
+            "host", "node", F.col("_up").alias("up"), "shown",
+            (F.col("weight") + F.coalesce("_weight", F.lit(0.0))).alias("weight"),
+            (F.col("texts") + F.coalesce("_texts", F.lit(0))).alias("texts"),
+        )
+        tree = table_written(tree, f"{folder}/{rounds}")
+    mean = F.col("weight") / F.col("texts")
+    return tree.where("texts > 0").select(
+        "host", "node",
+        F.when(F.col("shown").isNull(), mean).otherwise((1 - INHERIT) * F.col("shown") + INHERIT * mean).alias("importance"),
     )
 
 
+def _place(node: _Node) -> tuple[int, int | None]:
+    """The number of a block element and that of the one around it."""
+    return node.number, None if node.block is None else node.block.number
+
+
 def main_text(page: str | None, low: frozenset | set) -> str:
     """Blocks that are neither noise nor in a low branch, joined by empty lines.
 
     A branch with half of the page's text or more is never low: a page that its host shows
-    under several addresses repeats its article as it repeats its menu.
+    under several addresses repeats its article as it repeats its menu. Blocks inside an
+    article stay.
     """
-    blocks = [(path, text, fixed) for path, text, noise, fixed in parse(page or "")[0] if not noise]
-    under: dict[str, int] = {}
-    total = sum(len(text) for _, text, _ in blocks)
-    branches = []
-    for path, text, _ in blocks:
-        steps = path.split(">") if low else []
-        branches.append([b for b in (">".join(steps[:k]) for k in range(2, len(steps) + 1)) if b in low])
-        for branch in branches[-1]:
-            under[branch] = under.get(branch, 0) + len(text)
-    return "\n\n".join(
-        text for (_, text, fixed), low_ones in zip(blocks, branches, strict=True)
-        if fixed or all(2 * under[b] >= total for b in low_ones)
-    )
+    blocks, nodes = parse(page or "")
+    blocks = [(node, text) for node, text in blocks if not node.noise]
+    if low:
+        under: dict[int, int] = {}
+        for node, text in blocks:
+            node.held += len(text)
+        for node in reversed(nodes):
+            if node.block is not None and node.held:
+                node.block.held += node.held
+                under[node.number] = under.get(node.number, 0) + node.held
+        total = nodes[0].held
+        for node in nodes[1:]:
+            node.gone = node.block.gone or (node.number in low and 2 * under.get(node.number, 0) < total)
+    return "\n\n".join(text for node, text in blocks if node.article or not node.gone)
 
 
 def extracted(pages: DataFrame, low: float = LOW, sent: int = SENT) -> DataFrame:
@@ -307,7 +345,7 @@ def extracted(pages: DataFrame, low: float = LOW, sent: int = SENT) -> DataFrame
     one space, also where a line break element stands.
     """
     spark = pages.sparkSession
-    poor = style_trees(pages).where((F.col("importance") < low) & F.col("path").contains(">")).select("host", "path")
+    poor = style_trees(pages).where((F.col("importance") < low) & (F.col("node") != 0)).select("host", "node")
     head = poor.limit(sent + 1).collect()
     source = pages.select(
         named(pages, "page_id").alias("page_id"), named(pages, "url").alias("url"), named(pages, "html").alias("html")
@@ -315,7 +353,7 @@ def extracted(pages: DataFrame, low: float = LOW, sent: int = SENT) -> DataFrame
     if len(head) <= sent:
         by_host: dict[str, set] = {}
         for row in head:
-            by_host.setdefault(row.host, set()).add(row.path)
+            by_host.setdefault(row.host, set()).add(row.node)
         table = spark.sparkContext.broadcast(by_host)
 
         @F.arrow_udf("string")
@@ -329,7 +367,7 @@ def extracted(pages: DataFrame, low: float = LOW, sent: int = SENT) -> DataFrame
         return source.select("page_id", "url", text_here("url", "html").alias("text"))
 
     host = F.udf(lambda url: host_of(url), "string")
-    lists = poor.groupBy("host").agg(F.collect_set("path").alias("low"))
+    lists = poor.groupBy("host").agg(F.collect_set("node").alias("low"))
 
     @F.arrow_udf("string")
     def text_joined(bodies: pa.Array, lows: pa.Array) -> pa.Array:
