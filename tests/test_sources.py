@@ -88,3 +88,20 @@ def test_batch_rule_inside_a_stream(spark, tmp_path):
     )
     assert query.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "t")).agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_dropping_scratch_takes_own_folders_only(spark, tmp_path):
+    from pathlib import Path
+
+    from usetrail import session
+
+    before = session._GIVEN.pop(spark.sparkContext.applicationId, [])  # what other tests still read
+    parent = Path(spark.conf.get("spark.checkpoint.dir"))
+    (parent / "someone-else").mkdir()
+    kept = {p.name for p in parent.iterdir()}
+    table = session.staged(spark.range(5), "own")
+    assert table.count() == 5 and {p.name for p in parent.iterdir()} > kept
+    session.scratch_dir(spark, "never-written")
+    assert session.drop_scratch(spark) == 1 and {p.name for p in parent.iterdir()} == kept
+    assert session.drop_scratch(spark) == 0
+    session._GIVEN[spark.sparkContext.applicationId] = before

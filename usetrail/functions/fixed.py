@@ -34,6 +34,10 @@ COPY_LIST_KINDS = ["argument_list", "expression_list"]
 COPY_OWNER_KINDS = [
     "call_expression", "assignment_statement", "short_var_declaration", "return_statement",
 ]
+SCOPE_KINDS = [
+    *FUNCTION_KINDS, "block", "if_statement", "for_statement", "switch_statement",
+    "type_switch_statement", "select_statement", "case_clause",
+]
 ADDRESS_STOP_KINDS = [
     "assignment_statement", "short_var_declaration", "return_statement",
     "call_expression", "function_declaration", "method_declaration",
@@ -77,6 +81,28 @@ SEVERITIES = [(1, "Error"), (2, "Warning"), (3, "Information"), (4, "Hint")]
 RETAIN_SLICE = "Retention risk: sub-slice/sub-string may keep large backing memory"
 RETAIN_MAP = "Retention risk: map reference can keep large object graph alive"
 
+# --- fixed values: texts of variables and uses -------------------------------
+# (name, line, type, uses)
+SUMMARY_TEXT = "**Variable**: `%s`\n\n**Declared at**: line %d\n**Type**: %s\n**Uses**: %d\n"
+SUMMARY_RACE = "**Warning**: Potential data race detected!\n"
+# (race severity, text with name and access)
+RACE_TEXTS = [
+    ("High", "Use of `%s` in goroutine - HIGH PRIORITY data race (%s)"),
+    ("Medium", "Use of `%s` in goroutine - potential data race (%s)"),
+    ("Low", "Use of `%s` in goroutine - LOW PRIORITY (sync detected, %s)"),
+]
+DECLARATION_TEXT = "Declaration of `%s`"
+WRITE_TEXT = "Reassignment of `%s`"
+CAPTURED_TEXT = "Captured `%s` in closure/goroutine"
+USE_TEXT = "Use of `%s`"
+MIXED_TEXT = "mixed atomic/non-atomic access detected for field `%s`"
+COVERAGE_TEXT = "lock coverage violation for field `%s`"
+HEAVY_TEXT = "heavy call under lock while touching `%s`"
+UNLOCKED_TEXT = "captured field access in goroutine without active lock"
+WRITE_ONLY_TEXT = "field appears write-only in current file scope"
+EARLY_READ_TEXT = "read-before-write pattern detected in current file scope"
+COPY_TEXT = "potential large struct copy by value"
+
 # --- fixed values: class of a position, by kind or by (kind, parent, field) --
 CLASS_BY_KIND = [
     ("field_identifier", "FieldAccess"),

@@ -199,9 +199,11 @@ def debounce(
     """The last row of each burst, fired after `delay` of quiet.
 
     With `value`, rows that repeat the one before are dropped first and do not restart
-    the timer.
+    the timer. Both steps go by the same ranges, written once.
     """
-    base = drop_repeats(df, keys, order, value) if value is not None else df
+    base = with_chunks(df, keys, order)
+    if value is not None:
+        base = drop_repeats(base, keys, order, value)
     seen = running(base, keys, order, _next=following(F.col(order[0])))
     gap = F.col("_next") - F.col(order[0])
     return seen.filter(F.col("_next").isNull() | (gap >= delay)).select(

@@ -88,31 +88,24 @@ def top_kind(df: DataFrame, keys: list[str], kind: str = "kind") -> DataFrame:
 def hover_summary(variables: DataFrame) -> DataFrame:
     """Summary text per variable: name, 1-based line, type, uses, race warning."""
     base = F.format_string(
-        "**Variable**: `%s`\n\n**Declared at**: line %d\n**Type**: %s\n**Uses**: %d\n",
-        F.col("name"), F.col("line") + 1,
+        fixed.SUMMARY_TEXT, F.col("name"), F.col("line") + 1,
         F.when(F.col("is_pointer"), "Pointer").otherwise("Value"), F.col("n_uses"),
     )
-    warning = F.when(
-        F.col("potential_race"), "**Warning**: Potential data race detected!\n"
-    ).otherwise("")
+    warning = F.when(F.col("potential_race"), fixed.SUMMARY_RACE).otherwise("")
     return variables.withColumn("summary", F.concat(base, warning))
 
 
 def base_text(name: Column, op: Column, captured: Column, race: Column) -> Column:
     """First clause of a use's text."""
     access = F.when(op == "write", "write access").otherwise("read access")
-    return (
-        F.when(race == "High", F.format_string(
-            "Use of `%s` in goroutine - HIGH PRIORITY data race (%s)", name, access))
-        .when(race == "Medium", F.format_string(
-            "Use of `%s` in goroutine - potential data race (%s)", name, access))
-        .when(race == "Low", F.format_string(
-            "Use of `%s` in goroutine - LOW PRIORITY (sync detected, %s)", name, access))
-        .when(op == "decl", F.format_string("Declaration of `%s`", name))
-        .when(op == "write", F.format_string("Reassignment of `%s`", name))
-        .when(captured, F.format_string("Captured `%s` in closure/goroutine", name))
-        .otherwise(F.format_string("Use of `%s`", name))
+    plain = (
+        F.when(op == "decl", F.format_string(fixed.DECLARATION_TEXT, name))
+        .when(op == "write", F.format_string(fixed.WRITE_TEXT, name))
+        .when(captured, F.format_string(fixed.CAPTURED_TEXT, name))
+        .otherwise(F.format_string(fixed.USE_TEXT, name))
     )
+    racing = [F.when(race == level, F.format_string(text, name, access)) for level, text in fixed.RACE_TEXTS]
+    return F.coalesce(*racing, plain)
 
 
 def joined_text(*clauses: Column) -> Column:

@@ -22,10 +22,6 @@ from usetrail.plans.intervals import containing_spans
 from usetrail.plans.scan import stacked
 from usetrail.session import staged
 
-SCOPE_KINDS = [
-    *fixed.FUNCTION_KINDS, "block", "if_statement", "for_statement", "switch_statement",
-    "type_switch_statement", "select_statement", "case_clause",
-]
 DOC = ["doc_id"]
 #: The nodes of a document come out of one text.
 held_in = partial(containing_spans, bounded=True)
@@ -189,7 +185,7 @@ def occurrences(nodes: DataFrame) -> DataFrame:
 
 def scopes_of(nodes: DataFrame) -> DataFrame:
     """Scopes of each document, the whole document first."""
-    kept = F.col("kind").isin(SCOPE_KINDS) | F.col("parent_id").isNull()
+    kept = F.col("kind").isin(fixed.SCOPE_KINDS) | F.col("parent_id").isNull()
     return nodes.filter(kept).select(
         "doc_id", F.col("node_id").alias("scope_id"), "depth", "start_pos",
         (F.col("end_pos") - 1).alias("end_pos"),

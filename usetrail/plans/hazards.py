@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from usetrail.functions import fixed
 from usetrail.operators import classify, rules, sync
 from usetrail.plans.scan import latest, running, stacked
 from usetrail.session import staged
@@ -105,16 +106,14 @@ def use_texts(
     race = F.when(F.col("race"), F.col("severity"))
     text = classify.joined_text(
         classify.base_text(name, F.col("op"), F.col("captured"), race),
-        F.when(F.col("mixed_group"), F.format_string(
-            "mixed atomic/non-atomic access detected for field `%s`", name)),
-        F.when(on_finding(3), F.format_string("lock coverage violation for field `%s`", name)),
-        F.when(on_finding(4), F.format_string("heavy call under lock while touching `%s`", name)),
-        F.when(field & F.col("concurrent") & ~F.col("in_sync"),
-               "captured field access in goroutine without active lock"),
+        F.when(F.col("mixed_group"), F.format_string(fixed.MIXED_TEXT, name)),
+        F.when(on_finding(3), F.format_string(fixed.COVERAGE_TEXT, name)),
+        F.when(on_finding(4), F.format_string(fixed.HEAVY_TEXT, name)),
+        F.when(field & F.col("concurrent") & ~F.col("in_sync"), fixed.UNLOCKED_TEXT),
         F.when(F.col("r5") & up_to_finding(5), F.col("risk")),
-        F.when(F.col("r6"), "field appears write-only in current file scope"),
-        F.when(F.col("r7"), "read-before-write pattern detected in current file scope"),
-        F.when(F.col("r8") & up_to_finding(8), "potential large struct copy by value"),
+        F.when(F.col("r6"), fixed.WRITE_ONLY_TEXT),
+        F.when(F.col("r7"), fixed.EARLY_READ_TEXT),
+        F.when(F.col("r8") & up_to_finding(8), fixed.COPY_TEXT),
     )
     return rows.select(*marked.columns, text.alias("hover_text"))
 

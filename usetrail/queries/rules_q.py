@@ -14,12 +14,15 @@ GROUP = ["entity", "day"]
 ORDER = ["pos", "seq"]
 
 
-def accesses(spark, sf_dir):
-    return v.access_view(v.table(spark, sf_dir, "events"))
+USES, LOCKS = ["read", "write"], ["acquire", "release"]
+
+
+def accesses(spark, sf_dir, ops=None):
+    return v.access_view(v.table(spark, sf_dir, "events"), ops)
 
 
 def assessed(spark, sf_dir):
-    return hazards.assessed(accesses(spark, sf_dir), SCOPE)
+    return hazards.assessed(accesses(spark, sf_dir, USES + LOCKS), SCOPE)
 
 
 def captured_rows(spark, sf_dir):
@@ -148,12 +151,12 @@ SELECT seq, ctx, lock_key, CAST(CASE op WHEN 'acquire' THEN 1 ELSE -1 END AS BIG
 FROM v_access WHERE op IN ('acquire', 'release')
 """)
 def lock_events(spark, sf_dir):
-    return sync.lock_events(accesses(spark, sf_dir)).select("seq", "ctx", "lock_key", "delta")
+    return sync.lock_events(accesses(spark, sf_dir, LOCKS)).select("seq", "ctx", "lock_key", "delta")
 
 
 @query(f"WITH {v.ACCESS_SQL}, {depth_sql('ctx', '')} SELECT seq, ctx, lock_key, depth FROM v_depth")
 def lock_depth(spark, sf_dir):
-    events = sync.lock_events(accesses(spark, sf_dir))
+    events = sync.lock_events(accesses(spark, sf_dir, LOCKS))
     return sync.lock_depth(events, ["ctx"], ORDER).select("seq", "ctx", "lock_key", "depth")
 
 
@@ -167,7 +170,7 @@ WITH {v.ACCESS_SQL}, {depth_sql('ctx', 'AND NOT deferred')}
 SELECT seq, ctx, lock_key, delta, depth FROM v_depth
 """)
 def drop_deferred(spark, sf_dir):
-    events = sync.drop_deferred(sync.lock_events(accesses(spark, sf_dir)))
+    events = sync.drop_deferred(sync.lock_events(accesses(spark, sf_dir, LOCKS)))
     return sync.lock_depth(events, ["ctx"], ORDER).select("seq", "ctx", "lock_key", "delta", "depth")
 
 
@@ -319,7 +322,7 @@ SELECT entity, day, count(*) FILTER (WHERE is_atomic) AS n_true,
 FROM v_access WHERE op IN ('read', 'write') GROUP BY ALL HAVING bool_or(is_atomic) AND NOT bool_and(is_atomic)
 """)
 def mixed_atomic(spark, sf_dir):
-    return rules.mixed_atomic(hazards.uses_of(accesses(spark, sf_dir)), GROUP)
+    return rules.mixed_atomic(accesses(spark, sf_dir, USES), GROUP)
 
 
 @query(f"""
@@ -377,7 +380,7 @@ w AS (SELECT *, min(CASE WHEN op = 'write' THEN pos END) OVER (PARTITION BY enti
 SELECT seq, entity, ctx FROM w WHERE op = 'read' AND pos < fw
 """)
 def read_before_write(spark, sf_dir):
-    uses = hazards.uses_of(accesses(spark, sf_dir)).select("seq", "entity", "ctx", "pos", "op")
+    uses = accesses(spark, sf_dir, USES).select("seq", "entity", "ctx", "pos", "op")
     return rules.read_before_write(uses, ["entity", "ctx"], ORDER).select("seq", "entity", "ctx")
 
 
@@ -387,7 +390,7 @@ SELECT entity, day, count(*) AS n_uses, count(*) AS n_writes FROM v_access
 WHERE op IN ('read', 'write') GROUP BY ALL HAVING count(*) >= 2 AND bool_and(op = 'write')
 """)
 def write_only(spark, sf_dir):
-    return rules.write_only(hazards.uses_of(accesses(spark, sf_dir)), GROUP)
+    return rules.write_only(accesses(spark, sf_dir, USES), GROUP)
 
 
 @query("""

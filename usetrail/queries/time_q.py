@@ -14,8 +14,8 @@ from usetrail.streaming import streams
 ORDER = ["pos", "seq"]
 
 
-def accesses(spark, sf_dir):
-    return v.access_view(v.table(spark, sf_dir, "events"))
+def accesses(spark, sf_dir, ops=None):
+    return v.access_view(v.table(spark, sf_dir, "events"), ops)
 
 
 @query(f"""
@@ -39,9 +39,7 @@ h AS (SELECT *, min(CASE WHEN put OR gap <= {TTL} THEN 1 ELSE 0 END) OVER (
 SELECT seq, entity, epoch > 0 AND fresh = 1 AS hit FROM h WHERE NOT put
 """)
 def refreshing_hit(spark, sf_dir):
-    ops = accesses(spark, sf_dir).filter(F.col("op").isin("read", "write")).select(
-        "entity", "pos", "seq", "op"
-    )
+    ops = accesses(spark, sf_dir, ["read", "write"]).select("entity", "pos", "seq", "op")
     hits = cache.refreshing_hit(ops, ["entity"], ORDER, F.col("op") == "write", TTL)
     return hits.select("seq", "entity", "hit")
 
@@ -160,7 +158,7 @@ SELECT seq, entity, ctx, 'High' AS severity FROM v_access
 WHERE op IN ('read', 'write') AND concurrent AND NOT is_atomic
 """)
 def stream_findings(spark, sf_dir):
-    rows = v.access_view(event_stream(spark, sf_dir))
+    rows = v.access_view(event_stream(spark, sf_dir), ["read", "write"])
     found = streams.stream_findings(rows).select("seq", "entity", "ctx", "severity")
     return streams.run_to_table(found, scratch_dir(spark, "stream-findings"))
 
@@ -211,8 +209,7 @@ def stream_recent(spark, sf_dir):
 def held_stream(spark, sf_dir):
     """Uses of the event stream with their lock state, written by a stream of their own."""
     src = event_stream(spark, sf_dir)
-    rows = v.access_view(src).withColumn("ts", F.timestamp_micros("pos"))
-    rows = rows.filter(F.col("op").isin("read", "write", "acquire", "release"))
+    rows = v.access_view(src, ["read", "write", "acquire", "release"]).withColumn("ts", F.timestamp_micros("pos"))
     delta = F.when(F.col("op") == "acquire", 1).when((F.col("op") == "release") & ~F.col("deferred"), -1)
     # a deferred release is no event and no use
     rows = rows.withColumn("delta", delta).filter(F.col("delta").isNotNull() | F.col("op").isin("read", "write"))

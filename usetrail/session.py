@@ -6,6 +6,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The folders given out, by application.
+_GIVEN: dict[str, list[str]] = {}
+
 
 def build(master: str = "local[*]", partitions: int = 8, memory: str = "12g", shared: str | None = None) -> SparkSession:
     """A local session. On a cluster the submit command sets all of this."""
@@ -42,7 +45,24 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     alone = spark.conf.get("spark.master", "local").startswith("local[") or spark.conf.get("spark.master", "local") == "local"
     if not shared and not alone and parent.startswith("file:"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{parent.rstrip('/')}/usetrail-{name}-{uuid.uuid4().hex}"
+    path = f"{parent.rstrip('/')}/usetrail-{name}-{uuid.uuid4().hex}"
+    _GIVEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete the folders that this application was given by `scratch_dir`; their number.
+
+    Operators write what they read more than once, and their results read those tables; so
+    call this when the results have been written or collected. Other folders are left alone.
+    """
+    paths = _GIVEN.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        gone += path.getFileSystem(conf).delete(path, True)
+    return gone
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

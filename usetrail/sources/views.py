@@ -15,20 +15,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: What an event of each type does to its entity.
+OPS = {"signup": "decl", "view": "read", "purchase": "write", "click": "acquire", "error": "release"}
+
+
 def op_of(kind: Column) -> Column:
-    """What an event of each type does to its entity."""
-    return (
-        F.when(kind == "signup", "decl")
-        .when(kind == "view", "read")
-        .when(kind == "purchase", "write")
-        .when(kind == "click", "acquire")
-        .when(kind == "error", "release")
-    )
+    out = F.lit(None).cast("string")
+    for event_type, op in OPS.items():
+        out = F.when(kind == event_type, op).otherwise(out)
+    return out
 
 
-def access_view(events: DataFrame) -> DataFrame:
-    """Events as accesses of an entity (the key in `props`) by a user."""
+def access_view(events: DataFrame, ops: list[str] | None = None) -> DataFrame:
+    """Events as accesses of an entity (the key in `props`) by a user.
+
+    `ops` keeps these only, by a filter on the stored type, which reaches the scan.
+    """
     kind = F.col("event_type")
+    if ops is not None:
+        events = events.filter(kind.isin([t for t, op in OPS.items() if op in ops]))
     entity = F.get_json_object("props", "$.k").cast("int")
     is_lock = kind.isin("click", "error")
     op = op_of(kind)
