@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from usetrail.functions.columns import LINE_SHIFT, micros
 from usetrail.plans.scan import stacked
+from usetrail.session import spread
 
 TAG_PATTERN = "</?[a-zA-Z][a-zA-Z0-9]*"
 
@@ -150,7 +151,7 @@ def tag_tokens(pages: DataFrame) -> DataFrame:
     finds its tags in place and moves no tokens.
     """
     found = F.expr(f"regexp_extract_all(html, '{TAG_PATTERN}', 0)")
-    tokens = pages.repartition("page_id").select("page_id", F.posexplode(found).alias("pos", "token"))
+    tokens = spread(pages.select("page_id", "html"), "page_id", "html").select("page_id", F.posexplode(found).alias("pos", "token"))
     return tokens.select(
         "page_id", F.col("pos").cast("long").alias("pos"),
         F.regexp_replace("token", "[</]", "").alias("tag"),
@@ -193,7 +194,7 @@ def word_view(documents: DataFrame) -> DataFrame:
     The texts are spread by document before they are cut up: what is shuffled is one
     row per text, and later windows and aggregates per document move no words.
     """
-    lines = documents.select("doc_id", "text").repartition("doc_id").select(
+    lines = spread(documents.select("doc_id", "text"), "doc_id", "text").select(
         "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "line_text")
     )
     words = lines.select(
