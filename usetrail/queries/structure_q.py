@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from usetrail.functions.columns import LINE_SHIFT, entity_key, range_key, span_size
 from usetrail.operators import structure as st
-from usetrail.plans.scan import stacked
+from usetrail.plans.scan import matched, stacked
 from usetrail.queries.registry import query
 from usetrail.sources import views as v
 
@@ -320,8 +320,9 @@ def make_keys(spark, sf_dir):
         "doc_id", entity_key(F.lit("use"), F.col("word"), F.col("line"), F.col("col"), end).alias("k1"),
         range_key(F.col("line"), F.col("col"), F.col("line"), end).alias("k2"),
     )
-    return keys.groupBy("doc_id").agg(
-        F.countDistinct("k1").alias("n_keys"), F.min("k1").alias("first_key"),
-        F.max("k1").alias("last_key"), F.countDistinct("k2").alias("n_ranges"),
-        F.max("k2").alias("last_range"),
+    # one kind of key at a time: two distinct counts at once copy every key and shuffle the copies
+    first = keys.groupBy("doc_id").agg(
+        F.countDistinct("k1").alias("n_keys"), F.min("k1").alias("first_key"), F.max("k1").alias("last_key")
     )
+    last = keys.groupBy("doc_id").agg(F.countDistinct("k2").alias("n_ranges"), F.max("k2").alias("last_range"))
+    return matched(first, last, ["doc_id"])
