@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from usetrail.functions.columns import LINE_SHIFT
-from usetrail.plans.scan import latest, running, stacked, total
+from usetrail.plans.scan import latest, running, total
+from usetrail.session import spread
 
 DOC = ["doc_id"]
 
@@ -38,17 +39,24 @@ def node_table(spans: DataFrame, bounded: bool = True) -> DataFrame:
     )
 
 
-def with_kinds(nodes: DataFrame, levels: int = 2) -> DataFrame:
-    """Add kind and field of the ancestors up to `levels` (parent_kind, parent_field, grand_kind, ..)."""
-    out, above = nodes, "parent_id"
+def with_kinds(nodes: DataFrame, levels: int = 2, bounded: bool = True) -> DataFrame:
+    """Add kind and field of the ancestors up to `levels` (parent_kind, parent_field, grand_kind, ..).
+
+    Every node stands under its own id and asks under its parent's: a scan per level, no join.
+    """
+    out, above = nodes.withColumn("_above", F.col("parent_id")), F.struct(F.col("parent_id").alias("up"), "kind", "field")
     for name in ("parent", "grand", "great")[:levels]:
-        up = nodes.select(
-            F.col("doc_id").alias("_doc"), F.col("node_id").alias("_id"), F.col("parent_id").alias(f"_{name}_up"),
-            F.col("kind").alias(f"{name}_kind"), F.col("field").alias(f"{name}_field"),
+        sides = F.array(
+            F.struct(F.col("node_id").alias("_key"), F.lit(0).alias("_turn")),
+            F.struct(F.col("_above").alias("_key"), F.lit(1).alias("_turn")),
+        )
+        own = (F.col("_turn") == 0) & F.col("doc_id").isNotNull()
+        found = running(out.select("*", F.inline(sides)), [*DOC, "_key"], ["_turn"], bounded, _up=latest(F.when(own, above)))
+        out = found.filter("_turn = 1").select(
+            *out.drop("_above").columns, F.col("_up.kind").alias(f"{name}_kind"), F.col("_up.field").alias(f"{name}_field"),
+            F.col("_up.up").alias("_above"),
         )
-        out = out.join(up, (F.col("doc_id") == F.col("_doc")) & (F.col(above) == F.col("_id")), "left").drop("_doc", "_id")
-        above = f"_{name}_up"
-    return out.drop(*[f"_{n}_up" for n in ("parent", "grand", "great")])
+    return out.drop("_above")
 
 
 OPEN_TAG = "<([a-zA-Z][a-zA-Z0-9]*)[^>]*>([^<]*)"
@@ -81,7 +89,7 @@ def page_programs(pages: DataFrame) -> DataFrame:
     to or received from, the other words are arguments or values. What it is follows from its
     number of words. Lines: links 1, heading 2, statements from 3 on.
     """
-    found = pages.repartition("page_id").select(
+    found = spread(pages.select("page_id", "html"), "page_id", "html").select(
         F.col("page_id").alias("doc_id"),
         F.arrays_zip(
             F.expr(f"regexp_extract_all(html, '{OPEN_TAG}', 1)").alias("tag"),
@@ -112,9 +120,12 @@ def page_programs(pages: DataFrame) -> DataFrame:
             _node("identifier", "name", at + 2, at + 3, 2, F.get(t["words"], F.lit(0))),
         )
 
-    top = page.select("doc_id", F.inline(F.concat(whole, name, F.flatten(F.transform("links", link)))))
-    said = page.select("doc_id", F.posexplode("said").alias("j", "t")).select(
-        "doc_id", line(F.col("j") + 3).alias("at"), F.col("t.words").alias("words"), F.size("t.words").alias("m"),
+    # the top of the page is the first part, every statement one more: all stay where the page is
+    top = F.struct(F.concat(whole, name, F.flatten(F.transform("links", link))).alias("top"), F.array().cast("array<string>").alias("words"))
+    others = F.transform("said", lambda t: F.struct(F.lit(None).cast(SPAN).alias("top"), t["words"].alias("words")))
+    said = page.select("doc_id", F.posexplode(F.concat(F.array(top), others)).alias("j", "t")).select(
+        "doc_id", F.col("t.top").alias("top"), line(F.col("j") + 2).alias("at"), F.col("t.words").alias("words"),
+        F.size("t.words").alias("m"),
     ).withColumn("k", F.col("m") % len(STATEMENTS))
     at, m, k = F.col("at"), F.col("m"), F.col("k")
     after = at + 10 + 4 * m
@@ -143,7 +154,7 @@ def page_programs(pages: DataFrame) -> DataFrame:
             lambda w, i: _node("identifier", None, at + 14 + 4 * i, at + 15 + 4 * i, 5 + spawn, w),
         ),
     )
-    return stacked(top, said.select("doc_id", F.inline(rows)))
+    return said.select("doc_id", F.inline(F.when(F.col("top").isNotNull(), F.col("top")).otherwise(rows)))
 
 
 def page_nodes(pages: DataFrame) -> DataFrame:
