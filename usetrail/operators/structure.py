@@ -228,19 +228,20 @@ def outermost_enclosing(
 
 def locate(
     points: DataFrame, spans: DataFrame, on: list[str], size: Column | None = None,
-    bin_width: int = 8,
+    bin_width: int = 8, bounded: bool = False,
 ) -> DataFrame:
     """Smallest span holding each point, both ends inclusive.
 
     Punctuation and comments are never chosen unless they are a root (`is_root`). Of
     equal sizes the one that comes first in pre-order wins: the one further left, then the
     outer. `size` need not grow with the span (as `span_size` does not). `bin_width`: by
-    what factor the widths of the cells grow that spans are cut into.
+    what factor the widths of the cells grow that spans are cut into. `bounded`: a group comes
+    out of one stored row (as in `running`).
     """
     named = spans.filter(~F.col("kind").isin(fixed.PUNCTUATION_KINDS) | F.col("is_root"))
     length = size if size is not None else F.col("end_pos") - F.col("start_pos")
     best = F.struct(length.alias("size"), "start_pos", "depth", "end_pos", "kind")
-    found = best_containing(points, named, on, best, into="_s", growth=bin_width)
+    found = best_containing(points, named, on, best, into="_s", growth=bin_width, bounded=bounded)
     return found.select(
         *points.columns, "_s.kind", "_s.start_pos", "_s.end_pos", "_s.depth", "_s.size"
     )

@@ -10,10 +10,12 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from usetrail.plans.scan import highest, latest, running, stacked, total
+from usetrail.plans.scan import highest, latest, listed, running, stacked, total
 from usetrail.session import staged
 
 BIN = "_bin"
@@ -71,7 +73,7 @@ def containing_spans(
 
 def best_containing(
     points: DataFrame, spans: DataFrame, on: list[str], best: Column, point: str = "pos",
-    start: str = "start_pos", end: str = "end_pos", into: str = "best", growth: int = 8,
+    start: str = "start_pos", end: str = "end_pos", into: str = "best", growth: int = 8, bounded: bool = False,
 ) -> DataFrame:
     """Each point with the least `best` of the spans that hold it, both ends inclusive.
 
@@ -79,8 +81,11 @@ def best_containing(
     whose widths are powers of `growth` (a power of two), fewer than 2 * growth of each width;
     of all spans only the least `best` of a cell is kept. A point then asks the one cell of
     each width around it, so it meets as many rows as there are widths, not as many as there
-    are spans. Points in no span give no row; repeated points stay.
+    are spans. Points in no span give no row; repeated points stay. `bounded`: a group comes out
+    of one stored row (as in `running`); its spans and points then meet as two lists.
     """
+    if bounded:
+        return _best_in_place(points, spans, on, best, point, start, end, into)
     bits = growth.bit_length() - 1
     spans = spans.filter(F.col(start) <= F.col(end)).select(
         *on, F.col(start).cast("long").alias("_from"), F.col(end).cast("long").alias("_to"), best.alias(into)
@@ -119,6 +124,54 @@ def best_containing(
     return found.select(*points.columns, into, F.explode(F.expr("sequence(1, _times)"))).drop("col")
 
 
+def _holders(at: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Number of the first of the spans, in the order given, that holds each point; -1 for none.
+
+    Every span takes the points that no span before it took; what is taken is skipped over.
+    """
+    places, back = np.unique(at, return_inverse=True)
+    holder, after = [-1] * len(places), list(range(len(places) + 1))
+
+    def free(i: int) -> int:
+        top = i
+        while after[top] != top:
+            top = after[top]
+        while after[i] != top:
+            after[i], i = top, after[i]
+        return top
+
+    firsts, ends = np.searchsorted(places, starts, "left").tolist(), np.searchsorted(places, ends, "right").tolist()
+    for number, (first, end) in enumerate(zip(firsts, ends, strict=True)):
+        i = free(first)
+        while i < end:
+            holder[i], after[i] = number, i + 1
+            i = free(i)
+    return np.array(holder, np.int32)[back]
+
+
+def _numbers_of_holders(points: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
+    out = []
+    for at, lo, hi in zip(points, starts, ends, strict=True):
+        held = _holders(*(x.values.to_numpy(zero_copy_only=False) for x in (at, lo, hi)))
+        out.append(pa.array(held, mask=held < 0))
+    return pa.array(out, pa.list_(pa.int32()))
+
+
+def _best_in_place(
+    points: DataFrame, spans: DataFrame, on: list[str], best: Column, point: str, start: str, end: str, into: str
+) -> DataFrame:
+    """`best_containing` over groups that fit a task: one list of spans in the order of `best` per group."""
+    ordered = listed(spans.filter(F.col(start) <= F.col(end)).select(
+        *on, best.alias("_best"), F.col(start).cast("long").alias("_from"), F.col(end).cast("long").alias("_to")
+    ), on, "_spans").withColumn("_spans", F.sort_array("_spans"))
+    lists = listed(points.filter(F.col(point).isNotNull()), on, "_points").join(ordered, on)
+    part = lambda name, field: F.transform(name, lambda x: x[field].cast("long"))
+    numbers = F.arrow_udf(_numbers_of_holders, "array<int>")(part("_points", point), part("_spans", "_from"), part("_spans", "_to"))
+    pairs = F.zip_with("_points", "_n", lambda p, n: F.struct(p.alias("_p"), F.get("_spans", n)["_best"].alias(into)))
+    found = lists.withColumn("_n", numbers).select(*on, F.inline(pairs))
+    return found.filter(F.col(into).isNotNull()).select(*on, "_p.*", into).select(*points.columns, into)
+
+
 def first_containing(
     points: DataFrame, spans: DataFrame, on: list[str], into: str, point: str = "pos",
     start: str = "start_pos", end: str = "end_pos", bounded: bool = False,

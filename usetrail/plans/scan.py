@@ -47,6 +47,15 @@ def with_chunks(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return staged(ranged.withColumn(CHUNK, F.spark_partition_id()), "chunks")
 
 
+def listed(rows: DataFrame, on: list[str], into: str) -> DataFrame:
+    """The rows of each group as one list of structs, for groups that come out of one stored row.
+
+    Lists of several tables join on the group alone, so rows of a document meet without a
+    shuffle of each; tables that are spread by document already are not shuffled at all.
+    """
+    return rows.groupBy(*on).agg(F.collect_list(F.struct(*[c for c in rows.columns if c not in on])).alias(into))
+
+
 def matched(rows: DataFrame, extra: DataFrame, on: list[str]) -> DataFrame:
     """Left join on equal or both-NULL columns; the right side's copies of them go."""
     renamed = extra.withColumnsRenamed({c: f"_on_{c}" for c in on})

@@ -119,7 +119,7 @@ WHERE rn = 1
 """)
 def locate(spark, sf_dir):
     points = v.tag_tokens(v.table(spark, sf_dir, "pages")).select("page_id", "pos")
-    return st.locate(points, tag_spans(spark, sf_dir), ["page_id"]).drop("depth")
+    return st.locate(points, tag_spans(spark, sf_dir), ["page_id"], bounded=True).drop("depth")
 
 
 #: Runs of so many lines, and the document: (kind, lines, depth).
@@ -163,7 +163,7 @@ SELECT doc_id, pos, b.kind, b.start_pos, b.end_pos, b.size FROM (
 def locate_by_lines(spark, sf_dir):
     """Smallest run of lines around every word, by the size that counts lines."""
     words = v.word_view(v.table(spark, sf_dir, "documents"))
-    found = st.locate(words.select("doc_id", "pos"), line_runs(words), ["doc_id"], size=F.col("lines_size"))
+    found = st.locate(words.select("doc_id", "pos"), line_runs(words), ["doc_id"], size=F.col("lines_size"), bounded=True)
     return found.drop("depth")
 
 
