@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from usetrail.functions import fixed
-from usetrail.plans.scan import latest, running, stacked, total
+from usetrail.plans.scan import latest, listed, running, stacked, total
 
 OWN_DEPTH = 1 << 30
 
@@ -53,19 +53,9 @@ def resolve_scoped(
     holds as scopes nest and an outer declaration is not first seen inside an inner scope that
     declares the name; where that fails the job stops.
     """
-    homes = scopes.select(*on, "scope_id", F.col("depth").alias("_depth"), F.col("end_pos").alias("_end"))
-    live = decls.join(homes, [*on, "scope_id"]).filter(F.col("visible_from") <= F.col("_end"))
-    opened, closed = F.col("visible_from").cast("long"), F.col("_end").cast("long")
-    sides = F.array(
-        F.struct(opened.alias("pos"), F.lit(0).alias("_turn"), F.lit(1).alias("_step")),
-        F.struct(closed.alias("pos"), F.lit(2).alias("_turn"), F.lit(-1).alias("_step")),
-    )
-    edges = live.select(*on, "name", "_depth", F.col("decl_id").cast("long").alias("_decl"), F.inline(sides))
-    asked = uses.select(*on, "name", F.col("pos").cast("long").alias("pos"), F.lit(1).alias("_turn"), F.lit(0).alias("_step"))
     order = ["pos", "_turn", "_depth", "_decl"]
-    levelled = running(
-        stacked(asked, edges, partial=True), [*on, "name"], order, bounded, _level=total(F.col("_step"))
-    ).filter("_turn < 2")
+    steps = (_steps_in_place if bounded else _steps)(uses, decls, scopes, on)
+    levelled = running(steps, [*on, "name"], order, bounded, _level=total(F.col("_step"))).filter("_turn < 2")
     # An opening also asks for the one below it, to see that that is no deeper.
     opens = F.col("_turn") == 0
     asks = F.array_compact(F.array(
@@ -86,6 +76,56 @@ def resolve_scoped(
     return found.filter(kept).select(*on, "name", "pos", "decl_id", "depth")
 
 
+def _sides(opened: Column, closed: Column, *more: Column) -> Column:
+    return F.array(
+        F.struct(opened.alias("pos"), F.lit(0).alias("_turn"), F.lit(1).alias("_step"), *more),
+        F.struct(closed.alias("pos"), F.lit(2).alias("_turn"), F.lit(-1).alias("_step"), *more),
+    )
+
+
+def _steps(uses: DataFrame, decls: DataFrame, scopes: DataFrame, on: list[str]) -> DataFrame:
+    """Openings, closings and uses: (on.., name, pos, _turn, _step, _depth, _decl)."""
+    homes = scopes.select(*on, "scope_id", F.col("depth").alias("_depth"), F.col("end_pos").alias("_end"))
+    live = decls.join(homes, [*on, "scope_id"]).filter(F.col("visible_from") <= F.col("_end"))
+    sides = _sides(F.col("visible_from").cast("long"), F.col("_end").cast("long"))
+    edges = live.select(*on, "name", "_depth", F.col("decl_id").cast("long").alias("_decl"), F.inline(sides))
+    asked = uses.select(*on, "name", F.col("pos").cast("long").alias("pos"), F.lit(1).alias("_turn"), F.lit(0).alias("_step"))
+    return stacked(asked, edges, partial=True)
+
+
+def _steps_in_place(uses: DataFrame, decls: DataFrame, scopes: DataFrame, on: list[str]) -> DataFrame:
+    """`_steps` of groups that fit a task: the three tables meet as lists, and no word is shuffled.
+
+    Declarations find their scopes by one sort of the group. A group without uses, declarations
+    or scopes has no answers.
+    """
+    depth = scopes.schema["depth"].dataType
+    home = f"struct<depth:{depth.simpleString()},end:bigint>"
+    scope = scopes.schema["scope_id"].dataType
+
+    def entries(df: DataFrame, into: str, kind: int, name=None, pos=None, decl=None, at=None, ends=None) -> DataFrame:
+        cells = {"name": (name, uses.schema["name"].dataType), "pos": (pos, "long"), "_decl": (decl, "long"),
+                 "_scope": (at, scope), "_home": (ends, home), "_kind": (F.lit(kind), "int")}
+        return listed(df.select(*on, *[(F.lit(None) if x is None else x).cast(t).alias(c) for c, (x, t) in cells.items()]), on, into)
+
+    c = F.col
+    lists = (
+        entries(uses, "_uses", 2, c("name"), c("pos"))
+        .join(entries(decls, "_decls", 1, c("name"), c("visible_from"), c("decl_id"), c("scope_id")), on)
+        .join(entries(scopes, "_scopes", 0, at=c("scope_id"), ends=F.struct(c("depth"), c("end_pos"))), on)
+    )
+    rows = lists.select(*on, F.inline(F.concat("_scopes", "_decls", "_uses")))
+    homes = F.collect_list(F.when(c("_scope").isNotNull(), c("_home"))).over(Window.partitionBy(*on, "_scope"))
+    placed = rows.withColumn("_homes", homes).filter("_kind > 0")
+    none = F.lit(None)
+    live = F.filter("_homes", lambda h: c("pos") <= h["end"])
+    edges = F.flatten(F.transform(live, lambda h: _sides(c("pos"), h["end"], h["depth"].alias("_depth"), c("_decl").alias("_decl"))))
+    asked = F.array(F.struct(c("pos").alias("pos"), F.lit(1).alias("_turn"), F.lit(0).alias("_step"),
+                             none.cast(depth).alias("_depth"), none.cast("long").alias("_decl")))
+    return placed.select(*on, "name", F.when(c("_kind") == 1, edges).otherwise(asked).alias("_e")).select(
+        *on, "name", F.inline("_e"))
+
+
 def resolve_timeline(
     rows: DataFrame, on: list[str], bounded: bool = False, own: bool = False
 ) -> DataFrame:
