@@ -9,7 +9,7 @@ from usetrail.operators.structure import locate
 from usetrail.operators.symbols import count_uses, drop_callee_symbols, resolve_timeline
 from usetrail.plans import code_facts
 from usetrail.plans.scan import stacked
-from usetrail.session import staged
+from usetrail.session import in_place, staged
 
 
 def symbol_at(
@@ -21,23 +21,29 @@ def symbol_at(
     points(on.., pos), spans(on.., kind, start_pos, end_pos, depth, is_root),
     timeline as in `resolve_timeline`, calls(on.., at) the places of called names. With
     `bounded` identifiers are single places (the words of one text): nothing is smaller, so
-    a point is on the identifier that stands there.
+    a point is on the identifier that stands there, and the result is written at once.
     """
     if bounded:
-        names = spans.filter("kind = 'identifier'").select(*on, F.col("start_pos").alias("pos"), "start_pos")
-        hit = points.join(names, [*on, "pos"])
-    else:
-        hit = locate(points, spans, on).filter("kind = 'identifier'")
+        with in_place(points.sparkSession):
+            return staged(_words_at(points, spans, timeline, calls, on), "symbols")
+    hit = locate(points, spans, on).filter("kind = 'identifier'")
+    inner = resolve_timeline(drop_callee_symbols(timeline, calls, [*on, "at"]), on, own=True).drop("depth")
+    return _answers(hit, inner.join(count_uses(inner, on), [*on, "decl_id"]), on)
+
+
+def _words_at(points: DataFrame, spans: DataFrame, timeline: DataFrame, calls: DataFrame, on: list[str]) -> DataFrame:
+    """`symbol_at` on the words of texts that are all spread by document: no step moves a word."""
+    names = spans.filter("kind = 'identifier'").select(*on, F.col("start_pos").alias("pos"), "start_pos")
+    hit = points.join(names, [*on, "pos"])
     plain = drop_callee_symbols(timeline, calls, [*on, "at"])
-    inner = resolve_timeline(plain, on, bounded, own=True).drop("depth")
-    if bounded:
-        # uses lie in one document: count them in place instead of joining them back
-        each = Window.partitionBy(*on, "decl_id")
-        counted = inner.withColumn(
-            "n_uses", F.count_if(F.col("pos") != F.col("decl_id")).over(each)
-        )
-    else:
-        counted = inner.join(count_uses(inner, on), [*on, "decl_id"])
+    inner = resolve_timeline(plain, on, True, own=True).drop("depth")
+    # uses lie in one document: count them in place instead of joining them back
+    each = Window.partitionBy(*on, "decl_id")
+    counted = inner.withColumn("n_uses", F.count_if(F.col("pos") != F.col("decl_id")).over(each))
+    return _answers(hit, counted, on)
+
+
+def _answers(hit: DataFrame, counted: DataFrame, on: list[str]) -> DataFrame:
     at = hit.select(*on, F.col("pos").alias("asked"), F.col("start_pos").alias("pos"))
     return at.join(counted, [*on, "pos"]).select(
         *on, F.col("asked").alias("pos"), "name", "decl_id", "n_uses"
@@ -55,7 +61,7 @@ def code_symbol_at(points: DataFrame, nodes: DataFrame) -> DataFrame:
     spans = nodes.select(
         *doc, "kind", "start_pos", (F.col("end_pos") - 1).alias("end_pos"), "depth", F.col("parent_id").isNull().alias("is_root")
     )
-    hit = locate(points, spans, doc).filter(F.col("kind").isin("identifier", "field_identifier"))
+    hit = locate(points, spans, doc, bounded=True).filter(F.col("kind").isin("identifier", "field_identifier"))
     found = staged(code_facts.occurrences(nodes), "occurrences")
     uses = staged(code_facts.code_accesses(nodes).select(*doc, "pos", "name", "entity"), "uses")
     own = [
