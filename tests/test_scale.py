@@ -1,13 +1,20 @@
 """What a task holds and what is shuffled follow from the plan, whatever the size."""
 
+import datetime as dt
+import random
 import re
+from collections import Counter
+
+from pyspark.sql import functions as F
 
 from pyspark.sql import functions as F
 
 from usetrail import session
-from usetrail.queries import structure_q
+from usetrail.plans import intervals
+from usetrail.queries import structure_q, symbols_q
 from usetrail.sources import nodes as sn
 from usetrail.sources import views as v
+from usetrail.streaming import streams
 
 
 def plan_of(df):
@@ -52,3 +59,57 @@ def test_nodes_stay_where_their_page_is(spark):
         top = up and by_id.get((r["doc_id"], up["parent_id"]))
         assert (r["parent_kind"], r["parent_field"]) == ((up["kind"], up["field"]) if up else (None, None))
         assert r["grand_kind"] == (top["kind"] if top else None)
+
+
+def test_best_span_of_a_document_is_found_in_place(spark):
+    rnd = random.Random(5)
+    spans = [(d, s, s + rnd.choice([-1, 0, 2, 30, 300]), rnd.randrange(3)) for d in (1, 2) for s in (rnd.randrange(300) for _ in range(60))]
+    points = [(d, rnd.randrange(-3, 400)) for d in (1, 2, 3) for _ in range(80)] + [(1, 7), (1, 7), (None, 3), (1, None)]
+    spread = spark.createDataFrame(points, "doc int, pos bigint").repartition(3, "doc")
+    found = intervals.best_containing(
+        spread, spark.createDataFrame(spans, "doc int, start_pos bigint, end_pos bigint, rank int"), ["doc"],
+        F.struct("rank", "start_pos", "end_pos"), bounded=True,
+    )
+    want = Counter()
+    for d, p in points:
+        held = [(x[3], x[1], x[2]) for x in spans if x[0] == d and p is not None and x[1] <= p <= x[2]]
+        if held:
+            want[(d, p, *min(held))] += 1
+    assert Counter(tuple(r) for r in found.select("doc", "pos", "best.*").collect()) == want
+    assert "_cell" not in plan_of(found)
+
+
+def test_words_are_resolved_where_their_text_is(spark, tmp_path):
+    rows = [(1, "a b a\nb a, c"), (2, "x\nx x"), (2, "x\nx x"), (3, None), (4, "")]
+    spark.createDataFrame(rows, "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    made = symbols_q.resolve_scoped(spark, str(tmp_path))
+    shuffled = [x for x in plan_of(made).splitlines() if re.search(r"\bExchange hashpartitioning", x)]
+    # by document only, never by name or scope
+    assert shuffled and all(re.search(r"hashpartitioning\((doc_id|_groupingexpression)#\w+, ", x) for x in shuffled if "name#" in x or "scope" in x)
+    got = {(r["doc_id"], r["same_line"]): r["n"] for r in made.collect()}
+    assert got == {(1, True): 1, (1, False): 1, (2, True): 2, (2, False): 2}
+    before = spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition")
+    at = {(r["doc_id"], r["pos"]): (r["name"], r["decl_id"], r["n_uses"]) for r in symbols_q.symbol_at(spark, str(tmp_path)).collect()}
+    line = 1 << 20
+    assert at == {
+        (1, 0): ("a", 0, 1), (1, 1): ("b", 1, 0), (1, 2): ("a", 0, 1), (1, line): ("b", line, 0), (1, line + 2): ("c", line + 2, 0),
+        (2, 0): ("x", 0, 0), (2, line): ("x", line, 1), (2, line + 1): ("x", line, 1),
+    }
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == before
+
+
+def test_keys_of_a_stream_share_groups(spark, tmp_path):
+    day = dt.datetime(2024, 1, 1)
+    rows = [(k % 40 or None, day + dt.timedelta(minutes=k % 7), k, k % 3 == 0) for k in range(400)]
+    spark.createDataFrame([*rows, (99, day + dt.timedelta(days=1), 500, True)], "key int, ts timestamp, seq int, put boolean").coalesce(1).write.parquet(f"{tmp_path}/in")
+    src = spark.readStream.schema("key int, ts timestamp, seq int, put boolean").parquet(f"{tmp_path}/in")
+
+    def apply(state, pos, number, put):
+        return (state[0] + 1,), state[0]
+
+    counted = streams._in_order(src, "key", "ts", "1 hour", "seq", "put", {"n": "int"}, (0,), "before int", apply, buckets=3)
+    got = {(r["key"], r["seq"]): r["before"] for r in streams.run_to_table(counted, f"{tmp_path}/out").collect()}
+    want, seen = {}, Counter()
+    for k, _, number, _ in sorted(rows, key=lambda r: (r[1], r[2])):
+        want[k, number], seen[k] = seen[k], seen[k] + 1
+    assert got == want and "_bucket" in counted._jdf.queryExecution().analyzed().toString()

@@ -16,6 +16,10 @@ from usetrail.operators.rules import severity
 from usetrail.plans.scan import stacked
 
 
+#: Groups that the keys of a stream are dealt to.
+BUCKETS = 4096
+
+
 def table_stream(
     spark: SparkSession, folder: str, name: str, schema: T.StructType, ts: str | None = None,
     files_per_trigger: int | None = None,
@@ -123,7 +127,7 @@ def stream_debounce(
 
 def _in_order(
     src: DataFrame, key: str, ts: str, late: str, seq: str, value: str, own: dict[str, str], start: tuple,
-    result: str, apply, rank=lambda row: row[:2],
+    result: str, apply, rank=lambda row: row[:2], buckets: int = BUCKETS,
 ) -> DataFrame:
     """Run `apply(state, pos, seq, value)` over the rows of every key in the order of time and `seq`.
 
@@ -131,37 +135,51 @@ def _in_order(
     the rows (pos, seq, value) otherwise; it must begin with the time. Rows wait in
     the state of their key until the watermark has passed them; rows older than that are
     dropped, as streams do. The state is what `own` names (starting as `start`) and the
-    rows of the last `late` of time.
+    rows of the last `late` of time; a key that is back at `start` is forgotten.
+
+    A call per key costs far more than a row, so the keys are dealt to `buckets` groups whose
+    state holds those of all their keys. A bucket is written anew in every batch that has one
+    of its keys: with very many live keys and small batches, take more.
     """
     fields = {f.name: f.dataType.simpleString() for f in src.schema.fields}
-    state = ", ".join([*(f"{n} {t}" for n, t in own.items()), "_at array<bigint>", f"_seq array<{fields[seq]}>", f"_value array<{fields[value]}>"])
-    out = f"`{key}` {fields[key]}, `{seq}` {fields[seq]}, pos bigint, {result}"
-    columns = [key, seq, "pos", result.split(" ")[0]]
+    parts = {"_keys": "string", **own, "_of": "string", "_at": "bigint", "_seq": fields[seq], "_value": fields[value]}
+    state = ", ".join(f"{n} array<{t}>" for n, t in parts.items())
+    out = f"_key string, `{seq}` {fields[seq]}, pos bigint, {result}"
+    shown = result.split(" ")[0]
+    columns = ["_key", seq, "pos", shown]
 
     def step(ids: tuple, batches: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
-        *held, at, seqs, values = group.get if group.exists else (*start, [], [], [])
-        rows = list(zip(at, seqs, values, strict=True))
+        cells = group.get if group.exists else [[] for _ in parts]
+        held = {k: tuple(x) for k, *x in zip(*cells[: len(own) + 1], strict=True)}
+        rows = list(zip(*cells[len(own) + 1 :], strict=True))
         if not group.hasTimedOut:
             for batch in batches:
-                rows += zip(batch["pos"].tolist(), batch[seq].tolist(), batch[value].tolist(), strict=True)
-        rows.sort(key=rank)
+                rows += zip(*(batch[c].tolist() for c in ("_key", "pos", seq, value)), strict=True)
+        rows.sort(key=lambda row: rank(row[1:]))
         passed = group.getCurrentWatermarkMs() * 1000
-        ready = sum(r[0] < passed for r in rows)
+        ready = sum(row[1] < passed for row in rows)
         sent = []
-        for row in rows[:ready]:
-            held, told = apply(held, *row)
+        for of, *row in rows[:ready]:
+            now, told = apply(held.pop(of, start), *row)
+            if tuple(now) != start:
+                held[of] = now
             if told is not None:
-                sent.append((ids[0], row[1], row[0], told))
+                sent.append((of, row[1], row[0], told))
         rows = rows[ready:]
-        group.update((*held, *([r[i] for r in rows] for i in range(3))))
+        group.update((
+            list(held), *([x[i] for x in held.values()] for i in range(len(own))), *([row[i] for row in rows] for i in range(4)),
+        ))
         if rows:
-            group.setTimeoutTimestamp(max(rows[0][0] // 1000 + 1, group.getCurrentWatermarkMs() + 1))
+            group.setTimeoutTimestamp(max(rows[0][1] // 1000 + 1, group.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(sent, columns=columns)
 
-    return (
-        src.withWatermark(ts, late).withColumn("pos", F.unix_micros(ts)).groupBy(key)
-        .applyInPandasWithState(step, out, state, "append", GroupStateTimeout.EventTimeTimeout)
+    done = (
+        src.withWatermark(ts, late)
+        .select(F.pmod(F.xxhash64(key), F.lit(buckets)).alias("_bucket"), F.col(key).cast("string").alias("_key"),
+                F.unix_micros(ts).alias("pos"), ts, seq, value)
+        .groupBy("_bucket").applyInPandasWithState(step, out, state, "append", GroupStateTimeout.EventTimeTimeout)
     )
+    return done.select(F.col("_key").cast(fields[key]).alias(key), seq, "pos", shown)
 
 
 def stream_hits(src: DataFrame, key: str, ts: str, seq: str, is_put: str, ttl: int, late: str) -> DataFrame:
