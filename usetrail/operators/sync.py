@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from usetrail.functions.columns import is_atomic_name, is_mutex_method
 from usetrail.plans.intervals import inside_any
-from usetrail.plans.scan import clamped_sum, running, stacked, total
+from usetrail.plans.scan import clamped_sum, running, stacked, together, total
 
 
 def lock_events(accesses: DataFrame) -> DataFrame:
@@ -24,28 +24,30 @@ def drop_deferred(events: DataFrame) -> DataFrame:
     return events.filter(~((F.col("delta") < 0) & F.coalesce("deferred", F.lit(False))))
 
 
-def lock_depth(events: DataFrame, scope: list[str], order: list[str]) -> DataFrame:
+def lock_depth(events: DataFrame, scope: list[str], order: list[str], bounded: bool = False) -> DataFrame:
     """Depth of each lock after each event, never below zero."""
-    return clamped_sum(events, [*scope, "lock_key"], order, "delta")
+    return clamped_sum(events, [*scope, "lock_key"], order, "delta", bounded=bounded)
 
 
 def held_at(
-    accesses: DataFrame, events: DataFrame, scope: list[str], order: list[str]
+    accesses: DataFrame, events: DataFrame, scope: list[str], order: list[str], bounded: bool = False
 ) -> DataFrame:
     """Number of locks held at each access within its scope (context and block).
 
     Only the events where a lock turns held or free matter (+1 / -1); their running
     sum over the scope is the count of held locks. An event at the position of an
-    access comes before it.
+    access comes before it. `bounded`: a scope comes out of one stored row (as in `running`);
+    scopes are no NULLs then.
     """
-    depths = lock_depth(events, scope, order)
+    depths = lock_depth(events, scope, order, bounded)
     turn = (F.col("depth") > 0).cast("long") - (F.col("depth_before") > 0).cast("long")
     turns = depths.select(*scope, *order, turn.alias("_turn")).filter("_turn <> 0")
     pos, *ties = order
     uses = accesses.withColumn("_turn", F.lit(0).cast("long")).withColumn("_is_access", F.lit(1))
-    timeline = stacked(uses, turns.withColumn("_is_access", F.lit(0)), partial=True)
+    turns = turns.withColumn("_is_access", F.lit(0))
+    timeline = together(uses, turns, scope) if bounded else stacked(uses, turns, partial=True)
     counted = running(
-        timeline, scope, [pos, "_is_access", *ties], held_keys=total(F.col("_turn"))
+        timeline, scope, [pos, "_is_access", *ties], bounded, held_keys=total(F.col("_turn"))
     )
     return counted.filter("_is_access = 1").drop("_turn", "_is_access")
 

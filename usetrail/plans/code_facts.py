@@ -3,7 +3,8 @@
 nodes(doc_id, node_id, parent_id, field, kind, start_pos, end_pos, depth, text); `end_pos`
 is exclusive. What surrounds a use is found by one interval join against the few node
 kinds that matter and one aggregate, not by climbing the tree. Tables that several later
-steps read are written to the shared folder once, which also keeps every plan short.
+steps read are written to the shared folder once, which also keeps every plan short, and in
+buckets by document: inside `session.in_place` no step shuffles the rows of a document.
 """
 
 from __future__ import annotations
@@ -19,30 +20,33 @@ from usetrail.functions.columns import (
 )
 from usetrail.operators import classify, rules, symbols, sync
 from usetrail.plans.intervals import containing_spans
-from usetrail.plans.scan import stacked
-from usetrail.session import staged
+from usetrail.session import gathered, staged
 
 DOC = ["doc_id"]
+#: Names are single words, so no node stands below one.
+NAME_KINDS = ["identifier", "field_identifier"]
 #: The nodes of a document come out of one text.
 held_in = partial(containing_spans, bounded=True)
 
 
 def with_parents(rows: DataFrame, nodes: DataFrame, levels: int) -> DataFrame:
-    """Add kind, field, id and end of the next `levels` ancestors (p1_.., p2_..)."""
-    out = rows
-    above = "parent_id"
-    for i in range(1, levels + 1):
-        parent = nodes.select(
-            "doc_id", F.col("node_id").alias(f"p{i}_id"), F.col("parent_id").alias(f"p{i}_up"),
-            F.col("kind").alias(f"p{i}_kind"), F.col("field").alias(f"p{i}_field"),
-            F.col("end_pos").alias(f"p{i}_end"),
-        )
-        out = out.join(
-            parent.withColumnRenamed("doc_id", "_doc"),
-            (F.col("doc_id") == F.col("_doc")) & (F.col(above) == F.col(f"p{i}_id")), "left",
-        ).drop("_doc")
-        above = f"p{i}_up"
-    return out
+    """Add kind, field, id and end of the next `levels` ancestors (p1_.., p2_..).
+
+    Ancestors are put together first, so the rows, which are most, are joined once. The
+    ancestors of a part of the documents are hashed, so the rows are not sorted for it.
+    """
+    def level(i: int) -> DataFrame:
+        return nodes.select(
+            F.col("doc_id").alias(f"_doc{i}"), F.col("node_id").alias(f"p{i}_id"), F.col("parent_id").alias(f"p{i}_up"),
+            F.col("kind").alias(f"p{i}_kind"), F.col("field").alias(f"p{i}_field"), F.col("end_pos").alias(f"p{i}_end"),
+        ).hint("shuffle_hash")
+
+    above = level(1)
+    for i in range(2, levels + 1):
+        on = (F.col("_doc1") == F.col(f"_doc{i}")) & (F.col(f"p{i - 1}_up") == F.col(f"p{i}_id"))
+        above = above.join(level(i), on, "left").drop(f"_doc{i}")
+    on = (F.col("doc_id") == F.col("_doc1")) & (F.col("parent_id") == F.col("p1_id"))
+    return rows.join(above.hint("shuffle_hash"), on, "left").drop("_doc1")
 
 
 def call_sites(nodes: DataFrame) -> DataFrame:
@@ -149,11 +153,12 @@ def surroundings(points: DataFrame, nodes: DataFrame, calls: DataFrame) -> DataF
 
 def occurrences(nodes: DataFrame) -> DataFrame:
     """Identifiers with what they are: declaration (kind), field, target side, token."""
-    names = nodes.filter(F.col("kind").isin("identifier", "field_identifier"))
+    is_name = F.col("kind").isin(NAME_KINDS)
+    names = nodes.filter(is_name)
     # whether a range clause declares: its first sign of assignment among its own children
     signs = nodes.filter(F.col("kind").isin(":=", "=")).groupBy("doc_id", F.col("parent_id").alias("signed")).agg(
         F.min_by("kind", "ordinal").alias("sign"))
-    up = with_parents(names, nodes, 3)
+    up = with_parents(names, nodes.filter(~is_name), 3)
     is_field = (F.col("kind") == "field_identifier") & (F.col("field") == "field")
     listed = F.col("p1_kind") == "expression_list"
     by_list = listed & (F.col("p1_field") == "left") & F.col("p2_kind").isin(
@@ -168,7 +173,7 @@ def occurrences(nodes: DataFrame) -> DataFrame:
     side = F.when(in_list, F.when(skip, F.col("p2_field")).otherwise(F.col("p1_field")))
     deep = lambda part: F.when(skip, F.col(f"p3_{part}")).otherwise(F.col(f"p2_{part}"))
     stmt_kind = F.when(in_list, deep("kind")).otherwise(t_kind)
-    up = up.withColumn("signed", F.when(in_list, deep("id"))).join(signs, ["doc_id", "signed"], "left")
+    up = up.withColumn("signed", F.when(in_list, deep("id"))).join(signs.hint("shuffle_hash"), ["doc_id", "signed"], "left")
     token = F.when(stmt_kind == "short_var_declaration", ":=").otherwise(F.coalesce("sign", F.lit("=")))
     return up.select(
         "doc_id", "node_id", F.col("text").alias("name"), F.col("start_pos").alias("pos"),
@@ -198,14 +203,14 @@ def declarations(found: DataFrame, nodes: DataFrame) -> DataFrame:
     around = held_in(rows.select("doc_id", "node_id", "pos"), scopes_of(nodes), DOC)
     inner = around.groupBy("doc_id", "node_id").agg(F.max_by("scope_id", "depth").alias("scope_id"))
     placed = rows.join(inner, ["doc_id", "node_id"]).withColumn("kind", F.col("decl_kind"))
-    kept = symbols.extract_decls(placed, ["doc_id", "scope_id"])
+    kept = symbols.extract_decls(placed, ["doc_id", "scope_id"], bounded=True)
     marks = nodes.filter(
         F.col("kind").isin("pointer_type", *fixed.REFERENCE_KINDS)
         | ((F.col("kind") == "unary_expression") & F.ltrim("text").startswith("&"))
     ).select("doc_id", F.col("start_pos").alias("pos"))
     statements = nodes.select(
         "doc_id", F.col("node_id").alias("stmt_id"), "start_pos", (F.col("end_pos") - 1).alias("end_pos")
-    ).join(kept.select("doc_id", "stmt_id").distinct(), ["doc_id", "stmt_id"], "left_semi")
+    ).join(kept.select("doc_id", "stmt_id").distinct().hint("shuffle_hash"), ["doc_id", "stmt_id"], "left_semi")
     pointers = held_in(marks, statements, DOC).select("doc_id", "stmt_id").distinct()
     flagged = kept.join(
         pointers.withColumn("_ptr", F.lit(True)), ["doc_id", "stmt_id"], "left"
@@ -239,7 +244,7 @@ def assigned_kinds(found: DataFrame, nodes: DataFrame) -> DataFrame:
                          F.col("start_pos").alias("i_start"), F.col("end_pos").alias("i_end"))
     lists = sides.select("doc_id", F.col("node_id").alias("list_id"), F.col("parent_id").alias("stmt"),
                          F.col("field").alias("side"))
-    members = items.join(lists, ["doc_id", "list_id"])
+    members = items.join(lists.hint("shuffle_hash"), ["doc_id", "list_id"])
     left = members.filter("side = 'left'").select(
         "doc_id", "stmt", "ordinal", F.col("i_start").alias("start_pos"),
         (F.col("i_end") - 1).alias("end_pos"))
@@ -252,33 +257,42 @@ def assigned_kinds(found: DataFrame, nodes: DataFrame) -> DataFrame:
     return held_in(targets, paired, DOC).select("doc_id", "node_id", "rhs_kind")
 
 
-def code_accesses(nodes: DataFrame) -> DataFrame:
+def names_of(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Occurrences and declared variables, both written."""
+    found = staged(occurrences(nodes), "occurrences", "doc_id")
+    return found, staged(declarations(found, nodes), "declarations", "doc_id")
+
+
+def code_accesses(nodes: DataFrame, names: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Every use of a variable or field with all facts the rules read.
 
-    `entity` is the position of the declaration; fields are matched by name alone.
+    `entity` is the position of the declaration; fields are matched by name alone. `names`: what
+    `names_of` gave for the nodes, if it is there already.
     """
-    found = staged(occurrences(nodes), "occurrences")
-    calls = staged(call_sites(nodes), "calls")
+    found, decls = names or names_of(nodes)
+    calls = staged(call_sites(nodes), "calls", "doc_id")
     named = sync_names(nodes, calls)
     flagged = calls.join(named.withColumn("in_sync_fn", F.lit(True)), ["doc_id", "simple_name"], "left")
-    flagged = staged(flagged, "sync-calls")
-    decls = staged(declarations(found, nodes), "declarations")
+    flagged = staged(flagged, "sync-calls", "doc_id")
     fields = field_declarations(found, nodes)
-    uses = found.filter(F.col("decl_kind").isNull() & ~F.col("is_callee"))
+    is_use = F.col("decl_kind").isNull() & ~F.col("is_callee")
     # a short declaration of a name its scope already has is a use of the older one
-    again = found.filter(F.col("decl_kind") == "short_var_declaration").join(
-        decls.select("doc_id", "node_id"), ["doc_id", "node_id"], "left_anti")
-    plain = stacked(uses.filter(~F.col("is_field")), again)
+    made = decls.select("doc_id", "node_id", F.lit(True).alias("_made")).distinct()
+    again = (F.col("decl_kind") == "short_var_declaration") & F.col("_made").isNull()
+    # a name that its document nowhere declares means nothing
+    known = found.join(decls.select("doc_id", "name").distinct().hint("shuffle_hash"), ["doc_id", "name"], "left_semi")
+    plain = known.join(made.hint("shuffle_hash"), ["doc_id", "node_id"], "left").filter(
+        (is_use & ~F.col("is_field")) | again).select(*found.columns)
     resolved = symbols.resolve_scoped(
         plain.select("doc_id", "name", "pos"), decls, scopes_of(nodes), DOC, bounded=True
     ).select("doc_id", "pos", F.col("decl_id").alias("entity"))
     variables = plain.join(resolved, ["doc_id", "pos"]).join(
         decls.select("doc_id", F.col("decl_id").alias("entity"), "is_pointer"), ["doc_id", "entity"]
     ).withColumn("type_kind", F.lit("Other"))
-    members = uses.filter("is_field").join(
+    members = found.filter(is_use & F.col("is_field")).join(
         fields.withColumnRenamed("decl_id", "entity"), ["doc_id", "name"]
     ).withColumn("is_pointer", F.lit(False))
-    all_uses = staged(stacked(variables, members, partial=True), "uses")
+    all_uses = gathered([variables, members], "uses", "doc_id")
     around = surroundings(
         all_uses.select("doc_id", "node_id", "pos", "end"), nodes, flagged
     ).drop("pos", "end")
@@ -301,7 +315,7 @@ def code_accesses(nodes: DataFrame) -> DataFrame:
 
 def code_locks(nodes: DataFrame) -> DataFrame:
     """Lock events, once for every block around them: a scan looks at one block only."""
-    calls = staged(call_sites(nodes).withColumn("in_sync_fn", F.lit(False)), "lock-calls")
+    calls = staged(call_sites(nodes).withColumn("in_sync_fn", F.lit(False)), "lock-calls", "doc_id")
     events = calls.withColumn("delta", lock_delta(F.col("method")).cast("long")).filter(
         F.col("delta").isNotNull() & (F.col("receiver") != ""))
     points = events.select(
@@ -321,8 +335,8 @@ def code_findings(nodes: DataFrame) -> DataFrame:
     """Rule hits of every variable and field of a node table (`rules.rule_flags` columns)."""
     accesses = code_accesses(nodes).withColumn("ctx", F.coalesce("ctx", F.lit(-1))).withColumn(
         "block", F.coalesce("block", F.lit(-1)))
-    accesses, locks = staged(accesses, "accesses"), staged(code_locks(nodes), "locks")
-    held = sync.held_at(accesses, locks, ["doc_id", "ctx", "block"], ["pos", "seq"])
+    accesses, locks = staged(accesses, "accesses", "doc_id"), staged(code_locks(nodes), "locks", "doc_id")
+    held = sync.held_at(accesses, locks, ["doc_id", "ctx", "block"], ["pos", "seq"], bounded=True)
     rated = rules.with_severity(sync.is_synchronized(held, F.col("in_sync_call")))
     return rules.rule_flags(
-        staged(rated, "code"), ["doc_id", "entity"], ["doc_id", "entity", "ctx"], ["pos", "seq"])
+        staged(rated, "code", "doc_id"), ["doc_id", "entity"], ["doc_id", "entity", "ctx"], ["pos", "seq"])

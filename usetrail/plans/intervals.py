@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from usetrail.plans.scan import highest, latest, listed, running, stacked, total
+from usetrail.plans.scan import highest, latest, listed, running, stacked, together, total
 from usetrail.session import staged
 
 BIN = "_bin"
@@ -39,8 +39,10 @@ def containing_spans(
     Other than `on`, the two sides must not share column names. The points of a group are
     numbered in order and cut into bins of equal numbers; a span is copied to the bins of the
     points it may hold, so a span without points is not copied at all, and a dense place makes
-    more bins, not fuller ones. `bounded`: a group comes out of one stored row (as in `running`).
+    more bins, not fuller ones. `bounded`: a group comes out of one stored row (as in `running`);
+    its points and spans then meet as lists, so what is spread by `on` is not shuffled.
     """
+    union = together if bounded else lambda a, b, _: stacked(a, b, partial=True)
     is_point = F.when(F.col("_turn") == 1, 1).otherwise(0)
     asked = points.select(
         *on, F.col(point).alias("_at"), F.lit(1).alias("_turn"), F.struct(*points.columns).alias("_point")
@@ -49,14 +51,15 @@ def containing_spans(
         *on, F.col(start).alias("_at"), F.lit(0).alias("_turn"), F.struct(*spans.columns).alias("_span")
     )
     ranked = running(
-        stacked(asked, opened, partial=True), on, ["_at", "_turn"], bounded, _rank=total(is_point, exclusive=True)
+        union(asked, opened, on), on, ["_at", "_turn"], bounded, _rank=total(is_point, exclusive=True)
     )
+    # few rows, and dealt anew by bin: every sort of a longer stage would hold a page of memory of its own
     binned_points = ranked.filter("_turn = 1").select("_point.*", F.expr(f"_rank div {bin_rows}").alias(BIN))
     closed = ranked.filter("_turn = 0").select(
         *on, F.col(f"_span.{end}").alias("_at"), F.lit(2).alias("_turn"), "_span", F.col("_rank").alias("_from")
     )
     counted = running(
-        stacked(asked.drop("_point"), closed, partial=True), on, ["_at", "_turn"], bounded, _upto=total(is_point)
+        union(asked.drop("_point"), closed, on), on, ["_at", "_turn"], bounded, _upto=total(is_point)
     )
     binned_spans = counted.filter("_turn = 2 AND _upto > _from").select(
         "_span.*", F.explode(F.expr(f"sequence(_from div {bin_rows}, (_upto - 1) div {bin_rows})")).alias(BIN)

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from usetrail.operators.structure import locate
 from usetrail.operators.symbols import count_uses, drop_callee_symbols, resolve_timeline
 from usetrail.plans import code_facts
-from usetrail.plans.scan import stacked
-from usetrail.session import in_place, staged
+from usetrail.session import gathered, in_place, staged
 
 
 def symbol_at(
@@ -62,14 +61,14 @@ def code_symbol_at(points: DataFrame, nodes: DataFrame) -> DataFrame:
         *doc, "kind", "start_pos", (F.col("end_pos") - 1).alias("end_pos"), "depth", F.col("parent_id").isNull().alias("is_root")
     )
     hit = locate(points, spans, doc, bounded=True).filter(F.col("kind").isin("identifier", "field_identifier"))
-    found = staged(code_facts.occurrences(nodes), "occurrences")
-    uses = staged(code_facts.code_accesses(nodes).select(*doc, "pos", "name", "entity"), "uses")
+    found, decls = names = code_facts.names_of(nodes)
+    uses = staged(code_facts.code_accesses(nodes, names).select(*doc, "pos", "name", "entity"), "uses", "doc_id")
     own = [
         made.select(*doc, F.col("decl_id").alias("pos"), "name", F.col("decl_id").alias("entity"))
-        for made in (code_facts.declarations(found, nodes), code_facts.field_declarations(found, nodes))
+        for made in (decls, code_facts.field_declarations(found, nodes))
     ]
     counts = uses.groupBy(*doc, "entity").agg(F.countDistinct("pos").alias("n_uses"))
-    symbols = stacked(uses, *own).join(counts, [*doc, "entity"], "left").select(
+    symbols = gathered([uses, *own], "symbols", "doc_id").join(counts, [*doc, "entity"], "left").select(
         *doc, F.col("pos").alias("start_pos"), "name", F.col("entity").alias("decl_id"),
         F.coalesce("n_uses", F.lit(0)).alias("n_uses"),
     )

@@ -56,6 +56,24 @@ def listed(rows: DataFrame, on: list[str], into: str) -> DataFrame:
     return rows.groupBy(*on).agg(F.collect_list(F.struct(*[c for c in rows.columns if c not in on])).alias(into))
 
 
+def together(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Union by name of two tables, made where the groups are, for groups that come out of one stored row.
+
+    The lists of both sides join on the group, so rows that are spread by some of `on` are not
+    shuffled again, as they would be by a union. Right rows of groups without left rows drop out.
+    """
+    types = {f.name: f.dataType for f in (*right.schema, *left.schema)}
+    names = [c for c in types if c not in on]
+
+    def side(df: DataFrame, into: str) -> DataFrame:
+        cells = [F.col(c) if c in df.columns else F.lit(None).cast(types[c]).alias(c) for c in names]
+        return listed(df.select(*on, *cells), on, into)
+
+    both = side(left, "_left").join(side(right, "_right"), on, "left")
+    rows = F.when(F.col("_right").isNull(), F.col("_left")).otherwise(F.concat("_left", "_right"))
+    return both.select(*on, F.inline(rows))
+
+
 def matched(rows: DataFrame, extra: DataFrame, on: list[str]) -> DataFrame:
     """Left join on equal or both-NULL columns; the right side's copies of them go."""
     renamed = extra.withColumnsRenamed({c: f"_on_{c}" for c in on})

@@ -9,7 +9,7 @@ from usetrail.operators.counts import code_classes, count_entities
 from usetrail.plans import code_facts, resolve
 from usetrail.plans.scan import stacked
 from usetrail.queries.registry import query
-from usetrail.session import staged
+from usetrail.session import in_place, parts_of, staged
 from usetrail.sources import views as v
 from usetrail.sources.nodes import NODES_SQL, page_nodes, with_kinds
 
@@ -20,6 +20,13 @@ def nodes_of(spark, sf_dir):
     return page_nodes(v.table(spark, sf_dir, "pages").select("page_id", "html"))
 
 
+def over_nodes(spark, sf_dir, make):
+    """What `make` gives for the written nodes: nodes and all that is made of them stay where their page is."""
+    with in_place(spark, parts_of(v.table(spark, sf_dir, "pages"), "html")):
+        nodes = staged(nodes_of(spark, sf_dir), "nodes", "doc_id")
+        return staged(make(nodes).withColumnRenamed("doc_id", "page_id"), "made", "page_id")
+
+
 @query(f"""
 WITH {NODES_SQL},
 n AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY start_pos, depth) - 1 AS node_id FROM v_code)
@@ -100,10 +107,9 @@ v_accesses AS (
 @query(f"WITH {NODES_SQL}, {ACCESSES_SQL} SELECT * FROM v_accesses")
 def code_accesses(spark, sf_dir):
     """Every use of a variable with its declaration and what surrounds it."""
-    nodes = staged(nodes_of(spark, sf_dir), "nodes")
-    return code_facts.code_accesses(nodes).select(
-        F.col("doc_id").alias("page_id"), "entity", "name", "pos", "op", "is_global", "is_pointer", "concurrent", "copied"
-    )
+    return over_nodes(spark, sf_dir, lambda nodes: code_facts.code_accesses(nodes).select(
+        "doc_id", "entity", "name", "pos", "op", "is_global", "is_pointer", "concurrent", "copied"
+    ))
 
 
 @query(f"""
@@ -115,10 +121,9 @@ FROM v_accesses GROUP BY ALL
 """)
 def code_findings(spark, sf_dir):
     """Severity and rule hits of every use in the programs."""
-    found = code_facts.code_findings(staged(nodes_of(spark, sf_dir), "nodes"))
-    return found.groupBy(
-        F.col("doc_id").alias("page_id"), "op", "severity", "race", F.col("r8").alias("value_copy")
-    ).agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
+    return over_nodes(spark, sf_dir, lambda nodes: code_facts.code_findings(nodes).groupBy(
+        "doc_id", "op", "severity", "race", F.col("r8").alias("value_copy")
+    ).agg(F.count("*").alias("n"), F.min("pos").alias("first_pos")))
 
 
 @query(f"""
@@ -130,9 +135,8 @@ FROM a LEFT JOIN c ON c.page_id = a.page_id AND c.entity = a.entity
 """)
 def symbol_at_node(spark, sf_dir):
     """The symbol under the start of every node, looked up by position."""
-    nodes = staged(nodes_of(spark, sf_dir), "nodes")
-    points = nodes.select("doc_id", F.col("start_pos").alias("pos")).distinct()
-    return resolve.code_symbol_at(points, nodes).withColumnRenamed("doc_id", "page_id")
+    return over_nodes(spark, sf_dir, lambda nodes: resolve.code_symbol_at(
+        nodes.select("doc_id", F.col("start_pos").alias("pos")).distinct(), nodes))
 
 
 def _id(prefix, name, col, end, at="base"):
