@@ -113,3 +113,18 @@ def test_keys_of_a_stream_share_groups(spark, tmp_path):
     for k, _, number, _ in sorted(rows, key=lambda r: (r[1], r[2])):
         want[k, number], seen[k] = seen[k], seen[k] + 1
     assert got == want and "_bucket" in counted._jdf.queryExecution().analyzed().toString()
+
+
+def test_tables_written_by_document_meet_without_a_shuffle(spark, capsys):
+    from usetrail.plans.scan import together
+    rows = spark.createDataFrame([(d, i) for d in range(5) for i in range(3)], "doc_id int, n int")
+    with session.in_place(spark, 3):
+        whole = session.staged(rows, "whole", "doc_id")
+        halves = session.gathered([rows.filter("n = 0"), rows.filter("n > 0")], "halves", "doc_id")
+        both = together(whole, halves.withColumnRenamed("n", "m").filter("doc_id < 4"), ["doc_id"])
+        found = both.join(halves.hint("merge"), ["doc_id", "n"]).groupBy("doc_id").count()
+        found.explain()
+        assert "Exchange hashpartitioning" not in capsys.readouterr().out
+        assert sorted(map(tuple, found.collect())) == [(d, 3) for d in range(5)]
+    asked = sorted((r.doc_id, r.m) for r in both.filter("n IS NULL").collect())
+    assert asked == [(d, i) for d in range(4) for i in range(3)] and both.count() == 27
