@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from usetrail import session
 from usetrail.plans import intervals
-from usetrail.queries import structure_q, symbols_q
+from usetrail.queries import code_q, structure_q, symbols_q
 from usetrail.sources import nodes as sn
 from usetrail.sources import views as v
 from usetrail.streaming import streams
@@ -128,3 +128,29 @@ def test_tables_written_by_document_meet_without_a_shuffle(spark, capsys):
         assert sorted(map(tuple, found.collect())) == [(d, 3) for d in range(5)]
     asked = sorted((r.doc_id, r.m) for r in both.filter("n IS NULL").collect())
     assert asked == [(d, i) for d in range(4) for i in range(3)] and both.count() == 27
+
+
+def test_the_graph_of_a_program_is_made_where_its_nodes_are(spark, tmp_path, capsys, monkeypatch):
+    html = "<a>x y</a><h1>x</h1><p>f x x x x x x</p><p>go f a</p><p>x y z b</p><p>ch x a a a a a a a a a a</p><a>x</a><p>x x x x x x</p>"
+    rows = [(1, html), (2, html.replace("x", "long")), (2, "<a>q</a><p>q</p>"), (3, None), (None, html)]
+    spark.createDataFrame(rows, "page_id bigint, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    plans, graph_of = [], code_q.graph.code_graph
+
+    def seen(*given):
+        made = graph_of(*given)
+        for part in made:
+            part.explain()
+            plans.append(capsys.readouterr().out)
+        return made
+
+    monkeypatch.setattr(code_q.graph, "code_graph", seen)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {(r["page_id"], r["part"], r["type"]): r["n"] for r in code_q.code_graph(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(plans) == 2 and all("Join" in p and "Exchange" not in p for p in plans)
+    assert got[1, "node", "Variable"] == got[1, "edge", "Use"] + 3 and got[1, "node", "Function"] == 1
+    # pages of one id are one program
+    assert got[2, "node", "Variable"] > got[1, "node", "Variable"]

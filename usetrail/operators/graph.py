@@ -132,25 +132,26 @@ def code_graph(nodes: DataFrame, sync_calls: DataFrame, bounded: bool = True) ->
     Variables are the names right under a declaration; what they declare holds for the rest
     of the document, the latest declaration of a name first. A call, send, receive or spawn
     is an edge of its statement; what it names is found over the field of the child. Nodes
-    with one id are one node.
+    with one id are one node. No step but the unions moves rows away from their document.
     """
     doc = ["doc_id"]
     all_nodes = _addressed(nodes)
     above = nodes.select("doc_id", F.col("node_id").alias("parent_id"), F.col("kind").alias("parent_kind"))
+    above = above.hint("shuffle_hash") if bounded else above
     names = all_nodes.filter("kind = 'identifier'").join(above, [*doc, "parent_id"]).select(
         *doc, "parent_id", "parent_kind", "field", F.trim("text").alias("name"), "start_pos", "line", "col", "end_line", "end_col",
     )
     declares = F.col("parent_kind").isin("var_spec", "short_var_declaration")
     links = use_links(names, [*doc, "name"], ["start_pos"], declares, F.col("name"), bounded)
     function = (F.col("parent_kind") == "function_declaration") & (F.col("field") == "name")
-    entities = stacked(
-        names.filter(declares).withColumn("kind", F.lit("variable")),
-        names.filter(function).withColumn("kind", F.lit("function_declaration")),
-        all_nodes.filter(F.col("kind").isin("go_statement", "channel_type")).select(
-            *doc, "kind", "line", "col", "end_line", "end_col"),
-        partial=True,
-    )
-    made = stacked(graph_nodes(entities, CODE_NODES, doc), use_nodes(links, F.col("name"), doc)).dropDuplicates([*doc, "id"])
+    named = names.withColumn("kind", F.when(declares, "variable").when(function, "function_declaration"))
+    # the three have no id in common, as their prefixes differ
+    made = stacked(*[part.dropDuplicates([*doc, "id"]) for part in (
+        graph_nodes(named, CODE_NODES, doc),
+        graph_nodes(all_nodes.filter(F.col("kind").isin("go_statement", "channel_type")).withColumn("name", F.lit(None).cast("string")),
+                    CODE_NODES, doc),
+        use_nodes(links, F.col("name"), doc),
+    )])
 
     def sites(kinds: list[str], slot: str) -> DataFrame:
         part = all_nodes.filter(F.col("field") == slot).select(

@@ -165,13 +165,15 @@ SELECT page_id, part, type, count(*) AS n, min(a) AS first_a, max(a) AS last_a,
 """)
 def code_graph(spark, sf_dir):
     """Nodes and edges of every program by type, with the first and the last id."""
-    program = staged(nodes_of(spark, sf_dir), "nodes")
-    nodes, edges = graph.code_graph(program, code_facts.call_sites(program).filter("is_sync_call"))
-    rows = stacked(
-        nodes.select("doc_id", F.lit("node").alias("part"), F.col("entity_type").alias("type"), F.col("id").alias("a"), F.lit("").alias("b")),
-        edges.select("doc_id", F.lit("edge").alias("part"), F.col("edge_type").alias("type"), F.col("from_id").alias("a"), F.col("to_id").alias("b")),
-    )
-    return rows.groupBy(F.col("doc_id").alias("page_id"), "part", "type").agg(
-        F.count("*").alias("n"), F.min("a").alias("first_a"), F.max("a").alias("last_a"),
-        F.min("b").alias("first_b"), F.max("b").alias("last_b"),
-    )
+    def counted(program):
+        nodes, edges = graph.code_graph(program, code_facts.call_sites(program).filter("is_sync_call"))
+        rows = stacked(
+            nodes.select("doc_id", F.lit("node").alias("part"), F.col("entity_type").alias("type"), F.col("id").alias("a"), F.lit("").alias("b")),
+            edges.select("doc_id", F.lit("edge").alias("part"), F.col("edge_type").alias("type"), F.col("from_id").alias("a"), F.col("to_id").alias("b")),
+        )
+        return rows.groupBy("doc_id", "part", "type").agg(
+            F.count("*").alias("n"), F.min("a").alias("first_a"), F.max("a").alias("last_a"),
+            F.min("b").alias("first_b"), F.max("b").alias("last_b"),
+        )
+
+    return over_nodes(spark, sf_dir, counted)
