@@ -3,12 +3,13 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from usetrail.operators import structure as st
 from usetrail.operators import symbols as sy
-from usetrail.plans import intervals
+from usetrail.plans import intervals, nested
 
 SPAN = "doc int, kind string, start_pos bigint, end_pos bigint, depth int, is_root boolean"
 LINE = 1 << 20
@@ -194,3 +195,55 @@ def test_a_crossing_declaration_stops_the_job(spark):
     uses = spark.createDataFrame([(1, "x", 15)], "doc int, name string, pos bigint")
     with pytest.raises(Exception, match="deeper scope"):
         sy.resolve_scoped(uses, decls, scopes, ["doc"]).collect()
+
+
+def listed_rows(rows, names, groups):
+    return pa.array([[dict(zip(names, r[1:], strict=True)) for r in rows if r[0] == g] for g in groups])
+
+
+@pytest.mark.parametrize("wide", [1, 1 << 52])
+@pytest.mark.parametrize("entries", [1, 900, 1 << 20])
+def test_lists_of_uses_equal_a_walk_outwards(monkeypatch, wide, entries):
+    rnd = random.Random(31)
+    monkeypatch.setattr(nested, "ENTRIES", entries)
+    scopes, decls, uses, want = [], [], [], []
+    for doc in range(6):
+        some, made, asked = scoped(rnd)
+        # what comes twice, has no name, no place or no scope
+        some, made = [*some, some[-1], (1, None, 9, 0, 200)], [*made, *made[:5], *((1, None, 7, *made[0][3:]), (1, "x", 8, None, 3), (1, "x", 8, 0, None))]
+        asked = [*asked, *asked[40:60], *((1, None, p) for p in range(0, 203, 7)), (1, "x", None)] if doc else asked
+        at = lambda p: None if p is None else p * wide
+        scopes += [(doc, i, d, at(e)) for _, i, d, _, e in some] if doc != 3 else [(doc, 0, 0, None)]
+        decls += [(doc, n, at(v), i, s) for _, n, i, s, v in made]
+        uses += [(doc, n, at(p)) for _, n, p in asked]
+        for _, name, pos in asked if doc != 3 else []:
+            for scope in sorted((s for s in some if s[1] is not None and pos is not None and s[3] <= pos <= s[4]), key=lambda s: -s[2]):
+                found = [(d[4], d[2]) for d in made if d[1] == name and d[3] == scope[1] and d[4] is not None and d[4] <= pos]
+                if found:
+                    want.append((doc, name, at(pos), max(found)[1], scope[2]))
+                    break
+    groups = range(6)
+    got = nested.meanings(
+        listed_rows(uses, ["name", "pos"], groups), listed_rows(decls, ["name", "pos", "decl_id", "scope_id"], groups),
+        listed_rows(scopes, ["scope_id", "depth", "end_pos"], groups))
+    assert [(g, *r.values()) for g, rows in zip(groups, got.to_pylist(), strict=True) for r in rows] == want
+    assert {w[1] for w in want} >= {"x", None} and len({w[4] for w in want}) > 2
+
+
+def test_groups_that_lack_a_table_have_no_answers(spark):
+    frames = [spark.createDataFrame(*x) for x in (
+        ([(1, "x", 9), (1, "x", 9), (2, "x", 9), (3, "x", 9), (None, "x", 9), (5, "x", 1)], "doc int, name string, pos bigint"),
+        ([(1, "x", 4, 0, 5), (3, "x", 4, 0, 5), (None, "x", 4, 0, 5), (5, "x", 4, 0, 5)],
+         "doc int, name string, decl_id int, scope_id int, visible_from int"),
+        ([(1, 0, 3, 0, 9), (2, 0, 3, 0, 9), (None, 0, 3, 0, 9), (5, 0, 3, 0, 9)], "doc int, scope_id bigint, depth smallint, start_pos int, end_pos int"))]
+    found = sy.resolve_scoped(*frames, ["doc"], bounded=True)
+    assert [tuple(r) for r in found.collect()] == [(1, "x", 9, 4, 3)] * 2
+    assert found.dtypes == [("doc", "int"), ("name", "string"), ("pos", "bigint"), ("decl_id", "bigint"), ("depth", "smallint")]
+
+
+def test_a_crossing_declaration_of_a_document_stops_the_job(spark):
+    scopes = spark.createDataFrame([(1, 0, 0, 0, 100), (1, 1, 1, 5, 20)], "doc int, scope_id bigint, depth int, start_pos bigint, end_pos bigint")
+    decls = spark.createDataFrame([(1, "x", 6, 1, 6), (1, "x", 7, 0, 10)], "doc int, name string, decl_id bigint, scope_id bigint, visible_from bigint")
+    uses = spark.createDataFrame([(1, "x", 15)], "doc int, name string, pos bigint")
+    with pytest.raises(Exception, match="deeper scope that declares x"):
+        sy.resolve_scoped(uses, decls, scopes, ["doc"], bounded=True).collect()

@@ -154,3 +154,43 @@ def test_the_graph_of_a_program_is_made_where_its_nodes_are(spark, tmp_path, cap
     assert got[1, "node", "Variable"] == got[1, "edge", "Use"] + 3 and got[1, "node", "Function"] == 1
     # pages of one id are one program
     assert got[2, "node", "Variable"] > got[1, "node", "Variable"]
+
+
+def test_only_texts_are_shuffled_and_words_sorted_once(spark, tmp_path, monkeypatch):
+    rows = [(i, "a b a\nb a, c\n" * 20) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(session, "PART_BYTES", 1000)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = symbols_q.resolve_scoped(spark, str(tmp_path))
+        plan = plan_of(made)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    moved = [x for x in plan.splitlines() if re.search(r"\bExchange\b", x)]
+    # texts, and what is counted of a document
+    assert moved and all("REPARTITION_BY_NUM" in x or "_groupingexpression" in x for x in moved)
+    # the words for their declarations; what else is sorted are lists of whole documents
+    sorts = [x for x in plan.splitlines() if re.search(r"\bSort \[", x)]
+    assert len([x for x in sorts if "word#" in x]) == 1
+    assert all(re.search(r"Sort \[doc_id#\w+ ASC NULLS FIRST\],", x) for x in sorts if "word#" not in x)
+    # in a line of a text `a` comes again once; in other lines all come again but for the first two lines
+    assert {(r["same_line"], r["n"]) for r in made.collect()} == {(True, 20), (False, 19 * 5 + 1)}
+
+
+def test_scopes_and_entries_of_words(spark):
+    words = v.word_view(spark.createDataFrame([(1, "a b a\nb"), (2, "x"), (2, "x"), (None, "y")], "doc_id int, text string"))
+    line = 1 << 20
+    scopes = symbols_q.word_scopes(words)
+    assert sorted(map(tuple, scopes.collect()), key=repr) == sorted([
+        (1, "doc", 0, 0, 0, line), (1, "line", 1, 1, 0, 2), (1, "line", 2, 1, line, line), (2, "doc", 0, 0, 0, 0), (2, "line", 1, 1, 0, 0),
+        (None, "doc", 0, 0, 0, 0), (None, "line", 1, 1, 0, 0)], key=repr)
+    assert [t for _, t in scopes.dtypes] == ["int", "string", "int", "int", "bigint", "bigint"]
+    entries = symbols_q.word_timeline(words)
+    assert [t for _, t in entries.dtypes] == ["int", "string", "bigint", "int", "int", "bigint", "bigint", "bigint"]
+    declared = Counter((r["doc_id"], r["name"], r["scope_id"], r["pos"], r["decl"]) for r in entries.collect() if not r["is_use"])
+    assert declared == Counter({
+        (1, "a", 0, 1, 0): 1, (1, "a", 1, 1, 0): 1, (1, "b", 0, 2, 1): 1, (1, "b", 1, 2, 1): 1, (1, "b", 2, line + 1, line): 1,
+        (2, "x", 0, 1, 0): 2, (2, "x", 1, 1, 0): 2, (None, "y", 0, 1, 0): 1, (None, "y", 1, 1, 0): 1})
+    assert Counter((r["doc_id"], r["is_use"], r["depth"]) for r in entries.collect() if r["is_use"]) == Counter(
+        {(d, 1, k): n for d, n in ((1, 4), (2, 2), (None, 1)) for k in (0, 1)})

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from usetrail.functions import fixed
+from usetrail.plans import nested
 from usetrail.plans.scan import latest, listed, running, stacked, total
 
 OWN_DEPTH = 1 << 30
@@ -53,9 +54,11 @@ def resolve_scoped(
     holds as scopes nest and an outer declaration is not first seen inside an inner scope that
     declares the name; where that fails the job stops.
     """
+    if bounded:
+        return _resolved_in_place(uses, decls, scopes, on)
     order = ["pos", "_turn", "_depth", "_decl"]
-    steps = (_steps_in_place if bounded else _steps)(uses, decls, scopes, on)
-    levelled = running(steps, [*on, "name"], order, bounded, _level=total(F.col("_step"))).filter("_turn < 2")
+    steps = _steps(uses, decls, scopes, on)
+    levelled = running(steps, [*on, "name"], order, _level=total(F.col("_step"))).filter("_turn < 2")
     # An opening also asks for the one below it, to see that that is no deeper.
     opens = F.col("_turn") == 0
     asks = F.array_compact(F.array(
@@ -64,11 +67,11 @@ def resolve_scoped(
     ))
     rows = levelled.select(*on, "name", *order, F.inline(asks))
     found = running(
-        rows, [*on, "name", "_level"], order, bounded,
+        rows, [*on, "name", "_level"], order,
         decl_id=latest(F.when(~F.col("_asks"), F.col("_decl"))), depth=latest(F.when(~F.col("_asks"), F.col("_depth"))),
     )
     crossing = F.raise_error(
-        F.concat(F.lit("a declaration is first seen inside a deeper scope that declares "), F.col("name"))
+        F.concat(F.lit(nested.CROSSING), F.col("name"))
     ).cast("boolean")
     kept = F.when(opens & F.col("_asks") & (F.col("depth") > F.col("_depth")), crossing).otherwise(
         ~opens & F.col("decl_id").isNotNull()
@@ -93,37 +96,24 @@ def _steps(uses: DataFrame, decls: DataFrame, scopes: DataFrame, on: list[str])
     return stacked(asked, edges, partial=True)
 
 
-def _steps_in_place(uses: DataFrame, decls: DataFrame, scopes: DataFrame, on: list[str]) -> DataFrame:
-    """`_steps` of groups that fit a task: the three tables meet as lists, and no word is shuffled.
+def _resolved_in_place(uses: DataFrame, decls: DataFrame, scopes: DataFrame, on: list[str]) -> DataFrame:
+    """`resolve_scoped` of groups that fit a task: the three tables meet as lists, and no word is shuffled or sorted.
 
-    Declarations find their scopes by one sort of the group. A group without uses, declarations
-    or scopes has no answers.
+    The sweep is made on numbers, many groups at once (`nested.meanings`). A group without uses,
+    declarations or scopes has no answers.
     """
-    depth = scopes.schema["depth"].dataType
-    home = f"struct<depth:{depth.simpleString()},end:bigint>"
-    scope = scopes.schema["scope_id"].dataType
-
-    def entries(df: DataFrame, into: str, kind: int, name=None, pos=None, decl=None, at=None, ends=None) -> DataFrame:
-        cells = {"name": (name, uses.schema["name"].dataType), "pos": (pos, "long"), "_decl": (decl, "long"),
-                 "_scope": (at, scope), "_home": (ends, home), "_kind": (F.lit(kind), "int")}
-        return listed(df.select(*on, *[(F.lit(None) if x is None else x).cast(t).alias(c) for c, (x, t) in cells.items()]), on, into)
-
-    c = F.col
+    c, name, scope, depth = F.col, *(df.schema[x].dataType for df, x in ((uses, "name"), (scopes, "scope_id"), (scopes, "depth")))
     lists = (
-        entries(uses, "_uses", 2, c("name"), c("pos"))
-        .join(entries(decls, "_decls", 1, c("name"), c("visible_from"), c("decl_id"), c("scope_id")), on)
-        .join(entries(scopes, "_scopes", 0, at=c("scope_id"), ends=F.struct(c("depth"), c("end_pos"))), on)
+        listed(uses.select(*on, "name", c("pos").cast("long").alias("pos")), on, "_uses")
+        .join(listed(decls.select(
+            *on, c("name").cast(name).alias("name"), c("visible_from").cast("long").alias("pos"),
+            c("decl_id").cast("long").alias("decl_id"), c("scope_id").cast(scope).alias("scope_id")), on, "_decls"), on)
+        .join(listed(scopes.select(*on, "scope_id", "depth", c("end_pos").cast("long").alias("end_pos")), on, "_scopes"), on)
     )
-    rows = lists.select(*on, F.inline(F.concat("_scopes", "_decls", "_uses")))
-    homes = F.collect_list(F.when(c("_scope").isNotNull(), c("_home"))).over(Window.partitionBy(*on, "_scope"))
-    placed = rows.withColumn("_homes", homes).filter("_kind > 0")
-    none = F.lit(None)
-    live = F.filter("_homes", lambda h: c("pos") <= h["end"])
-    edges = F.flatten(F.transform(live, lambda h: _sides(c("pos"), h["end"], h["depth"].alias("_depth"), c("_decl").alias("_decl"))))
-    asked = F.array(F.struct(c("pos").alias("pos"), F.lit(1).alias("_turn"), F.lit(0).alias("_step"),
-                             none.cast(depth).alias("_depth"), none.cast("long").alias("_decl")))
-    return placed.select(*on, "name", F.when(c("_kind") == 1, edges).otherwise(asked).alias("_e")).select(
-        *on, "name", F.inline("_e"))
+    found = f"array<struct<name:{name.simpleString()},pos:bigint,decl_id:bigint,depth:{depth.simpleString()}>>"
+    # what counts as not deterministic is not made a second time for a filter on its size
+    meant = F.arrow_udf(nested.meanings, found).asNondeterministic()("_uses", "_decls", "_scopes")
+    return lists.select(*on, meant.alias("_found")).select(*on, F.inline("_found"))
 
 
 def resolve_timeline(

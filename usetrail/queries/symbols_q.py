@@ -1,5 +1,6 @@
 """Declarations, uses and resolution."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from usetrail.functions.columns import LINE_SHIFT, col_of, line_of
@@ -16,16 +17,14 @@ def words_of(spark, sf_dir):
 
 def word_scopes(words):
     """Each document and each of its lines as a scope."""
-    lines = words.groupBy("doc_id", "line").agg(F.max("pos").alias("end_pos")).select(
-        "doc_id", F.lit("line").alias("kind"), (F.col("line") + 1).alias("scope_id"),
-        F.lit(1).alias("depth"),
-        (F.col("line").cast("long") * LINE_SHIFT).alias("start_pos"), "end_pos",
+    lines = words.groupBy("doc_id", "line").agg(F.max("pos").alias("end_pos"))
+    scope = F.col("scope_id")
+    return lines.select("doc_id", F.explode(F.array(F.col("line") + 1, F.lit(0))).alias("scope_id"), "end_pos").groupBy(
+        "doc_id", "scope_id").agg(F.max("end_pos").alias("end_pos")).select(
+        "doc_id", F.when(scope > 0, "line").otherwise("doc").alias("kind"), "scope_id",
+        F.when(scope > 0, 1).otherwise(0).alias("depth"),
+        F.when(scope > 0, (scope - 1).cast("long") * LINE_SHIFT).otherwise(F.lit(0)).alias("start_pos"), "end_pos",
     )
-    docs = words.groupBy("doc_id").agg(F.max("pos").alias("end_pos")).select(
-        "doc_id", F.lit("doc").alias("kind"), F.lit(0).alias("scope_id"), F.lit(0).alias("depth"),
-        F.lit(0).cast("long").alias("start_pos"), "end_pos",
-    )
-    return stacked(lines, docs)
 
 
 def word_timeline(words):
@@ -33,27 +32,23 @@ def word_timeline(words):
 
     Every word is a use in its line and in its document, and a declaration in each of
     the two where it comes first; visible once its statement, here the word, is over.
-    All four entries come out of one pass over the words.
+    All four entries come out of one pass over the words, sorted once by document, word and line.
     """
-    first = running(words, ["doc_id", "line", "word"], ["pos"], True, in_line=lowest(F.col("pos")))
-    first = running(first, ["doc_id", "word"], ["pos"], True, in_doc=lowest(F.col("pos")))
-
-    def entry(scope, depth, is_use):
-        return F.struct(
-            scope.cast("long").alias("scope_id"), F.lit(depth).alias("depth"),
-            F.lit(is_use).alias("is_use"), F.col("pos").alias("at"),
-            (F.col("pos") + (1 - is_use)).alias("when"),
-            (F.lit(None) if is_use else F.col("pos")).cast("long").alias("decl"),
-        )
-
-    line, doc = F.col("line") + 1, F.lit(0)
-    entries = F.array(
-        entry(line, 1, 1), entry(doc, 0, 1),
-        F.when(F.col("pos") == F.col("in_line"), entry(line, 1, 0)),
-        F.when(F.col("pos") == F.col("in_doc"), entry(doc, 0, 0)),
+    first = running(words, ["doc_id", "word", "line"], ["pos"], True, in_line=lowest(F.col("pos")))
+    whole = Window.partitionBy("doc_id", "word").orderBy("line", "pos").rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing)
+    first = first.withColumn("in_doc", F.min("pos").over(whole))
+    # 0 and 1 are uses, 2 and 3 declarations, of the line and of the document
+    entry, pos = F.col("_entry"), F.col("pos")
+    is_use, in_line = entry < 2, entry % 2 == 0
+    rows = first.withColumn("_entry", F.explode(F.array(*map(F.lit, range(4))))).filter(
+        is_use | (pos == F.when(in_line, F.col("in_line")).otherwise(F.col("in_doc"))))
+    return rows.select(
+        "doc_id", F.col("word").alias("name"),
+        F.when(in_line, F.col("line") + 1).otherwise(0).cast("long").alias("scope_id"),
+        F.when(in_line, 1).otherwise(0).alias("depth"), F.when(is_use, 1).otherwise(0).alias("is_use"),
+        pos.alias("at"), F.when(is_use, pos).otherwise(pos + 1).alias("pos"), F.when(~is_use, pos).alias("decl"),
     )
-    rows = first.select("doc_id", F.col("word").alias("name"), F.inline(F.array_compact(entries)))
-    return rows.withColumnRenamed("when", "pos")
 
 
 @query(f"""
