@@ -198,7 +198,7 @@ def test_a_crossing_declaration_stops_the_job(spark):
 
 
 def listed_rows(rows, names, groups):
-    return pa.array([[dict(zip(names, r[1:], strict=True)) for r in rows if r[0] == g] for g in groups])
+    return [[dict(zip(names, r[1:], strict=True)) for r in rows if r[0] == g] for g in groups]
 
 
 @pytest.mark.parametrize("wide", [1, 1 << 52])
@@ -223,10 +223,12 @@ def test_lists_of_uses_equal_a_walk_outwards(monkeypatch, wide, entries):
                     want.append((doc, name, at(pos), max(found)[1], scope[2]))
                     break
     groups = range(6)
-    got = nested.meanings(
-        listed_rows(uses, ["name", "pos"], groups), listed_rows(decls, ["name", "pos", "decl_id", "scope_id"], groups),
-        listed_rows(scopes, ["scope_id", "depth", "end_pos"], groups))
-    assert [(g, *r.values()) for g, rows in zip(groups, got.to_pylist(), strict=True) for r in rows] == want
+    batch = pa.RecordBatch.from_pydict({
+        "doc": list(groups), "_uses": listed_rows(uses, ["name", "pos"], groups),
+        "_decls": listed_rows(decls, ["name", "pos", "decl_id", "scope_id"], groups),
+        "_scopes": listed_rows(scopes, ["scope_id", "depth", "end_pos"], groups)})
+    got = [tuple(r.values()) for b in nested.answered(["doc"], [batch, batch.slice(4)]) for r in b.to_pylist()]
+    assert got == want + [w for w in want if w[0] > 3]
     assert {w[1] for w in want} >= {"x", None} and len({w[4] for w in want}) > 2
 
 

@@ -179,9 +179,10 @@ def test_only_texts_are_shuffled_and_words_sorted_once(spark, tmp_path, monkeypa
 
 
 def test_scopes_and_entries_of_words(spark):
-    words = v.word_view(spark.createDataFrame([(1, "a b a\nb"), (2, "x"), (2, "x"), (None, "y")], "doc_id int, text string"))
-    line = 1 << 20
-    scopes = symbols_q.word_scopes(words)
+    rows = [(1, "a b a\nb"), (2, "x"), (2, "x"), (None, "y"), (3, None), (4, ""), (5, " \n\n  ")]
+    lines = v.line_view(spark.createDataFrame(rows, "doc_id int, text string"))
+    words, line = v.words_in(lines), 1 << 20
+    scopes = symbols_q.word_scopes(lines)
     assert sorted(map(tuple, scopes.collect()), key=repr) == sorted([
         (1, "doc", 0, 0, 0, line), (1, "line", 1, 1, 0, 2), (1, "line", 2, 1, line, line), (2, "doc", 0, 0, 0, 0), (2, "line", 1, 1, 0, 0),
         (None, "doc", 0, 0, 0, 0), (None, "line", 1, 1, 0, 0)], key=repr)
@@ -194,3 +195,11 @@ def test_scopes_and_entries_of_words(spark):
         (2, "x", 0, 1, 0): 2, (2, "x", 1, 1, 0): 2, (None, "y", 0, 1, 0): 1, (None, "y", 1, 1, 0): 1})
     assert Counter((r["doc_id"], r["is_use"], r["depth"]) for r in entries.collect() if r["is_use"]) == Counter(
         {(d, 1, k): n for d, n in ((1, 4), (2, 2), (None, 1)) for k in (0, 1)})
+
+
+def test_a_line_ends_with_its_last_word(spark):
+    texts = ["a b", " a  b  ", "a", "", "   ", "\t", "a \t ", "\u00e9\u4e2d \u00e9 ", "a\u00a0 b\u00a0", "a\r\nb c\r", "\n\n x\n", "a b a\n" * 3, None]
+    lines = v.line_view(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"))
+    last = v.words_in(lines).groupBy("doc_id", "line").agg(F.max("pos").alias("pos"))
+    got, want = v.last_words_in(lines), sorted(map(tuple, last.collect()))
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 12 and got.dtypes == last.dtypes

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from usetrail.functions import fixed
 from usetrail.plans import nested
@@ -99,21 +102,20 @@ def _steps(uses: DataFrame, decls: DataFrame, scopes: DataFrame, on: list[str])
 def _resolved_in_place(uses: DataFrame, decls: DataFrame, scopes: DataFrame, on: list[str]) -> DataFrame:
     """`resolve_scoped` of groups that fit a task: the three tables meet as lists, and no word is shuffled or sorted.
 
-    The sweep is made on numbers, many groups at once (`nested.meanings`). A group without uses,
+    The sweep is made on numbers, many groups at once (`nested.answered`). A group without uses,
     declarations or scopes has no answers.
     """
-    c, name, scope, depth = F.col, *(df.schema[x].dataType for df, x in ((uses, "name"), (scopes, "scope_id"), (scopes, "depth")))
+    c, types = F.col, {x: df.schema[x].dataType for df, x in ((uses, "name"), (scopes, "scope_id"), (scopes, "depth"))}
     lists = (
         listed(uses.select(*on, "name", c("pos").cast("long").alias("pos")), on, "_uses")
-        .join(listed(decls.select(
-            *on, c("name").cast(name).alias("name"), c("visible_from").cast("long").alias("pos"),
-            c("decl_id").cast("long").alias("decl_id"), c("scope_id").cast(scope).alias("scope_id")), on, "_decls"), on)
         .join(listed(scopes.select(*on, "scope_id", "depth", c("end_pos").cast("long").alias("end_pos")), on, "_scopes"), on)
+        .join(listed(decls.select(
+            *on, c("name").cast(types["name"]).alias("name"), c("visible_from").cast("long").alias("pos"),
+            c("decl_id").cast("long").alias("decl_id"), c("scope_id").cast(types["scope_id"]).alias("scope_id")), on, "_decls"), on)
     )
-    found = f"array<struct<name:{name.simpleString()},pos:bigint,decl_id:bigint,depth:{depth.simpleString()}>>"
-    # what counts as not deterministic is not made a second time for a filter on its size
-    meant = F.arrow_udf(nested.meanings, found).asNondeterministic()("_uses", "_decls", "_scopes")
-    return lists.select(*on, meant.alias("_found")).select(*on, F.inline("_found"))
+    made = StructType([*(lists.schema[x] for x in on), StructField("name", types["name"]), StructField("pos", LongType()),
+                       StructField("decl_id", LongType()), StructField("depth", types["depth"])])
+    return lists.mapInArrow(partial(nested.answered, on), made)
 
 
 def resolve_timeline(

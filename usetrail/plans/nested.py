@@ -6,7 +6,7 @@ done in one pass, and only numbers are sorted, never names or rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -81,8 +81,10 @@ def _meant(use: pa.Array, decl: pa.Array, scope: pa.Array) -> tuple:
 
     # uses, then openings, then closings
     uses = np.flatnonzero(asked)
-    at_home = seen & decl.field("scope_id").is_valid().to_numpy(zero_copy_only=False)
-    owner, inside = _homes(np.where(at_home, rows[1] * homes + decl_home, -1), np.where(ends, rows[2] * homes + home, -2))
+    at_home = np.flatnonzero(seen & decl.field("scope_id").is_valid().to_numpy(zero_copy_only=False))
+    ends = np.flatnonzero(ends)
+    owner, inside = _homes((rows[1] * homes + decl_home)[at_home], (rows[2] * homes + home)[ends])
+    owner, inside = at_home[owner], ends[inside]
     live = opened[owner] <= closed[inside]
     owner, inside = owner[live], inside[live]
     if not len(owner) or not len(uses):
@@ -152,15 +154,15 @@ def _parts(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
-def meanings(uses: pa.Array, decls: pa.Array, scopes: pa.Array) -> pa.Array:
-    """What the uses of each row's list mean: lists of (name, pos, decl_id, depth), by position of the use in its list.
+def answered(on: list[str], batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the uses of each row's list mean: (on.., name, pos, decl_id, depth), a row per use that means something.
 
-    uses(name, pos), decls(name, pos, decl_id, scope_id), scopes(scope_id, depth, end_pos). Rows do not mix.
+    A row has _uses(name, pos), _decls(name, pos, decl_id, scope_id), _scopes(scope_id, depth, end_pos). Rows do not mix.
     """
-    sizes = sum(pc.list_value_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (uses, decls, scopes))
-    made = []
-    for start, end in _parts(sizes):
-        row, columns = _meant(*(x.slice(start, end - start) for x in (uses, decls, scopes)))
-        ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=end - start))]).astype(np.int32)
-        made.append(pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(columns, ["name", "pos", "decl_id", "depth"])))
-    return pa.concat_arrays(made)
+    for batch in batches:
+        lists = [batch.column(c) for c in ("_uses", "_decls", "_scopes")]
+        sizes = sum(pc.list_value_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in lists)
+        for start, end in _parts(sizes):
+            row, columns = _meant(*(x.slice(start, end - start) for x in lists))
+            keys = [batch.column(c).take(pa.array(row + start)) for c in on]
+            yield pa.RecordBatch.from_arrays([*keys, *columns], names=[*on, "name", "pos", "decl_id", "depth"])

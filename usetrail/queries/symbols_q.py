@@ -15,12 +15,15 @@ def words_of(spark, sf_dir):
     return v.word_view(v.table(spark, sf_dir, "documents"))
 
 
-def word_scopes(words):
-    """Each document and each of its lines as a scope."""
-    lines = words.groupBy("doc_id", "line").agg(F.max("pos").alias("end_pos"))
+def lines_of(spark, sf_dir):
+    return v.line_view(v.table(spark, sf_dir, "documents"))
+
+
+def word_scopes(lines):
+    """Each document and each of its lines as a scope, if it has words."""
+    ends = v.last_words_in(lines).select("doc_id", F.explode(F.array(F.col("line") + 1, F.lit(0))).alias("scope_id"), "pos")
     scope = F.col("scope_id")
-    return lines.select("doc_id", F.explode(F.array(F.col("line") + 1, F.lit(0))).alias("scope_id"), "end_pos").groupBy(
-        "doc_id", "scope_id").agg(F.max("end_pos").alias("end_pos")).select(
+    return ends.groupBy("doc_id", "scope_id").agg(F.max("pos").alias("end_pos")).select(
         "doc_id", F.when(scope > 0, "line").otherwise("doc").alias("kind"), "scope_id",
         F.when(scope > 0, 1).otherwise(0).alias("depth"),
         F.when(scope > 0, (scope - 1).cast("long") * LINE_SHIFT).otherwise(F.lit(0)).alias("start_pos"), "end_pos",
@@ -32,12 +35,12 @@ def word_timeline(words):
 
     Every word is a use in its line and in its document, and a declaration in each of
     the two where it comes first; visible once its statement, here the word, is over.
-    All four entries come out of one pass over the words, sorted once by document, word and line.
+    All four entries come out of one pass over the words, sorted once: both firsts are minima over
+    the same window, of all rows of the word and of those of its line.
     """
-    first = running(words, ["doc_id", "word", "line"], ["pos"], True, in_line=lowest(F.col("pos")))
-    whole = Window.partitionBy("doc_id", "word").orderBy("line", "pos").rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing)
-    first = first.withColumn("in_doc", F.min("pos").over(whole))
+    by = Window.partitionBy("doc_id", "word").orderBy("line")
+    here, whole = by.rangeBetween(0, 0), by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first = words.withColumns({"in_line": F.min("pos").over(here), "in_doc": F.min("pos").over(whole)})
     # 0 and 1 are uses, 2 and 3 declarations, of the line and of the document
     entry, pos = F.col("_entry"), F.col("pos")
     is_use, in_line = entry < 2, entry % 2 == 0
@@ -102,13 +105,14 @@ FROM v_resolved WHERE decl_id IS NOT NULL GROUP BY ALL
 """)
 def resolve_scoped(spark, sf_dir):
     """The same answers from three tables: uses, declarations and scopes."""
-    words = words_of(spark, sf_dir)
+    lines = lines_of(spark, sf_dir)
+    words = v.words_in(lines)
     uses = words.select("doc_id", F.col("word").alias("name"), "pos")
     entries = word_timeline(words)
     decls = entries.filter("decl IS NOT NULL").select(
         "doc_id", "name", F.col("decl").alias("decl_id"), "scope_id", F.col("pos").alias("visible_from")
     )
-    scopes = word_scopes(words).select(
+    scopes = word_scopes(lines).select(
         "doc_id", F.col("scope_id").cast("long").alias("scope_id"), "depth", "start_pos", "end_pos"
     )
     return _by_line(sy.resolve_scoped(uses, decls, scopes, ["doc_id"], bounded=True))
@@ -262,13 +266,14 @@ SELECT i.doc_id, i.pos, i.word AS name, i.decl_id, u.n_uses
 FROM i JOIN u ON u.doc_id = i.doc_id AND u.decl_id = i.decl_id
 """)
 def symbol_at(spark, sf_dir):
-    words = words_of(spark, sf_dir)
+    lines = lines_of(spark, sf_dir)
+    words = v.words_in(lines)
     spans = stacked(
         words.select(
             "doc_id", F.lit("identifier").alias("kind"), F.col("pos").alias("start_pos"),
             F.col("pos").alias("end_pos"), F.lit(2).alias("depth"), F.lit(False).alias("is_root"),
         ),
-        word_scopes(words).select(
+        word_scopes(lines).select(
             "doc_id", "kind", "start_pos", (F.col("end_pos") + 1).alias("end_pos"), "depth",
             (F.col("depth") == 0).alias("is_root"),
         ),

@@ -188,15 +188,19 @@ v_spans AS (
 """
 
 
-def word_view(documents: DataFrame) -> DataFrame:
-    """Every word with its 0-based line and place in the line.
+def line_view(documents: DataFrame) -> DataFrame:
+    """Every line of the texts with its 0-based number.
 
     The texts are spread by document before they are cut up: what is shuffled is one
     row per text, and later windows and aggregates per document move no words.
     """
-    lines = spread(documents.select("doc_id", "text"), "doc_id", "text").select(
+    return spread(documents.select("doc_id", "text"), "doc_id", "text").select(
         "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "line_text")
     )
+
+
+def words_in(lines: DataFrame) -> DataFrame:
+    """Every word of the lines with its 0-based line and place in the line."""
     words = lines.select(
         "doc_id", "line", F.posexplode(F.split("line_text", " ", -1)).alias("col", "word")
     ).filter(F.col("word") != "")
@@ -206,6 +210,20 @@ def word_view(documents: DataFrame) -> DataFrame:
     )
 
 
+def last_words_in(lines: DataFrame) -> DataFrame:
+    """Where the last word of each line stands (doc_id, line, pos); the words are not cut out for it."""
+    text = F.rtrim("line_text")
+    # as many places as spaces before the last word
+    col = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit("")))
+    return lines.filter(text != "").select(
+        "doc_id", "line", (F.col("line").cast("long") * LINE_SHIFT + col).alias("pos"))
+
+
+def word_view(documents: DataFrame) -> DataFrame:
+    """Every word with its 0-based line and place in the line."""
+    return words_in(line_view(documents))
+
+
 WORDS_SQL = f"""
 v_doc_lines AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
 v_lines AS (
